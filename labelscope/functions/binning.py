@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,14 +19,14 @@ def interval_label(
     return branches
 
 
-def edge_index(x: Column, inner_edges: Sequence[Column], strict: bool = True) -> Column:
-    """How many inner edges lie below x (at or below when not strict).
+def edge_index(x: str, inner_edges: Sequence[str], closed: str = "right") -> Column:
+    """Index of the bin holding column x, given the columns of the inner edges.
 
-    Null edges count as absent. With strict comparison this is the index of a
-    right-closed bin.
+    Right-closed bins count the edges below x, left-closed bins those at or
+    below it. Null edges count as absent.
     """
-    hits = [F.when((x > e) if strict else (x >= e), 1).otherwise(0) for e in inner_edges]
-    return reduce(lambda a, b: a + b, hits, F.lit(0))
+    compare = {"right": ">", "left": ">="}[closed]
+    return F.expr(" + ".join(["0", *[f"if({x} {compare} {e}, 1, 0)" for e in inner_edges]]))
 
 
 def width_index(x: Column, low: Column, high: Column, bins: int | Column) -> Column:
@@ -50,6 +49,7 @@ def magnitude_cell(x: Column, per_efold: int) -> Column:
     the logarithm of the smallest positive double, which keeps both halves of
     the grid on their own side of zero.
     """
-    up = F.floor((F.ln(x) + 750) * per_efold)
-    down = -F.floor((F.ln(-x) + 750) * per_efold)
-    return F.when(x > 0, up).when(x < 0, down).otherwise(F.lit(0).cast("bigint"))
+    # infinity goes to the last cell
+    up = F.floor(F.least((F.ln(x) + 750) * per_efold, F.lit(2.0**31 - 1))).cast("int")
+    down = -F.floor(F.least((F.ln(-x) + 750) * per_efold, F.lit(2.0**31 - 1))).cast("int")
+    return F.when(x > 0, up).when(x < 0, down).otherwise(F.lit(0))

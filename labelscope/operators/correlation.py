@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +13,10 @@ from labelscope.functions.columns import as_double
 from labelscope.operators.impute import (
     imputed_long,
     matrix_source,
-    median_impute,
     medians,
     outlier_limits,
 )
-from labelscope.operators.longform import with_per_feature
+from labelscope.operators.longform import SLICE, feature_name, with_per_feature
 from labelscope.operators.quantiles import every_nth, order_statistics
 from labelscope.operators.sampling import cap_rows_per_group
 from labelscope.roles import Roles
@@ -34,32 +32,43 @@ LEVELS = 3
 def pearson_matrix(df: DataFrame, roles: Roles) -> DataFrame:
     """``(feat1, feat2, pearson)`` over all ordered pairs of imputed columns."""
     source, features = matrix_source(df, roles)
-    return _correlate(median_impute(source, features), features, "pearson")
+    known = with_per_feature(source, "_m", medians(source, features), features, "median")
+    # shifting by the median changes no coefficient and keeps the sums small
+    centred = []
+    for i, c in enumerate(features):
+        median = F.col(f"_m.median_{i}")
+        centred.append(F.coalesce(as_double(source, c) - median, median - median).alias(c))
+    return _correlate(known.select(*centred), "pearson")
 
 
 def spearman_matrix(df: DataFrame, roles: Roles, keys: Sequence[str]) -> DataFrame:
     """``(feat1, feat2, spearman)`` over all ordered pairs of imputed columns.
 
-    ``keys`` identify a row; ties get their average rank. The ranks of a row are
-    gathered into one list, as long as the table is wide, and written once.
+    ``keys`` identify a row; ties get their average rank.
     """
     source, features = matrix_source(df, roles)
-    gathered = (
-        rank_rows(source, features, keys)
-        .groupBy(*keys)
-        .agg(F.map_from_entries(F.collect_list(F.struct("fid", "rank"))).alias("r"))
-    )
-    ranks = [F.try_element_at("r", F.lit(i)).alias(c) for i, c in enumerate(features)]
-    return _correlate(materialize(gathered.select(*ranks), "ranks"), features, "spearman")
+    by_row = rank_rows(source, features, keys).groupBy(*keys)
+    if len(features) <= SLICE:
+        cells = [f"max(if(fid = {i}, rank, null)) AS `{c}`" for i, c in enumerate(features)]
+        gathered = by_row.agg(*[F.expr(c) for c in cells]).drop(*keys)
+    else:
+        # one entry per feature, so the list is as long as the table is wide
+        packed = by_row.agg(F.map_from_entries(F.collect_list(F.struct("fid", "rank"))).alias("r"))
+        gathered = packed.selectExpr(
+            *[f"try_element_at(r, {i}) AS `{c}`" for i, c in enumerate(features)]
+        )
+    return _correlate(gathered, "spearman")
 
 
 def rank_rows(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """``(keys…, fid, rank)``: average ranks of the imputed values of each feature.
+    """``(keys…, fid, rank)``: average ranks of the imputed values of each feature,
+    shifted to a mean of zero.
 
     Exact order statistics at equal steps cut the values of a feature into
     ranges of one step. Every value more frequent than a step is itself a cut
     point, so its rows take their rank from a small lookup and are never
     gathered; the rest are ranked inside their range, at most a step of rows.
+    Medians and cut points are small and read several times, so they are stored.
     """
     parts = FAN**LEVELS
     middle = materialize(medians(df, features), "medians")
@@ -72,33 +81,43 @@ def rank_rows(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> Da
     placed = long.withColumn("node", F.lit(0))
     for level in range(LEVELS):
         width = FAN ** (LEVELS - 1 - level)
-        child = F.floor(F.col("cut") / width).cast("int")
-        bounds = [
-            F.max(F.when(child % FAN == i, F.col("value"))).alias(f"b{i}") for i in range(1, FAN)
-        ]
+        place = f"cast(cut div {width} as int)"
+        bounds = [F.expr(f"max(if(child = {i}, value, null)) AS b{i}") for i in range(1, FAN)]
         nodes = (
             cuts.where(F.col("cut") % width == 0)
-            .groupBy("fid", F.floor(child / FAN).cast("int").alias("node"))
+            .selectExpr(
+                "fid",
+                f"cast({place} div {FAN} as int) AS node",
+                f"{place} % {FAN} AS child",
+                "value",
+            )
+            .groupBy("fid", "node")
             .agg(*bounds)
         )
-        step = edge_index(F.col("value"), [F.col(f"b{i}") for i in range(1, FAN)], strict=False)
+        step = edge_index("value", [f"b{i}" for i in range(1, FAN)], closed="left")
         placed = placed.join(F.broadcast(nodes), ["fid", "node"]).select(
             *keys, "fid", "value", (F.col("node") * FAN + step).alias("node")
         )
+    centre = (F.col("n") + 1) / 2
     points = cuts.select(
-        "fid", F.col("cut").alias("node"), F.col("value").alias("cut_value"), "count", "below"
+        "fid",
+        F.col("cut").alias("node"),
+        F.col("value").alias("cut_value"),
+        (F.col("below") + (F.col("count") + 1) / 2 - centre).alias("rank"),
+        (F.col("below") + F.col("count") - centre).alias("base"),
     )
     placed = placed.join(F.broadcast(points), ["fid", "node"])
 
     on_cut = F.col("value") == F.col("cut_value")
-    direct = placed.where(on_cut).select(
-        *keys, "fid", (F.col("below") + (F.col("count") + 1) / 2).alias("rank")
-    )
     inside = Window.partitionBy("fid", "node").orderBy("value")
     up_to = F.count("*").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    between = F.col("below") + F.col("count") + (F.rank().over(inside) + up_to) / 2
-    ranged = placed.where(~on_cut).select(*keys, "fid", between.alias("rank"))
-    return direct.unionAll(ranged)
+    between = F.col("base") + (F.rank().over(inside) + up_to) / 2
+    ranged = placed.where(~on_cut).select(*keys, "fid", "node", "value", "base")
+    return (
+        placed.where(on_cut)
+        .select(*keys, "fid", "rank")
+        .unionAll(ranged.select(*keys, "fid", between.alias("rank")))
+    )
 
 
 def matrix_wide(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -176,25 +195,52 @@ def scatter_pairs(
     return capped.select("feat1", "feat2", *keys, "x", "y", F.col("_label").alias(roles.label))
 
 
-def _correlate(wide: DataFrame, features: Sequence[str], name: str) -> DataFrame:
+def _correlate(wide: DataFrame, name: str) -> DataFrame:
     """Product-moment correlation of all columns as a long matrix.
 
-    ML's covariance centres the data and merges one small matrix per task along
-    a tree. Constant columns, and columns without any value, which cannot enter
-    a vector, have null coefficients.
+    Each task reduces its rows to one small matrix of products, batch by batch;
+    only those sums are shuffled, so the rows are read once. Constant columns
+    and columns without any value have null coefficients.
     """
-    cells = [F.count(f"`{c}`").alias(f"n{i}") for i, c in enumerate(features)]
-    counts = wide.agg(*cells).first()
-    used = [c for i, c in enumerate(features) if counts[i] > 0]
-    known: dict[tuple[str, str], float] = {}
-    if used:
-        vectors = wide.select(array_to_vector(F.array(*[f"`{c}`" for c in used])).alias("v"))
-        matrix = Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
-        known = {
-            (a, b): float(matrix[i, j])
-            for i, a in enumerate(used)
-            for j, b in enumerate(used)
-            if matrix[i, j] == matrix[i, j]
-        }
-    rows = [(a, b, known.get((a, b))) for a in features for b in features]
-    return wide.sparkSession.createDataFrame(rows, f"feat1 string, feat2 string, {name} double")
+    features = wide.columns
+    m = len(features)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        sums, total, n = np.zeros(m), np.zeros((m, m)), 0
+        for batch in batches:
+            flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            rows = flat.reshape(-1, m)
+            n += len(rows)
+            sums += rows.sum(axis=0)
+            total += rows.T @ rows
+        i, j = np.triu_indices(m)
+        square = np.diag(total)
+        columns = [i, j, total[i, j], sums[i], sums[j], square[i], square[j], np.full(len(i), n)]
+        names = ["i", "j", "p", "si", "sj", "qi", "qj", "n"]
+        types = [pa.int32()] * 2 + [pa.float64()] * 5 + [pa.int64()]
+        arrays = [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]
+        yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    rows = wide.select(F.array(*[f"`{c}`" for c in features]).alias("x"))
+    schema = "i int, j int, p double, si double, sj double, qi double, qj double, n bigint"
+    summed = (
+        rows.mapInArrow(products, schema)
+        .groupBy("i", "j")
+        .agg(*[F.sum(c).alias(c) for c in ("p", "si", "sj", "qi", "qj", "n")])
+    )
+    spread = F.expr("sqrt((qi - si * si / n) * (qj - sj * sj / n))")
+    value = F.try_divide(F.expr("p - si * sj / n"), spread)
+    bounded = F.greatest(F.least(value, F.lit(1.0)), F.lit(-1.0))
+    both = F.expr("if(i = j, array(struct(i, j)), array(struct(i, j), struct(j AS i, i AS j)))")
+    return (
+        summed.where("n > 0")
+        .withColumn(name, F.when(~F.isnan(value), bounded))
+        .select(F.explode(both).alias("pair"), name)
+        .select(
+            feature_name(features, "pair.i").alias("feat1"),
+            feature_name(features, "pair.j").alias("feat2"),
+            name,
+        )
+    )

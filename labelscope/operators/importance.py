@@ -139,6 +139,8 @@ def rf_importance_by_seed(
             weightCol="_weight",
             numTrees=trees,
             maxDepth=depth,
+            maxMemoryInMB=1024,
+            cacheNodeIds=True,
             seed=seed,
         )
         model = forest.fit(assembled.select("_x", "_label", "_weight"))

@@ -29,26 +29,30 @@ def matrix_source(df: DataFrame, roles: Roles) -> tuple[DataFrame, list[str]]:
     return filled, roles.numeric(filled, keep=(roles.label,))
 
 
-def median_impute(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def median_impute(
+    df: DataFrame,
+    features: Sequence[str],
+    keep: Sequence[str] = (),
+    middle: DataFrame | None = None,
+) -> DataFrame:
     """``keep`` columns as they are, features as double with nulls at the median.
 
-    A feature without any value stays null.
+    A feature without any value stays null. ``middle`` is a stored result of
+    :func:`medians`, for tables that are read more than once.
     """
-    middle = with_per_feature(df, "_m", medians(df, features), features, "median")
+    middle = medians(df, features) if middle is None else middle
+    known = with_per_feature(df, "_m", middle, features, "median")
     filled = [
         F.coalesce(as_double(df, c), F.col(f"_m.median_{i}")).alias(c)
         for i, c in enumerate(features)
     ]
-    return middle.select(*keep, *filled)
+    return known.select(*keep, *filled)
 
 
 def imputed_long(
     df: DataFrame, features: Sequence[str], *keep: Column, middle: DataFrame | None = None
 ) -> DataFrame:
-    """``(keep…, fid, value, median)`` with null values at the median.
-
-    ``middle`` is a stored result of :func:`medians`, one row per feature.
-    """
+    """``(keep…, fid, value, median)`` with null values at the median."""
     middle = medians(df, features) if middle is None else middle
     long = numeric_long(df, features, *keep).join(F.broadcast(middle), "fid")
     return long.withColumn("value", F.coalesce("value", "median"))

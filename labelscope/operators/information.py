@@ -104,12 +104,11 @@ def _numeric_counts(
         probs = [k / bins for k in range(bins + 1)]
         cuts = quantiles(long, probs, features)
         # edges equal to an earlier one, or to the minimum, bound no bin
-        edges = [F.when(F.col(f"q{k}") > F.col(f"q{k - 1}"), F.col(f"q{k}")) for k in range(1, bins)]
-        info = profile.join(cuts.select("fid", *_named(edges)), "fid", "left")
+        edges = [f"if(q{k} > q{k - 1}, q{k}, null) AS e{k}" for k in range(1, bins)]
+        info = profile.join(cuts.selectExpr("fid", *edges), "fid", "left")
     elif binning == "width":
-        step = (F.col("high") - F.col("low")) / bins
-        edges = [F.col("low") + step * k for k in range(1, bins)]
-        info = profile.select("*", *_named(edges))
+        edges = [f"low + (high - low) / {bins} * {k} AS e{k}" for k in range(1, bins)]
+        info = profile.selectExpr("*", *edges)
     else:
         raise ValueError(f"unknown binning {binning!r}")
     edge_cols = [f"e{k}" for k in range(1, bins)]
@@ -118,7 +117,7 @@ def _numeric_counts(
     info = F.broadcast(info.select("fid", *carried, *edge_cols))
 
     open_case = F.col("about") <= 2 * bins
-    index = edge_index(value, [F.col(e) for e in edge_cols])
+    index = edge_index("value", edge_cols)
     binned = (
         long.join(info, "fid")
         .withColumn("bin", F.when(value.isNotNull(), index))
@@ -159,6 +158,3 @@ def _cut_total(column: str, missing: str) -> Column:
     dropped = ~F.col("by_value") & F.lit(missing == "drop")
     return F.when(dropped, F.col(column))
 
-
-def _named(edges: list[Column]) -> list[Column]:
-    return [e.alias(f"e{k}") for k, e in enumerate(edges, start=1)]

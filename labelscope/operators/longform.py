@@ -75,7 +75,7 @@ def with_per_feature(
     it runs once, and a task receives one value per feature and column.
     """
     cells = [
-        F.max(F.when(F.col("fid") == i, F.col(c))).alias(f"{c}_{i}")
+        F.expr(f"max(if(fid = {i}, {c}, null)) AS {c}_{i}")
         for c in columns
         for i in range(len(features))
     ]

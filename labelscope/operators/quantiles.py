@@ -10,55 +10,47 @@ does not depend on partitioning, retries or the number of passes.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.binning import magnitude_cell
 
-Wanted = Callable[[Column, Column, Column], Column]
-
-# grid resolutions, in cells per factor e
-GRIDS = (16, 1 << 10, 1 << 18)
+# Grid resolutions, in cells per factor e. A coarse first grid keeps the counts
+# that large inputs shuffle small; later grids see only the cells in question.
+ONE_GRID = (128,)
+TWO_GRIDS = (64, 1 << 12)
+THREE_GRIDS = (16, 1 << 10, 1 << 18)
 
 
 def grids_for(values: DataFrame) -> tuple[int, ...]:
-    """More grid passes for larger inputs, by Catalyst's own size estimate."""
-    size = int(str(values._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < 1 << 32:
-        return GRIDS[:1]
-    return GRIDS[:2] if size < 1 << 40 else GRIDS
-
-
-def holding_ranks(probabilities: Sequence[float]) -> Wanted:
-    """Wanted ranks: the two neighbours of each quantile position."""
-
-    def wanted(below: Column, count: Column, n: Column) -> Column:
-        probs = F.array(*[F.lit(float(p)) for p in probabilities])
-
-        def inside(rank: Column) -> Column:
-            return (rank >= below) & (rank < below + count)
-
-        return F.exists(
-            probs, lambda p: inside(F.floor(p * (n - 1))) | inside(F.ceil(p * (n - 1)))
-        )
-
-    return wanted
+    """More grid passes for larger inputs, by the estimated size of the scans."""
+    leaves = values._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+    size = 0
+    while leaves.hasNext():
+        size += int(str(leaves.next().stats().sizeInBytes()))
+    if size < 1 << 26:
+        return ONE_GRID
+    return TWO_GRIDS if size < 1 << 40 else THREE_GRIDS
 
 
-def every_nth(parts: int) -> Wanted:
-    """Wanted ranks: 0, s, 2s, … with steps that make at most ``parts`` of them."""
+def holding_ranks(probabilities: Sequence[float]) -> Column:
+    """Whether a run of ``count`` values after ``below`` others, of n in all, holds
+    one of the two neighbours of a quantile position."""
+    places = [f"{float(p)!r}D * (n - 1)" for p in probabilities]
+    ranks = [f"{side}({at})" for at in places for side in ("floor", "ceil")]
+    return F.expr(" OR ".join(f"({rank} >= below AND {rank} < below + count)" for rank in ranks))
 
-    def wanted(below: Column, count: Column, n: Column) -> Column:
-        step = F.ceil(n / parts)
-        return F.ceil(below / step) * step < below + count
 
-    return wanted
+def every_nth(parts: int) -> Column:
+    """Whether such a run holds rank 0, s, 2s, … with at most ``parts`` of them."""
+    step = f"((n + {parts - 1}) div {parts})"
+    return F.expr(f"(below + {step} - 1) div {step} * {step} < below + count")
 
 
 def order_statistics(
-    values: DataFrame, wanted: Wanted, targets: int, grids: Sequence[int] | None = None
+    values: DataFrame, wanted: Column, targets: int, grids: Sequence[int] | None = None
 ) -> DataFrame:
     """``(fid, value, count, below, n)`` for each distinct value at a wanted rank.
 
@@ -92,12 +84,12 @@ def order_statistics(
     return found.select("fid", F.col("at").alias("value"), "count", "below", "n")
 
 
-def _keep_wanted(counted: DataFrame, group: list[str], wanted: Wanted) -> DataFrame:
+def _keep_wanted(counted: DataFrame, group: list[str], wanted: Column) -> DataFrame:
     order = Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn(
         "below", F.col("below") + F.sum("count").over(order) - F.col("count")
     )
-    return placed.where(wanted(F.col("below"), F.col("count"), F.col("n")))
+    return placed.where(wanted)
 
 
 def quantiles(
