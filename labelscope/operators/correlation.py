@@ -17,7 +17,7 @@ from labelscope.operators.impute import (
     outlier_limits,
 )
 from labelscope.operators.longform import SLICE, feature_name, with_per_feature
-from labelscope.operators.quantiles import every_nth, order_statistics
+from labelscope.operators.quantiles import MAX_TARGETS, every_nth, order_statistics
 from labelscope.operators.sampling import cap_rows_per_group
 from labelscope.roles import Roles
 from labelscope.sources.scratch import materialize
@@ -70,7 +70,7 @@ def rank_rows(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> Da
     gathered; the rest are ranked inside their range, at most a step of rows.
     Medians and cut points are small and read several times, so they are stored.
     """
-    parts = FAN**LEVELS
+    parts = min(FAN**LEVELS, MAX_TARGETS // len(features))
     middle = materialize(medians(df, features), "medians")
     long = imputed_long(df, features, *[F.col(k) for k in keys], middle=middle)
     found = order_statistics(long, every_nth(parts), parts * len(features))
@@ -232,7 +232,7 @@ def _correlate(wide: DataFrame, name: str) -> DataFrame:
     )
     spread = F.expr("sqrt((qi - si * si / n) * (qj - sj * sj / n))")
     value = F.try_divide(F.expr("p - si * sj / n"), spread)
-    bounded = F.greatest(F.least(value, F.lit(1.0)), F.lit(-1.0))
+    bounded = F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(1.0)), F.lit(-1.0)))
     both = F.expr("if(i = j, array(struct(i, j)), array(struct(i, j), struct(j AS i, i AS j)))")
     return (
         summed.where("n > 0")

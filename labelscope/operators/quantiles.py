@@ -22,6 +22,8 @@ from labelscope.functions.binning import magnitude_cell
 ONE_GRID = (128,)
 TWO_GRIDS = (64, 1 << 12)
 THREE_GRIDS = (16, 1 << 10, 1 << 18)
+# The cells in question are broadcast between passes, one row per wanted rank.
+MAX_TARGETS = 1_000_000
 
 
 def grids_for(values: DataFrame) -> tuple[int, ...]:
@@ -60,6 +62,8 @@ def order_statistics(
     over all features, and with it the size of the lookup that is broadcast
     between passes.
     """
+    if targets > MAX_TARGETS:
+        raise ValueError(f"{targets} ranks are too many at once; take fewer features")
     grids = tuple(grids or grids_for(values))
     rows = values.select("fid", "value").where(F.col("value").isNotNull())
 
@@ -72,9 +76,7 @@ def order_statistics(
     found = _keep_wanted(counted, ["fid"], wanted)
 
     for grid, finer in zip(grids, (*grids[1:], None), strict=True):
-        cells = found.select("fid", F.col("at").alias("cell"), "below", "n")
-        if targets <= 1_000_000:
-            cells = F.broadcast(cells)
+        cells = F.broadcast(found.select("fid", F.col("at").alias("cell"), "below", "n"))
         near = rows.withColumn("cell", magnitude_cell(F.col("value"), grid)).join(cells, ["fid", "cell"])
         at = F.col("value") if finer is None else magnitude_cell(F.col("value"), finer)
         counted = near.groupBy("fid", "cell", at.alias("at")).agg(
