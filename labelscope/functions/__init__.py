@@ -7,16 +7,26 @@ from labelscope.functions.binning import (
     unit_bin,
     width_index,
 )
-from labelscope.functions.columns import as_double, as_text, parse_date, ratio, uniform_hash
+from labelscope.functions.columns import (
+    as_double,
+    double_sql,
+    parse_date,
+    quoted,
+    ratio,
+    text_sql,
+    uniform_hash,
+)
 
 __all__ = [
     "as_double",
-    "as_text",
+    "double_sql",
     "edge_index",
     "interval_label",
     "magnitude_cell",
     "parse_date",
+    "quoted",
     "ratio",
+    "text_sql",
     "uniform_hash",
     "unit_bin",
     "width_index",

@@ -9,16 +9,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def as_double(df: DataFrame, name: str) -> Column:
-    """A numeric column as double; NaN becomes null so it counts as missing."""
-    column = F.col(f"`{name}`")
+def quoted(name: str) -> str:
+    """A column name inside a SQL expression."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def double_sql(df: DataFrame, name: str) -> str:
+    """A numeric column as double; NaN becomes null so it counts as missing.
+
+    Expressions over hundreds of columns are put together as text, which
+    Spark parses in one go.
+    """
+    number = f"cast({quoted(name)} as double)"
     if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return F.nanvl(column.cast("double"), F.lit(None).cast("double"))
-    return column.cast("double")
+        return f"nanvl({number}, cast(null as double))"
+    return number
+
+
+def as_double(df: DataFrame, name: str) -> Column:
+    """:func:`double_sql` as a column."""
+    return F.expr(double_sql(df, name))
 
 
-def as_text(name: str) -> Column:
-    return F.col(f"`{name}`").cast("string")
+def text_sql(name: str) -> str:
+    return f"cast({quoted(name)} as string)"
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.binning import edge_index
-from labelscope.functions.columns import as_double
+from labelscope.functions.columns import double_sql, quoted
 from labelscope.operators.impute import (
     imputed_long,
     matrix_source,
@@ -36,9 +36,10 @@ def pearson_matrix(df: DataFrame, roles: Roles) -> DataFrame:
     # shifting by the median changes no coefficient and keeps the sums small
     centred = []
     for i, c in enumerate(features):
-        median = F.col(f"_m.median_{i}")
-        centred.append(F.coalesce(as_double(source, c) - median, median - median).alias(c))
-    return _correlate(known.select(*centred), "pearson")
+        median = f"_m.median_{i}"
+        centred.append(f"coalesce({double_sql(source, c)} - {median}, {median} - {median})")
+    cells = ", ".join(centred)
+    return _correlate(known.selectExpr(f"array({cells}) AS x"), features, "pearson")
 
 
 def spearman_matrix(df: DataFrame, roles: Roles, keys: Sequence[str]) -> DataFrame:
@@ -49,15 +50,14 @@ def spearman_matrix(df: DataFrame, roles: Roles, keys: Sequence[str]) -> DataFra
     source, features = matrix_source(df, roles)
     by_row = rank_rows(source, features, keys).groupBy(*keys)
     if len(features) <= SLICE:
-        cells = [f"max(if(fid = {i}, rank, null)) AS `{c}`" for i, c in enumerate(features)]
-        gathered = by_row.agg(*[F.expr(c) for c in cells]).drop(*keys)
+        cells = [f"max(if(fid = {i}, rank, null))" for i in range(len(features))]
+        gathered = by_row.agg(F.expr(f"array({', '.join(cells)})").alias("x"))
     else:
         # one entry per feature, so the list is as long as the table is wide
         packed = by_row.agg(F.map_from_entries(F.collect_list(F.struct("fid", "rank"))).alias("r"))
-        gathered = packed.selectExpr(
-            *[f"try_element_at(r, {i}) AS `{c}`" for i, c in enumerate(features)]
-        )
-    return _correlate(gathered, "spearman")
+        cells = [f"try_element_at(r, {i})" for i in range(len(features))]
+        gathered = packed.select(F.expr(f"array({', '.join(cells)})").alias("x"))
+    return _correlate(gathered.select("x"), features, "spearman")
 
 
 def rank_rows(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
@@ -171,23 +171,22 @@ def scatter_pairs(
     known = with_per_feature(source, "_s", limits, features, "median", "mean", "std")
     clean = []
     for i, c in enumerate(features):
-        x = F.coalesce(as_double(source, c), F.col(f"_s.median_{i}"))
-        far = F.abs(x - F.col(f"_s.mean_{i}")) > n_std * F.col(f"_s.std_{i}")
-        clean.append(F.when(~far, x).alias(c))
-    label = F.col(roles.label).cast("int").alias("_label")
+        x = f"coalesce({double_sql(source, c)}, _s.median_{i})"
+        far = f"abs({x} - _s.mean_{i}) > {n_std} * _s.std_{i}"
+        clean.append(f"if({far}, null, {x}) AS {quoted(c)}")
     points = F.array(
         *[
             F.struct(
                 F.lit(a).alias("feat1"),
                 F.lit(b).alias("feat2"),
-                F.col(f"`{a}`").alias("x"),
-                F.col(f"`{b}`").alias("y"),
+                F.col(quoted(a)).alias("x"),
+                F.col(quoted(b)).alias("y"),
             )
             for a, b in pairs
         ]
     )
     rows = (
-        known.select(*keys, label, *clean)
+        known.selectExpr(*keys, f"cast({quoted(roles.label)} as int) AS _label", *clean)
         .select(*keys, "_label", F.inline(points))
         .dropna(subset=["x", "y"])
     )
@@ -195,14 +194,13 @@ def scatter_pairs(
     return capped.select("feat1", "feat2", *keys, "x", "y", F.col("_label").alias(roles.label))
 
 
-def _correlate(wide: DataFrame, name: str) -> DataFrame:
-    """Product-moment correlation of all columns as a long matrix.
+def _correlate(rows: DataFrame, features: Sequence[str], name: str) -> DataFrame:
+    """Product-moment correlation of the entries of array x as a long matrix.
 
     Each task reduces its rows to one small matrix of products, batch by batch;
     only those sums are shuffled, so the rows are read once. Constant columns
     and columns without any value have null coefficients.
     """
-    features = wide.columns
     m = len(features)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +209,10 @@ def _correlate(wide: DataFrame, name: str) -> DataFrame:
         sums, total, n = np.zeros(m), np.zeros((m, m)), 0
         for batch in batches:
             flat = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            rows = flat.reshape(-1, m)
-            n += len(rows)
-            sums += rows.sum(axis=0)
-            total += rows.T @ rows
+            block = flat.reshape(-1, m)
+            n += len(block)
+            sums += block.sum(axis=0)
+            total += block.T @ block
         i, j = np.triu_indices(m)
         square = np.diag(total)
         columns = [i, j, total[i, j], sums[i], sums[j], square[i], square[j], np.full(len(i), n)]
@@ -223,7 +221,6 @@ def _correlate(wide: DataFrame, name: str) -> DataFrame:
         arrays = [pa.array(c, type=t) for c, t in zip(columns, types, strict=True)]
         yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    rows = wide.select(F.array(*[f"`{c}`" for c in features]).alias("x"))
     schema = "i int, j int, p double, si double, sj double, qi double, qj double, n bigint"
     summed = (
         rows.mapInArrow(products, schema)

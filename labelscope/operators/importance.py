@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.functions.columns import as_text
+from labelscope.functions.columns import text_sql
 from labelscope.operators.impute import median_impute
 from labelscope.operators.information import MISSING
 from labelscope.operators.longform import numeric_long, text_long
@@ -64,7 +64,7 @@ def ordinal_encode(df: DataFrame, features: Sequence[str]) -> DataFrame:
         table = codes.where(F.col("fid") == fid).select(
             F.col("value").alias("_value"), F.col("code").cast("double").alias("_code"), "count"
         )
-        key = F.coalesce(as_text(name), F.lit(MISSING))
+        key = F.coalesce(F.expr(text_sql(name)), F.lit(MISSING))
         if small:
             matched = encoded.withColumn("_key", key).join(
                 F.broadcast(table.drop("count")), F.col("_key") == F.col("_value"), "left"

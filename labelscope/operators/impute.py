@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.functions.columns import as_double
+from labelscope.functions.columns import double_sql, quoted
 from labelscope.operators.longform import feature_name, numeric_long, with_per_feature
 from labelscope.operators.quantiles import quantiles
 from labelscope.roles import Roles
@@ -43,10 +43,10 @@ def median_impute(
     middle = medians(df, features) if middle is None else middle
     known = with_per_feature(df, "_m", middle, features, "median")
     filled = [
-        F.coalesce(as_double(df, c), F.col(f"_m.median_{i}")).alias(c)
+        f"coalesce({double_sql(df, c)}, _m.median_{i}) AS {quoted(c)}"
         for i, c in enumerate(features)
     ]
-    return known.select(*keep, *filled)
+    return known.selectExpr(*[quoted(k) for k in keep], *filled)
 
 
 def imputed_long(

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.functions.columns import as_double, as_text
+from labelscope.functions.columns import double_sql, quoted, text_sql
 
 # Spark stops generating code for operators with over 100 fields, so wide
 # tables are taken in slices; each slice scans only its own columns.
@@ -25,13 +25,13 @@ def _explode(
     df: DataFrame,
     features: Sequence[str],
     keep: Sequence[Column],
-    cell: Callable[[str], Column],
+    cell: Callable[[str], str],
     name: str,
 ) -> DataFrame:
     parts = []
     for start in range(0, len(features), SLICE):
-        cells = F.array(*[cell(c) for c in features[start : start + SLICE]])
-        part = df.select(*keep, F.posexplode(cells).alias("fid", name))
+        cells = ", ".join(cell(c) for c in features[start : start + SLICE])
+        part = df.select(*keep, F.expr(f"posexplode(array({cells})) AS (fid, {name})"))
         if start:
             part = part.withColumn("fid", F.col("fid") + start)
         parts.append(part)
@@ -40,12 +40,12 @@ def _explode(
 
 def numeric_long(df: DataFrame, features: Sequence[str], *keep: Column) -> DataFrame:
     """``(keep…, fid, value)`` with values as double, null where missing or NaN."""
-    return _explode(df, features, keep, lambda c: as_double(df, c), "value")
+    return _explode(df, features, keep, lambda c: double_sql(df, c), "value")
 
 
 def text_long(df: DataFrame, features: Sequence[str], *keep: Column) -> DataFrame:
     """``(keep…, fid, value)`` with values as text."""
-    return _explode(df, features, keep, as_text, "value")
+    return _explode(df, features, keep, text_sql, "value")
 
 
 def missing_long(
@@ -54,16 +54,15 @@ def missing_long(
     """``(keep…, fid, missing)``: whether each feature is null (or NaN) in a row."""
     numbers = set(numeric)
 
-    def cell(name: str) -> Column:
-        column = as_double(df, name) if name in numbers else F.col(f"`{name}`")
-        return column.isNull()
+    def cell(name: str) -> str:
+        return f"{double_sql(df, name) if name in numbers else quoted(name)} IS NULL"
 
     return _explode(df, features, keep, cell, "missing")
 
 
 def feature_name(features: Sequence[str], fid: str = "fid") -> Column:
     """The name behind a feature position."""
-    return F.get(F.array(*[F.lit(c) for c in features]), F.col(fid))
+    return F.get(F.lit(list(features)), F.col(fid))
 
 
 def with_per_feature(
@@ -75,9 +74,6 @@ def with_per_feature(
     it runs once, and a task receives one value per feature and column.
     """
     cells = [
-        F.expr(f"max(if(fid = {i}, {c}, null)) AS {c}_{i}")
-        for c in columns
-        for i in range(len(features))
+        f"max(if(fid = {i}, {c}, null)) AS {c}_{i}" for c in columns for i in range(len(features))
     ]
-    row = relation.agg(*cells)
-    return df.withColumn(name, row.select(F.struct(*row.columns)).scalar())
+    return df.withColumn(name, relation.selectExpr(f"struct({', '.join(cells)}) AS s").scalar())
