@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelscope.functions.binning import width_index
 from labelscope.functions.columns import ratio
 from labelscope.operators.longform import feature_name, numeric_long, text_long
-from labelscope.operators.quantiles import quantiles
+from labelscope.operators.quantiles import clip_range, quantiles
 from labelscope.roles import Roles
 
 # Clipping probabilities, category limit, curve points.
@@ -44,14 +44,9 @@ def class_means(df: DataFrame, roles: Roles) -> DataFrame:
 def _clipped(df: DataFrame, roles: Roles, features: list[str]) -> tuple[DataFrame, DataFrame]:
     """Clipped ``(y, fid, value)`` rows, and ``(fid, first, last, n)`` of them."""
     long = numeric_long(df, features, roles.target().alias("y"))
-    bounds = quantiles(long, CLIP, len(features), ["lower", "upper"])
-    rows = long.join(F.broadcast(bounds.drop("n")), "fid").where(
-        F.col("value").between(F.col("lower"), F.col("upper"))
-    )
-    rows = rows.select("y", "fid", "value")
-    span = rows.groupBy("fid").agg(
-        F.min("value").alias("first"), F.max("value").alias("last"), F.count("*").alias("n")
-    )
+    span = clip_range(long, *CLIP, len(features))
+    inside = F.col("value").between(F.col("first"), F.col("last"))
+    rows = long.join(F.broadcast(span), "fid").where(inside)
     return rows, span
 
 
@@ -75,6 +70,7 @@ def density_histogram(df: DataFrame, roles: Roles, bins: int | str = 30) -> Data
     """
     features = roles.numeric(df)
     rows, span = _clipped(df, roles, features)
+    rows = rows.select("y", "fid", "value")
     if bins == "auto":
         span = _auto_bins(rows, span, len(features))
     else:
@@ -114,11 +110,10 @@ def kde_curve(
     Classes without spread have no curve.
     """
     features = roles.numeric(df)
-    rows, span = _clipped(df, roles, features)
-    span = span.where(F.col("first") < F.col("last")).select("fid", "first", "last")
+    rows, _ = _clipped(df, roles, features)
     offset = F.col("value") - F.col("first")
     binned = (
-        rows.join(F.broadcast(span), "fid")
+        rows.where(F.col("first") < F.col("last"))
         .withColumn("cell", width_index(F.col("value"), F.col("first"), F.col("last"), cells))
         .withColumn("offset", offset)
         .groupBy("fid", F.col("y").alias("label"), "cell")

@@ -94,6 +94,27 @@ def _keep_wanted(counted: DataFrame, group: list[str], wanted: Column) -> DataFr
     return placed.where(wanted)
 
 
+def _found(
+    values: DataFrame, probabilities: Sequence[float], features: int, grids: Sequence[int] | None
+) -> DataFrame:
+    """``(fid, n, found)``: at most two found values per probability, in a list."""
+    stats = order_statistics(
+        values, holding_ranks(probabilities), 2 * features * len(probabilities), grids
+    )
+    return stats.groupBy("fid").agg(
+        F.max("n").alias("n"), F.collect_list(F.struct("value", "below", "count")).alias("found")
+    )
+
+
+def _at(rank: Column) -> Column:
+    """The found value that holds a rank, with its counts."""
+
+    def holds(hit: Column) -> Column:
+        return (rank >= hit["below"]) & (rank < hit["below"] + hit["count"])
+
+    return F.get(F.filter("found", holds), F.lit(0))
+
+
 def quantiles(
     values: DataFrame,
     probabilities: Sequence[float],
@@ -106,30 +127,35 @@ def quantiles(
     Features without any value have no row.
     """
     names = names or [f"q{i}" for i in range(len(probabilities))]
-    found = order_statistics(
-        values, holding_ranks(probabilities), 2 * features * len(probabilities), grids
-    )
-    # at most two found values per probability
-    packed = found.groupBy("fid").agg(
-        F.max("n").alias("n"), F.collect_list(F.struct("value", "below", "count")).alias("found")
-    )
-
-    def at(rank: Column) -> Column:
-        def holds(hit: Column) -> Column:
-            return (rank >= hit["below"]) & (rank < hit["below"] + hit["count"])
-
-        return F.get(F.filter("found", holds), F.lit(0))["value"]
 
     def interpolated(p: Column) -> Column:
         position = p * (F.col("n") - 1)
-        low = at(F.floor(position))
-        return low + (at(F.ceil(position)) - low) * (position - F.floor(position))
+        low, high = _at(F.floor(position))["value"], _at(F.ceil(position))["value"]
+        return low + (high - low) * (position - F.floor(position))
 
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
-    cut = packed.select("fid", "n", F.transform(probs, interpolated).alias("q"))
+    probs = F.lit([float(p) for p in probabilities])
+    cut = _found(values, probabilities, features, grids).select(
+        "fid", "n", F.transform(probs, interpolated).alias("q")
+    )
     return cut.select("fid", "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(names)])
 
 
+def clip_range(
+    values: DataFrame, low: float, high: float, features: int, grids: Sequence[int] | None = None
+) -> DataFrame:
+    """``(fid, first, last, n)``: the smallest and largest value between two
+    quantiles, and the number of values from one to the other."""
+    first = _at(F.ceil(low * (F.col("n") - 1)))
+    last = _at(F.floor(high * (F.col("n") - 1)))
+    return (
+        _found(values, (low, high), features, grids)
+        .select("fid", first.alias("a"), last.alias("b"))
+        .selectExpr(
+            "fid", "a.value AS first", "b.value AS last", "b.below + b.count - a.below AS n"
+        )
+    )
+
+
 def approx_quantiles(
     values: DataFrame, probabilities: Sequence[float], names: Sequence[str], accuracy: int = 1000
 ) -> DataFrame:

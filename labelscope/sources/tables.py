@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -28,9 +29,11 @@ def ensure_sample(
 ) -> DataFrame:
     """The sample stored as CSV at ``path``, drawn and written first if absent."""
     spark = df.sparkSession
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(location):
-        sample = hash_sample(df, keys, fraction, seed)
-        sample.write.option("header", True).mode("errorifexists").csv(path)
+    try:
+        return read_csv(spark, path, df.schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    sample = hash_sample(df, keys, fraction, seed)
+    sample.write.option("header", True).mode("errorifexists").csv(path)
     return read_csv(spark, path, df.schema)

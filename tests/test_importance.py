@@ -88,6 +88,7 @@ def test_forest_importance_and_comparison(table):
 
 
 def test_retention_keeps_missing_but_predictive_features(spark):
-    missing = spark.createDataFrame([("a", 0.9), ("b", 0.9), ("c", 0.1)], "feature string, missing_rate double")
+    rates = [("a", 0.9), ("b", 0.9), ("c", 0.1)]
+    missing = spark.createDataFrame(rates, "feature string, missing_rate double")
     iv = spark.createDataFrame([("a", 0.2), ("b", 0.01), ("c", 0.5)], "feature string, iv double")
     assert [r.feature for r in retention_report(missing, iv).collect()] == ["a"]

@@ -149,7 +149,8 @@ def test_matrix_equals_pandas(table, sample, method):
 
 def test_spearman_with_ties(spark):
     pairs = zip([1, 2, 2, 3, 7], [4, 1, 1, 9, 2])
-    df = spark.createDataFrame([(i, 0, a, b) for i, (a, b) in enumerate(pairs)], "id int, y int, a int, b int")
+    rows = [(i, 0, a, b) for i, (a, b) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "id int, y int, a int, b int")
     rows = {(r.feat1, r.feat2): r.spearman for r in spearman_matrix(df, ROLES, ["id"]).collect()}
     assert math.isclose(rows["a", "b"], 0.157894736842105, rel_tol=1e-12)
 
@@ -280,7 +281,8 @@ def test_age_bins_are_right_closed(spark):
 
 
 def test_bootstrap_interval_brackets_the_rate(spark):
-    df = spark.createDataFrame([(0.3, int(i % 4 == 0)) for i in range(400)], "max_open_age double, y int")
+    rows = [(0.3, int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "max_open_age double, y int")
     row = age_bin_bootstrap(df, ROLES).first()
     assert row.rate_low < row.fraud_rate < row.rate_high
     # the normal approximation of the same interval

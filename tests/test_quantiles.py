@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from labelscope.functions import magnitude_cell
 from labelscope.operators.longform import numeric_long
-from labelscope.operators.quantiles import every_nth, order_statistics, quantiles
+from labelscope.operators.quantiles import (
+    clip_range,
+    every_nth,
+    order_statistics,
+    quantiles,
+)
 
 PROBS = [0.0, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
 
@@ -85,3 +90,21 @@ def test_repartitioning_changes_nothing(spark):
         quantiles(numeric_long(df.repartition(k), ["x"]), PROBS, 1).collect() for k in (1, 3, 17)
     ]
     assert results[0] == results[1] == results[2]
+
+
+def test_clip_range_holds_the_values_between_the_quantiles(spark):
+    data = draw(6)
+    names = list(data)
+    rows = [tuple(float(data[c][i]) for c in names) for i in range(3000)]
+    long = numeric_long(spark.createDataFrame(rows, names), names)
+    for r in clip_range(long, 0.01, 0.99, len(names)).collect():
+        values = data[names[r.fid]]
+        lower, upper = np.quantile(values, [0.01, 0.99])
+        inside = values[(values >= lower) & (values <= upper)]
+        assert (r.first, r.last, r.n) == (inside.min(), inside.max(), len(inside)), names[r.fid]
+
+
+def test_too_many_ranks_are_refused(spark):
+    df = spark.createDataFrame([(1.0,)], "x double")
+    with pytest.raises(ValueError, match="fewer features"):
+        order_statistics(numeric_long(df, ["x"]), every_nth(2_000_000), 2_000_000)

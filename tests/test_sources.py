@@ -1,3 +1,5 @@
+import datetime as dt
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -54,12 +56,14 @@ def test_samples_ignore_partitioning(spark):
 
 def test_cap_per_group(spark):
     df = spark.range(30000).withColumn("g", F.when(F.col("id") < 40, "small").otherwise("large"))
-    sizes = {r.g: r["count"] for r in cap_rows_per_group(df, 300, ["g"], ["id"]).groupBy("g").count().collect()}
+    capped = cap_rows_per_group(df, 300, ["g"], ["id"]).groupBy("g").count()
+    sizes = {r.g: r["count"] for r in capped.collect()}
     assert sizes == {"small": 40, "large": 300}
 
 
 def test_roles_classify_columns(spark):
-    df = spark.createDataFrame([], "id int, y string, b byte, d decimal(10,2), f float, s string, t date, flag boolean")
+    schema = "id int, y string, b byte, d decimal(10,2), f float, s string, t date, flag boolean"
+    df = spark.createDataFrame([], schema)
     roles = Roles(label="y", date="t", ignore=("id",))
     assert roles.numeric(df) == ["b", "d", "f"]
     assert roles.categorical(df) == ["s", "flag"]
@@ -106,7 +110,8 @@ def test_full_report_writes_every_table(spark, table, tmp_path):
     }
     for name, rows in expected.items():
         assert read_csv(spark, f"{out}/{name}").count() == rows, name
-    for name in ("monthly_high_level_stats", "correlation_high_pairs", "correlations/points", "retention"):
+    more = ("monthly_high_level_stats", "correlation_high_pairs", "correlations/points", "retention")
+    for name in more:
         assert read_csv(spark, f"{out}/{name}").count() > 0, name
 
 
@@ -135,3 +140,43 @@ def test_plans_have_no_cross_join(table):
     ):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_lookbacks_of_a_customer_with_half_of_all_orders(spark, tmp_path):
+    rng = random.Random(7)
+    start = dt.date(1996, 1, 1)
+    orders = [
+        (
+            k,
+            1 if rng.random() < 0.5 else rng.randrange(2, 9),
+            "O",
+            float(k),
+            dt.datetime.combine(start + dt.timedelta(days=rng.randrange(300)), dt.time()),
+            "1-URGENT",
+        )
+        for k in range(400)
+    ]
+    tables = {
+        "orders": spark.createDataFrame(
+            orders,
+            "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+            "o_orderdate timestamp, o_orderpriority string",
+        ),
+        "lineitem": spark.read.parquet(f"{FOLDER}/lineitem.parquet").limit(50),
+        "customer": spark.read.parquet(f"{FOLDER}/customer.parquet"),
+        "nation": spark.read.parquet(f"{FOLDER}/nation.parquet"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    found = {r.application_id: r for r in applications(spark, str(tmp_path)).collect()}
+    assert len(found) == 400
+    for key, customer, _, _, when, _ in orders:
+        same = [(o[4].date(), o[0]) for o in orders if o[1] == customer]
+        day = when.date()
+        earlier = [d for d, k in same if (d, k) < (day, key)]
+        row = found[key]
+        expected = (day - max(earlier)).days if earlier else None
+        assert row.days_since_last_application == expected
+        in_month = sum(1 <= (day - d).days <= 30 for d, _ in same)
+        assert row.total_apps_in_last_30_days == in_month
+        assert row.max_open_age == (day - min(d for d, _ in same)).days / 365.25

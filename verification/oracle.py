@@ -334,10 +334,10 @@ def spearman(t: Table) -> str:
 
 def pearson_wide(t: Table) -> str:
     columns = matrix_columns(t)
-    rows = [
-        f"SELECT '{a}' AS feature, " + ", ".join(f"{r(f'corr({a}, {b})')} AS {b}" for b in columns) + " FROM x"
-        for a in columns
-    ]
+    rows = []
+    for a in columns:
+        cells = ", ".join(f"{r(f'corr({a}, {b})')} AS {b}" for b in columns)
+        rows.append(f"SELECT '{a}' AS feature, {cells} FROM x")
     return t.query(union(rows), imputed(t, columns))
 
 
@@ -385,7 +385,8 @@ SCATTER = (
 def scatter(t: Table, pairs: Sequence[tuple[str, str]], cap: int) -> str:
     columns = [c for c in t.numeric if any(c in p for p in pairs)]
     clean = ", ".join(
-        f"CASE WHEN abs({c} - (SELECT AVG({c}) FROM x)) <= 5 * (SELECT STDDEV_SAMP({c}) FROM x) THEN {c} END AS {c}"
+        f"CASE WHEN abs({c} - (SELECT AVG({c}) FROM x)) <= 5 * (SELECT STDDEV_SAMP({c}) FROM x)"
+        f" THEN {c} END AS {c}"
         for c in columns
     )
     rows = [
@@ -488,7 +489,10 @@ def encoded(t: Table) -> str:
 
 
 def retention() -> str:
-    rows = [f"SELECT '{c}' AS feature, AVG(({c} IS NULL)::INT) AS missing_rate FROM t" for c in (*APP.numeric, *APP.text)]
+    rows = [
+        f"SELECT '{c}' AS feature, AVG(({c} IS NULL)::INT) AS missing_rate FROM t"
+        for c in (*APP.numeric, *APP.text)
+    ]
     return APP.query(
         f"""SELECT feature, {r("missing_rate")} AS missing_rate, {r("iv")} AS iv
         FROM m JOIN (SELECT feature, SUM(iv) AS iv FROM ivb GROUP BY feature) USING (feature)
