@@ -100,7 +100,7 @@ def density_histogram(df: DataFrame, roles: Roles, bins: int | str = 30) -> Data
 
 
 def kde_curve(
-    df: DataFrame, roles: Roles, points: int = GRID_POINTS, cells: int = 1024
+    df: DataFrame, roles: Roles, points: int = GRID_POINTS, cells: int = 4096
 ) -> DataFrame:
     """``(feature, label, point, x, density)``: Gaussian density curve per class.
 

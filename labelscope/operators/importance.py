@@ -139,7 +139,6 @@ def rf_importance_by_seed(
             weightCol="_weight",
             numTrees=trees,
             maxDepth=depth,
-            maxMemoryInMB=1024,
             cacheNodeIds=True,
             seed=seed,
         )

@@ -452,7 +452,7 @@ def kde(t: Table) -> str:
         """span AS (SELECT feature, MIN(value) AS first, MAX(value) - MIN(value) AS span
           FROM clip GROUP BY feature HAVING MIN(value) < MAX(value)),
         cells AS (SELECT feature, CAST(y AS INTEGER) AS label,
-          least(floor((value - first) / (span / 1024)), 1023) AS cell, COUNT(*) AS w,
+          least(floor((value - first) / (span / 4096)), 4095) AS cell, COUNT(*) AS w,
           AVG(value - first) AS c, MAX(first) AS first, MAX(span) AS span
           FROM clip JOIN span USING (feature) GROUP BY 1, 2, 3),
         band AS (SELECT feature, CAST(y AS INTEGER) AS label, COUNT(*) AS n,
