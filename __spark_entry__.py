@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import sys
 from collections.abc import Callable
 from pathlib import Path
@@ -28,6 +29,17 @@ from labelscope.sources import ensure_sample, read_csv, read_table, shared_folde
 from verification import inputs as given  # noqa: E402
 from verification.oracle import ORACLES, SCATTER  # noqa: E402
 
+# The training-data operators and their pipeline are optional.
+if importlib.util.find_spec("labelscope.llm") is None:
+    LLM_QUERIES, LLM_ORACLES = {}, {}
+else:
+    import corpus_pipeline
+    from labelscope.llm import queries as llm_queries
+    from labelscope.llm import sql as llm_sql
+
+    LLM_QUERIES = {**llm_queries.queries(), "pipeline": corpus_pipeline.run}
+    LLM_ORACLES = llm_sql.ORACLES
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 APP = given.APPLICATION_ROLES
@@ -216,6 +228,7 @@ def queries() -> dict[str, Query]:
         "vector_outlier_counts": _on(
             vector, lambda df: impute.outlier_counts(df, vector_roles.numeric(df))
         ),
+        **LLM_QUERIES,
     }
 
 
@@ -225,4 +238,4 @@ def oracle_sql() -> dict[str, str]:
     There is none for sketched quantiles, Spark's own Bernoulli sample, the
     bootstrap and the random forests.
     """
-    return dict(ORACLES)
+    return {**ORACLES, **LLM_ORACLES}
