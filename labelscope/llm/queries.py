@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.llm import exact, mixing
+from labelscope.llm import exact, minhash, mixing
 from labelscope.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles are 80 % alike."""
+    return minhash.near_duplicates(documents(spark, folder), shingle=4, percent=80)
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """150 % of all words from sources that weigh 3, 1, 2 in turn, two epochs at most."""
     return mixing.mixed(documents(spark, folder))
@@ -24,6 +29,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_near_duplicates": op1_near_duplicates,
         "op4_mix_sources": op4_mix_sources,
         "op10_exact_dedup": op10_exact_dedup,
     }

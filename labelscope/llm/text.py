@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time.
 RUN_BYTES = 2_000_000
@@ -79,7 +80,7 @@ def span_hashes(
 
 def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts stay within the limit; a longer text stands alone."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
     total = np.concatenate([[0], np.cumsum(lengths)])
     at = 0
     while at < len(lengths):
@@ -90,7 +91,7 @@ def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and where each text begins; null is empty."""
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
+    column = pc.fill_null(column.cast(pa.large_string()), "").cast(pa.large_binary())
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
