@@ -6,12 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.llm import exact, minhash, mixing
+from labelscope.llm import counts, exact, minhash, mixing
 from labelscope.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer(name: str) -> str:
+    """Where the public tokenizer file lies on this machine and on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles are 80 % alike."""
     return minhash.near_duplicates(documents(spark, folder), shingle=4, percent=80)
@@ -22,6 +29,11 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder))
 
 
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and sentencepiece tokens of every text."""
+    return counts.token_counts(documents(spark, folder), tokenizer("piece_bpe_32k.model"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Equal texts up to the case of A-Z; the largest id stays."""
     return exact.exact_duplicates(documents(spark, folder), keep="largest")
@@ -31,5 +43,6 @@ def queries() -> dict[str, Query]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
         "op4_mix_sources": op4_mix_sources,
+        "op8_token_counts": op8_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
     }
