@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.llm import counts, exact, minhash, mixing
+from labelscope.llm import codes, counts, exact, minhash, mixing, packing
 from labelscope.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,16 @@ def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder))
 
 
+def op5_pack_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in windows of 2,048 byte-level tokens."""
+    return packing.packed(documents(spark, folder), tokenizer("byte_bpe_50k.json"))
+
+
+def op7_token_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Word-level token ids, written as directly addressable codes and read back."""
+    return codes.round_trip(documents(spark, folder), tokenizer("word_bpe_49k.json"))
+
+
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and sentencepiece tokens of every text."""
     return counts.token_counts(documents(spark, folder), tokenizer("piece_bpe_32k.model"))
@@ -43,6 +53,8 @@ def queries() -> dict[str, Query]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
         "op4_mix_sources": op4_mix_sources,
+        "op5_pack_windows": op5_pack_windows,
+        "op7_token_codes": op7_token_codes,
         "op8_token_counts": op8_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
     }
