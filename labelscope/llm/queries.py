@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.llm import codes, counts, exact, minhash, mixing, packing
+from labelscope.llm import codes, counts, exact, language, minhash, mixing, packing
 from labelscope.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, folder), shingle=4, percent=80)
 
 
+def op3_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The main language of every text and its share."""
+    return language.identified(documents(spark, folder)).drop("shares")
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """150 % of all words from sources that weigh 3, 1, 2 in turn, two epochs at most."""
     return mixing.mixed(documents(spark, folder))
@@ -52,6 +57,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
+        "op3_languages": op3_languages,
         "op4_mix_sources": op4_mix_sources,
         "op5_pack_windows": op5_pack_windows,
         "op7_token_codes": op7_token_codes,
