@@ -37,12 +37,12 @@ def filled_targets(sizes: DataFrame, total: float, epochs: float = 2.0) -> DataF
     level = (F.lit(float(total)) - F.col("clamped")) / F.col("free")
     # the level at which the water stands: that of the first source that isn't clamped
     water = live.where(F.col("w") * level <= F.col("cap")).agg(
-        F.min(F.struct(F.col("cap") / F.col("w"), level.alias("level"))).alias("m")
+        F.min(F.struct(F.col("cap") / F.col("w"), level.alias("level")))["level"]
     )
-    spread = rows.crossJoin(F.broadcast(water))  # one row
-    share = F.least(F.col("cap"), F.col("w") * F.coalesce(F.col("m.level"), F.lit(float("inf"))))
+    height = water.first()[0]
+    share = F.least(F.col("cap"), F.col("w") * F.lit(float("inf") if height is None else height))
     target = F.when((F.col("w") > 0) & (F.col("cap") > 0), share).otherwise(0.0)
-    return spread.select("source", "source_size", "weight", target.alias("target"))
+    return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
 def _seeded(id_col: str, seed: int) -> Column:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.llm import codes, counts, exact, language, minhash, mixing, packing
+from labelscope.llm import codes, counts, exact, language, minhash, mixing, packing, quality
 from labelscope.llm.tables import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,11 @@ def op5_pack_windows(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder), tokenizer("byte_bpe_50k.json"))
 
 
+def op6_host_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules of documents, and of their sources as hosts."""
+    return quality.judged(documents(spark, folder)).drop("host", "n_lines", "host_kept")
+
+
 def op7_token_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Word-level token ids, written as directly addressable codes and read back."""
     return codes.round_trip(documents(spark, folder), tokenizer("word_bpe_49k.json"))
@@ -60,6 +65,7 @@ def queries() -> dict[str, Query]:
         "op3_languages": op3_languages,
         "op4_mix_sources": op4_mix_sources,
         "op5_pack_windows": op5_pack_windows,
+        "op6_host_quality": op6_host_quality,
         "op7_token_codes": op7_token_codes,
         "op8_token_counts": op8_token_counts,
         "op10_exact_dedup": op10_exact_dedup,

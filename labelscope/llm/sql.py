@@ -58,4 +58,61 @@ FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
        LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
-ORACLES = {"op4_mix_sources": OP4, "op10_exact_dedup": OP10}
+_RULES = (
+    "n_words < 50",
+    "100 * n_repeat_words > 50 * n_words",
+    "10 * n_symbols > n_words",
+    "10 * n_dup_lines > 3 * n_lines",
+    "word_chars < 2 * n_words OR word_chars > 20 * n_words",
+)
+
+
+def _host_rate(k: int) -> str:
+    """The shrunk rate of rule k, from the sums in h (hosts) and a (all)."""
+    mean = f"(f{k} / n)"
+    between = f"((s{k} - n * {mean} * {mean} - (hosts - 1) * {mean} * (1 - {mean})) / (n - squares / n))"
+    weight = f"""CASE WHEN n - squares / n <= 0 OR f{k} = 0 OR f{k} = n THEN 1e6::DOUBLE
+      WHEN {between} <= 0 THEN 1e6::DOUBLE
+      ELSE least(1e6::DOUBLE, greatest(2.0::DOUBLE, {mean} * (1 - {mean}) / {between} - 1)) END"""
+    return f"(e{k} + {mean} * ({weight})) / (n_docs + ({weight})) > 0.5::DOUBLE"
+
+
+OP6 = f"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+x AS (
+  SELECT doc_id, w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2] AS g, i
+  FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM x),
+z AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+  FROM y, unnest([0, 1, 2]) AS v(k) WHERE c > 1 GROUP BY doc_id),
+l AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM d, unnest(string_split(t, chr(10))) AS u(line)
+  WHERE regexp_matches(line, '{WORD}') GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(regexp_replace(t, '{SPACES}', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id LEFT JOIN z ON d.doc_id = z.doc_id),
+h AS (
+  SELECT source, count(*)::DOUBLE AS n_docs,
+         {", ".join(f"(count(*) FILTER (WHERE {r}))::DOUBLE AS e{k}" for k, r in enumerate(_RULES))}
+  FROM m WHERE source IS NOT NULL GROUP BY source),
+a AS (
+  SELECT sum(n_docs) AS n, count(*) AS hosts, sum(n_docs * n_docs) AS squares,
+         {", ".join(f"sum(e{k}) AS f{k}, sum(e{k} * e{k} / n_docs) AS s{k}" for k in range(len(_RULES)))}
+  FROM h),
+r AS (SELECT source FROM h, a WHERE {" OR ".join(_host_rate(k) for k in range(len(_RULES)))}),
+b AS (SELECT *, {_RULES[0]} OR {_RULES[1]} AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM r)) AS kept
+FROM b
+"""
+
+ORACLES = {"op4_mix_sources": OP4, "op6_host_quality": OP6, "op10_exact_dedup": OP10}

@@ -126,7 +126,7 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     total = np.zeros(n, np.uint64)
     for i, power in enumerate(_powers(_BASE, k)):
         total += words[i : i + n] * power
-    return mix(total + np.uint64(k) * _ODD)
+    return mix(total + np.uint64(k * int(_ODD) & _MASK))
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
