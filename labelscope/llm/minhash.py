@@ -22,8 +22,10 @@ MANTISSA = 10
 #: Registers in a band: two documents of similarity 0.8 share one of the 32
 #: bands but for 1 pair in 20 million.
 BAND = 4
-#: Documents whose registers are compared at a time, on either side.
+BANDS = BUCKETS // BAND
+#: Documents that are compared at a time, on either side, and their shingles.
 BLOCK = 512
+BLOCK_SHINGLES = 1_000_000
 #: An estimate this many standard deviations below the threshold is a rejection.
 DEVIATIONS = 6.0
 
@@ -145,47 +147,80 @@ def _equal_registers(a: str, b: str) -> Column:
     return F.expr(f"aggregate(sequence(0, {BUCKETS - 1}), 0, (n, i) -> n + {same})")
 
 
-def _blocks(percent: int):
-    """Compares the registers of outsiders with those of all, group by group.
+def _compare(rows: pa.Table, percent: int, link: bool) -> tuple[list, list]:
+    """Outsiders of one band against all its members in this block.
 
-    Rows come sorted by ``key, part_all, part_out``. One group is at most some
-    hundred documents on either side.
+    A pair counts only in the first band that it shares, if it lies in two
+    components and its registers don't rule it out. Without ``link`` the
+    documents of such pairs are returned, each once. With ``link`` pairs are
+    verified on the full sets, and links are returned that connect what isn't
+    connected yet: fewer than there are documents.
     """
-
-    def compare(rows: pa.Table) -> tuple[list[bytes], list[bytes]]:
-        side = np.asarray(rows.column("outsider"))
-        comp = np.asarray(rows.column("comp").combine_chunks().dictionary_encode().indices)
-        nodes = rows.column("node").to_pylist()
-        size = np.asarray(rows.column("n_shingles"), np.float64)
-        signs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16)
-        signs = signs.reshape(len(nodes), BUCKETS)
-        every, out = np.flatnonzero(~side), np.flatnonzero(side)
-        found_a, found_b = [], []
-        j = percent / 100
-        for o in out:
-            near = every[comp[every] != comp[o]]
-            if not len(near):
+    side = np.asarray(rows.column("outsider"))
+    comp = np.asarray(rows.column("comp").combine_chunks().dictionary_encode().indices).copy()
+    nodes = rows.column("node").to_pylist()
+    size = np.asarray(rows.column("n_shingles"), np.float64)
+    signs = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16)
+    signs = signs.reshape(len(nodes), BUCKETS)
+    bands = signs.view(np.uint64)
+    sets = rows.column("shingles").to_pylist() if link else None
+    every, out = np.flatnonzero(~side), np.flatnonzero(side)
+    # a power of two, so this holds for negative keys too
+    band = rows.column("key")[0].as_py() % BANDS
+    j = percent / 100
+    marked: set[bytes] = set()
+    found: list[tuple[bytes, bytes]] = []
+    for o in out:
+        near = every[comp[every] != comp[o]]
+        if not len(near):
+            continue
+        shared = bands[near] == bands[o]
+        matches = (signs[near] == signs[o]).sum(axis=1)
+        low = np.minimum(size[near], size[o])
+        high = np.maximum(size[near], size[o])
+        spread = np.sqrt(j * (1 - j) / np.minimum(low, BUCKETS))
+        # the correction for chance only lowers an estimate
+        good = (100 * low >= percent * high) & (matches / BUCKETS >= j - DEVIATIONS * spread)
+        good &= shared[:, band] & (shared.argmax(axis=1) == band)
+        near, matches = near[good], matches[good]
+        if not link:
+            if len(near):
+                marked.update(nodes[i] for i in (o, *near))
+            continue
+        for i in near[np.argsort(-matches, kind="stable")]:
+            if comp[i] == comp[o]:
                 continue
-            matches = (signs[near] == signs[o]).sum(axis=1)
-            low = np.minimum(size[near], size[o])
-            high = np.maximum(size[near], size[o])
-            spread = np.sqrt(j * (1 - j) / np.minimum(low, BUCKETS))
-            # the correction only lowers an estimate: what passes here is corrected later
-            good = (100 * low >= percent * high) & (matches / BUCKETS >= j - DEVIATIONS * spread)
-            for i in near[good]:
-                found_a.append(min(nodes[o], nodes[i]))
-                found_b.append(max(nodes[o], nodes[i]))
-        return found_a, found_b
+            common = len(np.intersect1d(sets[o], sets[i], assume_unique=True))
+            if 100 * common >= percent * (len(sets[o]) + len(sets[i]) - common):
+                found.append((nodes[o], nodes[i]))
+                comp[comp == comp[o]] = comp[i]
+    if not link:
+        return list(marked), []
+    return [a for a, _ in found], [b for _, b in found]
+
+
+def _blocks(percent: int, link: bool):
+    """:func:`_compare` for every block of rows sorted by ``key, part_all, part_out``.
+
+    One block is at most some hundred documents, or some million shingles, on
+    either side.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []
 
-        def flush(table: pa.Table) -> pa.RecordBatch | None:
-            a, b = compare(table)
-            if not a:
-                return None
-            arrays = [pa.array(a, pa.binary()), pa.array(b, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
+        def flushed() -> Iterator[pa.RecordBatch]:
+            if not waiting:
+                return
+            table = pa.Table.from_batches(waiting)
+            a, b = _compare(table, percent, link)
+            if a and link:
+                arrays = [pa.array(a, pa.binary()), pa.array(b, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["a", "b"])
+            elif a:
+                key = pa.array([table.column("key")[0].as_py()] * len(a), pa.int64())
+                arrays = [key, pa.array(a, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "node"])
 
         last = None
         for batch in batches:
@@ -202,89 +237,86 @@ def _blocks(percent: int):
             for to in change:
                 if to > at:
                     waiting.append(batch.slice(at, to - at))
-                if waiting and (got := flush(pa.Table.from_batches(waiting))) is not None:
-                    yield got
+                yield from flushed()
                 waiting, at = [], to
             waiting.append(batch.slice(at))
-        if waiting and (got := flush(pa.Table.from_batches(waiting))) is not None:
-            yield got
+        yield from flushed()
 
     return run
 
 
-class _Verifier:
-    """Keeps the pairs whose full shingle sets are similar enough."""
+def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``node, shingles`` of the wanted ``node, row_key``, stored."""
+    texts = docs.join(wanted, "row_key").select("node", "text")
+    sets = texts.mapInArrow(_setter(shingle), "node binary, shingles array<bigint>")
+    # rows that repeat an id and its text give the same set again
+    return materialize(sets, "shingle-sets").dropDuplicates(["node"])
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> None:
-        self.docs, self.classes = docs, classes
-        self.shingle, self.percent = shingle, percent
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """``pairs`` are distinct ``a, b``; so is the result, stored."""
-        about = self.classes.select("node", "registers", "n_shingles", "row_key")
-        sides = [
-            about.select(*[F.col(c).alias(f"{c}_{side}") for c in about.columns])
-            for side in ("a", "b")
-        ]
-        joined = pairs.join(sides[0], F.col("a") == F.col("node_a")).join(
-            sides[1], F.col("b") == F.col("node_b")
-        )
-        matches = _equal_registers("registers_a", "registers_b")
-        likely = joined.where(
-            plausible(matches, F.col("n_shingles_a"), F.col("n_shingles_b"), self.percent)
-        )
-        likely = materialize(likely.select("a", "b", "row_key_a", "row_key_b"), "likely-pairs")
-
-        wanted = (
-            likely.select(F.col("a").alias("node"), F.col("row_key_a").alias("row_key"))
-            .union(likely.select("b", "row_key_b"))
-            .distinct()
-        )
-        texts = self.docs.join(wanted, "row_key").select("node", "text")
-        # rows that repeat an id and its text give the same set again
-        sets = texts.mapInArrow(_setter(self.shingle), "node binary, shingles array<bigint>")
-        sets = materialize(sets, "shingle-sets").dropDuplicates(["node"])
-        both = likely.join(
-            sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a"
-        ).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - common
-        linked = both.where(100 * common >= self.percent * union).select("a", "b")
-        return materialize(linked, "linked-pairs")
-
-
-def _unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Band members that lie in one band with another component, dealt to blocks.
-
-    In each band the largest component is compared with the outsiders, and the
-    outsiders with one another; what is in one component already is not.
+def _verified(
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int
+) -> DataFrame:
+    """Those of the distinct pairs ``a, b`` whose full sets are similar enough, stored."""
+    about = classes.select("node", "registers", "n_shingles", "row_key")
+    sides = [
+        about.select(*[F.col(c).alias(f"{c}_{side}") for c in about.columns]) for side in ("a", "b")
+    ]
+    joined = pairs.join(sides[0], F.col("a") == F.col("node_a")).join(
+        sides[1], F.col("b") == F.col("node_b")
+    )
+    matches = _equal_registers("registers_a", "registers_b")
+    likely = joined.where(
+        plausible(matches, F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
+    )
+    likely = materialize(likely.select("a", "b", "row_key_a", "row_key_b"), "likely-pairs")
+    wanted = (
+        likely.select(F.col("a").alias("node"), F.col("row_key_a").alias("row_key"))
+        .union(likely.select("b", "row_key_b"))
+        .distinct()
+    )
+    sets = _shingle_sets(docs, wanted, shingle)
+    both = likely.join(
+        sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a"
+    ).join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    union = F.size("set_a") + F.size("set_b") - common
+    linked = both.where(100 * common >= percent * union).select("a", "b")
+    return materialize(linked, "linked-pairs")
+
+
+def _dealt(rows: DataFrame, least: int, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Band members ``key, node, comp, registers, n_shingles`` dealt to sorted blocks.
+
+    Only bands with several components and at least ``least`` members are left.
+    In each the outsiders, the members outside its largest component, meet all
+    members: what is in the largest component already isn't compared within.
     """
-    rows = members.join(comps, "node", "left").withColumn(
-        "comp", F.coalesce(F.col("comp"), F.col("node"))
+    per_comp = rows.groupBy("key", "comp").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")
     )
-    per_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    load = F.greatest(F.col("n") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)
     bands = (
-        per_comp.groupBy("key")
+        per_comp.select("key", "comp", "n", load.alias("load"))
+        .groupBy("key")
         .agg(
             F.count("*").alias("n_comps"),
             F.sum("n").alias("n_all"),
-            F.max(F.struct("n", "comp")).alias("major"),
+            F.sum("load").alias("load"),
+            F.max(F.struct("n", "comp", "load")).alias("major"),
         )
-        # of two members one is the hub: they have been compared
-        .where("n_comps > 1 and n_all > 2")
+        .where((F.col("n_comps") > 1) & (F.col("n_all") >= least))
         .select(
             "key",
             F.col("major.comp").alias("major"),
-            F.ceil(F.col("n_all") / BLOCK).cast("int").alias("parts_all"),
-            F.ceil((F.col("n_all") - F.col("major.n")) / BLOCK).cast("int").alias("parts_out"),
+            F.ceil("load").cast("int").alias("parts_all"),
+            F.ceil(F.greatest(F.col("load") - F.col("major.load"), F.lit(0.01)))
+            .cast("int")
+            .alias("parts_out"),
         )
     )
+    shared = ["key", "node", "comp", "registers", "n_shingles", *extra]
     rows = rows.join(bands, "key").select(
-        "key",
-        "node",
-        "comp",
-        "registers",
-        "n_shingles",
+        *shared,
         (F.col("comp") != F.col("major")).alias("is_out"),
         "parts_all",
         "parts_out",
@@ -292,7 +324,6 @@ def _unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
     )
     own_all = F.pmod(F.col("h"), F.col("parts_all")).cast("int")
     own_out = F.pmod(F.col("h"), F.col("parts_out")).cast("int")
-    shared = ["key", "node", "comp", "registers", "n_shingles"]
     every = rows.select(
         *shared,
         F.lit(False).alias("outsider"),
@@ -309,6 +340,26 @@ def _unresolved(members: DataFrame, comps: DataFrame) -> DataFrame:
     return every.unionByName(out).repartition(*place).sortWithinPartitions(*place)
 
 
+def _late_links(
+    found: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int
+) -> DataFrame:
+    """Links between different components that share a band, enough to connect them."""
+    about = classes.select("node", "registers", "n_shingles", "row_key")
+    comp = F.coalesce(F.col("comp"), F.col("node")).alias("comp")
+    names = ["key", "node", "registers", "n_shingles"]
+    rows = found.join(about, "node").join(comps, "node", "left").select(*names, "row_key", comp)
+    # in a band of two one is the hub: they have been compared
+    marked = _dealt(rows.drop("row_key"), 3).mapInArrow(
+        _blocks(percent, False), "key bigint, node binary"
+    )
+    marked = materialize(marked.distinct(), "marked-members")
+    left = marked.join(about, "node").join(comps, "node", "left").select(*names, "row_key", comp)
+    sets = _shingle_sets(docs, left.select("node", "row_key").distinct(), shingle)
+    left = left.drop("row_key").join(sets, "node")
+    links = _dealt(left, 2, ("shingles",)).mapInArrow(_blocks(percent, True), "a binary, b binary")
+    return materialize(links, "late-links")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -330,8 +381,9 @@ def near_duplicates(
     nothing is paired with everything: each member is compared with the hub,
     the member with the largest bands overall. Where a band still holds
     several components after that, the members outside its largest one are
-    compared with all others by their registers, in blocks of bounded size, so
-    that no link that shares a band is missed. Candidates whose estimate,
+    compared with all others by their registers, in blocks of bounded size, and
+    the blocks give back links that connect components, never all pairs; so no
+    connection over a shared band is missed. Candidates whose estimate,
     corrected for registers equal by chance, is far below the threshold are
     rejected; all others are verified on the full sets.
 
@@ -360,8 +412,10 @@ def near_duplicates(
         "classes",
     )
 
+    # the last bits of a key name its band
     band = f"xxhash64(b, substring(registers, b * {2 * BAND} + 1, {2 * BAND}))"
-    keys = F.expr(f"explode(transform(sequence(0, {BUCKETS // BAND - 1}), b -> {band}))")
+    key = f"({band} & {-BANDS}) | b"
+    keys = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), b -> {key}))")
     bands = classes.select("node", keys.alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     found = materialize(bands.join(shared, "key"), "band-members")
@@ -374,14 +428,8 @@ def near_duplicates(
         .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         .distinct()
     )
-    verify = _Verifier(rows, classes, shingle, percent)
-    links = verify(spokes)
-    comps = components(links)
-
-    about = classes.select("node", "registers", "n_shingles")
-    rest = _unresolved(found.join(about, "node"), comps)
-    late = rest.mapInArrow(_blocks(percent), "a binary, b binary").distinct()
-    late = verify(materialize(late, "late-pairs"))
+    links = _verified(spokes, rows, classes, shingle, percent)
+    late = _late_links(found, components(links), classes, rows, shingle, percent)
     comps = components(links.union(late))
 
     joined = classes.join(comps, "node", "left").select(

@@ -115,3 +115,20 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 101)], "a int, b int")
     found = {r.node: r.comp for r in components(links).collect()}
     assert found == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100}
+
+
+def test_links_beside_the_hub_are_found(spark):
+    """Pairs of alike documents in bands whose hub is like neither of them."""
+    draw = random.Random(9)
+    rows = []
+    for group in range(150):
+        base = [f"g{group}w{i}" for i in range(100)]
+        for copy in range(5):
+            words = list(base)
+            start = 20 * copy
+            words[start : start + 20] = [f"c{copy}x{draw.random()}" for _ in range(20)]
+            rows.append((len(rows), " ".join(words)))
+            words[draw.randrange(100)] = "edited"
+            rows.append((len(rows), " ".join(words)))
+    found = _rows(minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)))
+    assert found == _expected(rows, 5, 80)
