@@ -6,30 +6,49 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.llm import exact, mixing
+from labelscope.llm import exact, language, minhash, mixing, packing
+from labelscope.llm.queries import tokenizer
 from labelscope.llm.tables import documents
 from labelscope.sources import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which one learned language has at least half."""
+    return language.kept_languages(docs, least_share=0.5)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays, that with the smallest id."""
     return exact.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: five words, 80 %."""
+    return minhash.drop_near_duplicates(docs, shingle=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the weights of their sources ask for."""
     return mixing.repeated(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows of 2,048 tokens."""
+    return packing.packed(docs, tokenizer("byte_bpe_50k.json"))
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("exact_dedup", exact_dedup),
-    ("mix_sources", mix_sources),
+    ("language", keep_languages),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack),
 ]
 
-#: No SQL expresses the language and near-duplicate stages; the tests hold them
-#: against brute force.
+#: No SQL expresses the language, near-duplicate and packing stages; the tests
+#: hold each stage against brute force.
 ORACLE_SQL = None
 
 

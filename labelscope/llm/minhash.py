@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.components import components
+from labelscope.llm.tables import unused
 from labelscope.llm.text import mix, runs, shingle_sets
 from labelscope.sources import materialize
 
@@ -392,6 +393,30 @@ def near_duplicates(
     another id; in a component of null ids all are kept. Rows that repeat an id
     are kept together. Other columns of ``docs`` may have any name.
     """
+    marked = _marked(docs, id_col, text_col, shingle, percent)
+    return marked.drop("row_key").withColumnRenamed("id", id_col)
+
+
+def drop_near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    percent: int = 80,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`near_duplicates` keeps."""
+    marked = _marked(docs, id_col, text_col, shingle, percent)
+    gone = marked.where("not kept").select("row_key", "id").distinct()
+    names = {c: unused(docs.columns, f"gone_{c}") for c in ("row_key", "id")}
+    gone = gone.withColumnsRenamed(names)
+    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    same = (key == F.col(names["row_key"])) & docs[f"`{id_col}`"].eqNullSafe(F.col(names["id"]))
+    return docs.join(gone, same, "left_anti")
+
+
+def _marked(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int
+) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("id", "text"))
     id_type = rows.schema["id"].dataType.simpleString()
@@ -443,7 +468,8 @@ def near_duplicates(
     result = sketches.join(company, "node", "left")
     own = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return result.select(
-        F.col("id").alias(id_col),
+        "id",
+        "row_key",
         "n_shingles",
         own.alias("component_id"),
         F.col("id").eqNullSafe(own).alias("kept"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelscope.llm import chat, codes, counts, exact, language, minhash, mixing, packing, quality
+from labelscope.llm import chat, codes, counts, exact, language, licenses, minhash, mixing, packing, quality
 from labelscope.llm.tables import documents
 from labelscope.sources import read_table
 
@@ -25,6 +25,11 @@ def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, folder), shingle=4, percent=80)
 
 
+def op2_license_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """Notices of public licenses in every text, with coverage and span."""
+    return licenses.license_spans(documents(spark, folder))
+
+
 def op3_languages(spark: SparkSession, folder: str) -> DataFrame:
     """The main language of every text and its share."""
     return language.identified(documents(spark, folder)).drop("shares")
@@ -74,6 +79,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
+        "op2_license_spans": op2_license_spans,
         "op3_languages": op3_languages,
         "op4_mix_sources": op4_mix_sources,
         "op5_pack_windows": op5_pack_windows,

@@ -100,12 +100,15 @@ def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(
+    data: np.ndarray, bounds: np.ndarray, breaks: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and the number of the first word of each text.
 
-    The last entry of the third array is the number of words.
+    The last entry of the third array is the number of words. ``breaks`` tells
+    for each byte whether it stands between words.
     """
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     edges = bounds[:-1][bounds[:-1] < len(data)]
