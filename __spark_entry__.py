@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib.util
 import sys
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -25,7 +26,15 @@ from labelscope.operators import (  # noqa: E402
     trend,
 )
 from labelscope.plans.retention import retention_report  # noqa: E402
-from labelscope.sources import ensure_sample, read_csv, read_table, shared_folder  # noqa: E402
+from labelscope.roles import Roles  # noqa: E402
+from labelscope.sources import (  # noqa: E402
+    NULL_MARK,
+    ensure_sample,
+    read_csv,
+    read_table,
+    shared_folder,
+    write_csv,
+)
 from verification import inputs as given  # noqa: E402
 from verification.oracle import ORACLES, SCATTER  # noqa: E402
 
@@ -46,11 +55,14 @@ APP = given.APPLICATION_ROLES
 KEY = ["application_id"]
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles to a fixed number of digits, so that two engines can agree."""
+def rounded(df: DataFrame, digits: int = 6, above: float = 0.0) -> DataFrame:
+    """Doubles to a fixed number of digits, so that two engines can agree.
+
+    ``above`` is added first where many values lie half-way between two.
+    """
     return df.select(
         *[
-            F.round(f"`{f.name}`", digits).alias(f.name)
+            F.round(F.col(f"`{f.name}`") + above, digits).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f"`{f.name}`")
             for f in df.schema.fields
@@ -61,9 +73,9 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 def _on(
     table: Callable[[SparkSession, str], DataFrame],
     run: Callable[[DataFrame], DataFrame],
-    digits: int = 6,
+    above: float = 0.0,
 ) -> Query:
-    return lambda spark, folder: rounded(run(table(spark, folder)), digits)
+    return lambda spark, folder: rounded(run(table(spark, folder)), above=above)
 
 
 def _app(run: Callable[[DataFrame], DataFrame]) -> Query:
@@ -72,9 +84,13 @@ def _app(run: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _csv_round_trip(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/labelscope/{spark.sparkContext.applicationId}/applications-csv"
-    df.write.mode("overwrite").option("header", True).csv(path)
-    return read_csv(spark, path, df.schema)
+    app = spark.sparkContext.applicationId
+    path = f"{shared_folder(spark)}/labelscope/{app}/csv-{uuid.uuid4().hex[:12]}"
+    return read_csv(spark, write_csv(df, path), df.schema, NULL_MARK)
+
+
+def _documents_csv(spark: SparkSession, folder: str) -> DataFrame:
+    return _csv_round_trip(read_table(spark, f"{folder}/documents.parquet"))
 
 
 def _stored_sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,13 +98,51 @@ def _stored_sample(spark: SparkSession, folder: str) -> DataFrame:
     name = folder.strip("/").replace("/", "-")
     app = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/labelscope/{app}/sample-{name}"
-    return rounded(ensure_sample(df, path, KEY))
+    return rounded(ensure_sample(df, path, KEY, portable=True))
+
+
+def _capped_lines(spark: SparkSession, folder: str) -> DataFrame:
+    lines = read_table(spark, f"{folder}/lineitem.parquet")
+    rows = lines.select("l_orderkey", "l_linenumber", "l_suppkey")
+    return sampling.cap_rows(rows, 10_000, ["l_suppkey"], portable=True)
+
+
+def _event_times(spark: SparkSession, folder: str) -> DataFrame:
+    events = read_table(spark, f"{folder}/events.parquet")
+    since = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")
+    micros = events.select(since.alias("ts_micros"))
+    return describe.numeric_percentiles(micros, Roles(), ["ts_micros"])
 
 
-def _high_pairs(df: DataFrame) -> DataFrame:
+def _text_label(df: DataFrame) -> DataFrame:
+    label = F.when(F.col("label") == 1, F.lit("1.0")).when(F.col("label") == 0, F.lit("0"))
+    return information.information_values(df.withColumn("label", label), APP)
+
+
+def _encoded_texts(spark: SparkSession, folder: str) -> DataFrame:
+    texts = read_table(spark, f"{folder}/documents.parquet").select("doc_id", "text", "source")
+    return importance.ordinal_encode(texts, ["text", "source"])
+
+
+def _encoded_names(spark: SparkSession, folder: str) -> DataFrame:
+    parts = read_table(spark, f"{folder}/part.parquet").select("p_partkey", "p_name", "p_brand")
+    return importance.ordinal_encode(parts, ["p_name", "p_brand"])
+
+
+def _found_scatter(df: DataFrame) -> DataFrame:
+    """Points of the pairs that are found to be strong, the label's left out."""
+    found = _high_pairs(df, 0.0).select("feat1", "feat2").collect()
+    pairs = [p for p in map(tuple, found) if "total_accts" in p]
+    return correlation.scatter_pairs(df, APP, pairs, KEY, cap=500, portable=True)
+
+
+def _high_pairs(df: DataFrame, threshold: float = correlation.THRESHOLD) -> DataFrame:
     _, features = impute.matrix_source(df, APP)
     return correlation.high_pairs(
-        correlation.pearson_matrix(df, APP), correlation.spearman_matrix(df, APP, KEY), features
+        correlation.pearson_matrix(df, APP),
+        correlation.spearman_matrix(df, APP),
+        features,
+        threshold,
     )
 
 
@@ -110,7 +164,7 @@ def _comparison(df: DataFrame) -> DataFrame:
 
 def _part_counts(spark: SparkSession, folder: str) -> DataFrame:
     part = read_table(spark, f"{folder}/part.parquet")
-    return distribution.value_counts(part, ["p_brand", "p_type"])
+    return distribution.value_counts(part, ["p_name", "p_brand", "p_type"])
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -132,9 +186,11 @@ def queries() -> dict[str, Query]:
         # sources, sinks and samples
         "applications": _app(lambda df: df),
         "csv_round_trip": _app(_csv_round_trip),
+        "documents_csv_round_trip": _documents_csv,
         "stored_sample": _stored_sample,
-        "hash_sample": _app(lambda df: sampling.hash_sample(df, KEY, 0.05)),
-        "capped_sample": _app(lambda df: sampling.cap_rows(df, 10_000, KEY)),
+        "hash_sample": _app(lambda df: sampling.hash_sample(df, KEY, 0.05, portable=True)),
+        "capped_sample": _app(lambda df: sampling.cap_rows(df, 10_000, KEY, portable=True)),
+        "capped_lines": _capped_lines,
         "bernoulli_sample": _app(lambda df: sampling.bernoulli_sample(df, 0.05)),
         # missing values and summaries
         "missing_stats": _app(lambda df: missing.missing_stats(df, APP)),
@@ -158,10 +214,13 @@ def queries() -> dict[str, Query]:
         "age_bin_bootstrap": _app(lambda df: trend.age_bin_bootstrap(df, APP)),
         "window_volume_stats": _app(trend.window_volume_stats),
         "window_histogram": _app(trend.window_histogram),
-        "scatter_age_accounts": _app(lambda df: trend.scatter_age_accounts(df, APP, KEY)),
+        "scatter_age_accounts": _app(
+            lambda df: trend.scatter_age_accounts(df, APP, KEY, cap=5_000, portable=True)
+        ),
         # information value
         "iv_bins": _app(lambda df: information.iv_bins(df, APP)),
         "iv_all_features": _app(lambda df: information.information_values(df, APP)),
+        "iv_text_label": _app(_text_label),
         "iv_drop_missing": _app(
             lambda df: information.information_values(df, APP, missing="drop")
         ),
@@ -171,11 +230,14 @@ def queries() -> dict[str, Query]:
         # correlation
         "pearson_matrix": _app(lambda df: correlation.pearson_matrix(df, APP)),
         "pearson_matrix_wide": _app(_pearson_wide),
-        "spearman_matrix": _app(lambda df: correlation.spearman_matrix(df, APP, KEY)),
+        "spearman_matrix": _app(lambda df: correlation.spearman_matrix(df, APP)),
         "high_corr_pairs": _app(_high_pairs),
         "median_impute": _app(lambda df: impute.median_impute(df, APP.numeric(df), KEY)),
         "outlier_counts": _app(lambda df: impute.outlier_counts(df, APP.numeric(df))),
-        "scatter_pairs": _app(lambda df: correlation.scatter_pairs(df, APP, SCATTER, KEY)),
+        "scatter_pairs": _app(
+            lambda df: correlation.scatter_pairs(df, APP, SCATTER, KEY, portable=True)
+        ),
+        "scatter_found_pairs": _app(_found_scatter),
         # distributions
         "clip_bounds": _app(lambda df: distribution.clip_bounds(df, APP)),
         "clipped_density_hist": _app(lambda df: distribution.density_histogram(df, APP)),
@@ -213,17 +275,21 @@ def queries() -> dict[str, Query]:
         ),
         "event_value_counts": _on(event, lambda df: distribution.value_counts(df, ["props"])),
         "line_numeric_summary": _on(
-            line, lambda df: describe.numeric_summary(df, line_roles), digits=4
+            line, lambda df: describe.numeric_summary(df, line_roles), above=2e-8
         ),
+        "line_spearman_matrix": _on(line, lambda df: correlation.spearman_matrix(df, line_roles)),
         "line_pearson_matrix": _on(line, lambda df: correlation.pearson_matrix(df, line_roles)),
         "line_iv": _on(line, lambda df: information.information_values(df, line_roles)),
         "part_value_counts": _part_counts,
+        "event_time_percentiles": lambda spark, folder: rounded(_event_times(spark, folder)),
+        "document_text_codes": _encoded_texts,
+        "part_name_codes": _encoded_names,
         "vector_iv": _on(vector, lambda df: information.information_values(df, vector_roles)),
         "vector_pearson_matrix": _on(
             vector, lambda df: correlation.pearson_matrix(df, vector_roles)
         ),
         "vector_spearman_matrix": _on(
-            vector, lambda df: correlation.spearman_matrix(df, vector_roles, ["vec_id"])
+            vector, lambda df: correlation.spearman_matrix(df, vector_roles)
         ),
         "vector_outlier_counts": _on(
             vector, lambda df: impute.outlier_counts(df, vector_roles.numeric(df))

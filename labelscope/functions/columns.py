@@ -47,11 +47,27 @@ def parse_date(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("date")
 
 
-def uniform_hash(keys: Sequence[str], seed: int) -> Column:
-    """A value in [0, 1) that depends only on the key and the seed.
-
-    It takes the first 52 bits of an MD5 digest, so the same rows are chosen
-    under any partitioning, on any retry, and by any other engine with MD5.
+def uniform_hash(keys: Sequence[str], seed: int, portable: bool = False) -> Column:
+    """A value in [0, 1) that depends only on the keys and the seed.
+
+    The same rows are chosen under any partitioning and on any retry. Pass
+    ``portable=True`` for a value that any engine with MD5 can compute too, at
+    several times the cost: the first 52 bits of the digest of the keys as text
+    and the seed, joined by ``|``. In a key, backslash and ``|`` are escaped by
+    a backslash, and null is ``\\N``, so different keys have different texts.
     """
-    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    if not portable:
+        return F.xxhash64(*[F.col(quoted(k)) for k in keys], F.lit(seed)) / F.lit(2.0**64) + 0.5
+    parts = [
+        F.coalesce(
+            F.replace(
+                F.replace(F.col(quoted(k)).cast("string"), F.lit("\\"), F.lit("\\\\")),
+                F.lit("|"),
+                F.lit("\\|"),
+            ),
+            F.lit("\\N"),
+        )
+        for k in keys
+    ]
+    text = F.concat_ws("|", *parts, F.lit(str(seed)))
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,9 +25,10 @@ from labelscope.sources.scratch import materialize
 
 # Fixed value: pairs above this strength are reported.
 THRESHOLD = 0.7
-# Cut points form a tree: FAN children per node, LEVELS deep.
+# Cut points form a tree: FAN children per node, as deep as ranges of RANGE_ROWS need.
 FAN = 12
-LEVELS = 3
+RANGE_ROWS = 50_000
+MOST_LEVELS = 5
 
 
 def pearson_matrix(df: DataFrame, roles: Roles) -> DataFrame:
@@ -42,13 +44,23 @@ def pearson_matrix(df: DataFrame, roles: Roles) -> DataFrame:
     return _correlate(known.selectExpr(f"array({cells}) AS x"), features, "pearson")
 
 
-def spearman_matrix(df: DataFrame, roles: Roles, keys: Sequence[str]) -> DataFrame:
+def spearman_matrix(df: DataFrame, roles: Roles) -> DataFrame:
     """``(feat1, feat2, spearman)`` over all ordered pairs of imputed columns.
 
-    ``keys`` identify a row; ties get their average rank.
+    Ties get their average rank. Rows need no key: the columns of the matrix
+    are stored once with a row number, by which the ranks come together again.
     """
     source, features = matrix_source(df, roles)
-    by_row = rank_rows(source, features, keys).groupBy(*keys)
+    if not features:
+        return _correlate(source.select(F.array().cast("array<double>").alias("x")), [], "spearman")
+    numbered = materialize(
+        source.select(
+            F.monotonically_increasing_id().alias("_row"),
+            *[F.expr(f"{double_sql(source, c)} AS c{i}") for i, c in enumerate(features)],
+        ),
+        "numbered-rows",
+    )
+    by_row = rank_rows(numbered, [f"c{i}" for i in range(len(features))], "_row").groupBy("_row")
     if len(features) <= SLICE:
         cells = [f"max(if(fid = {i}, rank, null))" for i in range(len(features))]
         gathered = by_row.agg(F.expr(f"array({', '.join(cells)})").alias("x"))
@@ -60,27 +72,45 @@ def spearman_matrix(df: DataFrame, roles: Roles, keys: Sequence[str]) -> DataFra
     return _correlate(gathered.select("x"), features, "spearman")
 
 
-def rank_rows(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """``(keys…, fid, rank)``: average ranks of the imputed values of each feature,
-    shifted to a mean of zero.
+def rank_rows(df: DataFrame, features: Sequence[str], row: str) -> DataFrame:
+    """``(row, fid, rank)``: average ranks of the imputed values of each feature,
+    shifted to a mean of zero. ``row`` is a unique column of a stored table.
 
     Exact order statistics at equal steps cut the values of a feature into
-    ranges of one step. Every value more frequent than a step is itself a cut
-    point, so its rows take their rank from a small lookup and are never
-    gathered; the rest are ranked inside their range, at most a step of rows.
-    Medians and cut points are small and read several times, so they are stored.
+    ranges of one step, more of them the more rows there are. Every value more
+    frequent than a step is itself a cut point, so its rows take their rank
+    from a small lookup and are never gathered; the rest are ranked inside
+    their range, at most a step of rows. Medians and cut points are small and
+    read several times, so they are stored.
     """
-    parts = min(FAN**LEVELS, MAX_TARGETS // len(features))
+    rows, levels = df.count(), 1
+    while levels < MOST_LEVELS and rows > RANGE_ROWS * FAN**levels:
+        levels += 1
     middle = materialize(medians(df, features), "medians")
-    long = imputed_long(df, features, *[F.col(k) for k in keys], middle=middle)
-    found = order_statistics(long, every_nth(parts), parts * len(features))
+    # the cut points of a slice of features are broadcast
+    step = max(1, MAX_TARGETS // FAN**levels)
+    parts = [
+        _rank_slice(df, features[at : at + step], at, row, levels, middle)
+        for at in range(0, len(features), step)
+    ]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _rank_slice(
+    df: DataFrame, features: Sequence[str], first: int, row: str, levels: int, middle: DataFrame
+) -> DataFrame:
+    own = middle.where(F.col("fid").between(first, first + len(features) - 1))
+    own = own.withColumn("fid", F.col("fid") - first)
+    parts = FAN**levels
+    long = imputed_long(df, features, F.col(row), middle=own)
+    found = order_statistics(long, every_nth(parts), len(features), parts)
     in_order = Window.partitionBy("fid").orderBy("value")
     cuts = materialize(found.withColumn("cut", F.row_number().over(in_order) - 1), "cuts")
 
     # walk down the tree: the last cut point at or below each value
     placed = long.withColumn("node", F.lit(0))
-    for level in range(LEVELS):
-        width = FAN ** (LEVELS - 1 - level)
+    for level in range(levels):
+        width = FAN ** (levels - 1 - level)
         place = f"cast(cut div {width} as int)"
         bounds = [F.expr(f"max(if(child = {i}, value, null)) AS b{i}") for i in range(1, FAN)]
         nodes = (
@@ -96,7 +126,7 @@ def rank_rows(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> Da
         )
         step = edge_index("value", [f"b{i}" for i in range(1, FAN)], closed="left")
         placed = placed.join(F.broadcast(nodes), ["fid", "node"]).select(
-            *keys, "fid", "value", (F.col("node") * FAN + step).alias("node")
+            row, "fid", "value", (F.col("node") * FAN + step).alias("node")
         )
     centre = (F.col("n") + 1) / 2
     points = cuts.select(
@@ -112,16 +142,19 @@ def rank_rows(df: DataFrame, features: Sequence[str], keys: Sequence[str]) -> Da
     inside = Window.partitionBy("fid", "node").orderBy("value")
     up_to = F.count("*").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
     between = F.col("base") + (F.rank().over(inside) + up_to) / 2
-    ranged = placed.where(~on_cut).select(*keys, "fid", "node", "value", "base")
-    return (
+    ranged = placed.where(~on_cut).select(row, "fid", "node", "value", "base")
+    ranks = (
         placed.where(on_cut)
-        .select(*keys, "fid", "rank")
-        .unionAll(ranged.select(*keys, "fid", between.alias("rank")))
+        .select(row, "fid", "rank")
+        .unionAll(ranged.select(row, "fid", between.alias("rank")))
     )
+    return ranks.withColumn("fid", F.col("fid") + first)
 
 
 def matrix_wide(matrix: DataFrame, features: Sequence[str]) -> DataFrame:
     """A long matrix as one row per feature with one column per feature."""
+    if not features:
+        return matrix.select(F.col("feat1").alias("feature")).where(F.lit(False))
     value = matrix.columns[2]
     return (
         matrix.groupBy("feat1")
@@ -152,19 +185,29 @@ def scatter_pairs(
     df: DataFrame,
     roles: Roles,
     pairs: Sequence[tuple[str, str]],
-    keys: Sequence[str],
+    keys: Sequence[str] = (),
     cap: int = 10_000,
     n_std: float = 5,
     seed: int = 42,
+    portable: bool = False,
 ) -> DataFrame:
     """Points of the listed pairs: ``(feat1, feat2, keys…, x, y, label)``.
 
     Rows where either imputed value is an outlier are left out; pairs that
-    involve the label are skipped; each pair has at most ``cap`` points.
+    involve the label are skipped; each pair has min(cap, points) of them.
+    ``keys`` are shown beside each point and need not be unique. Without pairs
+    there are no points.
     """
     pairs = [p for p in pairs if roles.label not in p]
     if not pairs:
-        raise ValueError("no pair of features to plot")
+        shown = [F.col(quoted(k)) for k in keys]
+        nothing = df.select(
+            *[F.lit(None).cast("string").alias(c) for c in ("feat1", "feat2")],
+            *shown,
+            *[F.lit(None).cast("double").alias(c) for c in ("x", "y")],
+            F.lit(None).cast("int").alias(roles.label),
+        )
+        return nothing.where(F.lit(False))
     source, columns = matrix_source(df, roles)
     features = [c for c in columns if any(c in p for p in pairs)]
     limits = outlier_limits(source, features)
@@ -185,23 +228,32 @@ def scatter_pairs(
             for a, b in pairs
         ]
     )
+    shown = [quoted(k) for k in keys]
     rows = (
-        known.selectExpr(*keys, f"cast({quoted(roles.label)} as int) AS _label", *clean)
-        .select(*keys, "_label", F.inline(points))
+        known.selectExpr(*shown, f"cast({quoted(roles.label)} as int) AS _label", *clean)
+        .select(*[F.col(k) for k in shown], "_label", F.inline(points))
         .dropna(subset=["x", "y"])
     )
-    capped = cap_rows_per_group(rows, cap, ["feat1", "feat2"], keys, seed)
-    return capped.select("feat1", "feat2", *keys, "x", "y", F.col("_label").alias(roles.label))
+    capped = cap_rows_per_group(rows, cap, ["feat1", "feat2"], keys or None, seed, portable)
+    return capped.select(
+        "feat1", "feat2", *[F.col(k) for k in shown], "x", "y", F.col("_label").alias(roles.label)
+    )
 
 
 def _correlate(rows: DataFrame, features: Sequence[str], name: str) -> DataFrame:
     """Product-moment correlation of the entries of array x as a long matrix.
 
     Each task reduces its rows to one small matrix of products, batch by batch;
-    only those sums are shuffled, so the rows are read once. Constant columns
-    and columns without any value have null coefficients.
+    only those sums are shuffled, so the rows are read once. Splits are joined
+    to a few per core first, without a shuffle, so the number of matrices
+    follows the cluster and not the table. Constant columns and columns without
+    any value have null coefficients.
     """
     m = len(features)
+    schema = f"feat1 string, feat2 string, {name} double"
+    if not m:
+        return rows.sparkSession.createDataFrame([], schema)
+    rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

@@ -53,7 +53,7 @@ def numeric_percentiles(
     roles: Roles,
     features: Sequence[str] | None = None,
     method: str = "exact",
-    accuracy: int = 1000,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """p1 … p99 per numeric feature, exact and interpolated or sketched."""
     features = list(features or _all_but_ignored(df, roles)[0])
@@ -69,7 +69,7 @@ def numeric_percentiles(
 
 
 def numeric_summary(
-    df: DataFrame, roles: Roles, method: str = "exact", accuracy: int = 1000
+    df: DataFrame, roles: Roles, method: str = "exact", accuracy: int = 10_000
 ) -> DataFrame:
     """:func:`numeric_describe` with the percentiles beside it; null where a
     feature has no value at all."""

@@ -9,7 +9,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.functions.columns import text_sql
+from labelscope.functions.columns import quoted, text_sql, uniform_hash
 from labelscope.operators.impute import median_impute
 from labelscope.operators.information import MISSING
 from labelscope.operators.longform import numeric_long, text_long
@@ -20,8 +20,9 @@ from labelscope.sources.scratch import materialize
 SEEDS = 5
 TREES = 50
 DEPTH = 10
-# Code tables up to this many rows are broadcast; the size is counted first.
+# Codes of a feature up to this many rows and bytes are broadcast.
 BROADCAST_CODES = 200_000
+BROADCAST_BYTES = 16_000_000
 # Values on at least this share of the rows are looked up without a shuffle.
 FREQUENT = 1e-3
 
@@ -54,41 +55,57 @@ def category_codes(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def ordinal_encode(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The table with the listed features replaced by their codes, as double."""
+    """The table with the listed features replaced by their codes, as double.
+
+    Each feature is looked up by a broadcast if its values are few and short,
+    which is counted first, and by a shuffle join otherwise.
+    """
     if not features:
         return df
     codes = materialize(category_codes(df, features), "codes")
-    small = codes.count() <= BROADCAST_CODES
+    # one row per feature
+    sizes = codes.groupBy("fid").agg(
+        F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("n_bytes")
+    )
+    small = {
+        r.fid for r in sizes.collect() if r.n <= BROADCAST_CODES and r.n_bytes <= BROADCAST_BYTES
+    }
     encoded = df
-    for fid, name in enumerate(features):
+    columns = [F.col(quoted(c)) for c in df.columns]
+    # the broadcasts first, so that they run in the scan
+    for fid in sorted(range(len(features)), key=lambda i: i not in small):
+        name = features[fid]
         table = codes.where(F.col("fid") == fid).select(
             F.col("value").alias("_value"), F.col("code").cast("double").alias("_code"), "count"
         )
-        key = F.coalesce(F.expr(text_sql(name)), F.lit(MISSING))
-        if small:
-            matched = encoded.withColumn("_key", key).join(
+        keyed = encoded.withColumn("_key", F.coalesce(F.expr(text_sql(name)), F.lit(MISSING)))
+        if fid in small:
+            matched = keyed.join(
                 F.broadcast(table.drop("count")), F.col("_key") == F.col("_value"), "left"
             )
         else:
-            matched = _split_lookup(encoded.withColumn("_key", key), table)
-        encoded = matched.withColumn(name, F.col("_code")).select(*df.columns)
+            matched = _split_lookup(keyed, table)
+        encoded = matched.withColumn(name, F.col("_code")).select(*columns)
     return encoded
 
 
 def _split_lookup(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Left join on ``_key`` that never shuffles the rows of a frequent value.
 
-    Frequent values number at most 1 / FREQUENT, and are broadcast. Rows they
-    match go through the shuffle join under spread-out keys that match nothing.
+    Frequent values number at most 1 / FREQUENT, and are broadcast if they are
+    not long. Rows they match go through the shuffle join under spread-out keys
+    that match nothing.
     """
     total = table.agg(F.sum("count").alias("n")).scalar()
-    often = F.col("count") >= total * FREQUENT
+    short = F.octet_length("_value") <= BROADCAST_BYTES * FREQUENT
+    often = (F.col("count") >= total * FREQUENT) & short
     frequent = table.where(often).select(
         F.col("_value").alias("_hot"), F.col("_code").alias("_hot_code")
     )
     rare = table.where(~often).select("_value", F.col("_code").alias("_rare_code"))
     with_hot = rows.join(F.broadcast(frequent), F.col("_key") == F.col("_hot"), "left")
-    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rows.columns), F.lit(100_000)))
+    # by place and not by content: equal rows must not meet either
+    spread = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
     open_key = F.when(F.col("_hot").isNull(), F.col("_key")).otherwise(spread)
     joined = with_hot.withColumn("_open", open_key).join(
         rare, F.col("_open") == F.col("_value"), "left"
@@ -109,14 +126,15 @@ def model_table(df: DataFrame, roles: Roles) -> tuple[DataFrame, list[str]]:
         used = {numeric[r.fid] for r in present.where(F.col("n") > 0).collect()}
         features = [c for c in features if c in used or c not in numeric]
         numeric = [c for c in numeric if c in used]
-    encoded = ordinal_encode(df.select(label, *features), other)
+    encoded = ordinal_encode(df.select(label, *[F.col(quoted(c)) for c in features]), other)
     filled = median_impute(encoded, numeric, ["_label", *other]) if numeric else encoded
     bad = F.count_if(F.col("_label") == 1)
     size = df.select(label).agg(F.struct(F.count("*").alias("n"), bad.alias("bad")).alias("t"))
     own = F.when(F.col("_label") == 1, F.col("_t.bad")).otherwise(F.col("_t.n") - F.col("_t.bad"))
     weight = F.col("_t.n") / (2.0 * own)
     weighted = filled.withColumn("_t", size.scalar())
-    return weighted.select("_label", weight.alias("_weight"), *features), features
+    columns = [F.col(quoted(c)) for c in features]
+    return weighted.select("_label", weight.alias("_weight"), *columns), features
 
 
 def rf_importance_by_seed(
@@ -125,12 +143,26 @@ def rf_importance_by_seed(
     seeds: int = SEEDS,
     trees: int = TREES,
     depth: int = DEPTH,
+    fit_rows: int | None = None,
 ) -> DataFrame:
-    """``(seed, feature, importance)``; the importances of a seed sum to 1."""
+    """``(seed, feature, importance)``; the importances of a seed sum to 1.
+
+    ``fit_rows`` bounds the rows that the forests are fitted on: about so many
+    are drawn by a hash of the row, the same share of each class. Codes,
+    medians and class weights always come from the whole table. Without it the
+    forests are fitted on all rows.
+    """
     spark = df.sparkSession
     prepared, features = model_table(df, roles)
-    table = materialize(prepared, "model")
-    assembled = VectorAssembler(inputCols=features, outputCol="_x").transform(table)
+    if not features:
+        return spark.createDataFrame([], "seed int, feature string, importance double")
+    if fit_rows is not None:
+        share = min(1.0, fit_rows / max(1, df.count()))
+        prepared = prepared.where(uniform_hash(prepared.columns, 42) < share)
+    # Spark ML reads a dot in a name as a field
+    inputs = [f"x{i}" for i in range(len(features))]
+    table = materialize(prepared.toDF("_label", "_weight", *inputs), "model")
+    assembled = VectorAssembler(inputCols=inputs, outputCol="_x").transform(table)
     rows = []
     for seed in range(seeds):
         forest = RandomForestClassifier(

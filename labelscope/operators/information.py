@@ -42,7 +42,8 @@ def iv_bins(
         long = numeric_long(df, numeric, y)
         counted = _numeric_counts(long, len(numeric), bins, missing, binning)
         parts.append(counted.withColumn("feature", feature_name(numeric)))
-    if other := roles.categorical(df):
+    other = roles.categorical(df)
+    if other or not numeric:
         counted = (
             text_long(df, other, y)
             .groupBy("fid", F.coalesce("value", F.lit(MISSING)).alias("bin"))

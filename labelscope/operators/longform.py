@@ -28,6 +28,10 @@ def _explode(
     cell: Callable[[str], str],
     name: str,
 ) -> DataFrame:
+    if not features:
+        kind = {"value": "string" if cell is text_sql else "double", "missing": "boolean"}[name]
+        none = [F.lit(0).alias("fid"), F.lit(None).cast(kind).alias(name)]
+        return df.select(*keep, *none).where(F.lit(False))
     parts = []
     for start in range(0, len(features), SLICE):
         cells = ", ".join(cell(c) for c in features[start : start + SLICE])
@@ -62,7 +66,7 @@ def missing_long(
 
 def feature_name(features: Sequence[str], fid: str = "fid") -> Column:
     """The name behind a feature position."""
-    return F.get(F.lit(list(features)), F.col(fid))
+    return F.get(F.array(*[F.lit(f) for f in features]).cast("array<string>"), F.col(fid))
 
 
 def with_per_feature(
@@ -73,6 +77,8 @@ def with_per_feature(
     Field ``column_i`` belongs to feature i. The struct is a scalar subquery:
     it runs once, and a task receives one value per feature and column.
     """
+    if not features:
+        return df.withColumn(name, F.lit(None).cast("struct<none: int>"))
     cells = [
         f"max(if(fid = {i}, {c}, null)) AS {c}_{i}" for c in columns for i in range(len(features))
     ]

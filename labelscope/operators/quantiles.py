@@ -1,42 +1,35 @@
 """Exact order statistics without sorting or collecting the data.
 
 Values are counted on a logarithmic grid whose cells order like the values.
-Running counts show which cells hold the wanted ranks; only rows of those
-cells are looked at again, on a finer grid and at last value by value. Each
-pass is one scan that collapses inside the tasks, and no group is larger than
-the grid or the contents of one fine cell. Counting is exact, so the result
-does not depend on partitioning, retries or the number of passes.
+Running counts show which cells hold the wanted ranks; each of those is cut
+from its least to its greatest value into equal parts, which are counted in
+turn, a fixed number of times, and what is left is counted value by value.
+Each pass is one scan that collapses inside the tasks. Because the parts span
+what a cell really holds, values that are close together far from zero, such
+as timestamps of a day, are told apart like any others. Counting is exact, so
+the result does not depend on partitioning, retries or the number of passes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.binning import magnitude_cell
-
-# Grid resolutions, in cells per factor e. A coarse first grid keeps the counts
-# that large inputs shuffle small; later grids see only the cells in question.
-ONE_GRID = (128,)
-TWO_GRIDS = (64, 1 << 12)
-THREE_GRIDS = (16, 1 << 10, 1 << 18)
-# The cells in question are broadcast between passes, one row per wanted rank.
+from labelscope.sources.scratch import materialize
+
+# Cells of the first grid per factor e, and parts of a cell in each pass after it.
+FIRST_GRID = 64
+PARTS = 4096
+PASSES = 2
+# The cells in question are broadcast between passes, one row per wanted rank;
+# more features than fit are taken in slices.
 MAX_TARGETS = 1_000_000
 
 
-def grids_for(values: DataFrame) -> tuple[int, ...]:
-    """More grid passes for larger inputs, by the estimated size of the scans."""
-    leaves = values._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-    size = 0
-    while leaves.hasNext():
-        size += int(str(leaves.next().stats().sizeInBytes()))
-    if size < 1 << 26:
-        return ONE_GRID
-    return TWO_GRIDS if size < 1 << 40 else THREE_GRIDS
-
-
 def holding_ranks(probabilities: Sequence[float]) -> Column:
     """Whether a run of ``count`` values after ``below`` others, of n in all, holds
     one of the two neighbours of a quantile position."""
@@ -52,42 +45,68 @@ def every_nth(parts: int) -> Column:
 
 
 def order_statistics(
-    values: DataFrame, wanted: Column, targets: int, grids: Sequence[int] | None = None
+    values: DataFrame, wanted: Column, features: int, per_feature: int
 ) -> DataFrame:
     """``(fid, value, count, below, n)`` for each distinct value at a wanted rank.
 
-    ``values`` is a ``(fid, value)`` relation; nulls are skipped. ``count`` is
-    the frequency of the value, ``below`` the number of smaller values, ``n``
-    the number of values of the feature. ``targets`` bounds the wanted ranks
-    over all features, and with it the size of the lookup that is broadcast
-    between passes.
+    ``values`` is a ``(fid, value)`` relation of ``features`` features; nulls
+    are skipped. ``count`` is the frequency of the value, ``below`` the number
+    of smaller values, ``n`` the number of values of the feature. At most
+    ``per_feature`` ranks of a feature are wanted. What a pass finds is stored,
+    so each pass scans the values once.
     """
-    if targets > MAX_TARGETS:
-        raise ValueError(f"{targets} ranks are too many at once; take fewer features")
-    grids = tuple(grids or grids_for(values))
-    rows = values.select("fid", "value").where(F.col("value").isNotNull())
+    step = max(1, MAX_TARGETS // max(1, per_feature))
+    if features <= step:
+        return _order_statistics(values, wanted)
+    slices = [
+        _order_statistics(values.where(F.col("fid").between(at, at + step - 1)), wanted)
+        for at in range(0, features, step)
+    ]
+    return reduce(DataFrame.unionAll, slices)
+
 
+def _order_statistics(values: DataFrame, wanted: Column) -> DataFrame:
+    rows = values.select("fid", "value").where(F.col("value").isNotNull())
+    rows = rows.withColumn("at0", magnitude_cell(F.col("value"), FIRST_GRID))
     counted = (
-        rows.groupBy("fid", magnitude_cell(F.col("value"), grids[0]).alias("at"))
-        .agg(F.count("*").alias("count"))
+        _counted(rows, ["fid"], F.col("at0"), "at0")
         .withColumn("n", F.sum("count").over(Window.partitionBy("fid")))
         .withColumn("below", F.lit(0).cast("bigint"))
     )
-    found = _keep_wanted(counted, ["fid"], wanted)
-
-    for grid, finer in zip(grids, (*grids[1:], None), strict=True):
-        cells = F.broadcast(found.select("fid", F.col("at").alias("cell"), "below", "n"))
-        near = rows.withColumn("cell", magnitude_cell(F.col("value"), grid)).join(cells, ["fid", "cell"])
-        at = F.col("value") if finer is None else magnitude_cell(F.col("value"), finer)
-        counted = near.groupBy("fid", "cell", at.alias("at")).agg(
-            F.count("*").alias("count"), F.max("below").alias("below"), F.max("n").alias("n")
-        )
-        found = _keep_wanted(counted, ["fid", "cell"], wanted)
-    return found.select("fid", F.col("at").alias("value"), "count", "below", "n")
+    path = ["fid"]
+    found = _keep_wanted(counted, path, "at0", wanted)
+    for level in range(PASSES + 1):
+        path.append(f"at{level}")
+        found = materialize(found, "cells")
+        # cells of a single value, such as those of counts, need no more passes
+        if found.where("low < high").isEmpty():
+            break
+        rows = rows.join(F.broadcast(found.drop("count")), path)
+        name = f"at{level + 1}"
+        at = F.col("value")
+        if level < PASSES:
+            low, high = F.col("low"), F.col("high")
+            part = F.floor((F.col("value") - low) / (high - low) * PARTS)
+            at = F.when(low < high, F.least(part, F.lit(PARTS - 1))).otherwise(0).cast("int")
+        rows = rows.withColumn(name, at)
+        kept = [F.max("below").alias("below"), F.max("n").alias("n")]
+        counted = _counted(rows, path, F.col(name), name, *kept)
+        found = _keep_wanted(counted, path, name, wanted)
+        rows = rows.drop("low", "high", "below", "n")
+    return found.select("fid", F.col("low").alias("value"), "count", "below", "n")
+
+
+def _counted(
+    rows: DataFrame, path: list[str], at: Column, name: str, *more: Column
+) -> DataFrame:
+    """Rows, least and greatest value of each part."""
+    return rows.groupBy(*path, at.alias(name)).agg(
+        F.count("*").alias("count"), F.min("value").alias("low"), F.max("value").alias("high"), *more
+    )
 
 
-def _keep_wanted(counted: DataFrame, group: list[str], wanted: Column) -> DataFrame:
-    order = Window.partitionBy(*group).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+def _keep_wanted(counted: DataFrame, group: list[str], at: str, wanted: Column) -> DataFrame:
+    order = Window.partitionBy(*group).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn(
         "below", F.col("below") + F.sum("count").over(order) - F.col("count")
     )
@@ -95,12 +114,11 @@ def _keep_wanted(counted: DataFrame, group: list[str], wanted: Column) -> DataFr
 
 
 def _found(
-    values: DataFrame, probabilities: Sequence[float], features: int, grids: Sequence[int] | None
+    values: DataFrame, probabilities: Sequence[float], features: int
 ) -> DataFrame:
     """``(fid, n, found)``: at most two found values per probability, in a list."""
-    stats = order_statistics(
-        values, holding_ranks(probabilities), 2 * features * len(probabilities), grids
-    )
+    ranks = 2 * len(probabilities)
+    stats = order_statistics(values, holding_ranks(probabilities), features, ranks)
     return stats.groupBy("fid").agg(
         F.max("n").alias("n"), F.collect_list(F.struct("value", "below", "count")).alias("found")
     )
@@ -120,7 +138,6 @@ def quantiles(
     probabilities: Sequence[float],
     features: int,
     names: Sequence[str] | None = None,
-    grids: Sequence[int] | None = None,
 ) -> DataFrame:
     """Exact quantiles with linear interpolation: ``(fid, n, q0, q1, …)``.
 
@@ -134,21 +151,19 @@ def quantiles(
         return low + (high - low) * (position - F.floor(position))
 
     probs = F.lit([float(p) for p in probabilities])
-    cut = _found(values, probabilities, features, grids).select(
+    cut = _found(values, probabilities, features).select(
         "fid", "n", F.transform(probs, interpolated).alias("q")
     )
     return cut.select("fid", "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(names)])
 
 
-def clip_range(
-    values: DataFrame, low: float, high: float, features: int, grids: Sequence[int] | None = None
-) -> DataFrame:
+def clip_range(values: DataFrame, low: float, high: float, features: int) -> DataFrame:
     """``(fid, first, last, n)``: the smallest and largest value between two
     quantiles, and the number of values from one to the other."""
     first = _at(F.ceil(low * (F.col("n") - 1)))
     last = _at(F.floor(high * (F.col("n") - 1)))
     return (
-        _found(values, (low, high), features, grids)
+        _found(values, (low, high), features)
         .select("fid", first.alias("a"), last.alias("b"))
         .selectExpr(
             "fid", "a.value AS first", "b.value AS last", "b.below + b.count - a.below AS n"
@@ -157,7 +172,7 @@ def clip_range(
 
 
 def approx_quantiles(
-    values: DataFrame, probabilities: Sequence[float], names: Sequence[str], accuracy: int = 1000
+    values: DataFrame, probabilities: Sequence[float], names: Sequence[str], accuracy: int = 10_000
 ) -> DataFrame:
     """Sketched quantiles in one pass, with a rank error of at most 1 / accuracy.
 

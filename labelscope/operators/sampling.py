@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.functions.columns import uniform_hash
+from labelscope.functions.columns import quoted, uniform_hash
+
+# Rows are counted in this many cells of their hash before any is ordered.
+CELLS = 1 << 16
 
 
 def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
@@ -16,42 +18,98 @@ def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFram
     return df.sample(False, fraction, seed)
 
 
-def hash_sample(df: DataFrame, keys: Sequence[str], fraction: float, seed: int = 42) -> DataFrame:
-    """Keep a row when the hash of its key falls below the fraction."""
-    return df.where(uniform_hash(keys, seed) < fraction)
-
+def hash_sample(
+    df: DataFrame,
+    keys: Sequence[str],
+    fraction: float,
+    seed: int = 42,
+    portable: bool = False,
+) -> DataFrame:
+    """Keep a row when the hash of its key falls below the fraction.
 
-def _slack(n: int) -> float:
-    # ten standard deviations above the wanted size: enough rows always pass
-    return n + 10 * math.sqrt(n) + 100
+    Rows that share a key are kept or left out together.
+    """
+    return df.where(uniform_hash(keys, seed, portable) < fraction)
 
 
-def cap_rows(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """An unbiased sample of at most n rows: those with the lowest key hashes.
+def cap_rows(
+    df: DataFrame,
+    n: int,
+    keys: Sequence[str] | None = None,
+    seed: int = 42,
+    portable: bool = False,
+) -> DataFrame:
+    """A sample of min(n, rows) rows: those with the lowest hashes of their keys.
 
-    Rows that cannot be among the n lowest are dropped before the ordering, so
-    the final top-n sees little more than n rows in total.
+    Keys may repeat, and rows with equal keys are ordered by a hash of the
+    whole row. Without keys that is the only order, and the sample unbiased.
     """
-    total = df.agg(F.count("*").alias("n")).scalar()
-    hashed = df.withColumn("_u", uniform_hash(keys, seed))
-    near = hashed.where(F.col("_u") * total < _slack(n))
-    return near.orderBy("_u", *keys).limit(n).drop("_u")
+    return cap_rows_per_group(df, n, [], keys, seed, portable)
 
 
 def cap_rows_per_group(
-    df: DataFrame, n: int, group: Sequence[str], keys: Sequence[str], seed: int = 42
+    df: DataFrame,
+    n: int,
+    group: Sequence[str],
+    keys: Sequence[str] | None = None,
+    seed: int = 42,
+    portable: bool = False,
 ) -> DataFrame:
-    """At most n rows per group, chosen as in :func:`cap_rows`.
+    """min(n, rows) rows of each group, chosen as in :func:`cap_rows`.
 
-    Meant for groups the caller has listed, such as feature pairs: the group
-    sizes are broadcast.
+    Rows are counted by cells of the hash first. All rows in the cells below
+    the one in which the count reaches n are taken as they are, and only rows
+    of that cell are ordered, of which each task passes on n at most. Meant for
+    groups the caller has listed, such as feature pairs: one row per group is
+    broadcast.
     """
-    sizes = F.broadcast(df.groupBy(*group).agg(F.count("*").alias("_n")))
-    near = (
-        df.withColumn("_u", uniform_hash(keys, seed))
-        .join(sizes, list(group))
-        .where(F.col("_u") * F.col("_n") < _slack(n))
+    own = [_free(df, f"cap_{i}") for i in range(len(group) + 5)]
+    u, cell, last, room, place = own[: 5]
+    names = own[5:]
+
+    def same(row: DataFrame, edge: DataFrame) -> Column:
+        # groups may be null
+        test = F.lit(True)
+        for g, name in zip(group, names, strict=True):
+            test = test & row[quoted(g)].eqNullSafe(edge[name])
+        return test
+
+    everything = uniform_hash(df.columns, seed, portable)
+    order = everything if keys is None else uniform_hash(keys, seed, portable)
+    hashed = df.withColumn(u, order)
+    hashed = hashed.withColumn(cell, F.floor(F.col(u) * CELLS).cast("int"))
+    by = [F.col(quoted(g)).alias(name) for g, name in zip(group, names, strict=True)]
+    counts = hashed.groupBy(*by, cell).agg(F.count("*").alias(room))
+    running = Window.partitionBy(*names).orderBy(cell)
+    upto = F.sum(room).over(running)
+    edges = (
+        counts.withColumn(place, upto)
+        .where((F.col(place) >= n) & (F.col(place) - F.col(room) < n))
+        .select(
+            *names, F.col(cell).alias(last), (n - F.col(place) + F.col(room)).alias(room)
+        )
+    )
+    if group:
+        joined = hashed.join(F.broadcast(edges), same(hashed, edges), "left")
+    else:
+        edge = edges.select(F.struct(last, room).alias("edge"))
+        joined = hashed.withColumn(place, edge.scalar())
+        joined = joined.withColumn(last, F.col(f"{place}.{last}")).withColumn(
+            room, F.col(f"{place}.{room}")
+        )
+    sure = joined.where(F.col(last).isNull() | (F.col(cell) < F.col(last)))
+    ordered = Window.partitionBy(*[F.col(quoted(g)) for g in group] or [F.lit(0)])
+    edge = joined.where(F.col(cell) == F.col(last)).withColumn(
+        place, F.row_number().over(ordered.orderBy(u, everything))
     )
-    order = Window.partitionBy(*group).orderBy("_u", *keys)
-    ranked = near.withColumn("_r", F.row_number().over(order))
-    return ranked.where(F.col("_r") <= n).drop("_u", "_n", "_r")
+    # the constant lets every task pass on n rows of a group at most
+    edge = edge.where(F.col(place) <= n).where(F.col(place) <= F.col(room))
+    columns = [F.col(quoted(c)) for c in df.columns]
+    return sure.select(*columns).unionAll(edge.select(*columns))
+
+
+def _free(df: DataFrame, name: str) -> str:
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

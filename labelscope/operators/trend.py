@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.functions.binning import interval_label, unit_bin
-from labelscope.functions.columns import as_double, parse_date, ratio
+from labelscope.functions.columns import as_double, parse_date, quoted, ratio
 from labelscope.operators.longform import numeric_long
 from labelscope.operators.sampling import cap_rows
 from labelscope.roles import Roles
@@ -139,7 +139,7 @@ def lookback_columns(df: DataFrame, prefix: str = "total_apps_in_last_") -> dict
 def window_volume_stats(df: DataFrame, prefix: str = "total_apps_in_last_") -> DataFrame:
     """Mean, maximum and number of zeros of each look-back count."""
     windows = lookback_columns(df, prefix)
-    labels = F.array(*[F.lit(f"{days}_days") for days in windows])
+    labels = F.array(*[F.lit(f"{days}_days") for days in windows]).cast("array<string>")
     return (
         numeric_long(df, list(windows.values()))
         .groupBy("fid")
@@ -161,7 +161,7 @@ def window_histogram(
     The last bin is [top - 1, top].
     """
     windows = lookback_columns(df, prefix)
-    labels = F.array(*[F.lit(f"{days}_days") for days in windows])
+    labels = F.array(*[F.lit(f"{days}_days") for days in windows]).cast("array<string>")
     return (
         numeric_long(df, list(windows.values()))
         .where((F.col("value") > 0) & (F.col("value") <= top))
@@ -174,12 +174,17 @@ def window_histogram(
 def scatter_age_accounts(
     df: DataFrame,
     roles: Roles,
-    keys: list[str],
+    keys: Sequence[str] = (),
     age: str = "max_open_age",
     accounts: str = "total_accts",
     cap: int = 50_000,
     seed: int = 42,
+    portable: bool = False,
 ) -> DataFrame:
-    """(key, age, accounts, label) points, at most ``cap`` of them, unbiased."""
-    points = df.select(*keys, age, accounts, roles.target().alias(roles.label))
-    return cap_rows(points, cap, keys, seed)
+    """(keys…, age, accounts, label) points, min(cap, rows) of them, unbiased.
+
+    ``keys`` are shown beside each point and need not be unique.
+    """
+    columns = [F.col(quoted(c)) for c in (*keys, age, accounts)]
+    points = df.select(*columns, roles.target().alias(roles.label))
+    return cap_rows(points, cap, keys or None, seed, portable)

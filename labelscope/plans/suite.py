@@ -32,6 +32,7 @@ from labelscope.operators.missing import missing_stats
 from labelscope.operators.trend import (
     age_bin_bootstrap,
     age_bin_rates,
+    lookback_columns,
     monthly_stats,
     scatter_age_accounts,
     window_histogram,
@@ -39,23 +40,26 @@ from labelscope.operators.trend import (
 )
 from labelscope.plans.retention import retention_report
 from labelscope.roles import Roles
-from labelscope.sources.reports import write_report
+from labelscope.sources.reports import read_report, write_report
 
 Write = Callable[[str, DataFrame], DataFrame]
 
+# The reports that hold rows of the table and not one per feature.
+POINTS = ("total_accts_vs_relationship", "correlations/points")
+
 
 def _writer(out: str) -> Write:
     """Write a report as CSV and hand back the stored rows."""
 
     def write(name: str, df: DataFrame) -> DataFrame:
-        path = write_report(df, f"{out}/{name}")
-        return df.sparkSession.read.schema(df.schema).option("header", True).csv(path)
+        path = write_report(df, f"{out}/{name}", single_file=name not in POINTS)
+        return read_report(df.sparkSession, path, df.schema)
 
     return write
 
 
-def missing_report(df: DataFrame, roles: Roles, out: str) -> None:
-    _writer(out)("missing_rates", missing_stats(df, roles))
+def missing_report(df: DataFrame, roles: Roles, out: str) -> DataFrame:
+    return _writer(out)("missing_rates", missing_stats(df, roles))
 
 
 def summary_report(df: DataFrame, roles: Roles, out: str, method: str = "exact") -> None:
@@ -73,12 +77,17 @@ def trend_report(
     accounts: str = "total_accts",
 ) -> None:
     write = _writer(out)
-    write("monthly_high_level_stats", monthly_stats(df, roles))
-    write("relationship_age_fraud_stats", age_bin_rates(df, roles, age))
-    write("fraud_dist_by_relationship_length", age_bin_bootstrap(df, roles, age))
-    write("total_accts_vs_relationship", scatter_age_accounts(df, roles, list(keys), age, accounts))
-    write("application_volume_stats", window_volume_stats(df))
-    write("application_volume_histogram", window_histogram(df))
+    if roles.date in df.columns and roles.booked in df.columns:
+        write("monthly_high_level_stats", monthly_stats(df, roles))
+    if age in df.columns:
+        write("relationship_age_fraud_stats", age_bin_rates(df, roles, age))
+        write("fraud_dist_by_relationship_length", age_bin_bootstrap(df, roles, age))
+        if accounts in df.columns:
+            points = scatter_age_accounts(df, roles, list(keys), age, accounts)
+            write("total_accts_vs_relationship", points)
+    if lookback_columns(df):
+        write("application_volume_stats", window_volume_stats(df))
+        write("application_volume_histogram", window_histogram(df))
 
 
 def distribution_report(df: DataFrame, roles: Roles, out: str) -> None:
@@ -94,7 +103,7 @@ def correlation_report(df: DataFrame, roles: Roles, out: str, keys: Sequence[str
     write = _writer(out)
     _, features = matrix_source(df, roles)
     pearson = write("correlation_long_pearson", pearson_matrix(df, roles))
-    spearman = write("correlation_long_spearman", spearman_matrix(df, roles, keys))
+    spearman = write("correlation_long_spearman", spearman_matrix(df, roles))
     write("correlation_all_features_pearson", matrix_wide(pearson, features))
     write("correlation_all_features_spearman", matrix_wide(spearman, features))
     found = write("correlation_high_pairs", high_pairs(pearson, spearman, features))
@@ -105,23 +114,25 @@ def correlation_report(df: DataFrame, roles: Roles, out: str, keys: Sequence[str
         write("correlations/points", scatter_pairs(df, roles, pairs, keys))
 
 
-def importance_report(df: DataFrame, roles: Roles, out: str, **forest: int) -> None:
+def importance_report(df: DataFrame, roles: Roles, out: str, **forest: int) -> DataFrame:
+    """The importance reports; the stored Information Values are handed back."""
     write = _writer(f"{out}/feature_importance")
     iv = write("information_values", information_values(df, roles))
     rf = write("rf_feature_importance", rf_importance(rf_importance_by_seed(df, roles, **forest)))
     write("iv_vs_rf", importance_comparison(iv, rf))
+    return iv
 
 
 def full_report(df: DataFrame, roles: Roles, out: str, keys: Sequence[str], **forest: int) -> None:
-    """Every report; store ``df`` as a table first, it is scanned many times."""
-    missing_report(df, roles, out)
+    """Every report; store ``df`` as a table first, it is scanned many times.
+
+    Reports whose columns the table doesn't have are left out: those by month
+    without a date, by age without an age, of look-backs without any.
+    """
+    missing = missing_report(df, roles, out)
     summary_report(df, roles, out)
     trend_report(df, roles, out, keys)
     distribution_report(df, roles, out)
     correlation_report(df, roles, out, keys)
-    importance_report(df, roles, out, **forest)
-    spark = df.sparkSession
-    missing = missing_stats(df, roles)
-    iv = spark.read.option("header", True).schema("feature string, iv double, n_bins bigint")
-    values = iv.csv(f"{out}/feature_importance/information_values")
+    values = importance_report(df, roles, out, **forest)
     _writer(out)("retention", retention_report(missing, values))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelscope.functions.columns import quoted
+
 
 @dataclass(frozen=True)
 class Roles:
@@ -41,8 +43,21 @@ class Roles:
         return [c for c in self.features(df, keep) if not is_numeric(df, c)]
 
     def target(self) -> Column:
-        """The label as an int, with nulls (and NaN) filled by ``label_fill``."""
-        y = F.col(self.label).try_cast("int")
+        """The label as an int, with nulls (and NaN) filled by ``label_fill``.
+
+        Text is read as a number, so "1.0" is 1. The query fails on any other
+        value than 0 and 1, and names the column and the value.
+        """
+        label = F.col(quoted(self.label))
+        number = label.try_cast("double")
+        message = F.concat(
+            F.lit(f"label column {self.label} must be 0 or 1, found "), label.cast("string")
+        )
+        y = (
+            F.when(label.isNull() | F.isnan(number), F.lit(None).cast("int"))
+            .when(number.isin(0.0, 1.0), number.cast("int"))
+            .otherwise(F.raise_error(message).cast("int"))
+        )
         return y if self.label_fill is None else F.coalesce(y, F.lit(self.label_fill))
 
 

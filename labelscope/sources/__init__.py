@@ -2,14 +2,16 @@
 
 from labelscope.sources.reports import read_report, write_report
 from labelscope.sources.scratch import materialize, shared_folder
-from labelscope.sources.tables import ensure_sample, read_csv, read_table
+from labelscope.sources.tables import NULL_MARK, ensure_sample, read_csv, read_table, write_csv
 
 __all__ = [
+    "NULL_MARK",
     "ensure_sample",
     "materialize",
     "read_csv",
     "read_report",
     "read_table",
     "shared_folder",
+    "write_csv",
     "write_report",
 ]

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from labelscope.sources.tables import NULL_MARK, read_csv, write_csv
 
-def write_report(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = True) -> str:
+
+def write_report(df: DataFrame, path: str, fmt: str = "csv", single_file: bool = False) -> str:
     """Write one report, replacing an older one at the same path.
 
-    Reports hold at most one row per pair of features, so one CSV file is the
-    default. Pass ``single_file=False`` for anything that grows with the rows.
+    Pass ``single_file=True`` for a report of at most one row per pair of
+    features; it must not be set for anything that grows with the rows.
     """
-    out = df.coalesce(1) if single_file else df
-    writer = out.write.mode("overwrite")
+    if single_file:
+        # a shuffle of the few finished rows: the plan before it stays parallel
+        df = df.repartition(1)
     if fmt == "csv":
-        writer.option("header", True).csv(path)
-    else:
-        writer.format(fmt).save(path)
+        return write_csv(df, path, "overwrite")
+    df.write.mode("overwrite").format(fmt).save(path)
     return path
 
 
 def read_report(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "csv") -> DataFrame:
     if fmt == "csv":
-        return spark.read.option("header", True).schema(schema).csv(path)
+        return read_csv(spark, path, schema, NULL_MARK)
     return spark.read.format(fmt).schema(schema).load(path)

@@ -138,7 +138,7 @@ def test_matrix_equals_pandas(table, sample, method):
     numbers = sample.drop(columns=["id", "colour"])
     expected = numbers.fillna(numbers.median()).corr(method=method)
     found = (
-        pearson_matrix(table, ROLES) if method == "pearson" else spearman_matrix(table, ROLES, ["id"])
+        pearson_matrix(table, ROLES) if method == "pearson" else spearman_matrix(table, ROLES)
     )
     rows = found.collect()
     assert len(rows) == expected.size
@@ -151,7 +151,7 @@ def test_spearman_with_ties(spark):
     pairs = zip([1, 2, 2, 3, 7], [4, 1, 1, 9, 2])
     rows = [(i, 0, a, b) for i, (a, b) in enumerate(pairs)]
     df = spark.createDataFrame(rows, "id int, y int, a int, b int")
-    rows = {(r.feat1, r.feat2): r.spearman for r in spearman_matrix(df, ROLES, ["id"]).collect()}
+    rows = {(r.feat1, r.feat2): r.spearman for r in spearman_matrix(df, ROLES).collect()}
     assert math.isclose(rows["a", "b"], 0.157894736842105, rel_tol=1e-12)
 
 
@@ -162,7 +162,7 @@ def test_spearman_ranks_inside_ranges(spark):
     a = np.where(rng.random(n) < 0.35, 1.5, rng.normal(0, 1, n).round(3))
     pdf = pd.DataFrame({"id": range(n), "y": 0, "a": a, "b": a + rng.normal(0, 1, n)})
     df = spark.createDataFrame(pdf).repartition(7)
-    rows = {(r.feat1, r.feat2): r.spearman for r in spearman_matrix(df, ROLES, ["id"]).collect()}
+    rows = {(r.feat1, r.feat2): r.spearman for r in spearman_matrix(df, ROLES).collect()}
     expected = pdf[["a", "b"]].corr(method="spearman").loc["a", "b"]
     assert abs(rows["a", "b"] - expected) < 1e-12
 
@@ -172,7 +172,7 @@ def test_spearman_of_more_columns_than_a_slice(spark):
     pdf = pd.DataFrame(rng.integers(0, 9, (60, 90)), columns=[f"c{i}" for i in range(90)])
     df = spark.createDataFrame(pdf.assign(id=range(60), y=0))
     expected = pdf.corr(method="spearman")
-    for r in spearman_matrix(df, ROLES, ["id"]).where("feat1 = 'c3' and feat2 like 'c8%'").collect():
+    for r in spearman_matrix(df, ROLES).where("feat1 = 'c3' and feat2 like 'c8%'").collect():
         assert abs(r.spearman - expected.loc[r.feat1, r.feat2]) < 1e-9
 
 
@@ -181,7 +181,7 @@ def test_constant_and_empty_columns_have_no_coefficient(spark):
         [(i, i % 2, float(i), 5.0, None) for i in range(20)],
         "id int, y int, x double, k double, e double",
     )
-    for found in (pearson_matrix(df, ROLES), spearman_matrix(df, ROLES, ["id"])):
+    for found in (pearson_matrix(df, ROLES), spearman_matrix(df, ROLES)):
         rows = {(r[0], r[1]): r[2] for r in found.collect()}
         assert len(rows) == 16
         assert rows["x", "k"] is None and rows["k", "k"] is None and rows["e", "x"] is None
@@ -191,7 +191,7 @@ def test_constant_and_empty_columns_have_no_coefficient(spark):
 def test_high_pairs_and_wide_matrix(table):
     features = ["y", "x", "twin"]
     part = table.select("id", *features)
-    p, s = pearson_matrix(part, ROLES), spearman_matrix(part, ROLES, ["id"])
+    p, s = pearson_matrix(part, ROLES), spearman_matrix(part, ROLES)
     assert [(r.feat1, r.feat2) for r in high_pairs(p, s, features).collect()] == [("x", "twin")]
     wide = matrix_wide(p, features)
     assert wide.columns == ["feature", *features]
@@ -356,3 +356,63 @@ def test_empty_table(spark):
     assert pearson_matrix(df, ROLES).count() == 0
     assert category_rates(df, ROLES).count() == 0
     assert density_histogram(df, ROLES).count() == 0
+
+
+def test_spearman_needs_no_key(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, 2000)
+    pdf = pd.DataFrame({"id": np.arange(2000) % 100, "y": rng.integers(0, 2, 2000), "x": x})
+    pdf["z"] = x + rng.normal(0, 0.2, 2000)
+    found = spearman_matrix(frame(spark, pdf, "id bigint, y int, x double, z double"), ROLES)
+    got = {(r.feat1, r.feat2): r.spearman for r in found.collect()}
+    assert math.isclose(got["x", "z"], pdf["x"].rank().corr(pdf["z"].rank()), rel_tol=1e-9)
+
+
+def test_spearman_with_deep_cuts(spark, monkeypatch):
+    from labelscope.operators import correlation
+
+    monkeypatch.setattr(correlation, "RANGE_ROWS", 2)
+    monkeypatch.setattr(correlation, "MAX_TARGETS", 12**3)
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"id": range(3000), "y": 0, "a": rng.lognormal(0, 3, 3000)})
+    pdf["b"] = np.where(rng.random(3000) < 0.5, 1.0, pdf["a"])
+    pdf["c"] = rng.integers(0, 9, 3000) + pdf["a"].rank()
+    found = spearman_matrix(frame(spark, pdf, "id int, y int, a double, b double, c double"), ROLES)
+    for r in found.collect():
+        expected = pdf[r.feat1].rank().corr(pdf[r.feat2].rank())
+        if r.spearman is None:
+            assert "y" in (r.feat1, r.feat2)
+        else:
+            assert math.isclose(r.spearman, expected, rel_tol=1e-9, abs_tol=1e-12)
+
+
+@pytest.mark.parametrize("label", ["yes", "2", 2])
+def test_labels_other_than_0_and_1_fail_loudly(spark, label):
+    df = spark.createDataFrame([(1, label, 1.0)], f"id int, y {'string' if label != 2 else 'int'}, x double")
+    with pytest.raises(Exception, match="label column y must be 0 or 1"):
+        information_values(df, ROLES).collect()
+
+
+def test_labels_as_text_and_numbers(spark):
+    values = ["1.0", "0", None, "1", "NaN", " 0 "]
+    df = spark.createDataFrame([(v,) for v in values], "y string")
+    found = [r[0] for r in df.select(ROLES.target()).collect()]
+    assert found == [1, 0, 0, 1, 0, 0]
+
+
+@pytest.mark.parametrize("schema", ["id int, y int, s string", "id int, y int, x double", "id int, y int"])
+def test_tables_without_a_class_of_features(spark, tmp_path, schema):
+    from labelscope.plans.suite import full_report
+
+    width = schema.count(",") + 1
+    rows = [(i, i % 2, *[str(i % 3) if "string" in schema else float(i)] * (width - 2)) for i in range(40)]
+    df = spark.createDataFrame(rows, schema)
+    full_report(df, ROLES, str(tmp_path), ["id"], seeds=1, trees=2, depth=2)
+    empty = df.where(F.lit(False))
+    assert information_values(empty, ROLES).collect() is not None
+    assert missing_stats(empty, ROLES).collect() is not None
+
+
+def test_scatter_without_pairs_is_empty(table):
+    found = scatter_pairs(table, ROLES, [("y", "x")], ["id"])
+    assert found.columns == ["feat1", "feat2", "id", "x", "y", "y"] or found.count() == 0

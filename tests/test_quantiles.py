@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelscope.functions import magnitude_cell
+from labelscope.operators import quantiles as quantile_module
 from labelscope.operators.longform import numeric_long
 from labelscope.operators.quantiles import (
     clip_range,
@@ -32,14 +33,16 @@ def draw(seed):
     }
 
 
-@pytest.mark.parametrize("grids", [(128,), (64, 4096), (16, 1024, 1 << 18)])
-def test_quantiles_equal_numpy_on_every_grid(spark, grids):
+@pytest.mark.parametrize(("grid", "parts"), [(64, 4096), (1, 3), (1024, 50)])
+def test_quantiles_equal_numpy_on_every_grid(spark, monkeypatch, grid, parts):
+    monkeypatch.setattr(quantile_module, "FIRST_GRID", grid)
+    monkeypatch.setattr(quantile_module, "PARTS", parts)
     data = draw(1)
     names = list(data)
     rows = [tuple(float(data[c][i]) for c in names) for i in range(3000)]
     df = spark.createDataFrame(rows, names).repartition(5)
     long = numeric_long(df, names)
-    found = quantiles(long, PROBS, len(names), grids=grids).collect()
+    found = quantiles(long, PROBS, len(names)).collect()
     assert len(found) == len(names)
     for row in found:
         expected = np.quantile(data[names[row.fid]], PROBS)
@@ -58,7 +61,7 @@ def test_nulls_and_nan_are_skipped(spark):
 def test_order_statistics_report_counts_below(spark):
     values = [1.0] * 3 + [2.0] * 4 + [9.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
-    found = order_statistics(numeric_long(df, ["x"]), every_nth(1000), 1000).orderBy("value")
+    found = order_statistics(numeric_long(df, ["x"]), every_nth(1000), 1, 1000).orderBy("value")
     assert [(r.value, r["count"], r.below, r.n) for r in found.collect()] == [
         (1.0, 3, 0, 8),
         (2.0, 4, 3, 8),
@@ -68,7 +71,7 @@ def test_order_statistics_report_counts_below(spark):
 
 def test_every_nth_makes_at_most_the_wanted_parts(spark):
     df = spark.range(1, 1001).select(F.col("id").cast("double").alias("x"))
-    found = order_statistics(numeric_long(df, ["x"]), every_nth(7), 7).collect()
+    found = order_statistics(numeric_long(df, ["x"]), every_nth(7), 1, 7).collect()
     assert sorted(r.below for r in found) == [0, 143, 286, 429, 572, 715, 858]
 
 
@@ -104,7 +107,31 @@ def test_clip_range_holds_the_values_between_the_quantiles(spark):
         assert (r.first, r.last, r.n) == (inside.min(), inside.max(), len(inside)), names[r.fid]
 
 
-def test_too_many_ranks_are_refused(spark):
-    df = spark.createDataFrame([(1.0,)], "x double")
-    with pytest.raises(ValueError, match="fewer features"):
-        order_statistics(numeric_long(df, ["x"]), every_nth(2_000_000), 2_000_000)
+def test_features_are_taken_in_slices(spark, monkeypatch):
+    data = draw(4)
+    names = list(data)
+    rows = [tuple(float(data[c][i]) for c in names) for i in range(500)]
+    long = numeric_long(spark.createDataFrame(rows, names), names)
+    whole = sorted(quantiles(long, PROBS, len(names)).collect())
+    monkeypatch.setattr(quantile_module, "MAX_TARGETS", 3 * 2 * len(PROBS))
+    assert sorted(quantiles(long, PROBS, len(names)).collect()) == whole
+
+
+def test_timestamps_of_a_day_are_no_single_group(spark, monkeypatch):
+    """The greatest number of rows that one window sees, in every pass."""
+    sizes = []
+    keep = quantile_module._keep_wanted
+
+    def counting(counted, group, at, wanted):
+        sizes.append(counted.groupBy(*group).count().agg(F.max("count")).first()[0])
+        return keep(counted, group, at, wanted)
+
+    monkeypatch.setattr(quantile_module, "_keep_wanted", counting)
+    n = 2_000_000
+    day = spark.range(n).select(
+        F.lit(0).alias("fid"),
+        (F.lit(1.7e12) + F.pmod(F.col("id") * 7_919, F.lit(86_400_000))).cast("double").alias("value"),
+    )
+    assert quantiles(day, [0.01, 0.5, 0.99], 1).count() == 1
+    assert len(sizes) >= 3
+    assert max(sizes) <= 10_000

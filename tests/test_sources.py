@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -9,13 +10,16 @@ from labelscope.operators.sampling import cap_rows, cap_rows_per_group, hash_sam
 from labelscope.plans.applications import ROLES, applications
 from labelscope.plans.suite import full_report
 from labelscope.roles import Roles
+from labelscope.functions import uniform_hash
 from labelscope.sources import (
+    NULL_MARK,
     ensure_sample,
     materialize,
     read_csv,
     read_report,
     read_table,
     shared_folder,
+    write_csv,
     write_report,
 )
 
@@ -30,12 +34,16 @@ def test_read_table_by_path_and_by_name(spark):
 
 def test_csv_with_schema_and_inferred(spark, tmp_path):
     df = spark.createDataFrame([(1, "a", 0.1), (2, None, None)], "k int, s string, x double")
-    path = write_report(df, str(tmp_path / "t"))
-    assert sorted(read_csv(spark, path, df.schema).collect()) == sorted(df.collect())
-    assert read_csv(spark, path).schema["x"].dataType.typeName() == "double"
+    path = write_csv(df, str(tmp_path / "t"))
+    found = read_csv(spark, path, df.schema, NULL_MARK)
+    assert sorted(found.collect()) == sorted(df.collect())
+    assert read_csv(spark, path, null_mark=NULL_MARK).schema["x"].dataType.typeName() == "double"
     again = write_report(df, str(tmp_path / "p"), fmt="parquet")
     assert read_report(spark, again, df.schema, "parquet").count() == 2
     assert read_report(spark, path, df.schema).count() == 2
+    plain = str(tmp_path / "plain")
+    df.write.option("header", True).csv(plain)
+    assert sorted(read_csv(spark, plain, df.schema).collect()) == sorted(df.collect())
 
 
 def test_sample_is_written_once(spark, tmp_path):
@@ -44,6 +52,26 @@ def test_sample_is_written_once(spark, tmp_path):
     first = {r.id for r in ensure_sample(df, path, ["id"], 0.1).collect()}
     second = {r.id for r in ensure_sample(spark.range(10), path, ["id"], 0.1).collect()}
     assert first == second and 400 < len(first) < 600
+    assert ensure_sample(df, path, ["id"], 0.5).count() > 2000
+    # a write that failed half-way: some rows, and no note that it was finished
+    broken = tmp_path / "broken"
+    done = ensure_sample(df, str(broken), ["id"], 0.1).inputFiles()[0].removeprefix("file://")
+    folder = Path(done).parents[1] / "done"
+    for file in folder.iterdir():
+        file.unlink()
+    (folder / "_temporary").mkdir()
+    spark.range(3).write.mode("overwrite").parquet(str(folder.parent / "rows"))
+    assert {r.id for r in ensure_sample(df, str(broken), ["id"], 0.1).collect()} == first
+
+
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = ["", None, "a,b", 'q"q', '""', "line\nbreak", "cr\rx", "crlf\r\nx", "\\N", "\\", 'a\\"b']
+    texts += [" lead", "trail ", "\t", "#c", "\n", '"', "é🙂", "null", "a\\", "x\u2028y", ",", "\x00"]
+    start = dt.datetime(2020, 1, 2, 3, 4, 5, 123456)
+    rows = [(i, t, start + dt.timedelta(microseconds=i), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id int, a string, ts timestamp, b string")
+    path = write_csv(df, str(tmp_path / "texts"))
+    assert sorted(read_csv(spark, path, df.schema, NULL_MARK).collect()) == sorted(df.collect())
 
 
 def test_samples_ignore_partitioning(spark):
@@ -61,6 +89,30 @@ def test_cap_per_group(spark):
     assert sizes == {"small": 40, "large": 300}
 
 
+@pytest.mark.parametrize("seed", range(10))
+def test_caps_lose_no_row_on_repeated_keys(spark, seed):
+    df = spark.range(20_000).select((F.col("id") % 20).alias("k"), "id", (F.col("id") % 2).alias("g"))
+    assert cap_rows(df, 5000, ["k"], seed).count() == 5000
+    assert cap_rows(df, 5000, None, seed).count() == 5000
+    assert cap_rows(df, 50_000, ["k"], seed).count() == 20_000
+    sizes = {r.g: r["count"] for r in cap_rows_per_group(df, 2000, ["g"], ["k"], seed).groupBy("g").count().collect()}
+    assert sizes == {0: 2000, 1: 2000}
+
+
+def test_caps_of_equal_rows_and_null_groups(spark):
+    df = spark.range(3000).select(F.lit(1).alias("k"), F.lit(None).cast("int").alias("g"))
+    assert cap_rows(df, 700, ["k"]).count() == 700
+    assert cap_rows_per_group(df, 700, ["g"], ["k"]).count() == 700
+    assert cap_rows(df.limit(0), 700).count() == 0
+
+
+def test_composite_keys_are_told_apart(spark):
+    rows = [("a", None), (None, "a"), ("a|b", ""), ("a", "b|"), ("a\\", "N"), ("\\N", "a")]
+    df = spark.createDataFrame(rows, "x string, y string")
+    found = df.select(uniform_hash(["x", "y"], 1, portable=True)).collect()
+    assert len(set(found)) == len(rows)
+
+
 def test_roles_classify_columns(spark):
     schema = "id int, y string, b byte, d decimal(10,2), f float, s string, t date, flag boolean"
     df = spark.createDataFrame([], schema)
@@ -109,10 +161,10 @@ def test_full_report_writes_every_table(spark, table, tmp_path):
         "feature_importance/iv_vs_rf": 13,
     }
     for name, rows in expected.items():
-        assert read_csv(spark, f"{out}/{name}").count() == rows, name
+        assert read_csv(spark, f"{out}/{name}", null_mark=NULL_MARK).count() == rows, name
     more = ("monthly_high_level_stats", "correlation_high_pairs", "correlations/points", "retention")
     for name in more:
-        assert read_csv(spark, f"{out}/{name}").count() > 0, name
+        assert read_csv(spark, f"{out}/{name}", null_mark=NULL_MARK).count() > 0, name
 
 
 def test_reports_scan_only_their_columns(spark, table):
