@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,9 +48,7 @@ def merged_runs(
         F.when(F.col("id").isNotNull(), F.struct("id")).alias("kept"),
         F.lit(1).cast("bigint").alias("n"),
     )
-    width = 1
-    while width < runs:
-        width *= fan_in
+    for _ in range(max(1, math.ceil(round(math.log(runs, fan_in), 9)))):
         level = (
             level.withColumn("run", F.floor(F.col("run") / fan_in))
             .groupBy("run", *key)
