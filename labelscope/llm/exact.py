@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.tables import folded, unused
+from labelscope.sources import materialize
 
 #: Runs at the leaves of the tree, and how many of them one merge takes.
 RUNS = 64
@@ -74,11 +75,12 @@ def exact_duplicates(
     are the same document and get the same verdict. Other columns of ``docs``
     may have any name. An empty table gives an empty result.
 
-    The texts stay where they are read: digests only are shuffled. The verdict
+    The texts are read once and stay where they are: digests are stored and
+    shuffled. The verdict
     returns to the rows by a join on the digest, whose partitions Spark may
     split where one digest is frequent.
     """
-    digests = _digested(docs, id_col, text_col)
+    digests = materialize(_digested(docs, id_col, text_col), "digests")
     key = ["digest", "n_bytes", "check"]
     groups = merged_runs(digests, keep, runs, fan_in)
     marked = digests.join(groups, key, "left")
