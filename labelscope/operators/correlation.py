@@ -18,7 +18,7 @@ from labelscope.operators.impute import (
     outlier_limits,
 )
 from labelscope.operators.longform import SLICE, feature_name, with_per_feature
-from labelscope.operators.quantiles import MAX_TARGETS, every_nth, order_statistics
+from labelscope.operators.quantiles import MAX_TARGETS, Known, every_nth, order_statistics
 from labelscope.operators.sampling import cap_rows_per_group
 from labelscope.roles import Roles
 from labelscope.sources.scratch import materialize
@@ -31,10 +31,12 @@ RANGE_ROWS = 50_000
 MOST_LEVELS = 5
 
 
-def pearson_matrix(df: DataFrame, roles: Roles) -> DataFrame:
+def pearson_matrix(df: DataFrame, roles: Roles, known: Known | None = None) -> DataFrame:
     """``(feat1, feat2, pearson)`` over all ordered pairs of imputed columns."""
     source, features = matrix_source(df, roles)
-    known = with_per_feature(source, "_m", medians(source, features), features, "median")
+    known = with_per_feature(
+        source, "_m", medians(source, features, known), features, "median"
+    )
     # shifting by the median changes no coefficient and keeps the sums small
     centred = []
     for i, c in enumerate(features):
@@ -44,7 +46,7 @@ def pearson_matrix(df: DataFrame, roles: Roles) -> DataFrame:
     return _correlate(known.selectExpr(f"array({cells}) AS x"), features, "pearson")
 
 
-def spearman_matrix(df: DataFrame, roles: Roles) -> DataFrame:
+def spearman_matrix(df: DataFrame, roles: Roles, known: Known | None = None) -> DataFrame:
     """``(feat1, feat2, spearman)`` over all ordered pairs of imputed columns.
 
     Ties get their average rank. Rows need no key: the columns of the matrix
@@ -60,7 +62,9 @@ def spearman_matrix(df: DataFrame, roles: Roles) -> DataFrame:
         ),
         "numbered-rows",
     )
-    by_row = rank_rows(numbered, [f"c{i}" for i in range(len(features))], "_row").groupBy("_row")
+    middle = materialize(medians(source, features, known), "medians")
+    columns = [f"c{i}" for i in range(len(features))]
+    by_row = rank_rows(numbered, columns, "_row", middle).groupBy("_row")
     if len(features) <= SLICE:
         cells = [f"max(if(fid = {i}, rank, null))" for i in range(len(features))]
         gathered = by_row.agg(F.expr(f"array({', '.join(cells)})").alias("x"))
@@ -72,21 +76,23 @@ def spearman_matrix(df: DataFrame, roles: Roles) -> DataFrame:
     return _correlate(gathered.select("x"), features, "spearman")
 
 
-def rank_rows(df: DataFrame, features: Sequence[str], row: str) -> DataFrame:
+def rank_rows(
+    df: DataFrame, features: Sequence[str], row: str, middle: DataFrame
+) -> DataFrame:
     """``(row, fid, rank)``: average ranks of the imputed values of each feature,
-    shifted to a mean of zero. ``row`` is a unique column of a stored table.
+    shifted to a mean of zero. ``row`` is a unique column of a stored table,
+    ``middle`` the stored medians.
 
     Exact order statistics at equal steps cut the values of a feature into
     ranges of one step, more of them the more rows there are. Every value more
     frequent than a step is itself a cut point, so its rows take their rank
     from a small lookup and are never gathered; the rest are ranked inside
-    their range, at most a step of rows. Medians and cut points are small and
-    read several times, so they are stored.
+    their range, at most a step of rows. Cut points are small and read several
+    times, so they are stored.
     """
     rows, levels = df.count(), 1
     while levels < MOST_LEVELS and rows > RANGE_ROWS * FAN**levels:
         levels += 1
-    middle = materialize(medians(df, features), "medians")
     # the cut points of a slice of features are broadcast
     step = max(1, MAX_TARGETS // FAN**levels)
     parts = [
@@ -190,6 +196,7 @@ def scatter_pairs(
     n_std: float = 5,
     seed: int = 42,
     portable: bool = False,
+    known: Known | None = None,
 ) -> DataFrame:
     """Points of the listed pairs: ``(feat1, feat2, keys…, x, y, label)``.
 
@@ -210,7 +217,7 @@ def scatter_pairs(
         return nothing.where(F.lit(False))
     source, columns = matrix_source(df, roles)
     features = [c for c in columns if any(c in p for p in pairs)]
-    limits = outlier_limits(source, features)
+    limits = outlier_limits(source, features, known)
     known = with_per_feature(source, "_s", limits, features, "median", "mean", "std")
     clean = []
     for i, c in enumerate(features):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.operators.longform import feature_name, numeric_long, text_long
-from labelscope.operators.quantiles import approx_quantiles, quantiles
+from labelscope.operators.quantiles import Known, approx_quantiles, feature_quantiles
 from labelscope.roles import Roles
 
 # The reported percentiles.
@@ -23,8 +23,8 @@ PERCENTILES = {
 }
 
 
-def _all_but_ignored(df: DataFrame, roles: Roles) -> tuple[list[str], list[str]]:
-    # the summary covers the label and the booked flag, but not the date
+def summarised(df: DataFrame, roles: Roles) -> tuple[list[str], list[str]]:
+    """The features of the summary: label and booked flag too, but not the date."""
     keep = tuple(c for c in (roles.label, roles.booked) if c and c not in roles.ignore)
     return roles.numeric(df, keep), roles.categorical(df, keep)
 
@@ -33,7 +33,7 @@ def numeric_describe(
     df: DataFrame, roles: Roles, features: Sequence[str] | None = None
 ) -> DataFrame:
     """Per numeric feature: count, mean, sample std, min, max of present values."""
-    features = list(features or _all_but_ignored(df, roles)[0])
+    features = list(features or summarised(df, roles)[0])
     return (
         numeric_long(df, features)
         .groupBy("fid")
@@ -54,28 +54,33 @@ def numeric_percentiles(
     features: Sequence[str] | None = None,
     method: str = "exact",
     accuracy: int = 10_000,
+    known: Known | None = None,
 ) -> DataFrame:
     """p1 … p99 per numeric feature, exact and interpolated or sketched."""
-    features = list(features or _all_but_ignored(df, roles)[0])
-    long = numeric_long(df, features)
+    features = list(features or summarised(df, roles)[0])
     names, probs = list(PERCENTILES), list(PERCENTILES.values())
     if method == "exact":
-        q = quantiles(long, probs, len(features), names)
+        q = feature_quantiles(df, features, probs, names, known)
     elif method == "approx":
-        q = approx_quantiles(long, probs, names, accuracy)
+        q = approx_quantiles(numeric_long(df, features), probs, names, accuracy)
     else:
         raise ValueError(f"unknown method {method!r}")
     return q.select(feature_name(features).alias("feature"), *names)
 
 
 def numeric_summary(
-    df: DataFrame, roles: Roles, method: str = "exact", accuracy: int = 10_000
+    df: DataFrame,
+    roles: Roles,
+    method: str = "exact",
+    accuracy: int = 10_000,
+    known: Known | None = None,
 ) -> DataFrame:
     """:func:`numeric_describe` with the percentiles beside it; null where a
     feature has no value at all."""
-    features = _all_but_ignored(df, roles)[0]
+    features = summarised(df, roles)[0]
     basic = numeric_describe(df, roles, features)
-    return basic.join(numeric_percentiles(df, roles, features, method, accuracy), "feature", "left")
+    percentiles = numeric_percentiles(df, roles, features, method, accuracy, known)
+    return basic.join(percentiles, "feature", "left")
 
 
 def categorical_describe(
@@ -86,7 +91,7 @@ def categorical_describe(
     Values are counted first and features second, so a frequent value costs one
     row per task and a high-cardinality feature is spread over all tasks.
     """
-    features = list(features or _all_but_ignored(df, roles)[1])
+    features = list(features or summarised(df, roles)[1])
     per_value = text_long(df, features).groupBy("fid", "value").agg(F.count("*").alias("n"))
     present = F.col("value").isNotNull()
     return (

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from labelscope.functions.binning import width_index
 from labelscope.functions.columns import ratio
 from labelscope.operators.longform import feature_name, numeric_long, text_long
-from labelscope.operators.quantiles import clip_range, quantiles
+from labelscope.operators.quantiles import Known, clip_range, feature_quantiles, quantiles
 from labelscope.roles import Roles
 
 # Clipping probabilities, category limit, curve points.
@@ -19,10 +19,10 @@ TOP_CATEGORIES = 20
 GRID_POINTS = 200
 
 
-def clip_bounds(df: DataFrame, roles: Roles) -> DataFrame:
+def clip_bounds(df: DataFrame, roles: Roles, known: Known | None = None) -> DataFrame:
     """``(feature, lower, upper)``: exact 1 % and 99 % quantiles."""
     features = roles.numeric(df)
-    q = quantiles(numeric_long(df, features), CLIP, len(features), ["lower", "upper"])
+    q = feature_quantiles(df, features, CLIP, ["lower", "upper"], known)
     return q.select(feature_name(features).alias("feature"), "lower", "upper")
 
 

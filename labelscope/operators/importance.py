@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.columns import quoted, text_sql, uniform_hash
-from labelscope.operators.impute import median_impute
+from labelscope.operators.impute import median_impute, medians
 from labelscope.operators.information import MISSING
 from labelscope.operators.longform import numeric_long, text_long
+from labelscope.operators.quantiles import Known
 from labelscope.roles import Roles
 from labelscope.sources.scratch import materialize
 
@@ -113,7 +114,9 @@ def _split_lookup(rows: DataFrame, table: DataFrame) -> DataFrame:
     return joined.withColumn("_code", F.coalesce("_hot_code", "_rare_code"))
 
 
-def model_table(df: DataFrame, roles: Roles) -> tuple[DataFrame, list[str]]:
+def model_table(
+    df: DataFrame, roles: Roles, known: Known | None = None
+) -> tuple[DataFrame, list[str]]:
     """Features as doubles without nulls, the 0/1 label and a balancing weight.
 
     Numeric features without any value are left out.
@@ -127,7 +130,10 @@ def model_table(df: DataFrame, roles: Roles) -> tuple[DataFrame, list[str]]:
         features = [c for c in features if c in used or c not in numeric]
         numeric = [c for c in numeric if c in used]
     encoded = ordinal_encode(df.select(label, *[F.col(quoted(c)) for c in features]), other)
-    filled = median_impute(encoded, numeric, ["_label", *other]) if numeric else encoded
+    filled = encoded
+    if numeric:
+        middle = medians(df, numeric, known)
+        filled = median_impute(encoded, numeric, ["_label", *other], middle)
     bad = F.count_if(F.col("_label") == 1)
     size = df.select(label).agg(F.struct(F.count("*").alias("n"), bad.alias("bad")).alias("t"))
     own = F.when(F.col("_label") == 1, F.col("_t.bad")).otherwise(F.col("_t.n") - F.col("_t.bad"))
@@ -144,6 +150,7 @@ def rf_importance_by_seed(
     trees: int = TREES,
     depth: int = DEPTH,
     fit_rows: int | None = None,
+    known: Known | None = None,
 ) -> DataFrame:
     """``(seed, feature, importance)``; the importances of a seed sum to 1.
 
@@ -153,7 +160,7 @@ def rf_importance_by_seed(
     forests are fitted on all rows.
     """
     spark = df.sparkSession
-    prepared, features = model_table(df, roles)
+    prepared, features = model_table(df, roles, known)
     if not features:
         return spark.createDataFrame([], "seed int, feature string, importance double")
     if fit_rows is not None:

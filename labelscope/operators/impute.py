@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 
 from labelscope.functions.columns import double_sql, quoted
 from labelscope.operators.longform import feature_name, numeric_long, with_per_feature
-from labelscope.operators.quantiles import quantiles
+from labelscope.operators.quantiles import Known, feature_quantiles
 from labelscope.roles import Roles
 
 
-def medians(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def medians(df: DataFrame, features: Sequence[str], known: Known | None = None) -> DataFrame:
     """``(fid, median)`` with exact, interpolated medians of present values."""
-    long = numeric_long(df, features)
-    return quantiles(long, [0.5], len(features), ["median"]).select("fid", "median")
+    return feature_quantiles(df, features, [0.5], ["median"], known).select("fid", "median")
 
 
 def matrix_source(df: DataFrame, roles: Roles) -> tuple[DataFrame, list[str]]:
@@ -58,7 +57,9 @@ def imputed_long(
     return long.withColumn("value", F.coalesce("value", "median"))
 
 
-def outlier_limits(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def outlier_limits(
+    df: DataFrame, features: Sequence[str], known: Known | None = None
+) -> DataFrame:
     """``(fid, median, mean, std)`` of the imputed features.
 
     Mean and variance follow from the present values and the number of nulls
@@ -76,7 +77,7 @@ def outlier_limits(df: DataFrame, features: Sequence[str]) -> DataFrame:
     mean = (k * m + filled * middle) / n
     # spread inside the present values, plus the distance of the two groups
     squares = k * v + k * filled / n * (m - middle) * (m - middle)
-    return present.join(medians(df, features), "fid").select(
+    return present.join(medians(df, features, known), "fid").select(
         "fid",
         "median",
         mean.alias("mean"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelscope.functions.binning import edge_index
 from labelscope.operators.longform import feature_name, numeric_long, text_long
-from labelscope.operators.quantiles import quantiles
+from labelscope.operators.quantiles import Known, feature_quantiles
 from labelscope.roles import Roles
 
 # Smoothing of counts, and the largest number of bins.
@@ -22,6 +22,7 @@ def iv_bins(
     bins: int = MAX_BINS,
     missing: str = "bin",
     binning: str = "quantile",
+    known: Known | None = None,
 ) -> DataFrame:
     """``(feature, bin, good, bad, woe, iv)`` for every bin of every feature.
 
@@ -40,7 +41,13 @@ def iv_bins(
     parts = []
     if numeric := roles.numeric(df):
         long = numeric_long(df, numeric, y)
-        counted = _numeric_counts(long, len(numeric), bins, missing, binning)
+        cuts = None
+        if binning == "quantile":
+            probs, names = decile_cuts(bins), [f"q{k}" for k in range(bins + 1)]
+            cuts = feature_quantiles(df, numeric, probs, names, known)
+        elif binning != "width":
+            raise ValueError(f"unknown binning {binning!r}")
+        counted = _numeric_counts(long, bins, missing, cuts)
         parts.append(counted.withColumn("feature", feature_name(numeric)))
     other = roles.categorical(df)
     if other or not numeric:
@@ -77,19 +84,26 @@ def information_values(
     bins: int = MAX_BINS,
     missing: str = "bin",
     binning: str = "quantile",
+    known: Known | None = None,
 ) -> DataFrame:
     """``(feature, iv, n_bins)`` for every feature, highest value first."""
     return (
-        iv_bins(df, roles, bins, missing, binning)
+        iv_bins(df, roles, bins, missing, binning, known)
         .groupBy("feature")
         .agg(F.sum("iv").alias("iv"), F.count("*").alias("n_bins"))
         .orderBy(F.desc("iv"), "feature")
     )
 
 
+def decile_cuts(bins: int = MAX_BINS) -> list[float]:
+    """The probabilities at which a feature is cut."""
+    return [k / bins for k in range(bins + 1)]
+
+
 def _numeric_counts(
-    long: DataFrame, features: int, bins: int, missing: str, binning: str
+    long: DataFrame, bins: int, missing: str, cuts: DataFrame | None
 ) -> DataFrame:
+    """Counts per bin, cut at the given quantiles or else at equal widths."""
     value = F.col("value")
     # A HyperLogLog estimate cannot exceed the number of values by much while
     # so few registers are set, so a high estimate proves "more than bins".
@@ -101,17 +115,13 @@ def _numeric_counts(
         F.count("value").alias("present"),
         F.sum(F.when(value.isNotNull(), F.col("y"))).cast("bigint").alias("bad_present"),
     )
-    if binning == "quantile":
-        probs = [k / bins for k in range(bins + 1)]
-        cuts = quantiles(long, probs, features)
+    if cuts is not None:
         # edges equal to an earlier one, or to the minimum, bound no bin
         edges = [f"if(q{k} > q{k - 1}, q{k}, null) AS e{k}" for k in range(1, bins)]
         info = profile.join(cuts.selectExpr("fid", *edges), "fid", "left")
-    elif binning == "width":
+    else:
         edges = [f"low + (high - low) / {bins} * {k} AS e{k}" for k in range(1, bins)]
         info = profile.selectExpr("*", *edges)
-    else:
-        raise ValueError(f"unknown binning {binning!r}")
     edge_cols = [f"e{k}" for k in range(1, bins)]
     carried = ["about", "present", "bad_present"]
     # one row per feature

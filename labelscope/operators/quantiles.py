@@ -13,12 +13,14 @@ the result does not depend on partitioning, retries or the number of passes.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.binning import magnitude_cell
+from labelscope.operators.longform import feature_name, numeric_long
 from labelscope.sources.scratch import materialize
 
 # Cells of the first grid per factor e, and parts of a cell in each pass after it.
@@ -157,6 +159,52 @@ def quantiles(
     return cut.select("fid", "n", *[F.get("q", F.lit(i)).alias(c) for i, c in enumerate(names)])
 
 
+@dataclass(frozen=True)
+class Known:
+    """Quantiles of many features, stored: ``feature, n, q0, q1, …``."""
+
+    features: tuple[str, ...]
+    probabilities: tuple[float, ...]
+    table: DataFrame
+
+    def of(
+        self, features: Sequence[str], probabilities: Sequence[float], names: Sequence[str]
+    ) -> DataFrame | None:
+        """What :func:`quantiles` gives for the features, or None if it isn't known."""
+        if not set(features) <= set(self.features):
+            return None
+        if not set(probabilities) <= set(self.probabilities):
+            return None
+        place = [self.probabilities.index(p) for p in probabilities]
+        fid = F.array_position(F.array(*[F.lit(f) for f in features]), F.col("feature")) - 1
+        columns = [F.col(f"q{i}").alias(c) for i, c in zip(place, names, strict=True)]
+        return self.table.select(fid.cast("int").alias("fid"), "n", *columns).where("fid >= 0")
+
+
+def known_quantiles(
+    df: DataFrame, features: Sequence[str], probabilities: Sequence[float]
+) -> Known:
+    """Exact quantiles of the features, found once for all operators that need some."""
+    probabilities = tuple(sorted(set(map(float, probabilities))))
+    found = quantiles(numeric_long(df, features), probabilities, len(features))
+    named = found.select(feature_name(features).alias("feature"), *found.columns[1:])
+    return Known(tuple(features), probabilities, materialize(named, "quantiles"))
+
+
+def feature_quantiles(
+    df: DataFrame,
+    features: Sequence[str],
+    probabilities: Sequence[float],
+    names: Sequence[str],
+    known: Known | None = None,
+) -> DataFrame:
+    """:func:`quantiles` of columns of a table, taken from ``known`` where it has them."""
+    found = known.of(features, probabilities, names) if known and features else None
+    if found is None:
+        found = quantiles(numeric_long(df, features), probabilities, len(features), names)
+    return found
+
+
 def clip_range(values: DataFrame, low: float, high: float, features: int) -> DataFrame:
     """``(fid, first, last, n)``: the smallest and largest value between two
     quantiles, and the number of values from one to the other."""

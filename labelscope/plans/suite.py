@@ -13,8 +13,14 @@ from labelscope.operators.correlation import (
     scatter_pairs,
     spearman_matrix,
 )
-from labelscope.operators.describe import categorical_describe, numeric_summary
+from labelscope.operators.describe import (
+    PERCENTILES,
+    categorical_describe,
+    numeric_summary,
+    summarised,
+)
 from labelscope.operators.distribution import (
+    CLIP,
     category_rates,
     class_means,
     clip_bounds,
@@ -27,8 +33,9 @@ from labelscope.operators.importance import (
     rf_importance_by_seed,
 )
 from labelscope.operators.impute import matrix_source
-from labelscope.operators.information import information_values
+from labelscope.operators.information import decile_cuts, information_values
 from labelscope.operators.missing import missing_stats
+from labelscope.operators.quantiles import Known, known_quantiles
 from labelscope.operators.trend import (
     age_bin_bootstrap,
     age_bin_rates,
@@ -62,9 +69,11 @@ def missing_report(df: DataFrame, roles: Roles, out: str) -> DataFrame:
     return _writer(out)("missing_rates", missing_stats(df, roles))
 
 
-def summary_report(df: DataFrame, roles: Roles, out: str, method: str = "exact") -> None:
+def summary_report(
+    df: DataFrame, roles: Roles, out: str, method: str = "exact", known: Known | None = None
+) -> None:
     write = _writer(out)
-    write("basic_stats_numeric_features", numeric_summary(df, roles, method))
+    write("basic_stats_numeric_features", numeric_summary(df, roles, method, known=known))
     write("basic_stats_categorical_features", categorical_describe(df, roles))
 
 
@@ -90,20 +99,24 @@ def trend_report(
         write("application_volume_histogram", window_histogram(df))
 
 
-def distribution_report(df: DataFrame, roles: Roles, out: str) -> None:
+def distribution_report(
+    df: DataFrame, roles: Roles, out: str, known: Known | None = None
+) -> None:
     write = _writer(f"{out}/distribution_by_fraud")
-    write("clip_bounds", clip_bounds(df, roles))
+    write("clip_bounds", clip_bounds(df, roles, known))
     write("class_means", class_means(df, roles))
     write("density", density_histogram(df, roles, "auto"))
     write("density_curves", kde_curve(df, roles))
     write("category_rates", category_rates(df, roles))
 
 
-def correlation_report(df: DataFrame, roles: Roles, out: str, keys: Sequence[str]) -> None:
+def correlation_report(
+    df: DataFrame, roles: Roles, out: str, keys: Sequence[str], known: Known | None = None
+) -> None:
     write = _writer(out)
     _, features = matrix_source(df, roles)
-    pearson = write("correlation_long_pearson", pearson_matrix(df, roles))
-    spearman = write("correlation_long_spearman", spearman_matrix(df, roles))
+    pearson = write("correlation_long_pearson", pearson_matrix(df, roles, known))
+    spearman = write("correlation_long_spearman", spearman_matrix(df, roles, known))
     write("correlation_all_features_pearson", matrix_wide(pearson, features))
     write("correlation_all_features_spearman", matrix_wide(spearman, features))
     found = write("correlation_high_pairs", high_pairs(pearson, spearman, features))
@@ -111,14 +124,17 @@ def correlation_report(df: DataFrame, roles: Roles, out: str, keys: Sequence[str
     pairs = [(r.feat1, r.feat2) for r in found.select("feat1", "feat2").collect()]
     pairs = [p for p in pairs if roles.label not in p]
     if pairs:
-        write("correlations/points", scatter_pairs(df, roles, pairs, keys))
+        write("correlations/points", scatter_pairs(df, roles, pairs, keys, known=known))
 
 
-def importance_report(df: DataFrame, roles: Roles, out: str, **forest: int) -> DataFrame:
+def importance_report(
+    df: DataFrame, roles: Roles, out: str, known: Known | None = None, **forest: int
+) -> DataFrame:
     """The importance reports; the stored Information Values are handed back."""
     write = _writer(f"{out}/feature_importance")
-    iv = write("information_values", information_values(df, roles))
-    rf = write("rf_feature_importance", rf_importance(rf_importance_by_seed(df, roles, **forest)))
+    iv = write("information_values", information_values(df, roles, known=known))
+    by_seed = rf_importance_by_seed(df, roles, known=known, **forest)
+    rf = write("rf_feature_importance", rf_importance(by_seed))
     write("iv_vs_rf", importance_comparison(iv, rf))
     return iv
 
@@ -129,10 +145,13 @@ def full_report(df: DataFrame, roles: Roles, out: str, keys: Sequence[str], **fo
     Reports whose columns the table doesn't have are left out: those by month
     without a date, by age without an age, of look-backs without any.
     """
+    # one search for the percentiles, clip bounds, medians and bin edges of all reports
+    wanted = [*PERCENTILES.values(), *CLIP, 0.5, *decile_cuts()]
+    known = known_quantiles(df, summarised(df, roles)[0], wanted)
     missing = missing_report(df, roles, out)
-    summary_report(df, roles, out)
+    summary_report(df, roles, out, known=known)
     trend_report(df, roles, out, keys)
-    distribution_report(df, roles, out)
-    correlation_report(df, roles, out, keys)
-    values = importance_report(df, roles, out, **forest)
+    distribution_report(df, roles, out, known)
+    correlation_report(df, roles, out, keys, known)
+    values = importance_report(df, roles, out, known, **forest)
     _writer(out)("retention", retention_report(missing, values))

@@ -92,3 +92,31 @@ def test_retention_keeps_missing_but_predictive_features(spark):
     missing = spark.createDataFrame(rates, "feature string, missing_rate double")
     iv = spark.createDataFrame([("a", 0.2), ("b", 0.01), ("c", 0.5)], "feature string, iv double")
     assert [r.feature for r in retention_report(missing, iv).collect()] == ["a"]
+
+
+def test_only_large_code_tables_are_shuffled(spark, monkeypatch):
+    """One column of many values among small ones costs one shuffle join."""
+    monkeypatch.setattr(importance, "BROADCAST_CODES", 100)
+    df = spark.range(5000).select(
+        "id",
+        F.concat(F.lit("value "), "id").alias("many"),
+        (F.col("id") % 2).cast("string").alias("flag"),
+        (F.col("id") % 7).cast("string").alias("a.b"),
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        encoded = ordinal_encode(df, ["many", "flag", "a.b"])
+        plan = encoded._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("SortMergeJoin") == 1
+    assert encoded.columns == df.columns
+    assert {r["a.b"] for r in encoded.select("`a.b`").distinct().collect()} == set(range(7))
+
+
+def test_forests_on_stated_rows_and_dotted_names(spark, table):
+    dotted = table.withColumnRenamed("strong", "a.strong").drop("empty")
+    found = rf_importance_by_seed(dotted, ROLES, seeds=1, trees=5, depth=3, fit_rows=500)
+    by_name = {r.feature: r.importance for r in found.collect()}
+    assert set(by_name) == {"a.strong", "weak", "kind"}
+    assert max(by_name, key=by_name.get) == "a.strong"

@@ -135,3 +135,17 @@ def test_timestamps_of_a_day_are_no_single_group(spark, monkeypatch):
     assert quantiles(day, [0.01, 0.5, 0.99], 1).count() == 1
     assert len(sizes) >= 3
     assert max(sizes) <= 10_000
+
+
+def test_known_quantiles_stand_in_for_a_search(spark, monkeypatch):
+    data = draw(5)
+    names = list(data)
+    rows = [tuple(float(data[c][i]) for c in names) for i in range(400)]
+    df = spark.createDataFrame(rows, names)
+    known = quantile_module.known_quantiles(df, names, [*PROBS, 0.5])
+    wanted = (["offset", "normal"], [0.5, 0.1], ["middle", "low"])
+    searched = sorted(quantile_module.feature_quantiles(df, *wanted).collect())
+    monkeypatch.setattr(quantile_module, "quantiles", None)
+    assert sorted(quantile_module.feature_quantiles(df, *wanted, known).collect()) == searched
+    assert known.of(["other"], [0.5], ["q"]) is None
+    assert known.of(["normal"], [0.3], ["q"]) is None

@@ -167,6 +167,19 @@ def test_full_report_writes_every_table(spark, table, tmp_path):
         assert read_csv(spark, f"{out}/{name}", null_mark=NULL_MARK).count() > 0, name
 
 
+def test_full_report_searches_quantiles_few_times(spark, table, tmp_path, monkeypatch):
+    """One search for all shared quantiles; clipping and Spearman need their own."""
+    from labelscope.operators import quantiles
+
+    calls = []
+    search = quantiles._order_statistics
+    monkeypatch.setattr(
+        quantiles, "_order_statistics", lambda *a: calls.append(1) or search(*a)
+    )
+    full_report(table, ROLES, str(tmp_path), ["application_id"], seeds=1, trees=2, depth=2)
+    assert len(calls) <= 5
+
+
 def test_reports_scan_only_their_columns(spark, table):
     from labelscope.operators.trend import monthly_stats
 
