@@ -36,6 +36,7 @@ from labelscope.sources import (  # noqa: E402
     write_csv,
 )
 from verification import inputs as given  # noqa: E402
+from verification import relations  # noqa: E402
 from verification.oracle import ORACLES, SCATTER  # noqa: E402
 
 # The training-data operators and their pipeline are optional.
@@ -260,6 +261,23 @@ def queries() -> dict[str, Query]:
                 missing.missing_stats(df, APP), information.information_values(df, APP)
             )
         ),
+        # what must hold of results that SQL can't give, and reports read back
+        "bernoulli_sample_size": _app(lambda df: relations.sample_size(df, KEY)),
+        "sketched_percentile_ranks": _app(lambda df: relations.sketch_ranks(df, APP)),
+        "age_bin_bootstrap_brackets": _app(lambda df: relations.bootstrap_brackets(df, APP)),
+        "kde_curve_error": _app(lambda df: relations.curve_error(df, APP)),
+        "rf_importance_sums": _app(lambda df: relations.importance_sums(df, APP)),
+        "importance_comparison_top30": _on(
+            vector, lambda df: relations.compared(df, vector_roles)
+        ),
+        "importance_over_seeds": lambda spark, folder: rounded(
+            relations.importance_over_seeds(read_table(spark, f"{folder}/lineitem.parquet"))
+        ),
+        "missing_report_file": _app(lambda df: relations.written(missing.missing_stats(df, APP))),
+        "importance_report_file": _on(
+            vector,
+            lambda df: relations.written(relations.given_importance(df, vector_roles), False),
+        ),
         # the same operators on other tables
         "document_missing_stats": _on(doc, lambda df: missing.missing_stats(df, doc_roles)),
         "document_iv": _on(doc, lambda df: information.information_values(df, doc_roles)),

@@ -540,7 +540,44 @@ TABLE_COLUMNS = """application_id, applicationdate, customer_id, booked, label,
   cc_days_since_last_pd, max_line_price, o_totalprice, c_acctbal, o_orderpriority,
   c_mktsegment, nation"""
 
+DISTANCE = """d AS (SELECT feature, abs(AVG(value) FILTER (WHERE y = 1)
+  - AVG(value) FILTER (WHERE y = 0)) AS rf_importance_mean FROM num GROUP BY feature)"""
+COMPARED = VECTOR.query(
+    f"""SELECT feature, {r("iv")} AS iv, n_bins, {r("rf_importance_mean")} AS rf_importance_mean,
+    0.0::DOUBLE AS rf_importance_std, {r("iv / (SELECT max(iv) FROM i)")} AS iv_norm,
+    {r("rf_importance_mean / (SELECT max(rf_importance_mean) FROM d)")} AS rf_norm
+    FROM i JOIN d USING (feature) ORDER BY i.iv DESC, feature LIMIT 30""",
+    *iv_ctes(VECTOR),
+    DISTANCE,
+    """i AS (SELECT feature, SUM(iv) AS iv, CAST(COUNT(*) AS BIGINT) AS n_bins
+      FROM ivb GROUP BY feature)""",
+)
+NAMED = "', '".join((*APP.numeric, "label", "booked"))
+PERCENTILE_NAMES = ", ".join(f"'{name}'" for name, _ in PERCENTILES)
+AGE_BINS = ("new_custs_<6mo", "newish_6mo_1y", "somewhat_new_1y_2y", "established_>2y")
+
 ORACLES: dict[str, str] = {
+    "bernoulli_sample_size": "SELECT true AS inside, true AS near",
+    "sketched_percentile_ranks": f"""SELECT unnest(['{NAMED}']) AS feature, percentile,
+      true AS "within" FROM (SELECT unnest([{PERCENTILE_NAMES}]) AS percentile)""",
+    "age_bin_bootstrap_brackets": f"""SELECT unnest({list(AGE_BINS)}) AS relat_age_bin,
+      true AS holds, true AS near""",
+    "kde_curve_error": f"SELECT DISTINCT feature, label, true AS near FROM ({kde(APP)})",
+    "rf_importance_sums": f"""SELECT unnest([0, 1])::INTEGER AS seed,
+      {len(APP.numeric) + len(APP.text)}::BIGINT AS features, 1.0::DOUBLE AS total""",
+    "importance_comparison_top30": COMPARED,
+    "importance_over_seeds": f"""SELECT feature, {r("AVG(share)")} AS rf_importance_mean,
+      {r("STDDEV_SAMP(share)")} AS rf_importance_std FROM (
+        SELECT feature, q / SUM(q) OVER (PARTITION BY seed) AS share FROM (
+          SELECT l_linenumber % 5 AS seed, l_returnflag || '-' || l_linestatus AS feature,
+                 SUM(l_quantity) AS q FROM lineitem GROUP BY 1, 2)) GROUP BY feature""",
+    "missing_report_file": missing(APP),
+    "importance_report_file": VECTOR.query(
+        f"""SELECT feature, {r("rf_importance_mean")} AS rf_importance_mean,
+        0.0::DOUBLE AS rf_importance_std FROM d""",
+        num_cte(VECTOR),
+        DISTANCE,
+    ),
     "applications": APP.query(f"SELECT {TABLE_COLUMNS} FROM t"),
     "csv_round_trip": APP.query(f"SELECT {TABLE_COLUMNS} FROM t"),
     "documents_csv_round_trip": "SELECT * FROM documents",
