@@ -15,7 +15,7 @@ from labelscope.operators.information import MISSING
 from labelscope.operators.longform import numeric_long, text_long
 from labelscope.operators.quantiles import Known
 from labelscope.roles import Roles
-from labelscope.sources.scratch import materialize
+from labelscope.sources.scratch import materialize, temporary_tables
 
 # Forest settings.
 SEEDS = 5
@@ -160,29 +160,30 @@ def rf_importance_by_seed(
     forests are fitted on all rows.
     """
     spark = df.sparkSession
-    prepared, features = model_table(df, roles, known)
-    if not features:
-        return spark.createDataFrame([], "seed int, feature string, importance double")
-    if fit_rows is not None:
-        share = min(1.0, fit_rows / max(1, df.count()))
-        prepared = prepared.where(uniform_hash(prepared.columns, 42) < share)
-    # Spark ML reads a dot in a name as a field
-    inputs = [f"x{i}" for i in range(len(features))]
-    table = materialize(prepared.toDF("_label", "_weight", *inputs), "model")
-    assembled = VectorAssembler(inputCols=inputs, outputCol="_x").transform(table)
-    rows = []
-    for seed in range(seeds):
-        forest = RandomForestClassifier(
-            featuresCol="_x",
-            labelCol="_label",
-            weightCol="_weight",
-            numTrees=trees,
-            maxDepth=depth,
-            cacheNodeIds=True,
-            seed=seed,
-        )
-        model = forest.fit(assembled.select("_x", "_label", "_weight"))
-        rows += [(seed, f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+    with temporary_tables(spark):
+        prepared, features = model_table(df, roles, known)
+        if not features:
+            return spark.createDataFrame([], "seed int, feature string, importance double")
+        if fit_rows is not None:
+            share = min(1.0, fit_rows / max(1, df.count()))
+            prepared = prepared.where(uniform_hash(prepared.columns, 42) < share)
+        # Spark ML reads a dot in a name as a field
+        inputs = [f"x{i}" for i in range(len(features))]
+        table = materialize(prepared.toDF("_label", "_weight", *inputs), "model")
+        assembled = VectorAssembler(inputCols=inputs, outputCol="_x").transform(table)
+        rows = []
+        for seed in range(seeds):
+            forest = RandomForestClassifier(
+                featuresCol="_x",
+                labelCol="_label",
+                weightCol="_weight",
+                numTrees=trees,
+                maxDepth=depth,
+                cacheNodeIds=True,
+                seed=seed,
+            )
+            model = forest.fit(assembled.select("_x", "_label", "_weight"))
+            rows += [(seed, f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
     return spark.createDataFrame(rows, "seed int, feature string, importance double")
 
 

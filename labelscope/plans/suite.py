@@ -48,6 +48,7 @@ from labelscope.operators.trend import (
 from labelscope.plans.retention import retention_report
 from labelscope.roles import Roles
 from labelscope.sources.reports import read_report, write_report
+from labelscope.sources.scratch import temporary_tables
 
 Write = Callable[[str, DataFrame], DataFrame]
 
@@ -145,13 +146,14 @@ def full_report(df: DataFrame, roles: Roles, out: str, keys: Sequence[str], **fo
     Reports whose columns the table doesn't have are left out: those by month
     without a date, by age without an age, of look-backs without any.
     """
-    # one search for the percentiles, clip bounds, medians and bin edges of all reports
-    wanted = [*PERCENTILES.values(), *CLIP, 0.5, *decile_cuts()]
-    known = known_quantiles(df, summarised(df, roles)[0], wanted)
-    missing = missing_report(df, roles, out)
-    summary_report(df, roles, out, known=known)
-    trend_report(df, roles, out, keys)
-    distribution_report(df, roles, out, known)
-    correlation_report(df, roles, out, keys, known)
-    values = importance_report(df, roles, out, known, **forest)
-    _writer(out)("retention", retention_report(missing, values))
+    with temporary_tables(df.sparkSession):
+        # one search for the percentiles, clip bounds, medians and bin edges of all reports
+        wanted = [*PERCENTILES.values(), *CLIP, 0.5, *decile_cuts()]
+        known = known_quantiles(df, summarised(df, roles)[0], wanted)
+        missing = missing_report(df, roles, out)
+        summary_report(df, roles, out, known=known)
+        trend_report(df, roles, out, keys)
+        distribution_report(df, roles, out, known)
+        correlation_report(df, roles, out, keys, known)
+        values = importance_report(df, roles, out, known, **forest)
+        _writer(out)("retention", retention_report(missing, values))

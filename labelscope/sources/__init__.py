@@ -1,7 +1,7 @@
 """Readers, writers and the shared folder for intermediate tables."""
 
 from labelscope.sources.reports import read_report, write_report
-from labelscope.sources.scratch import materialize, shared_folder
+from labelscope.sources.scratch import materialize, shared_folder, temporary_tables
 from labelscope.sources.tables import NULL_MARK, ensure_sample, read_csv, read_table, write_csv
 
 __all__ = [
@@ -12,6 +12,7 @@ __all__ = [
     "read_report",
     "read_table",
     "shared_folder",
+    "temporary_tables",
     "write_csv",
     "write_report",
 ]

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_temporary: ContextVar[list[str] | None] = ContextVar("temporary", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder from ``spark.checkpoint.dir``.
 
@@ -36,5 +42,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     run = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/labelscope/{run}/{name}-{uuid.uuid4().hex[:12]}"
+    paths = _temporary.get()
+    if paths is not None:
+        paths.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables that :func:`materialize` stores inside when it ends.
+
+    For work that is finished by then, such as writing reports. Results that
+    are still to be computed need the tables they read.
+    """
+    token = _temporary.set([])
+    try:
+        yield
+    finally:
+        paths = _temporary.get() or []
+        _temporary.reset(token)
+        context = spark.sparkContext
+        for name in paths:
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)

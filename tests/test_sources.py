@@ -19,6 +19,7 @@ from labelscope.sources import (
     read_report,
     read_table,
     shared_folder,
+    temporary_tables,
     write_csv,
     write_report,
 )
@@ -140,6 +141,15 @@ def test_stored_tables_keep_rows_and_schema(spark):
     assert stored.inputFiles()[0].removeprefix("file://").startswith(shared_folder(spark))
 
 
+def test_temporary_tables_are_removed(spark):
+    kept = materialize(spark.range(3), "kept")
+    with temporary_tables(spark):
+        gone = materialize(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")
+        assert Path(gone).exists()
+    assert not Path(gone).parent.exists()
+    assert kept.count() == 3
+
+
 @pytest.fixture(scope="module")
 def table(spark):
     return materialize(applications(spark, FOLDER), "applications")
