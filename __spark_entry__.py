@@ -40,7 +40,8 @@ from verification import relations  # noqa: E402
 from verification.oracle import ORACLES, SCATTER  # noqa: E402
 
 # The training-data operators and their pipeline are optional.
-if importlib.util.find_spec("labelscope.llm") is None:
+_llm = importlib.util.find_spec("labelscope.llm")
+if _llm is None or _llm.origin is None:
     LLM_QUERIES, LLM_ORACLES = {}, {}
 else:
     import corpus_pipeline
