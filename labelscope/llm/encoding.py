@@ -43,15 +43,14 @@ def piece_starts(
     space = (second == 0xC2) & np.isin(before[wide], (0x85, 0xA0))
     space |= (second >= 128) & (second < 0xC0) & (third >= 0xE1) & (third <= 0xE3)
     sure[wide] = ~space
-    places = [bounds[:-1][bounds[:-1] < bounds[1:]], at[sure & (at > 0)]]
+    cut[:] = False
     if punctuation:
         marks[:] = False
         marks[list(punctuation)] = True
-        follows = marks[data]
-        follows[1:] &= _LETTER[data[:-1]]
-        follows[:1] = False
-        places.append(np.flatnonzero(follows))
-    return np.unique(np.concatenate(places))
+        np.logical_and(marks[data[1:]], _LETTER[data[:-1]], out=cut[1:])
+    cut[at[sure & (at > 0)]] = True
+    cut[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    return np.flatnonzero(cut)
 
 
 class Pieces:
