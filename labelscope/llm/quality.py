@@ -67,9 +67,10 @@ def measures(column: pa.Array) -> Iterator[np.ndarray]:
         in_word = np.cumsum(word_bytes[:-1], dtype=np.int8).astype(bool)
         word_chars = total(in_word & ((data & 0xC0) != 0x80))
 
-        line_starts = np.unique(
-            np.concatenate([bounds[:-1], np.flatnonzero(data == 10) + 1, bounds[-1:]])
-        )
+        begins = np.zeros(len(data) + 1, bool)
+        begins[1:] = data == 10
+        begins[bounds] = True
+        line_starts = np.flatnonzero(begins)
         line_ends = line_starts[1:]
         line_starts = line_starts[:-1]
         doc_of = np.searchsorted(bounds, line_starts, "right") - 1

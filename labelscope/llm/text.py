@@ -132,6 +132,14 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(total + np.uint64(k * int(_ODD) & _MASK))
 
 
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The different hashes, ascending."""
+    hashes = np.sort(hashes)
+    first = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=first[1:])
+    return hashes[first]
+
+
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """For each text, the ascending hashes of its distinct shingles of k words.
 
@@ -146,6 +154,6 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         windows = window_hashes(words, k)
         for a, b in zip(firsts[:-1], firsts[1:], strict=True):
             if b - a >= k:
-                yield np.unique(windows[a : b - k + 1])
+                yield distinct(windows[a : b - k + 1])
             else:
                 yield window_hashes(words[a:b], int(b - a)) if b > a else words[:0]
