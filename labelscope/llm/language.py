@@ -21,6 +21,8 @@ BUCKET_BITS = 14
 FIT_ROWS = 4000
 #: More learned languages than this are refused: the model is sent to every task.
 MOST_LANGUAGES = 1000
+#: Trigrams times languages that are worked on at a time, about.
+RUN_CELLS = 2_000_000
 #: Trigrams overlap, so three of them count as one observation.
 OVERLAP = 3.0
 #: Count that every bucket of every language has before the first document.
@@ -227,7 +229,7 @@ def with_languages(
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(at)
-            for low, high in runs(column):
+            for low, high in runs(column, RUN_CELLS // max(1, len(model.languages))):
                 found = infer(column.slice(low, high - low).to_pylist(), model)
                 top = [max(sorted(s), key=s.__getitem__) if s else UNKNOWN for s in found]
                 new = [

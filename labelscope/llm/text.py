@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time.
-RUN_BYTES = 2_000_000
+RUN_BYTES = 1_000_000
 #: Bytes hashed at a time; runs are cut between words.
 BLOCK_BYTES = 1_000_000
 
