@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelscope.llm.tables import in_small_batches
 from labelscope.sources import materialize
 
 #: Tokens after which a sequence is closed; the next one repeats the open ancestors.
@@ -275,14 +276,14 @@ def formatted(
     whole = materialize(whole, "conversations")
     id_type = rows.schema["conv"].dataType.simpleString()
     chains = materialize(
-        whole.mapInArrow(_chains, f"conv {id_type}, leaf string, path string"), "chat-chains"
+        in_small_batches(whole).mapInArrow(_chains, f"conv {id_type}, leaf string, path string"), "chat-chains"
     )
     first = chains.groupBy("leaf").agg(F.min(F.struct("conv", "path")).alias("best"))
     first = first.select("leaf", "best.conv", "best.path")
     same = first["conv"].eqNullSafe(whole["conv"])
     chosen = first.join(whole, same).select("leaf", "path", "turns")
     in_order = chosen.repartitionByRange("path").sortWithinPartitions("path")
-    sequences = in_order.mapInArrow(_emitter(template, tokenizer, sequence_tokens), _SEQUENCE_SQL)
+    sequences = in_small_batches(in_order).mapInArrow(_emitter(template, tokenizer, sequence_tokens), _SEQUENCE_SQL)
     return FormattedChats(
         materialize(sequences, "chat-sequences"), chains.select("conv", "leaf")
     )
@@ -361,6 +362,6 @@ def read_back(
         "leaf string, n_turns bigint, turns_sha256 string, loss_chars bigint, "
         "loss_sha256 string, formatted_chars bigint"
     )
-    leaves = chats.sequences.mapInArrow(_reader(template or Template(), tokenizer), schema)
+    leaves = in_small_batches(chats.sequences).mapInArrow(_reader(template or Template(), tokenizer), schema)
     joined = chats.members.join(leaves, "leaf").drop("leaf")
     return joined.withColumnRenamed("conv", id_col)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.llm.encoding import encoded
+from labelscope.llm.tables import in_small_batches
 from labelscope.sources import materialize, shared_folder
 
 MAGIC = b"DACIDS01"
@@ -223,7 +224,7 @@ def write_codes(
     in_order = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
     schema = "part bigint, number bigint, file string, n_docs bigint, n_ids bigint"
     files = materialize(
-        in_order.mapInArrow(_writer(path, end_id, folder, file_ids), schema), "code-files"
+        in_small_batches(in_order).mapInArrow(_writer(path, end_id, folder, file_ids), schema), "code-files"
     )
     before = Window.orderBy("part", "number")  # one row per file
     return files.withColumn("first", F.sum("n_ids").over(before) - F.col("n_ids"))

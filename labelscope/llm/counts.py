@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.encoding import Pieces, encoded, piece_starts
+from labelscope.llm.tables import in_small_batches
 from labelscope.llm.text import as_bytes, runs
 
 SPACE = "▁"
@@ -88,7 +89,7 @@ def token_counts(
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), size.alias("n_bytes"), text.alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
-    counted = rows.mapInArrow(_counter(path), f"id {id_type}, n_bytes bigint, n_tokens bigint")
+    counted = in_small_batches(rows).mapInArrow(_counter(path), f"id {id_type}, n_bytes bigint, n_tokens bigint")
     return counted.select(
         F.col("id").alias(id_col),
         "n_bytes",

@@ -13,7 +13,7 @@ import pyarrow as pa
 from labelscope.llm.text import as_bytes, runs
 
 #: Bytes of pieces whose encodings are remembered in one Python worker.
-REMEMBERED_BYTES = 8_000_000
+REMEMBERED_BYTES = 5_000_000
 
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTER = np.zeros(256, bool)

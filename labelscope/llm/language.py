@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelscope.llm.tables import unused
+from labelscope.llm.tables import in_small_batches, unused
 from labelscope.llm.text import runs
 
 #: Trigrams are counted in this many buckets.
@@ -124,7 +124,7 @@ def fitted(
             names=["lang", "bucket", "n"],
         )
 
-    counted = sample.mapInArrow(count, "lang bigint, bucket bigint, n bigint")
+    counted = in_small_batches(sample).mapInArrow(count, "lang bigint, bucket bigint, n bigint")
     counts = np.full((1 << BUCKET_BITS, len(languages)), PRIOR)
     for row in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
         counts[row["bucket"], row["lang"]] += row["n"]
@@ -240,7 +240,7 @@ def with_languages(
                 old = [c.slice(low, high - low) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*old, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(predict, schema), *names
+    return in_small_batches(docs).mapInArrow(predict, schema), *names
 
 
 def held_out(id_col: str = "doc_id") -> Column:

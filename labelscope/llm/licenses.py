@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelscope.llm.tables import in_small_batches
 from labelscope.llm.text import as_bytes, runs, span_hashes, window_hashes, word_spans
 
 #: Words in a fingerprint, and fingerprints of which the least is kept. Any run
@@ -238,5 +239,5 @@ def license_spans(
         f"id {id_type}, license string, coverage double, span_start bigint, span_end bigint, "
         "matched string"
     )
-    found = rows.mapInArrow(_scanner(index_of(templates), least_coverage), schema)
+    found = in_small_batches(rows).mapInArrow(_scanner(index_of(templates), least_coverage), schema)
     return found.withColumnRenamed("id", id_col)

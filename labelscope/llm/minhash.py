@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.components import components
-from labelscope.llm.tables import unused
+from labelscope.llm.tables import in_small_batches, unused
 from labelscope.llm.text import mix, runs, shingle_sets
 from labelscope.sources import materialize
 
@@ -249,7 +249,7 @@ def _blocks(percent: int, link: bool):
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``node, shingles`` of the wanted ``node, row_key``, stored."""
     texts = docs.join(wanted, "row_key").select("node", "text")
-    sets = texts.mapInArrow(_setter(shingle), "node binary, shingles array<bigint>")
+    sets = in_small_batches(texts).mapInArrow(_setter(shingle), "node binary, shingles array<bigint>")
     # rows that repeat an id and its text give the same set again
     return materialize(sets, "shingle-sets").dropDuplicates(["node"])
 
@@ -422,7 +422,7 @@ def _marked(
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, row_key bigint, n_shingles bigint, node binary, registers binary"
     sketches = materialize(
-        rows.select("id", "row_key", "text").mapInArrow(_sketcher(shingle), schema), "sketches"
+        in_small_batches(rows.select("id", "row_key", "text")).mapInArrow(_sketcher(shingle), schema), "sketches"
     )
     classes = materialize(
         sketches.where("node is not null")

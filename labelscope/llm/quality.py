@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelscope.llm.tables import in_small_batches
 from labelscope.llm.text import as_bytes, mix, runs, span_hashes, window_hashes, word_spans
 from labelscope.sources import materialize
 
@@ -195,7 +196,7 @@ def judged(
     )
     id_type = rows.schema["id"].dataType.simpleString()
     schema = ", ".join([f"id {id_type}", "host string", *[f"{m} bigint" for m in MEASURES]])
-    measured = materialize(rows.mapInArrow(_measure, schema), "measures")
+    measured = materialize(in_small_batches(rows).mapInArrow(_measure, schema), "measures")
     rates = host_rates(measured, rules)
     worst = F.greatest(*[F.col(f"rate_{r}") for r in rules], F.lit(0.0))
     verdicts = materialize(rates.select("host", (worst <= limit).alias("host_kept")), "host-verdicts")

@@ -15,6 +15,23 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows of texts that are sent to a Python worker at a time, at most.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session was told to send few rows at a time to Python.
+
+    Rows with texts are large, and a batch is held by the executor and by the
+    worker. A smaller setting is left as it is; 0 and less mean no limit.
+    """
+    rows = int(df.sparkSession.conf.get(_BATCH))
+    if not 0 < rows <= BATCH_ROWS:
+        df.sparkSession.conf.set(_BATCH, BATCH_ROWS)
+    return df
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, f"{folder}/documents.parquet")
 
