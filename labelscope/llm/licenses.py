@@ -1,8 +1,10 @@
-"""License notices in documents: fingerprints pick candidates, alignment decides."""
+"""License notices in documents: rare words and shingles pick candidates, alignment decides."""
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -14,10 +16,13 @@ from pyspark.sql import functions as F
 from labelscope.llm.tables import in_small_batches
 from labelscope.llm.text import as_bytes, runs, span_hashes, window_hashes, word_spans
 
-#: Words in a fingerprint, and fingerprints of which the least is kept. Any run
-#: of SHINGLE + WINDOW - 1 words that a text shares with a template is noticed.
+#: Words in a print of a template of ``LONG`` words or more. Any run of SHINGLE
+#: words that a text shares with such a template is noticed; shorter templates
+#: are noticed by single words.
 SHINGLE = 3
-WINDOW = 3
+LONG = 16
+#: Longer templates are refused: an alignment counts in 16 bits.
+MOST_WORDS = 30_000
 #: Share of a template's words that must be found in order.
 LEAST_COVERAGE = 0.8
 
@@ -55,44 +60,60 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return data, starts, ends, firsts, span_hashes(data, starts, ends, fold_case=True)
 
 
-def winnowed(windows: np.ndarray) -> np.ndarray:
-    """Places of the fingerprints that are least among some ``WINDOW`` neighbours."""
-    if len(windows) < WINDOW:
-        return np.arange(len(windows))
-    n = len(windows) - WINDOW + 1
-    least = np.min([windows[i : i + n] for i in range(WINDOW)], axis=0)
-    chosen = np.zeros(len(windows), bool)
-    for i in range(WINDOW):
-        chosen[i : i + n] |= windows[i : i + n] == least
-    return np.flatnonzero(chosen)
-
-
 @dataclass(frozen=True)
 class NoticeIndex:
-    """The templates' words, and fingerprint -> (template, place)."""
+    """The templates' words, how often each is there, and for each print length:
+    print -> (template, place)."""
 
     names: tuple[str, ...]
     words: tuple[np.ndarray, ...]
-    prints: np.ndarray
-    entries: tuple[tuple[tuple[int, int], ...], ...]
+    bags: tuple[tuple[np.ndarray, np.ndarray], ...]
+    tables: tuple[tuple[int, np.ndarray, tuple[tuple[tuple[int, int], ...], ...]], ...]
+
+
+def needed(n: int, least: float) -> int:
+    """How many of a template's ``n`` words must be found."""
+    return max(1, math.ceil(least * n - 1e-9))
 
 
-def index_of(templates: Mapping[str, str]) -> NoticeIndex:
-    """The inverted index; templates of fewer than ``SHINGLE`` words are refused."""
+def index_of(templates: Mapping[str, str], least: float = LEAST_COVERAGE) -> NoticeIndex:
+    """The inverted index; a template without words, or beyond ``MOST_WORDS``, is refused.
+
+    A match lacks at most ``spare`` of a template's words, so it has at least
+    one of any ``spare + 1`` of them. A template of fewer than ``LONG`` words
+    is indexed by that many single words, the rarest: those in the fewest
+    templates, then the longest. Of a longer one all windows are indexed, of
+    ``SHINGLE`` words or of as many as must stand together when ``spare`` words
+    are missing or replaced.
+    """
     names = tuple(sorted(templates))
-    words, places = [], defaultdict(list)
-    for t, name in enumerate(names):
-        own = _words(pa.array([templates[name]]))[4]
-        if len(own) < SHINGLE:
-            raise ValueError(f"{name} has fewer than {SHINGLE} words")
-        words.append(own)
-        windows = window_hashes(own, SHINGLE)
-        for at in winnowed(windows).tolist():
-            places[int(windows[at])].append((t, at))
-    prints = np.array(sorted(places), np.uint64)
-    return NoticeIndex(
-        names, tuple(words), prints, tuple(tuple(places[int(p)]) for p in prints)
-    )
+    found = [_words(pa.array([templates[name]])) for name in names]
+    words = [f[4] for f in found]
+    in_templates = Counter(w for own in words for w in set(own.tolist()))
+    places: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+    for t, (_, starts, ends, _, own) in enumerate(found):
+        if not 0 < len(own) <= MOST_WORDS:
+            raise ValueError(f"{names[t]} has {len(own)} words, of 1 to {MOST_WORDS}")
+        need = needed(len(own), least)
+        spare = len(own) - need
+        if len(own) < LONG:
+            size, order = 1, sorted(
+                range(len(own)),
+                key=lambda i: (in_templates[int(own[i])], int(starts[i] - ends[i]), i),
+            )
+            chosen = order[: spare + 1]
+        else:
+            size = min(SHINGLE, math.ceil(need / (spare + 1)))
+            chosen = range(len(own) - size + 1)
+        windows = window_hashes(own, size)
+        for at in chosen:
+            places[size][int(windows[at])].append((t, at))
+    tables = []
+    for size, own in sorted(places.items()):
+        prints = np.array(sorted(own), np.uint64)
+        tables.append((size, prints, tuple(tuple(own[int(p)]) for p in prints)))
+    bags = tuple(np.unique(own, return_counts=True) for own in words)
+    return NoticeIndex(names, tuple(words), bags, tuple(tables))
 
 
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> list[tuple[int, int]]:
@@ -102,7 +123,7 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
     i + diagonal + band.
     """
     width = 2 * band + 1
-    table = np.zeros((len(template) + 1, width + 2), np.int32)
+    table = np.zeros((len(template) + 1, width + 2), np.int16)
     same = np.zeros((len(template), width), bool)
     offsets = np.arange(width) + diagonal - band
     for i, word in enumerate(template):
@@ -128,36 +149,84 @@ def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) ->
     return pairs[::-1]
 
 
+def _common(bag: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> int:
+    """Words of a template that a text has in any order: no alignment has more."""
+    distinct, counts = bag
+    place = np.minimum(np.searchsorted(distinct, words), len(distinct) - 1)
+    own = np.bincount(place[distinct[place] == words], minlength=len(distinct))
+    return int(np.minimum(own, counts).sum())
+
+
+def _spans(
+    template: np.ndarray,
+    bag: tuple[np.ndarray, np.ndarray],
+    words: np.ndarray,
+    low: int,
+    high: int,
+    need: int,
+) -> list[tuple[int, int, int]]:
+    """(matched, first word, last word) of the matches on diagonals low to high.
+
+    Left and right of a match the rest is searched again.
+    """
+    middle, band = (low + high) // 2, (high - low + 1) // 2
+    spans = []
+    parts = [(max(0, middle - band), min(len(words), middle + band + len(template)))]
+    while parts:
+        a, b = parts.pop()
+        if b - a < need or _common(bag, words[a:b]) < need:
+            continue
+        pairs = align(template, words[a:b], middle - a, band)
+        if len(pairs) < need:
+            continue
+        # the match ends as early as it can; from there back it begins as late
+        first, last = a + pairs[0][1], a + pairs[-1][1]
+        turned = last + 1 - len(template) - middle
+        back = align(template[::-1], words[first : last + 1][::-1], turned, band)
+        if len(back) == len(pairs):
+            first = last - back[-1][1]
+        spans.append((len(pairs), first, last))
+        parts += [(a, first), (last + 1, b)]
+    return spans
+
+
 def _matches(
     words: np.ndarray, hits: list[tuple[int, int, int]], index: NoticeIndex, least: float
 ) -> list[tuple[int, int, int, int]]:
-    """(template, matched, first word, last word) in one text, from its fingerprint hits.
+    """(template, matched, first word, last word) in one text, from its hits.
 
-    Hits of a template whose diagonals are close are one candidate. Candidates
-    that overlap one with more matches are dropped.
+    Hits of a template whose diagonals are close are a chain. A chain that
+    spreads over more than twice the template is taken in overlapping bands.
+    Candidates that overlap one with more matches are dropped.
     """
-    diagonals = defaultdict(list)
+    diagonals = defaultdict(set)
     for t, at, place in hits:
-        diagonals[t].append(place - at)
+        diagonals[t].add(place - at)
     found = []
-    for t, own in diagonals.items():
-        template = index.words[t]
+    for t, chosen in diagonals.items():
+        template, bag = index.words[t], index.bags[t]
+        need = needed(len(template), least)
+        if len(words) < need or _common(bag, words) < need:
+            continue
         band = max(2, len(template) // 8)
-        own.sort()
+        own = sorted(chosen)
+        spans: set[tuple[int, int, int]] = set()
         begin = 0
-        spans: list[tuple[int, int, int]] = []
         for i in range(1, len(own) + 1):
             if i < len(own) and own[i] - own[i - 1] <= band:
                 continue
-            middle, reach = (own[begin] + own[i - 1]) // 2, (own[i - 1] - own[begin]) // 2
-            begin = i
-            pairs = align(template, words, middle, band + min(reach, len(template)))
-            if len(pairs) >= least * len(template):
-                spans.append((len(pairs), pairs[0][1], pairs[-1][1]))
+            while begin < i:
+                # one band holds all diagonals up to a template's length from its first
+                end = bisect_right(own, own[begin] + 2 * len(template), begin, i)
+                low, high = own[begin] - band, own[end - 1] + band
+                spans.update(_spans(template, bag, words, low, high, need))
+                begin = i if end == i else bisect_right(own, own[begin] + len(template), begin, i)
         taken: list[tuple[int, int]] = []
-        for matched, low, high in sorted(spans, key=lambda s: (-s[0], s[1])):
-            if all(high < a or low > b for a, b in taken):
-                taken.append((low, high))
+        for matched, low, high in sorted(spans, key=lambda s: (-s[0], s[2] - s[1], s[1])):
+            # taken spans are apart and sorted, so only two neighbours can overlap
+            at = bisect_right(taken, (low, high))
+            if (at == 0 or taken[at - 1][1] < low) and (at == len(taken) or taken[at][0] > high):
+                taken.insert(at, (low, high))
                 found.append((t, matched, low, high))
     return sorted(found, key=lambda m: (m[2], m[3], m[0]))
 
@@ -169,18 +238,18 @@ def _scanner(index: NoticeIndex, least: float):
             for low, high in runs(column):
                 part = column.slice(low, high - low)
                 data, starts, ends, firsts, words = _words(part)
-                windows = window_hashes(words, SHINGLE)
-                chosen = winnowed(windows)
-                place = np.searchsorted(index.prints, windows[chosen])
-                place = np.minimum(place, len(index.prints) - 1)
-                known = index.prints[place] == windows[chosen]
-                at, place = chosen[known], place[known]
-                owner = np.searchsorted(firsts, at, "right") - 1
-                inside = at + SHINGLE <= firsts[owner + 1]
                 hits = defaultdict(list)
-                for doc, i, p in zip(owner[inside], at[inside], place[inside], strict=True):
-                    for t, j in index.entries[p]:
-                        hits[int(doc)].append((t, j, int(i - firsts[doc])))
+                for size, prints, entries in index.tables:
+                    windows = window_hashes(words, size)
+                    place = np.searchsorted(prints, windows)
+                    place = np.minimum(place, len(prints) - 1)
+                    at = np.flatnonzero(prints[place] == windows)
+                    place = place[at]
+                    owner = np.searchsorted(firsts, at, "right") - 1
+                    inside = at + size <= firsts[owner + 1]
+                    for doc, i, p in zip(owner[inside], at[inside], place[inside], strict=True):
+                        for t, j in entries[p]:
+                            hits[int(doc)].append((t, j, int(i - firsts[doc])))
                 bounds = as_bytes(part)[1]
                 rows, out = [], defaultdict(list)
                 for doc in sorted(hits):
@@ -239,5 +308,7 @@ def license_spans(
         f"id {id_type}, license string, coverage double, span_start bigint, span_end bigint, "
         "matched string"
     )
-    found = in_small_batches(rows).mapInArrow(_scanner(index_of(templates), least_coverage), schema)
+    found = in_small_batches(rows).mapInArrow(
+        _scanner(index_of(templates, least_coverage), least_coverage), schema
+    )
     return found.withColumnRenamed("id", id_col)

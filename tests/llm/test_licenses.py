@@ -1,5 +1,6 @@
 """License spans against a plain search and a full alignment."""
 
+import itertools
 import random
 import re
 
@@ -98,3 +99,46 @@ def test_odd_rows(spark):
     expected.append((4, 300_000, 300_000 + n))
     assert sorted(found, key=str) == sorted(expected, key=str)
     assert licenses.license_spans(df.limit(0)).collect() == []
+
+
+def test_edited_short_notices_are_found(spark):
+    """Every short notice with as many words replaced, or left out, as may be missing."""
+    draw = random.Random(11)
+    rows, truth = [(-1, "(c) Released under an MIT License, see below")], {-1: ("MIT", 0.8)}
+    for name in ("MIT", "Apache-2.0", "GPL-3.0", "CC-BY-NC-4.0", "CC-BY-4.0"):
+        template = re.findall("[A-Za-z0-9]+", licenses.NOTICES[name])
+        spare = int(len(template) * (1 - licenses.LEAST_COVERAGE) + 1e-9)
+        for edits in range(spare + 1):
+            for out in itertools.combinations(range(len(template)), edits):
+                for new in (["zz"], []):
+                    words = [w for i, x in enumerate(template) for w in (new if i in out else [x])]
+                    words.insert(draw.randrange(1, len(words)), "inserted")
+                    noise = [draw.choice(["alpha", "beta", "gamma"]) for _ in range(20)]
+                    rows.append((len(rows), " ".join([*noise, *words, *noise])))
+                    truth[len(rows) - 1] = (name, 1 - edits / len(template))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {(r.doc_id, r.license): r.coverage for r in licenses.license_spans(df).collect()}
+    for doc, (name, share) in truth.items():
+        assert found.get((doc, name), 0) >= share - 1e-9, (name, rows[doc])
+
+
+def test_long_chains_of_hits_hide_no_copy():
+    words = np.arange(24, dtype=np.uint64) + np.uint64(1)
+    name = " ".join(f"t{i}" for i in range(24))
+    index = licenses.index_of({"T": name})
+    template = index.words[0]
+    text = np.concatenate([np.tile(template[:3], 40), template, template, words])
+    hits = [
+        (0, i, j)
+        for i in range(22)
+        for j in range(len(text) - 2)
+        if (template[i : i + 3] == text[j : j + 3]).all()
+    ]
+    found = licenses._matches(text, hits, index, 0.8)
+    assert [m[1:] for m in found] == [(24, 120, 143), (24, 144, 167)]
+
+
+def test_spans_begin_at_the_notice_itself(spark):
+    text = "Released it, Released under the MIT License."
+    (row,) = licenses.license_spans(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
+    assert (row.coverage, row.span_start, row.span_end) == (1.0, 13, len(text) - 1)
