@@ -7,6 +7,9 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import lru_cache
+from pathlib import Path
+from types import MappingProxyType
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +29,8 @@ MOST_WORDS = 30_000
 #: Share of a template's words that must be found in order.
 LEAST_COVERAGE = 0.8
 
-#: Notices by which public licenses are applied.
+#: Short notices by which public licenses are applied, and the
+#: beginnings (``-grant``, ``-header``) of some texts that are often cut short.
 NOTICES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -47,8 +51,20 @@ NOTICES = {
     "either version 3 of the License, or (at your option) any later version.",
     "BSD-grant": "Redistribution and use in source and binary forms, with or without "
     "modification, are permitted provided that the following conditions are met:",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 "
+    "International License.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related "
+    "or neighboring rights to this work.",
 }
 
+
+@lru_cache(maxsize=1)
+def whole_texts() -> Mapping[str, str]:
+    """The license texts and whole headers beside this module: ``X-text``, ``X-notice``."""
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return MappingProxyType({f.stem: f.read_text("utf-8") for f in files})
+
+
 #: A word is a run of ASCII letters and digits and of other characters beyond ASCII.
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -283,13 +299,14 @@ def _scanner(index: NoticeIndex, least: float):
 
 def license_spans(
     docs: DataFrame,
-    templates: Mapping[str, str] = NOTICES,
+    templates: Mapping[str, str] | None = None,
     least_coverage: float = LEAST_COVERAGE,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per notice found: the id, ``license, coverage, span_start, span_end, matched``.
 
+    Without ``templates`` these are :data:`NOTICES` and :func:`whole_texts`.
     ``coverage`` is the share of the template's words that the text has in
     order within a band around the diagonal; the span (in characters, the end
     excluded) goes from the first of them to the last. Words are compared
@@ -301,6 +318,8 @@ def license_spans(
     give no row. Repeated rows give repeated results, a null id a null id.
     Whole texts of any length are scanned; other columns may have any name.
     """
+    if templates is None:
+        templates = {**NOTICES, **whole_texts()}
     text = F.col(f"`{text_col}`").alias("text")
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text)
     id_type = rows.schema["id"].dataType.simpleString()

@@ -142,3 +142,27 @@ def test_spans_begin_at_the_notice_itself(spark):
     text = "Released it, Released under the MIT License."
     (row,) = licenses.license_spans(spark.createDataFrame([(1, text)], "doc_id int, text string")).collect()
     assert (row.coverage, row.span_start, row.span_end) == (1.0, 13, len(text) - 1)
+
+
+def test_whole_license_texts_are_found_to_their_end(spark):
+    """As they are, indented as a comment, and with every 19th word replaced."""
+    texts = licenses.whole_texts()
+    ids = ("MIT ISC BSD-2-Clause BSD-3-Clause Apache-2.0 GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 MPL-2.0 "
+           "CC0-1.0 CC-BY-SA-4.0 Unlicense").split()
+    notices = ("Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0")
+    names = [f"{i}-text" for i in ids] + [f"{i}-notice" for i in notices]
+    assert set(names) <= set(texts)
+    rows = []
+    for name in names:
+        words = texts[name].split()
+        edited = ["zz" if i % 19 == 7 else w for i, w in enumerate(words)]
+        commented = texts[name].strip().replace("\n", "\n# ")
+        rows += [(f"{name} 0", f"Copyright 2020.\n\n{commented}\n\nint main() {{}}")]
+        rows += [(f"{name} 1", " ".join(["alpha"] * 50 + edited + ["beta"] * 50))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    found = {(r.doc_id, r.license): r for r in licenses.license_spans(df).collect()}
+    for name in names:
+        last = re.findall("[A-Za-z0-9]+", texts[name])[-1]
+        whole = found[f"{name} 0", name]
+        assert whole.coverage == 1 and whole.matched.endswith(last)
+        assert found[f"{name} 1", name].coverage > 0.9
