@@ -27,6 +27,8 @@ RUN_CELLS = 2_000_000
 OVERLAP = 3.0
 #: Count that every bucket of every language has before the first document.
 PRIOR = 0.5
+#: Shares at which the slope of the likelihood is taken to bound its gain.
+STEPS = (0.0, *(2.0**-i for i in range(14, -1, -1)))
 
 UNKNOWN = "und"
 
@@ -152,6 +154,39 @@ def mixture(counts: np.ndarray, logs: np.ndarray, rounds: int = 60) -> tuple[np.
     return shares, value + float(counts @ peak[:, 0])
 
 
+def penalty(n: float) -> float:
+    """What a language must add to the log likelihood of ``n`` overlapping trigrams."""
+    return 0.5 * float(np.log(max(n / OVERLAP, np.e)))
+
+
+def may_gain(logs: np.ndarray, start: int, least: float) -> bool:
+    """Whether a second language could raise the log likelihood by more than ``least``.
+
+    False is proven. With the share s of the other language the likelihood is
+    concave, so its slope falls: it is never above the slope at the step of
+    ``STEPS`` before, and once that is not positive nothing more is gained.
+    """
+    excess = np.exp((logs - logs[:, [start]]).astype(np.float64)) - 1
+    slope = excess.sum(axis=0)
+    slope[start] = 0.0
+    # the likelihood itself is compared in double precision
+    least -= 1e-6 * (1 + len(logs))
+    for k in np.flatnonzero(slope > -1e-6 * len(logs)):
+        if k == start:
+            continue
+        own, bound = excess[:, k], max(slope[k], 0.0) * STEPS[1]
+        for s, to in zip(STEPS[1:-1], STEPS[2:], strict=True):
+            if bound > least:
+                return True
+            now = float((own / (1 + s * own)).sum())
+            if now <= 0:
+                break
+            bound += now * (to - s)
+        if bound > least:
+            return True
+    return False
+
+
 def language_set(buckets: np.ndarray, logs: np.ndarray, start: int) -> dict[int, float]:
     """Language -> share for one document, by penalised likelihood.
 
@@ -161,14 +196,14 @@ def language_set(buckets: np.ndarray, logs: np.ndarray, start: int) -> dict[int,
     """
     places, counts = np.unique(buckets, return_counts=True)
     own, counts = logs[places].astype(float), counts.astype(float)
-    n = counts.sum() / OVERLAP
+    least = penalty(counts.sum())
     chosen, shares = [start], np.ones(1)
     value = float(counts @ own[:, start])
     while len(chosen) < logs.shape[1]:
         others = [k for k in range(logs.shape[1]) if k not in chosen]
         fits = [mixture(counts, own[:, [*chosen, k]]) for k in others]
         best = max(range(len(others)), key=lambda i: fits[i][1])
-        if (fits[best][1] - value) / OVERLAP <= 0.5 * np.log(max(n, np.e)):
+        if (fits[best][1] - value) / OVERLAP <= least:
             break
         chosen.append(others[best])
         shares, value = fits[best]
@@ -187,16 +222,9 @@ def infer(texts: list[str | None], model: LanguageModel) -> list[dict[str, float
     if len(rows) < len(texts):  # the rest have trigrams of spaces, which reduceat adds
         sums = np.stack([own[bounds[r] : bounds[r + 1]].sum(axis=0, dtype=np.float64) for r in rows])
     best = sums.argmax(axis=1)
-    lead = np.zeros(len(texts), np.int64)
-    lead[rows] = best
-    each = np.repeat(lead, np.diff(bounds))
-    ratio = np.exp(own - own[np.arange(len(own)), each][:, None]) - 1
     for row, a in zip(rows.tolist(), best.tolist(), strict=True):
-        part = ratio[bounds[row] : bounds[row + 1]].astype(np.float64)
-        # a score test: how much another language could add, to second order
-        slope, bend = part.sum(axis=0), np.square(part).sum(axis=0)
-        gain = np.where(slope > 0, slope**2 / np.maximum(2 * bend, 1e-9), 0.0) / OVERLAP
-        if 4 * gain.max() > 0.5 * np.log(max(len(part) / OVERLAP, np.e)):
+        part = own[bounds[row] : bounds[row + 1]]
+        if may_gain(part, a, penalty(len(part)) * OVERLAP):
             shares = language_set(buckets[bounds[row] : bounds[row + 1]], model.logs, a)
         else:
             shares = {a: 1.0}

@@ -79,3 +79,42 @@ def test_odd_rows(spark):
     nothing = language.identified(df.where("lang is null")).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
     assert language.identified(df.limit(0)).collect() == []
+
+
+def test_small_shares_and_short_texts_equal_the_ungated_choice(spark):
+    docs = _docs(spark).where("n_chars between 1500 and 6000")
+    model = language.fitted(docs.where(~language.held_out()), fit_rows=100)
+    unseen = docs.where(language.held_out()).orderBy("doc_id").select("lang", "text").collect()
+    own = {name: [r.text for r in unseen if r.lang == name][:6] for name in model.languages}
+    texts = []
+    for a, b in itertools.permutations(model.languages, 2):
+        for x, y in zip(own[a], own[b]):
+            for size, share in ((40, 0.1), (80, 0.1), (200, 0.1), (300, 0.02), (1000, 0.02), (60, 0)):
+                cut = round(size * (1 - share))
+                texts.append(x[:cut] + " " + y[: size - cut])
+    found = language.infer(texts, model)
+    several = 0
+    for text, shares in zip(texts, found, strict=True):
+        buckets, _, _ = language.trigrams([text])
+        start = int(model.logs[buckets].sum(axis=0, dtype=np.float64).argmax())
+        free = language.language_set(buckets, model.logs, start)
+        assert shares == {model.languages[k]: s for k, s in free.items()}, text
+        several += len(free) > 1
+    assert several > 20
+
+
+def test_gain_bound_skips_only_what_is_proven():
+    rng = np.random.default_rng(4)
+    skipped = 0
+    for _ in range(300):
+        n = int(rng.integers(3, 400))
+        logs = np.log(rng.dirichlet(np.full(60, 0.3), size=2).T + 1e-6)
+        part = logs[rng.choice(60, n, p=(p := np.exp(logs[:, 0])) / p.sum())].astype(np.float32)
+        least = language.penalty(n) * language.OVERLAP
+        share = np.linspace(0, 1, 2001)[:, None]
+        ratio = np.exp((part[:, 1] - part[:, 0]).astype(float))
+        best = np.log1p(share * (ratio - 1)).sum(axis=1).max()
+        if not language.may_gain(part, 0, least):
+            skipped += 1
+            assert best <= least
+    assert skipped > 100
