@@ -20,13 +20,13 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays, that with the smallest id."""
-    return exact.drop_copies(docs)
+    """One row of each group of equal texts stays, one with the smallest id."""
+    return exact.drop_copies(docs, one_row=True)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five words, 80 %."""
-    return minhash.drop_near_duplicates(docs, shingle=5, percent=80)
+    """One row of each group of near duplicates stays: five words, 80 %."""
+    return minhash.drop_near_duplicates(docs, shingle=5, percent=80, one_row=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

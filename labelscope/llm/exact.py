@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.tables import folded, unused
+from labelscope.llm.tables import folded, one_row_each, unused
 from labelscope.sources import materialize
 
 #: Runs at the leaves of the tree, and how many of them one merge takes.
@@ -30,7 +30,10 @@ def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def merged_runs(
     digests: DataFrame, keep: str = "smallest", runs: int = RUNS, fan_in: int = FAN_IN
 ) -> DataFrame:
-    """One row per distinct text: ``digest, n_bytes, check, keep_id, group_size``.
+    """One row per distinct text: ``digest, n_bytes, check, keep_id, group_size, keep_rows``.
+
+    ``keep_rows`` is how many rows the one with the retained id stands for; it
+    is null where all ids are null.
 
     Rows are dealt to ``runs`` runs by their id. Every round merges ``fan_in``
     neighbouring runs: each task first merges what it holds, which leaves one
@@ -38,16 +41,18 @@ def merged_runs(
     following, sorted by digest, and merges equal digests again. Digests count
     as equal only if a second hash and the length agree too, so an identifier
     that is retained at a level has been verified there. A digest that holds
-    any share of the rows is one row per run after the first round.
+    any share of the rows is one row per run after the first round. A column
+    ``rows`` tells how many rows a row stands for; ids are then counted before.
     """
     best = {"smallest": F.min, "largest": F.max}[keep]
     key = ["digest", "n_bytes", "check"]
+    rows = F.col("rows") if "rows" in digests.columns else F.lit(1).cast("bigint")
     level = digests.select(
         F.pmod(F.xxhash64("id", "check"), F.lit(runs)).alias("run"),
         *key,
         # a struct sorts nulls first, so a null id must not be the smallest
-        F.when(F.col("id").isNotNull(), F.struct("id")).alias("kept"),
-        F.lit(1).cast("bigint").alias("n"),
+        F.when(F.col("id").isNotNull(), F.struct("id", rows.alias("rows"))).alias("kept"),
+        rows.alias("n"),
     )
     for _ in range(max(1, math.ceil(round(math.log(runs, fan_in), 9)))):
         level = (
@@ -55,7 +60,12 @@ def merged_runs(
             .groupBy("run", *key)
             .agg(best("kept").alias("kept"), F.sum("n").alias("n"))
         )
-    return level.select(*key, F.col("kept.id").alias("keep_id"), F.col("n").alias("group_size"))
+    return level.select(
+        *key,
+        F.col("kept.id").alias("keep_id"),
+        F.col("n").alias("group_size"),
+        F.col("kept.rows").alias("keep_rows"),
+    )
 
 
 def exact_duplicates(
@@ -82,7 +92,7 @@ def exact_duplicates(
     """
     digests = materialize(_digested(docs, id_col, text_col), "digests")
     key = ["digest", "n_bytes", "check"]
-    groups = merged_runs(digests, keep, runs, fan_in)
+    groups = merged_runs(digests, keep, runs, fan_in).drop("keep_rows")
     marked = digests.join(groups, key, "left")
     return marked.select(
         F.col("id").alias(id_col),
@@ -94,24 +104,44 @@ def exact_duplicates(
 
 
 def drop_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest"
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep: str = "smallest",
+    one_row: bool = False,
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that :func:`exact_duplicates` keeps.
 
-    Only what has copies is looked up: groups of one row are left out of the
-    join, and rows without an entry stay.
+    With ``one_row`` just one row of each group stays, also where several rows
+    have the retained id or all ids are null. Only what has copies is looked
+    up: groups of one row are left out of the join, and rows without an entry
+    stay.
     """
     digests = _digested(docs, id_col, text_col)
+    if one_row:
+        # rows of one id and text are counted, so that the retained id tells how many it has
+        digests = digests.groupBy(*digests.columns).agg(F.count("*").alias("rows"))
     copies = merged_runs(digests, keep).where("group_size > 1")
+    tied = F.coalesce(F.col("keep_rows") > 1, F.lit(True))
+    copies = copies.withColumn("tied", tied if one_row else F.lit(False))
+    copies = copies.drop("group_size", "keep_rows")
+    if one_row:
+        copies = materialize(copies, "copies")
     names: dict[str, str] = {}
-    for name in ("digest", "n_bytes", "check", "keep_id"):
+    for name in ("digest", "n_bytes", "check", "keep_id", "tied"):
         names[name] = unused([*docs.columns, *names.values()], name)
     key = list(names.values())[:3]
     text = folded(docs[f"`{text_col}`"])
     values = (F.unhex(F.sha2(text, 256)), F.octet_length(text), F.xxhash64(text))
     rows = docs.withColumns(dict(zip(key, values, strict=True)))
-    joined = rows.join(copies.drop("group_size").withColumnsRenamed(names), key, "left")
-    best = F.col(names["keep_id"])
+    copies = copies.withColumnsRenamed(names)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    best, tied = F.col(names["keep_id"]), F.col(names["tied"])
     # a group whose ids are all null has a null keep_id, as has a row without copies
     kept = best.isNull() | F.col(f"`{id_col}`").eqNullSafe(best)
-    return joined.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = rows.join(copies, key, "left")
+    result = joined.where(kept & ~F.coalesce(tied, F.lit(False))).select(*columns)
+    if one_row and not copies.where(tied).isEmpty():
+        several = rows.join(copies.where(tied), key).where(kept).select(*key, *columns)
+        result = result.unionByName(one_row_each(several, key).select(*columns))
+    return result

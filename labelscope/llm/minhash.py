@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.components import components
-from labelscope.llm.tables import in_small_batches, unused
+from labelscope.llm.tables import in_small_batches, one_row_each, unused
 from labelscope.llm.text import mix, runs, shingle_sets
 from labelscope.sources import materialize
 
@@ -367,6 +367,7 @@ def near_duplicates(
     text_col: str = "text",
     shingle: int = 5,
     percent: int = 80,
+    one_row: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, ``n_shingles, component_id, kept``.
 
@@ -391,10 +392,11 @@ def near_duplicates(
     A null text, or one without words, has no shingles, is linked with nothing
     and kept. A null id takes part, but never names a component while there is
     another id; in a component of null ids all are kept. Rows that repeat an id
-    are kept together. Other columns of ``docs`` may have any name.
+    are kept together. With ``one_row`` just one row of a component is kept in
+    either case. Other columns of ``docs`` may have any name.
     """
-    marked = _marked(docs, id_col, text_col, shingle, percent)
-    return marked.drop("row_key").withColumnRenamed("id", id_col)
+    marked = _marked(docs, id_col, text_col, shingle, percent, one_row)
+    return marked.drop("row_key", "in_company").withColumnRenamed("id", id_col)
 
 
 def drop_near_duplicates(
@@ -403,27 +405,40 @@ def drop_near_duplicates(
     text_col: str = "text",
     shingle: int = 5,
     percent: int = 80,
+    one_row: bool = False,
 ) -> DataFrame:
     """The rows of ``docs``, with all their columns, that :func:`near_duplicates` keeps."""
-    marked = _marked(docs, id_col, text_col, shingle, percent)
-    gone = marked.where("not kept").select("row_key", "id").distinct()
+    marked = _marked(docs, id_col, text_col, shingle, percent, one_row)
     names = {c: unused(docs.columns, f"gone_{c}") for c in ("row_key", "id")}
-    gone = gone.withColumnsRenamed(names)
     key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
     same = (key == F.col(names["row_key"])) & docs[f"`{id_col}`"].eqNullSafe(F.col(names["id"]))
-    return docs.join(gone, same, "left_anti")
+    if not one_row:
+        gone = marked.where("not kept").select("row_key", "id").distinct()
+        return docs.join(gone.withColumnsRenamed(names), same, "left_anti")
+    # of rows that repeat an id and its text one may be kept and the others not
+    texts = marked.where("in_company").groupBy("row_key", "id")
+    texts = texts.agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone = materialize(texts.where("not kept or n > 1"), "near-copies")
+    result = docs.join(gone.select("row_key", "id").withColumnsRenamed(names), same, "left_anti")
+    tied = gone.where("kept").select("row_key", "id")
+    if not tied.isEmpty():
+        several = docs.join(tied.withColumnsRenamed(names), same)
+        result = result.unionByName(
+            one_row_each(several, list(names.values())).select(*[F.col(f"`{c}`") for c in docs.columns])
+        )
+    return result
 
 
 def _marked(
-    docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int
+    docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, one_row: bool
 ) -> DataFrame:
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     rows = rows.withColumn("row_key", F.xxhash64("id", "text"))
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, row_key bigint, n_shingles bigint, node binary, registers binary"
-    sketches = materialize(
-        in_small_batches(rows.select("id", "row_key", "text")).mapInArrow(_sketcher(shingle), schema), "sketches"
-    )
+    sketches = in_small_batches(rows.select("id", "row_key", "text"))
+    sketches = sketches.mapInArrow(_sketcher(shingle), schema)
+    sketches = materialize(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = materialize(
         sketches.where("node is not null")
         .groupBy("node")
@@ -431,7 +446,7 @@ def _marked(
             F.min("registers").alias("registers"),
             F.max("n_shingles").alias("n_shingles"),
             F.min("row_key").alias("row_key"),
-            F.min("id").alias("least_id"),
+            F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("least"),
             F.count("*").alias("n_rows"),
         ),
         "classes",
@@ -458,19 +473,25 @@ def _marked(
     comps = components(links.union(late))
 
     joined = classes.join(comps, "node", "left").select(
-        "node", "least_id", "n_rows", F.coalesce(F.col("comp"), F.col("node")).alias("comp")
+        "node", "least", "n_rows", F.coalesce(F.col("comp"), F.col("node")).alias("comp")
     )
     least = joined.groupBy("comp").agg(
-        F.min("least_id").alias("component_id"), F.sum("n_rows").alias("n")
+        F.min("least").alias("least_of_all"), F.sum("n_rows").alias("n")
     )
     # documents without company are left out of the join
-    company = joined.join(least.where("n > 1"), "comp").select("node", "component_id")
+    company = joined.join(least.where("n > 1"), "comp").select("node", "least_of_all")
     result = sketches.join(company, "node", "left")
-    own = F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
+    in_company = F.col("least_of_all").isNotNull()
+    own = F.when(F.col("least_of_all.id").isNotNull(), F.col("least_of_all.id")).otherwise(F.col("id"))
+    if one_row:
+        kept = ~in_company | F.coalesce(F.col("row") == F.col("least_of_all.row"), F.lit(False))
+    else:
+        kept = F.col("id").eqNullSafe(own)
     return result.select(
         "id",
         "row_key",
         "n_shingles",
         own.alias("component_id"),
-        F.col("id").eqNullSafe(own).alias("kept"),
+        kept.alias("kept"),
+        in_company.alias("in_company"),
     )

@@ -22,7 +22,7 @@ def tokenizer(name: str) -> str:
 
 def op1_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles are 80 % alike."""
-    return minhash.near_duplicates(documents(spark, folder), shingle=4, percent=80)
+    return minhash.near_duplicates(documents(spark, folder), shingle=4, percent=80, one_row=True)
 
 
 def op2_license_spans(spark: SparkSession, folder: str) -> DataFrame:

@@ -52,3 +52,16 @@ def unused(taken: Sequence[str], name: str) -> str:
     while name.lower() in lower:
         name += "_"
     return name
+
+
+def one_row_each(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One whole row for each value of ``key``, whichever; nulls are equal.
+
+    Each task leaves one row per value before anything is shuffled.
+    """
+    # a column of that name must not stand in for the struct
+    whole = unused(rows.columns, "whole")
+    kept = F.first(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias(whole)
+    keys = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(key)]
+    found = rows.groupBy(*keys).agg(kept)
+    return found.select(*[F.col(f"`{whole}`.`{c}`").alias(c) for c in rows.columns])

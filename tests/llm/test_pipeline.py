@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from labelscope.llm import minhash
 from labelscope.sources import materialize
 from tests.llm.brute import FOLD, WORD, near_components
 from tests.llm.test_packing import _check
@@ -115,3 +116,25 @@ def test_empty_input(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, FOLDER)
     assert docs.collect() == []
+
+
+def test_one_copy_stays_where_ids_repeat_or_are_null(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a, "x")] * 30 + [(5, a.upper(), "y")] * 30 + [(None, a, "z"), (7, a, "z")]
+    rows += [(None, b, "x")] * 40 + [(8, "alone c", "x"), (None, "alone d", "x")]
+    rows += [(9, f"{a} end", "x")] * 5 + [(None, f"{b} end", "x")] * 5
+    columns = "doc_id bigint, text string, source string"
+    docs = materialize(spark.createDataFrame(rows, columns).repartition(7), "odd")
+    exact = materialize(corpus_pipeline.drop_copies(spark, docs, FOLDER), "odd")
+    assert exact.columns == docs.columns
+    left = sorted(((r.doc_id, r.text.lower()) for r in exact.collect()), key=str)
+    assert left == sorted({(5, a), (None, b), (8, "alone c"), (None, "alone d"), (9, f"{a} end"),
+                           (None, f"{b} end")}, key=str)
+    for given in (docs, exact):
+        found = corpus_pipeline.drop_near_copies(spark, given, FOLDER)
+        assert found.columns == docs.columns
+        left = sorted(((r.text.lower()[:2], r.doc_id) for r in found.collect()), key=str)
+        assert [x[0] for x in left] == ["a0", "al", "al", "b0"]
+        assert [x[1] for x in left if x[0] == "a0"] == [5]
+    marked = minhash.near_duplicates(docs, one_row=True).where("kept").collect()
+    assert sorted((r.doc_id for r in marked), key=str) == [5, 8, None, None]
