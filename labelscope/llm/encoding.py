@@ -84,12 +84,8 @@ class Pieces:
 
     def of(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple:
         """For each span of the bytes where its ids begin and end in the third result."""
-        spans = pa.Array.from_buffers(
-            pa.large_binary(),
-            len(starts),
-            [None, pa.py_buffer(_offsets(starts, ends)), pa.py_buffer(_packed(data, starts, ends))],
-        ).dictionary_encode()
-        number = self.numbers(spans.dictionary.to_pylist())[np.asarray(spans.indices)]
+        found = spans(data, starts, ends).dictionary_encode()
+        number = self.numbers(found.dictionary.to_pylist())[np.asarray(found.indices)]
         return self.ends[number], self.ends[number + 1], self.ids
 
 
@@ -103,6 +99,12 @@ def _grown(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     return pool
 
 
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The spans [start, end) of the bytes as an array of binary values."""
+    parts = [None, pa.py_buffer(_offsets(starts, ends)), pa.py_buffer(_packed(data, starts, ends))]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), parts)
+
+
 def _offsets(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
 

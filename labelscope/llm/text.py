@@ -38,7 +38,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n - 1 of an odd number, modulo 2 ** 64."""
     steps = np.full(n, base & _MASK, np.uint64)
     steps[0] = 1
     return np.multiply.accumulate(steps)
@@ -54,7 +55,7 @@ def _tables_for(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, for blocks of up to n bytes."""
     size = 1 << max(20, int(n).bit_length())
     if size not in _tables:
-        _tables[size] = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
+        _tables[size] = powers(_BASE, size), powers(pow(_BASE, -1, 1 << 64), size)
     return _tables[size]
 
 
@@ -108,10 +109,17 @@ def word_spans(
     The last entry of the third array is the number of words. ``breaks`` tells
     for each byte whether it stands between words.
     """
-    inside = ~breaks[data]
+    return mask_spans(~breaks[data], bounds)
+
+
+def mask_spans(
+    inside: np.ndarray, bounds: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`word_spans` of words whose bytes are those that ``inside`` marks."""
+    n = len(inside)
     first = inside.copy()
     first[1:] &= ~inside[:-1]
-    edges = bounds[:-1][bounds[:-1] < len(data)]
+    edges = bounds[:-1][bounds[:-1] < n]
     first[edges] = inside[edges]
     last = inside.copy()
     last[:-1] &= ~inside[1:]
@@ -127,7 +135,7 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     total = np.zeros(n, np.uint64)
-    for i, power in enumerate(_powers(_BASE, k)):
+    for i, power in enumerate(powers(_BASE, k)):
         total += words[i : i + n] * power
     return mix(total + np.uint64(k * int(_ODD) & _MASK))
 
