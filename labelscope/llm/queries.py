@@ -1,12 +1,27 @@
-"""The ten operators as registered queries, and their SQL."""
+"""The operators as registered queries."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from labelscope.llm import chat, codes, counts, exact, language, licenses, minhash, mixing, packing, quality
+from pyspark.sql import functions as F
+
+from labelscope.llm import (
+    chat,
+    codes,
+    counts,
+    exact,
+    factors,
+    fim,
+    language,
+    licenses,
+    minhash,
+    mixing,
+    packing,
+    quality,
+    variants,
+)
 from labelscope.llm.tables import documents
 from labelscope.sources import read_table
 
@@ -76,6 +91,23 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_duplicates(documents(spark, folder), keep="largest")
 
 
+def op11_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """How likely every text is a good one; rows whose id is 0 by its hash mod 5 are held out."""
+    held_out = F.crc32(F.col("id").cast("string").cast("binary")) % 5 == 0
+    labels = read_table(spark, f"{folder}/labels.parquet")
+    return factors.scored(documents(spark, folder), labels, held_out=held_out)
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Frequent words one edit apart, and the form that each is a variant of."""
+    return variants.variants(documents(spark, folder))
+
+
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """All texts cut at two code points and reordered, with hashes of the text rebuilt."""
+    return fim.digests(fim.fill_in_middle(documents(spark, folder)))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -88,4 +120,7 @@ def queries() -> dict[str, Query]:
         "op8_token_counts": op8_token_counts,
         "op9_chat_tree": op9_chat_tree,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_quality_scores": op11_quality_scores,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }

@@ -115,4 +115,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-ORACLES = {"op4_mix_sources": OP4, "op6_host_quality": OP6, "op10_exact_dedup": OP10}
+OP13 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS g FROM documents),
+h AS (
+  SELECT doc_id, t, n,
+         CAST('0x' || substr(g, 1, 8) AS BIGINT) % (n + 1) AS a,
+         CAST('0x' || substr(g, 9, 8) AS BIGINT) % (n + 1) AS b,
+         CAST('0x' || substr(g, 17, 8) AS BIGINT) % 100 AS whether,
+         CAST('0x' || substr(g, 25, 8) AS BIGINT) % 100 AS which FROM d),
+f AS (
+  SELECT *, least(a, b) AS p, greatest(a, b) AS q,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                OR whether >= 90 THEN 'plain' WHEN which < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+c AS (
+  SELECT *, substring(t, 1, p) AS prefix, substring(t, p + 1, q - p) AS middle,
+         substring(t, q + 1, n - q) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN q - p END AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                ELSE t END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM c
+"""
+
+ORACLES = {
+    "op4_mix_sources": OP4,
+    "op6_host_quality": OP6,
+    "op10_exact_dedup": OP10,
+    "op13_fill_in_middle": OP13,
+}
