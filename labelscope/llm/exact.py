@@ -7,12 +7,14 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.tables import folded, one_row_each, unused
+from labelscope.llm.tables import folded, maybe_among, one_row_each, unused
 from labelscope.sources import materialize
 
-#: Runs at the leaves of the tree, and how many of them one merge takes.
-RUNS = 64
+#: Runs that are merged at a time. There are at least and at most so many runs, a
+#: power of that, of about so many rows.
 FAN_IN = 8
+RUNS, MOST_RUNS = FAN_IN**2, FAN_IN**5
+RUN_ROWS = 250_000
 
 
 def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -27,23 +29,36 @@ def _digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _run_count(rows: int) -> int:
+    """A power of the fan-in, so that a run has about ``RUN_ROWS`` rows."""
+    runs = RUNS
+    while runs < MOST_RUNS and rows > runs * RUN_ROWS:
+        runs *= FAN_IN
+    return runs
+
+
 def merged_runs(
-    digests: DataFrame, keep: str = "smallest", runs: int = RUNS, fan_in: int = FAN_IN
+    digests: DataFrame, keep: str = "smallest", runs: int | None = None, fan_in: int = FAN_IN
 ) -> DataFrame:
     """One row per distinct text: ``digest, n_bytes, check, keep_id, group_size, keep_rows``.
 
     ``keep_rows`` is how many rows the one with the retained id stands for; it
     is null where all ids are null.
 
-    Rows are dealt to ``runs`` runs by their id. Every round merges ``fan_in``
-    neighbouring runs: each task first merges what it holds, which leaves one
-    row per digest and run, then run q receives the runs q * fan_in and
-    following, sorted by digest, and merges equal digests again. Digests count
-    as equal only if a second hash and the length agree too, so an identifier
-    that is retained at a level has been verified there. A digest that holds
-    any share of the rows is one row per run after the first round. A column
+    Rows are dealt to ``runs`` runs by their id. In every round ``fan_in``
+    neighbouring runs, or what they have become, exchange their rows: a
+    partition receives one range of digests of the group of runs, sorts it and
+    merges equal digests, so after r rounds there is a sorted run for each group
+    of ``fan_in ** r`` runs, in that many ranges. There are as many partitions
+    in every round as there are runs, none of them the root of all. A digest on
+    any share of the rows is dealt over all runs first and one row per group
+    after each round.
+
+    Digests count as equal only if a second hash and the length agree too, so an
+    identifier that is retained at a level has been verified there. A column
     ``rows`` tells how many rows a row stands for; ids are then counted before.
     """
+    runs = _run_count(digests.count()) if runs is None else runs
     best = {"smallest": F.min, "largest": F.max}[keep]
     key = ["digest", "n_bytes", "check"]
     rows = F.col("rows") if "rows" in digests.columns else F.lit(1).cast("bigint")
@@ -54,10 +69,20 @@ def merged_runs(
         F.when(F.col("id").isNotNull(), F.struct("id", rows.alias("rows"))).alias("kept"),
         rows.alias("n"),
     )
+    # the digest as a number below 2 ** 32, in the order of the digests
+    place = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("bigint")
+    ranges = 1
     for _ in range(max(1, math.ceil(round(math.log(runs, fan_in), 9)))):
+        ranges *= fan_in
+        groups = -(-runs // ranges)
+        group = F.floor(F.col("run") / ranges)
+        own = group * ranges + F.floor(place * ranges / 2**32)
+        # what is left of a run is known by the first of its runs
         level = (
-            level.withColumn("run", F.floor(F.col("run") / fan_in))
-            .groupBy("run", *key)
+            level.select((group * ranges).alias("run"), *key, "kept", "n", own.cast("int").alias("part"))
+            .repartitionById(groups * ranges, F.col("part"))
+            .sortWithinPartitions("part", "run", *key)
+            .groupBy("part", "run", *key)
             .agg(best("kept").alias("kept"), F.sum("n").alias("n"))
         )
     return level.select(
@@ -73,7 +98,7 @@ def exact_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "smallest",
-    runs: int = RUNS,
+    runs: int | None = None,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
     """One row per row of ``docs``: the id, ``keep_id, group_size, kept, text_sha256``.
@@ -113,34 +138,40 @@ def drop_copies(
     """The rows of ``docs``, with all their columns, that :func:`exact_duplicates` keeps.
 
     With ``one_row`` just one row of each group stays, also where several rows
-    have the retained id or all ids are null. Only what has copies is looked
-    up: groups of one row are left out of the join, and rows without an entry
-    stay.
+    have the retained id or all ids are null. Rows whose text cannot have a
+    copy, which a filter of bounded size tells in the scan, pass by; only the
+    others are joined with the groups, and those without an entry stay too.
+    Nulls, ties, long texts, clashing names and empty tables are as described
+    there.
     """
-    digests = _digested(docs, id_col, text_col)
+    digests = materialize(_digested(docs, id_col, text_col), "digests")
     if one_row:
         # rows of one id and text are counted, so that the retained id tells how many it has
         digests = digests.groupBy(*digests.columns).agg(F.count("*").alias("rows"))
     copies = merged_runs(digests, keep).where("group_size > 1")
     tied = F.coalesce(F.col("keep_rows") > 1, F.lit(True))
     copies = copies.withColumn("tied", tied if one_row else F.lit(False))
-    copies = copies.drop("group_size", "keep_rows")
-    if one_row:
-        copies = materialize(copies, "copies")
+    copies = materialize(copies.drop("group_size", "keep_rows"), "copies")
     names: dict[str, str] = {}
-    for name in ("digest", "n_bytes", "check", "keep_id", "tied"):
+    for name in ("digest", "n_bytes", "check", "keep_id", "tied", "copied"):
         names[name] = unused([*docs.columns, *names.values()], name)
     key = list(names.values())[:3]
     text = folded(docs[f"`{text_col}`"])
-    values = (F.unhex(F.sha2(text, 256)), F.octet_length(text), F.xxhash64(text))
-    rows = docs.withColumns(dict(zip(key, values, strict=True)))
-    copies = copies.withColumnsRenamed(names)
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.withColumn(names["check"], F.xxhash64(text))
+    marked = maybe_among(hashed, names["check"], copies.select("check"), names["copied"])
+    rows = marked.where(F.col(names["copied"])).withColumns(
+        {key[0]: F.unhex(F.sha2(text, 256)), key[1]: F.octet_length(text)}
+    )
+    copies = copies.withColumnsRenamed(names)
     best, tied = F.col(names["keep_id"]), F.col(names["tied"])
     # a group whose ids are all null has a null keep_id, as has a row without copies
     kept = best.isNull() | F.col(f"`{id_col}`").eqNullSafe(best)
     joined = rows.join(copies, key, "left")
-    result = joined.where(kept & ~F.coalesce(tied, F.lit(False))).select(*columns)
+    result = marked.where(~F.col(names["copied"])).select(*columns)
+    result = result.unionByName(
+        joined.where(kept & ~F.coalesce(tied, F.lit(False))).select(*columns)
+    )
     if one_row and not copies.where(tied).isEmpty():
         several = rows.join(copies.where(tied), key).where(kept).select(*key, *columns)
         result = result.unionByName(one_row_each(several, key).select(*columns))

@@ -77,3 +77,29 @@ def test_main_path_is_native(spark):
     for found in (exact.exact_duplicates(df), exact.drop_copies(df)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_every_round_is_one_exchange_into_sorted_runs(spark):
+    """Partitions are ranges of digests of a group of runs, as many in every round."""
+    df = spark.range(3000).select("id", F.concat(F.lit("t"), F.col("id") % 700).alias("text"))
+    digests = exact._digested(df, "id", "text")
+    for runs, fan_in, rounds in ((64, 8, 2), (64, 4, 3), (64, 2, 6)):
+        merged = exact.merged_runs(digests, runs=runs, fan_in=fan_in)
+        plan = merged._jdf.queryExecution().executedPlan().toString()
+        exchanges = [x for x in plan.splitlines() if "Exchange" in x]
+        assert len(exchanges) == rounds
+        assert all("REPARTITION_BY_NUM" in x or "shufflepartitionidpassthrough" in x.lower()
+                   for x in exchanges), exchanges
+        # a merge needs no sort of its own
+        assert plan.count("Sort [part") == rounds
+        assert merged.count() == 700
+        parts = merged.select(F.spark_partition_id().alias("p"), F.hex("digest").alias("d"))
+        edges = parts.groupBy("p").agg(F.min("d").alias("low"), F.max("d").alias("high")).orderBy("p").collect()
+        assert len(edges) > runs / 2
+        assert all(a.high < b.low for a, b in zip(edges, edges[1:]))
+
+
+def test_runs_follow_the_rows():
+    assert exact._run_count(0) == 64 and exact._run_count(64 * 250_000) == 64
+    assert exact._run_count(64 * 250_000 + 1) == 512
+    assert exact._run_count(10**15) == exact.MOST_RUNS
