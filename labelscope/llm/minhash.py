@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.components import components
-from labelscope.llm.tables import in_small_batches, one_row_each, unused
+from labelscope.llm.tables import maybe_among, one_row_each, unused
 from labelscope.llm.text import mix, runs, shingle_sets
 from labelscope.sources import materialize
 
@@ -118,14 +118,26 @@ def _setter(k: int):
     return sets
 
 
+#: Fixed value of the expected number of registers equal by chance.
+_COLLISIONS = 0.169919487159739 * 4
+
+
 def corrected_estimate(matches: Column, size_a: Column, size_b: Column) -> Column:
     """Similarity from the number of equal registers, without those equal by chance.
 
     The number that two unrelated sets share by chance follows from the ratio
     of their sizes, as HyperMinHash gives it for sets larger than the buckets.
     """
-    ratio = F.greatest(size_a, size_b) / F.least(size_a, size_b)
-    chance = 0.169919487159739 * 2.0 ** (P - MANTISSA) * 4 * ratio / F.pow(1 + ratio, F.lit(2.0))
+    low, high = F.least(size_a, size_b), F.greatest(size_a, size_b)
+    ratio = high / low
+    chance = _COLLISIONS * 2.0 ** (P - MANTISSA) * ratio / F.pow(1 + ratio, F.lit(2.0))
+    return (matches - chance) / (BUCKETS - chance)
+
+
+def corrected_share(matches: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """:func:`corrected_estimate` of arrays: equal registers, smaller and larger size."""
+    ratio = high / low
+    chance = _COLLISIONS * 2.0 ** (P - MANTISSA) * ratio / (1 + ratio) ** 2
     return (matches - chance) / (BUCKETS - chance)
 
 
@@ -180,8 +192,8 @@ def _compare(rows: pa.Table, percent: int, link: bool) -> tuple[list, list]:
         low = np.minimum(size[near], size[o])
         high = np.maximum(size[near], size[o])
         spread = np.sqrt(j * (1 - j) / np.minimum(low, BUCKETS))
-        # the correction for chance only lowers an estimate
-        good = (100 * low >= percent * high) & (matches / BUCKETS >= j - DEVIATIONS * spread)
+        estimate = corrected_share(matches, low, high)
+        good = (100 * low >= percent * high) & (estimate >= j - DEVIATIONS * spread)
         good &= shared[:, band] & (shared.argmax(axis=1) == band)
         near, matches = near[good], matches[good]
         if not link:
@@ -248,8 +260,10 @@ def _blocks(percent: int, link: bool):
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """``node, shingles`` of the wanted ``node, row_key``, stored."""
-    texts = docs.join(wanted, "row_key").select("node", "text")
-    sets = in_small_batches(texts).mapInArrow(_setter(shingle), "node binary, shingles array<bigint>")
+    # texts that nobody wants are left out in the scan and not shuffled
+    near = maybe_among(docs, "row_key", wanted.select("row_key"), "wanted").where("wanted")
+    texts = near.join(wanted, "row_key").select("node", "text")
+    sets = texts.mapInArrow(_setter(shingle), "node binary, shingles array<bigint>")
     # rows that repeat an id and its text give the same set again
     return materialize(sets, "shingle-sets").dropDuplicates(["node"])
 
@@ -275,6 +289,7 @@ def _verified(
         .union(likely.select("b", "row_key_b"))
         .distinct()
     )
+    wanted = materialize(wanted, "wanted-texts")
     sets = _shingle_sets(docs, wanted, shingle)
     both = likely.join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a"
@@ -285,12 +300,12 @@ def _verified(
     return materialize(linked, "linked-pairs")
 
 
-def _dealt(rows: DataFrame, least: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Band members ``key, node, comp, registers, n_shingles`` dealt to sorted blocks.
+def _open_members(rows: DataFrame, least: int) -> DataFrame:
+    """Those of the band members ``key, node, comp, n_shingles`` whose band is open.
 
-    Only bands with several components and at least ``least`` members are left.
-    In each the outsiders, the members outside its largest component, meet all
-    members: what is in the largest component already isn't compared within.
+    That is one with several components and at least ``least`` members. Each
+    row says whether it is outside the largest component of its band, and into
+    how many parts all members and those outside are dealt.
     """
     per_comp = rows.groupBy("key", "comp").agg(
         F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")
@@ -315,14 +330,19 @@ def _dealt(rows: DataFrame, least: int, extra: tuple[str, ...] = ()) -> DataFram
             .alias("parts_out"),
         )
     )
-    shared = ["key", "node", "comp", "registers", "n_shingles", *extra]
-    rows = rows.join(bands, "key").select(
-        *shared,
-        (F.col("comp") != F.col("major")).alias("is_out"),
-        "parts_all",
-        "parts_out",
-        F.xxhash64("node", "key").alias("h"),
+    return rows.join(bands, "key").select(
+        *rows.columns, (F.col("comp") != F.col("major")).alias("is_out"), "parts_all", "parts_out"
     )
+
+
+def _dealt(rows: DataFrame, more: Sequence[str]) -> DataFrame:
+    """Members of open bands, with the columns ``more``, dealt to sorted blocks.
+
+    In each band the outsiders, the members outside its largest component, meet
+    all members: what is in the largest component already isn't compared within.
+    """
+    shared = ["key", "node", "comp", "n_shingles", *more]
+    rows = rows.withColumn("h", F.xxhash64("node", "key"))
     own_all = F.pmod(F.col("h"), F.col("parts_all")).cast("int")
     own_out = F.pmod(F.col("h"), F.col("parts_out")).cast("int")
     every = rows.select(
@@ -344,21 +364,26 @@ def _dealt(rows: DataFrame, least: int, extra: tuple[str, ...] = ()) -> DataFram
 def _late_links(
     found: DataFrame, comps: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int
 ) -> DataFrame:
-    """Links between different components that share a band, enough to connect them."""
-    about = classes.select("node", "registers", "n_shingles", "row_key")
+    """Links between different components that share a band, enough to connect them.
+
+    Registers, and then sets, are fetched for members of open bands only.
+    """
     comp = F.coalesce(F.col("comp"), F.col("node")).alias("comp")
-    names = ["key", "node", "registers", "n_shingles"]
-    rows = found.join(about, "node").join(comps, "node", "left").select(*names, "row_key", comp)
+    slim = ["key", "node", "n_shingles"]
+    rows = found.join(classes.select("node", "n_shingles"), "node").join(comps, "node", "left")
+    rows = materialize(rows.select(*slim, comp), "band-components")
     # in a band of two one is the hub: they have been compared
-    marked = _dealt(rows.drop("row_key"), 3).mapInArrow(
-        _blocks(percent, False), "key bigint, node binary"
-    )
+    open_rows = materialize(_open_members(rows, 3), "open-members")
+    wide = open_rows.join(classes.select("node", "registers"), "node")
+    marked = _dealt(wide, ["registers"]).mapInArrow(_blocks(percent, False), "key bigint, node binary")
     marked = materialize(marked.distinct(), "marked-members")
-    left = marked.join(about, "node").join(comps, "node", "left").select(*names, "row_key", comp)
-    sets = _shingle_sets(docs, left.select("node", "row_key").distinct(), shingle)
-    left = left.drop("row_key").join(sets, "node")
-    links = _dealt(left, 2, ("shingles",)).mapInArrow(_blocks(percent, True), "a binary, b binary")
-    return materialize(links, "late-links")
+    left = marked.join(rows, ["key", "node"])
+    keys = classes.select("node", "row_key").join(marked.select("node").distinct(), "node")
+    sets = _shingle_sets(docs, materialize(keys, "wanted-texts"), shingle)
+    left = materialize(_open_members(left.select(*slim, "comp"), 2), "marked-in-open-bands")
+    left = left.join(classes.select("node", "registers"), "node").join(sets, "node")
+    links = _dealt(left, ["registers", "shingles"])
+    return materialize(links.mapInArrow(_blocks(percent, True), "a binary, b binary"), "late-links")
 
 
 def near_duplicates(
@@ -389,8 +414,9 @@ def near_duplicates(
     corrected for registers equal by chance, is far below the threshold are
     rejected; all others are verified on the full sets.
 
-    A null text, or one without words, has no shingles, is linked with nothing
-    and kept. A null id takes part, but never names a component while there is
+    Whole texts are taken, however long; memory follows the longest one. An
+    empty table gives an empty result. A null text, or one without words, has no
+    shingles, is linked with nothing and kept. A null id takes part, but never names a component while there is
     another id; in a component of null ids all are kept. Rows that repeat an id
     are kept together. With ``one_row`` just one row of a component is kept in
     either case. Other columns of ``docs`` may have any name.
@@ -407,24 +433,39 @@ def drop_near_duplicates(
     percent: int = 80,
     one_row: bool = False,
 ) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that :func:`near_duplicates` keeps."""
+    """The rows of ``docs``, with all their columns, that :func:`near_duplicates` keeps.
+
+    Rows that surely stay, which a filter of bounded size tells in the scan, are
+    not shuffled. Nulls, ties, repeated rows, long texts, clashing names and
+    empty tables are as described there; with ``one_row`` rows that repeat an id
+    and its text leave one.
+    """
     marked = _marked(docs, id_col, text_col, shingle, percent, one_row)
-    names = {c: unused(docs.columns, f"gone_{c}") for c in ("row_key", "id")}
-    key = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
-    same = (key == F.col(names["row_key"])) & docs[f"`{id_col}`"].eqNullSafe(F.col(names["id"]))
-    if not one_row:
-        gone = marked.where("not kept").select("row_key", "id").distinct()
-        return docs.join(gone.withColumnsRenamed(names), same, "left_anti")
-    # of rows that repeat an id and its text one may be kept and the others not
-    texts = marked.where("in_company").groupBy("row_key", "id")
-    texts = texts.agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    gone = materialize(texts.where("not kept or n > 1"), "near-copies")
-    result = docs.join(gone.select("row_key", "id").withColumnsRenamed(names), same, "left_anti")
+    names: dict[str, str] = {}
+    for name in ("row_key", "id", "own_key", "near"):
+        names[name] = unused([*docs.columns, *names.values()], f"gone_{name}")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if one_row:
+        # of rows that repeat an id and its text one may be kept and the others not
+        texts = marked.where("in_company").groupBy("row_key", "id")
+        texts = texts.agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+        gone = materialize(texts.where("not kept or n > 1"), "near-copies")
+    else:
+        gone = materialize(marked.where("not kept").select("row_key", "id", "kept").distinct(), "near-copies")
+    hashed = docs.withColumn(names["own_key"], F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+    near = maybe_among(hashed, names["own_key"], gone.select("row_key"), names["near"])
+    may = near.where(F.col(names["near"]))
+    same = (F.col(names["own_key"]) == F.col(names["row_key"])) & may[f"`{id_col}`"].eqNullSafe(
+        F.col(names["id"])
+    )
+    keyed = gone.select("row_key", "id").withColumnsRenamed(names)
+    result = near.where(~F.col(names["near"])).select(*columns)
+    result = result.unionByName(may.join(keyed, same, "left_anti").select(*columns))
     tied = gone.where("kept").select("row_key", "id")
-    if not tied.isEmpty():
-        several = docs.join(tied.withColumnsRenamed(names), same)
+    if one_row and not tied.isEmpty():
+        several = may.join(tied.withColumnsRenamed(names), same)
         result = result.unionByName(
-            one_row_each(several, list(names.values())).select(*[F.col(f"`{c}`") for c in docs.columns])
+            one_row_each(several, [names["row_key"], names["id"]]).select(*columns)
         )
     return result
 
@@ -436,7 +477,7 @@ def _marked(
     rows = rows.withColumn("row_key", F.xxhash64("id", "text"))
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, row_key bigint, n_shingles bigint, node binary, registers binary"
-    sketches = in_small_batches(rows.select("id", "row_key", "text"))
+    sketches = rows.select("id", "row_key", "text")
     sketches = sketches.mapInArrow(_sketcher(shingle), schema)
     sketches = materialize(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = materialize(

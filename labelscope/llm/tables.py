@@ -15,22 +15,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-#: Rows of texts that are sent to a Python worker at a time, at most.
-BATCH_ROWS = 500
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session was told to send few rows at a time to Python.
-
-    Rows with texts are large, and a batch is held by the executor and by the
-    worker. A smaller setting is left as it is; 0 and less mean no limit.
-    """
-    rows = int(df.sparkSession.conf.get(_BATCH))
-    if not 0 < rows <= BATCH_ROWS:
-        df.sparkSession.conf.set(_BATCH, BATCH_ROWS)
-    return df
-
+#: Bits of a filter: of one row, and of all.
+BITMAP = 32_768
+FILTER_BITS = 1 << 27
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, f"{folder}/documents.parquet")
@@ -54,6 +41,33 @@ def unused(taken: Sequence[str], name: str) -> str:
     return name
 
 
+def maybe_among(rows: DataFrame, key: str, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean ``name``: false where ``key`` is surely not in ``keys``.
+
+    ``key`` and the one column of ``keys`` are 64-bit hashes. A bit for each
+    hash of the keys, modulo a power of two, is kept in rows of 4 KB and looked
+    up by a broadcast. There are 16 bits a key, up to ``FILTER_BITS``, so the
+    filter has a bounded size; with more keys it lets more rows through.
+    """
+    n = keys.count()
+    bits = BITMAP
+    while bits < FILTER_BITS and bits < 16 * n:
+        bits *= 2
+    taken = [*rows.columns, name]
+    at, word = unused(taken, "filter_at"), unused(taken, "filter_bits")
+    place = F.pmod(F.col(keys.columns[0]), F.lit(bits))
+    bitmaps = keys.groupBy(F.floor(place / BITMAP).alias(at)).agg(
+        F.bitmap_construct_agg(place % BITMAP).alias(word)
+    )
+    own = F.pmod(F.col(key), F.lit(bits))
+    found = rows.withColumn(at, F.floor(own / BITMAP)).join(F.broadcast(bitmaps), at, "left")
+    byte = F.substring(F.col(word), F.floor(own % BITMAP / 8).cast("int") + 1, F.lit(1))
+    value = F.conv(F.hex(byte), 16, 10).cast("int")
+    is_set = F.floor(value / F.pow(F.lit(2), own % 8)) % 2 == 1
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    return found.select(*columns, F.coalesce(is_set, F.lit(False)).alias(name))
+
+
 def one_row_each(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """One whole row for each value of ``key``, whichever; nulls are equal.
 

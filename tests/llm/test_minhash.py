@@ -3,12 +3,13 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from labelscope.llm import minhash
+from labelscope.llm import exact, minhash, tables
 from labelscope.llm.components import components
 from labelscope.llm.queries import queries
-from tests.llm.brute import near_components
+from tests.llm.brute import FOLD, near_components
 
 SCHEMA = "doc_id bigint, text string"
 
@@ -132,3 +133,52 @@ def test_links_beside_the_hub_are_found(spark):
             rows.append((len(rows), " ".join(words)))
     found = _rows(minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)))
     assert found == _expected(rows, 5, 80)
+
+
+def test_kept_is_having_the_id_of_the_component(spark):
+    """As the query's contract says, also where ids repeat or are null."""
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(3, text), (3, text), (3, text.upper()), (9, text), (None, text), (5, ""), (5, None)]
+    rows += [(None, "one two three four five six")] * 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = minhash.near_duplicates(df, shingle=4, percent=80).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r.kept == (r.doc_id == r.component_id)
+    assert sum(r.kept and r.component_id == 3 for r in found) == 3
+
+
+@pytest.mark.parametrize("bits", [8, 1 << 27])
+def test_a_small_filter_gives_the_same_rows(spark, monkeypatch, bits):
+    """A filter of one byte rules out next to nothing, and no result depends on it."""
+    monkeypatch.setattr(tables, "BITMAP", min(bits, 32_768))
+    monkeypatch.setattr(tables, "FILTER_BITS", bits)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    components = near_components(rows, 5, 80)
+    kept = {i for i, (_, c) in components.items() if i == c}
+    assert {r.doc_id for r in minhash.drop_near_duplicates(docs, one_row=True).collect()} == kept
+    least = {}
+    for i, t in rows:
+        least[(t or "").translate(FOLD)] = min(i, least.get((t or "").translate(FOLD), i))
+    assert {r.doc_id for r in exact.drop_copies(docs, one_row=True).collect()} == set(least.values())
+
+
+def test_the_filter_never_rules_out_a_key(spark):
+    keys = spark.range(500).select(F.xxhash64("id").alias("key"))
+    rows = spark.range(100_000).select("id", F.xxhash64("id").alias("key"))
+    found = tables.maybe_among(rows, "key", keys, "may")
+    assert found.where("id < 500 and not may").isEmpty()
+    # 16 bits a key
+    assert found.where("may").count() < 500 + 0.1 * 100_000
+    assert tables.maybe_among(rows, "key", keys.limit(0), "may").where("may").isEmpty()
+
+
+def test_corrections_agree(spark):
+    """The column and the array form of the corrected estimate."""
+    cases = [(0, 10, 10), (128, 300, 300), (90, 50, 400), (17, 1000, 3)]
+    df = spark.createDataFrame(np.array(cases, float).tolist(), "m double, a double, b double")
+    column = [r[0] for r in df.select(minhash.corrected_estimate(F.col("m"), F.col("a"), F.col("b"))).collect()]
+    m, a, b = np.array(cases, float).T
+    assert np.allclose(minhash.corrected_share(m, np.minimum(a, b), np.maximum(a, b)), column)
+    assert column[0] < 0 and column[1] == 1.0
