@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.llm.encoding import encoded
-from labelscope.llm.tables import in_small_batches
 from labelscope.sources import materialize, shared_folder
 
 MAGIC = b"DACIDS01"
@@ -215,21 +214,27 @@ def write_codes(
     range-partitioned by id, and each task writes files of bounded size. A task
     that is repeated writes new files, and the table lists those of the attempt
     that succeeded. A null or empty text is the end token alone. Null ids come
-    first; rows with equal ids follow each other, ordered by their text.
+    first. Rows with equal ids follow each other in the order of a hash of their
+    text, by which an id that many rows share is dealt to several ranges.
     """
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"),
         F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
     )
-    in_order = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    place = F.xxhash64("text")
+    in_order = rows.repartitionByRange("id", place).sortWithinPartitions("id", place, "text")
     schema = "part bigint, number bigint, file string, n_docs bigint, n_ids bigint"
     files = materialize(
-        in_small_batches(in_order).mapInArrow(_writer(path, end_id, folder, file_ids), schema), "code-files"
+        in_order.mapInArrow(_writer(path, end_id, folder, file_ids), schema), "code-files"
     )
     before = Window.orderBy("part", "number")  # one row per file
     return files.withColumn("first", F.sum("n_ids").over(before) - F.col("n_ids"))
 
 
+#: Tasks that read files back, at most.
+MOST_READERS = 10_000
+
+
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
@@ -255,8 +260,9 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_codes(files: DataFrame, id_type: str = "bigint", id_col: str = "doc_id") -> DataFrame:
     """One row per document of the files: the id, ``start, n_tokens, ids_crc32``."""
     schema = f"id {id_type}, start bigint, n_tokens bigint, ids_crc32 bigint"
-    # a task per handful of files, whatever the table of files is stored in
-    spread = files.select("file", "first").repartition("file")
+    # a task per file, whatever the small table of files is stored in
+    tasks = max(1, min(files.count(), MOST_READERS))
+    spread = files.select("file", "first", "part", "number").repartitionByRange(tasks, "part", "number")
     return spread.mapInArrow(_reader, schema).withColumnRenamed("id", id_col)
 
 

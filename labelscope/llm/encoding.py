@@ -58,17 +58,23 @@ class Pieces:
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]) -> None:
         self.encode = encode
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
         self.held = 0
 
+    def _forget_half(self) -> None:
+        """Forget the pieces that have been known for longest."""
+        first = (len(self.ends) - 1) // 2
+        self.known = {p: i - first for p, i in self.known.items() if i >= first}
+        low = self.ends[first]
+        self.ids = self.ids[low : self.ends[-1]].copy()
+        self.ends = self.ends[first:] - low
+        self.held = sum(map(len, self.known))
+
     def numbers(self, pieces: list[bytes]) -> np.ndarray:
         """The numbers under which the pieces are remembered, encoding new ones first."""
         if self.held > REMEMBERED_BYTES:
-            self._forget()
+            self._forget_half()
         known = self.known
         fresh = [p for p in pieces if p not in known]
         if fresh:

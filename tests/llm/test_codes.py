@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from labelscope.llm import codes
+from labelscope.llm import codes, encoding
 from labelscope.llm.queries import queries
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -68,3 +69,63 @@ def test_small_files_and_odd_rows(spark, tmp_path):
     assert sorted(r.start for r in found if r.doc_id is None)[0] == 0
     assert len(found) == 6
     assert codes.round_trip(df.limit(0), PATH).collect() == []
+
+
+def test_files_are_read_by_several_tasks(spark, tmp_path):
+    rows = [(i, f"text number {i} " * 9) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        files = codes.write_codes(df, PATH, str(tmp_path / "codes"), file_ids=200)
+        n = files.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    found = codes.read_codes(files)
+    tasks = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert n >= 8 and 8 <= tasks <= n
+    assert _rows(found) == _expected(rows)
+
+
+def test_null_ids_on_a_third_of_the_rows_are_dealt_to_several_tasks(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else i, f"some text {i * 7919 % 1000} " * 5) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    # such a small table would be one partition
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        files = codes.write_codes(df, PATH, str(tmp_path / "codes"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = codes.read_codes(files).collect()
+    assert len(found) == len(rows)
+    wanted = Counter(x[2:] for x in _expected(rows))
+    assert Counter((r.n_tokens, r.ids_crc32) for r in found) == wanted
+    # rows of one id lie in several files, before all others
+    firsts = {r.start: r.doc_id for r in found}
+    order = [firsts[s] for s in sorted(firsts)]
+    assert order == [None] * 2000 + sorted(i for i, _ in rows if i is not None)
+    starts = [r.first for r in files.collect()]
+    assert sum(s < max(r.start for r in found if r.doc_id is None) for s in starts) >= 2
+    again = codes.read_codes(codes.write_codes(df.repartition(3), PATH, str(tmp_path / "again")))
+    assert sorted(map(str, again.collect())) == sorted(map(str, found))
+
+
+def test_the_oldest_pieces_are_forgotten(monkeypatch):
+    monkeypatch.setattr(encoding, "REMEMBERED_BYTES", 200)
+    calls = []
+
+    def encode(pieces):
+        calls.extend(pieces)
+        return [list(p) for p in pieces]
+
+    memory = encoding.Pieces(encode)
+    draw = random.Random(2)
+    for _ in range(300):
+        pieces = list(dict.fromkeys(draw.randbytes(draw.randrange(1, 9)) for _ in range(20)))
+        numbers = memory.numbers(pieces)
+        for p, i in zip(pieces, numbers, strict=True):
+            assert memory.ids[memory.ends[i] : memory.ends[i + 1]].tolist() == list(p)
+    calls.clear()
+    last = pieces[-1]
+    memory.numbers([b"new" * 100])
+    memory.numbers([last])
+    assert last not in calls
