@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.llm.tables import word_count
-from labelscope.llm.text import WORD
 from labelscope.sources import materialize
 
 #: Cells of the seeded order at each of two levels.
@@ -151,9 +150,10 @@ BROADCAST_SOURCES = 100_000
 def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """``rows`` with ``source_size, target`` and ``taken``: the words the mix takes of each.
 
-    A document is taken ``whole`` times, once more if its place is before the
-    end of the fractional repetition, and in part if it is at the end. All rows
-    at that place take the same part, rounded down, so repeated ids agree.
+    A document is taken ``whole`` times, and once more if its place is before the
+    end of the fractional repetition. What lies at the end is taken or left as a
+    whole, whichever comes nearer to the target, so no text is cut and rows that
+    share a place agree.
     """
     small = plan.count() <= BROADCAST_SOURCES
     names = [c for c in plan.columns if c != "source"]
@@ -161,12 +161,11 @@ def taken(rows: DataFrame, plan: DataFrame) -> DataFrame:
     joined = rows.join(
         F.broadcast(side) if small else side, F.col("source").eqNullSafe(F.col("plan_source"))
     )
-    part = F.floor(F.col("size") * (F.col("rest") - F.col("end_before")) / F.col("end_size"))
-    extra = (
-        F.when(F.col("place") < F.col("end_place"), F.col("size"))
-        .when(F.col("place") == F.col("end_place"), part)
-        .otherwise(0)
+    nearer = 2 * (F.col("rest") - F.col("end_before")) > F.col("end_size")
+    once_more = (F.col("place") < F.col("end_place")) | (
+        (F.col("place") == F.col("end_place")) & nearer
     )
+    extra = F.when(once_more, F.col("size")).otherwise(0)
     words = (F.col("whole") * F.col("size") + extra).cast("bigint")
     return joined.withColumn("taken", words).drop(
         "plan_source", *[n for n in names if n not in ("source_size", "target")]
@@ -208,9 +207,11 @@ def repeated(
     text_col: str = "text",
     source_col: str = "source",
 ) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as :func:`mixed` takes them.
+    """The mix itself: rows of ``docs``, whole, as often as :func:`mixed` takes them.
 
-    A document taken in part follows as its first words, joined by spaces.
+    A text without words takes nothing, so it has no row. Null ids and sources,
+    ties, repeated rows and empty tables are as described there; columns may
+    have any name, and texts of any length stay as they are.
     """
     rows = materialize(sized(docs, id_col, text_col, source_col, seed), "mixing-sizes")
     plan = mixing_plan(rows, weights, share, epochs)
@@ -221,19 +222,6 @@ def repeated(
         _seeded(f"`{id_col}`", seed).alias("place"),
     )
     counted = taken(wide, plan).where("taken > 0")
-    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    copies = counted.select(
-        "row", "size", "taken", F.explode(F.sequence(F.lit(1), times)).alias("turn")
-    )
-    left = F.col("taken") - (F.col("turn") - 1) * F.col("size")
-    text = F.col("row").getField(text_col)
-    head = F.array_join(
-        F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, left.cast("int")), " "
-    )
-    cut = F.when(left < F.col("size"), head).otherwise(text)
-    return copies.select(
-        *[
-            (cut if c == text_col else F.col("row").getField(c)).alias(c)
-            for c in docs.columns
-        ]
-    )
+    times = (F.col("taken") / F.col("size")).cast("int")
+    copies = counted.select("row", F.explode(F.sequence(F.lit(1), times)))
+    return copies.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -52,7 +52,7 @@ e AS (
   WHERE before <= rest AND rest < before + part)
 SELECT doc_id, size, r.source_size, r.target,
        CAST(whole * size + CASE WHEN d.place < e.place THEN size
-              WHEN d.place = e.place THEN floor(size * (r.rest - e.before) / e.part)
+              WHEN d.place = e.place AND 2 * (r.rest - e.before) > e.part THEN size
               ELSE 0 END AS BIGINT) AS taken
 FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
        LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source

@@ -93,11 +93,13 @@ def test_sources_are_mixed_to_their_targets(stages):
     taken, times = Counter(), Counter()
     for r in stages[4].collect():
         own = WORD.findall(r.text)
-        assert r.text == texts[r.doc_id] or own == words[r.doc_id][: len(own)]
+        assert r.text == texts[r.doc_id]
         taken[r.source] += len(own)
         times[r.doc_id] += len(own)
     for source, target in _targets(sizes).items():
-        assert abs(taken[source] - target) < 2
+        # whole documents: the nearest sum is at most half of one away
+        largest = max(len(words[r.doc_id]) for r in stages[3].where(F.col("source").eqNullSafe(source)).collect())
+        assert abs(taken[source] - target) <= largest / 2 + 1
     assert all(n <= 2 * len(words[doc]) for doc, n in times.items())
 
 
