@@ -11,7 +11,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.tables import in_small_batches
 from labelscope.llm.text import as_bytes, mix, runs, span_hashes, word_spans
 from labelscope.sources import materialize
 
@@ -330,7 +329,7 @@ def labelled_features(
     rows = docs.join(F.broadcast(known), "id").select("id", "label", "text", *metadata)
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, label double, which binary, values binary"
-    found = in_small_batches(rows).mapInArrow(_encoder(metadata), schema)
+    found = rows.mapInArrow(_encoder(metadata), schema)
     one = found.groupBy("id").agg(F.min(F.struct("which", "values", "label")).alias("row"))
     shard = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(SHARDS)).cast("int").alias("shard")
     return materialize(one.select(shard, "id", "row.*"), "labelled-features")
@@ -445,7 +444,7 @@ def scored(
     machine = fit(rows, known.where(~hidden), names, fit_rows)
     small = Machine(machine.base, machine.weights.astype(np.float32), machine.vectors.astype(np.float32))
     id_type = rows.schema["id"].dataType.simpleString()
-    found = in_small_batches(rows).mapInArrow(_scorer(small, names), f"id {id_type}, score double")
+    found = rows.mapInArrow(_scorer(small, names), f"id {id_type}, score double")
     return found.select(
         F.col("id").alias(id_col),
         hidden.alias("held_out"),

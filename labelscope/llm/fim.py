@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.tables import in_small_batches, unused
+from labelscope.llm.tables import unused
 from labelscope.llm.text import as_bytes, runs
 
 #: The marks before the prefix, the suffix and the middle.
@@ -212,7 +212,7 @@ def fill_in_middle(
     rows = rows.withColumn("digest", digest).select("id", "text", *draws)
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, n bigint, form string, prefix_chars bigint, middle_chars bigint, output string"
-    out = in_small_batches(rows).mapInArrow(_former(unit, rate, spm), schema)
+    out = rows.mapInArrow(_former(unit, rate, spm), schema)
     return out.withColumnRenamed("id", unused(["n", "form", "prefix_chars", "middle_chars", "output"], id_col))
 
 

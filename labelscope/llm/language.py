@@ -12,14 +12,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelscope.llm.tables import in_small_batches, unused
+from labelscope.llm.tables import unused
 from labelscope.llm.text import runs
 
 #: Trigrams are counted in this many buckets.
 BUCKET_BITS = 14
 #: Documents per language that the model is fitted on, about.
 FIT_ROWS = 4000
-#: More learned languages than this are refused: the model is sent to every task.
+#: The model is sent to every task: of more labels than this only the most
+#: frequent ones are learned, and rows with the others count as unlabelled.
 MOST_LANGUAGES = 1000
 #: Trigrams times languages that are worked on at a time, about.
 RUN_CELLS = 2_000_000
@@ -90,17 +91,17 @@ def fitted(
     """The model of the languages that non-null labels of non-null texts name.
 
     It is fitted on about ``fit_rows`` documents of each language, chosen by a
-    hash of id and text. What reaches the driver is one number per language
-    and bucket, however large the table.
+    hash of id and text. Of more than ``MOST_LANGUAGES`` labels the most
+    frequent ones are learned. What reaches the driver is one number per
+    language and bucket, however large the table.
     """
     rows = labelled.select(
         F.col(f"`{lang_col}`").cast("string").alias("lang"),
         F.col(f"`{text_col}`").alias("text"),
         F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("h"),
     ).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
+    by_size = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    sizes = by_size.limit(MOST_LANGUAGES).collect()
     languages = tuple(sorted(r["lang"] for r in sizes))
     if not languages:
         return LanguageModel((), np.zeros((1 << BUCKET_BITS, 0), np.float32))
@@ -126,10 +127,12 @@ def fitted(
             names=["lang", "bucket", "n"],
         )
 
-    counted = in_small_batches(sample).mapInArrow(count, "lang bigint, bucket bigint, n bigint")
+    counted = sample.mapInArrow(count, "lang bigint, bucket bigint, n bigint")
     counts = np.full((1 << BUCKET_BITS, len(languages)), PRIOR)
-    for row in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():
-        counts[row["bucket"], row["lang"]] += row["n"]
+    total = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    found = total.select(F.col("lang").cast("smallint"), F.col("bucket").cast("int"), "n").toArrow()
+    lang, bucket, n = (np.asarray(found.column(c)) for c in ("lang", "bucket", "n"))
+    counts[bucket, lang] += n
     logs = np.log(counts / counts.sum(axis=0)).astype(np.float32)
     return LanguageModel(languages, logs)
 
@@ -268,7 +271,7 @@ def with_languages(
                 old = [c.slice(low, high - low) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*old, *new], names=[*batch.schema.names, *names])
 
-    return in_small_batches(docs).mapInArrow(predict, schema), *names
+    return docs.mapInArrow(predict, schema), *names
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -311,7 +314,13 @@ def kept_languages(
     text_col: str = "text",
     lang_col: str = "lang",
 ) -> DataFrame:
-    """The rows of ``docs`` in which one learned language has ``least_share`` or more."""
+    """The rows of ``docs`` in which one learned language has ``least_share`` or more.
+
+    Rows whose text is null, empty or without letters go, as do all when nothing
+    can be learned. Rows that repeat are kept or go together; null ids matter
+    only to which rows the model is fitted on. Columns may have any name, texts
+    are taken whole, and an empty table stays empty.
+    """
     model = fitted(docs, fit_rows, id_col, text_col, lang_col)
     predicted, lang, score, _ = with_languages(docs, model, text_col)
     good = (F.col(lang) != UNKNOWN) & (F.col(score) >= least_share)

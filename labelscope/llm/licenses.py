@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.llm.tables import in_small_batches
 from labelscope.llm.text import as_bytes, runs, span_hashes, window_hashes, word_spans
 
 #: Words in a print of a template of ``LONG`` words or more. Any run of SHINGLE
@@ -327,7 +326,7 @@ def license_spans(
         f"id {id_type}, license string, coverage double, span_start bigint, span_end bigint, "
         "matched string"
     )
-    found = in_small_batches(rows).mapInArrow(
+    found = rows.mapInArrow(
         _scanner(index_of(templates, least_coverage), least_coverage), schema
     )
     return found.withColumnRenamed("id", id_col)

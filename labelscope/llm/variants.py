@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.encoding import spans
-from labelscope.llm.tables import in_small_batches
 from labelscope.llm.text import as_bytes, mask_spans, mix, powers, runs
 from labelscope.sources import materialize
 
@@ -144,7 +143,7 @@ def words(
         F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("id"),
         F.col(f"`{text_col}`").alias("text"),
     )
-    counted = in_small_batches(rows).mapInArrow(_counter(deleted, least_chars), "word string, n bigint")
+    counted = rows.mapInArrow(_counter(deleted, least_chars), "word string, n bigint")
     total = counted.groupBy("word").agg(F.sum("n").alias("n"))
     return total.where(F.col("n") >= least_count)
 
@@ -301,7 +300,7 @@ def long_neighbours(vocabulary: DataFrame, trie_chars: int = TRIE_CHARS) -> Data
     """
     schema = "key binary, size bigint, place bigint, hash bigint, first boolean"
     long = vocabulary.where(F.length("word") >= trie_chars)
-    hashes = in_small_batches(long.select("word")).mapInArrow(_left_out, schema)
+    hashes = long.select("word").mapInArrow(_left_out, schema)
     hashes = materialize(hashes, "left-out")
     a, b = (hashes.select(*[F.col(c).alias(f"{c}_{x}") for c in hashes.columns]) for x in "ab")
     both = (F.col("hash_a") == F.col("hash_b")) & (F.greatest("size_a", "size_b") > trie_chars)
@@ -313,7 +312,7 @@ def long_neighbours(vocabulary: DataFrame, trie_chars: int = TRIE_CHARS) -> Data
     # the shorter word is compared as it is
     found = replaced.where("key_a < key_b").select("key_a", "key_b", place, F.lit(False).alias("lacks"))
     found = found.union(lacks.select("key_a", "key_b", place, F.lit(True)))
-    keyed = in_small_batches(long).mapInArrow(_keyed, "key binary, word string, n bigint")
+    keyed = long.mapInArrow(_keyed, "key binary, word string, n bigint")
     keyed = materialize(keyed, "long-words")
     x, y = (keyed.select(*[F.col(c).alias(f"{c}_{x}") for c in keyed.columns]) for x in "xy")
 
