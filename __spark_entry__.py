@@ -18,6 +18,7 @@ from labelscope.operators import (  # noqa: E402
     correlation,
     describe,
     distribution,
+    encoding,
     importance,
     impute,
     information,
@@ -131,6 +132,19 @@ def _encoded_names(spark: SparkSession, folder: str) -> DataFrame:
     return importance.ordinal_encode(parts, ["p_name", "p_brand"])
 
 
+def _halves(table: str, key: str, features: list[str]) -> Query:
+    """Codes fitted on the even keys, stored, loaded, and applied to the odd ones."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        rows = read_table(spark, f"{folder}/{table}.parquet").select(key, *features)
+        app = spark.sparkContext.applicationId
+        path = f"{shared_folder(spark)}/labelscope/{app}/code-versions-{uuid.uuid4().hex[:12]}"
+        encoding.save_codes(encoding.fit_codes(rows.where(F.col(key) % 2 == 0), features), path)
+        return encoding.encode(rows.where(F.col(key) % 2 != 0), encoding.load_codes(spark, path))
+
+    return run
+
+
 def _found_scatter(df: DataFrame) -> DataFrame:
     """Points of the pairs that are found to be strong, the label's left out."""
     found = _high_pairs(df, 0.0).select("feat1", "feat2").collect()
@@ -303,6 +317,10 @@ def queries() -> dict[str, Query]:
         "event_time_percentiles": lambda spark, folder: rounded(_event_times(spark, folder)),
         "document_text_codes": _encoded_texts,
         "part_name_codes": _encoded_names,
+        "part_codes_of_other_rows": _halves("part", "p_partkey", ["p_name", "p_brand", "p_type"]),
+        "document_codes_of_other_rows": _halves(
+            "documents", "doc_id", ["text", "lang", "source"]
+        ),
         "vector_iv": _on(vector, lambda df: information.information_values(df, vector_roles)),
         "vector_pearson_matrix": _on(
             vector, lambda df: correlation.pearson_matrix(df, vector_roles)

@@ -6,13 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.functions.columns import quoted, text_sql, uniform_hash
+from labelscope.functions.columns import quoted, uniform_hash
+from labelscope.operators import encoding
+from labelscope.operators.encoding import category_codes
 from labelscope.operators.impute import median_impute, medians
-from labelscope.operators.information import MISSING
-from labelscope.operators.longform import numeric_long, text_long
+from labelscope.operators.longform import numeric_long
 from labelscope.operators.quantiles import Known
 from labelscope.roles import Roles
 from labelscope.sources.scratch import materialize, temporary_tables
@@ -21,97 +22,24 @@ from labelscope.sources.scratch import materialize, temporary_tables
 SEEDS = 5
 TREES = 50
 DEPTH = 10
-# Codes of a feature up to this many rows and bytes are broadcast.
-BROADCAST_CODES = 200_000
-BROADCAST_BYTES = 16_000_000
-# Values on at least this share of the rows are looked up without a shuffle.
-FREQUENT = 1e-3
+# How codes are looked up, see the module of the encoding.
+BROADCAST_CODES = encoding.BROADCAST_CODES
+BROADCAST_BYTES = encoding.BROADCAST_BYTES
+FREQUENT = encoding.FREQUENT
 
-
-def category_codes(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """``(fid, value, code, count)``: codes in lexicographic order, from 0.
-
-    Null counts as the value ``Missing``. The distinct values are laid out in
-    ranges and written once; each range is numbered on its own and shifted by
-    the sizes of the ranges before it, so no task sees a whole feature.
-    """
-    value = F.coalesce("value", F.lit(MISSING)).alias("value")
-    distinct = text_long(df, features).groupBy("fid", value).agg(F.count("*").alias("count"))
-    laid_out = materialize(
-        distinct.repartitionByRange("fid", "value").withColumn("part", F.spark_partition_id()),
-        "categories",
-    )
-    sizes = laid_out.groupBy("fid", "part").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("fid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range and feature
-    shifts = F.broadcast(
-        sizes.select("fid", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"))
-    )
-    inside = Window.partitionBy("fid", "part").orderBy("value")
-    return (
-        laid_out.withColumn("at", F.row_number().over(inside) - 1)
-        .join(shifts, ["fid", "part"])
-        .select("fid", "value", (F.col("shift") + F.col("at")).alias("code"), "count")
-    )
+__all__ = [
+    "category_codes",
+    "importance_comparison",
+    "model_table",
+    "ordinal_encode",
+    "rf_importance",
+    "rf_importance_by_seed",
+]
 
 
 def ordinal_encode(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The table with the listed features replaced by their codes, as double.
-
-    Each feature is looked up by a broadcast if its values are few and short,
-    which is counted first, and by a shuffle join otherwise.
-    """
-    if not features:
-        return df
-    codes = materialize(category_codes(df, features), "codes")
-    # one row per feature
-    sizes = codes.groupBy("fid").agg(
-        F.count("*").alias("n"), F.sum(F.octet_length("value")).alias("n_bytes")
-    )
-    small = {
-        r.fid for r in sizes.collect() if r.n <= BROADCAST_CODES and r.n_bytes <= BROADCAST_BYTES
-    }
-    encoded = df
-    columns = [F.col(quoted(c)) for c in df.columns]
-    # the broadcasts first, so that they run in the scan
-    for fid in sorted(range(len(features)), key=lambda i: i not in small):
-        name = features[fid]
-        table = codes.where(F.col("fid") == fid).select(
-            F.col("value").alias("_value"), F.col("code").cast("double").alias("_code"), "count"
-        )
-        keyed = encoded.withColumn("_key", F.coalesce(F.expr(text_sql(name)), F.lit(MISSING)))
-        if fid in small:
-            matched = keyed.join(
-                F.broadcast(table.drop("count")), F.col("_key") == F.col("_value"), "left"
-            )
-        else:
-            matched = _split_lookup(keyed, table)
-        encoded = matched.withColumn(name, F.col("_code")).select(*columns)
-    return encoded
-
-
-def _split_lookup(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Left join on ``_key`` that never shuffles the rows of a frequent value.
-
-    Frequent values number at most 1 / FREQUENT, and are broadcast if they are
-    not long. Rows they match go through the shuffle join under spread-out keys
-    that match nothing.
-    """
-    total = table.agg(F.sum("count").alias("n")).scalar()
-    short = F.octet_length("_value") <= BROADCAST_BYTES * FREQUENT
-    often = (F.col("count") >= total * FREQUENT) & short
-    frequent = table.where(often).select(
-        F.col("_value").alias("_hot"), F.col("_code").alias("_hot_code")
-    )
-    rare = table.where(~often).select("_value", F.col("_code").alias("_rare_code"))
-    with_hot = rows.join(F.broadcast(frequent), F.col("_key") == F.col("_hot"), "left")
-    # by place and not by content: equal rows must not meet either
-    spread = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
-    open_key = F.when(F.col("_hot").isNull(), F.col("_key")).otherwise(spread)
-    joined = with_hot.withColumn("_open", open_key).join(
-        rare, F.col("_open") == F.col("_value"), "left"
-    )
-    return joined.withColumn("_code", F.coalesce("_hot_code", "_rare_code"))
+    """The table with the listed features replaced by their codes, as double."""
+    return encoding.ordinal_encode(df, features, BROADCAST_CODES, BROADCAST_BYTES, FREQUENT)
 
 
 def model_table(

@@ -414,6 +414,20 @@ def codes(table: str, key: str, columns: Sequence[str]) -> str:
     return f"SELECT {key}, {cells} FROM {table}"
 
 
+def codes_of_others(table: str, key: str, columns: Sequence[str]) -> str:
+    """Codes of the values on even keys, for the rows with odd keys; -1 where there is none."""
+    fits = ", ".join(
+        f"""f{i} AS (SELECT v, CAST(row_number() OVER (ORDER BY v) - 1 AS DOUBLE) AS code FROM (
+          SELECT DISTINCT coalesce({c}, 'Missing') AS v FROM {table} WHERE {key} % 2 = 0))"""
+        for i, c in enumerate(columns)
+    )
+    cells = ", ".join(f"coalesce(f{i}.code, -1) AS {c}" for i, c in enumerate(columns))
+    joins = " ".join(
+        f"LEFT JOIN f{i} ON f{i}.v = coalesce(t.{c}, 'Missing')" for i, c in enumerate(columns)
+    )
+    return f"WITH {fits} SELECT t.{key}, {cells} FROM {table} t {joins} WHERE t.{key} % 2 <> 0"
+
+
 def scatter(t: Table, pairs: Sequence[tuple[str, str]], cap: int) -> str:
     columns = [c for c in t.numeric if any(c in p for p in pairs)]
     clean = ", ".join(
@@ -663,6 +677,8 @@ ORACLES: dict[str, str] = {
     "event_time_percentiles": time_percentiles(),
     "document_text_codes": codes("documents", "doc_id", ("text", "source")),
     "part_name_codes": codes("part", "p_partkey", ("p_name", "p_brand")),
+    "part_codes_of_other_rows": codes_of_others("part", "p_partkey", ("p_name", "p_brand", "p_type")),
+    "document_codes_of_other_rows": codes_of_others("documents", "doc_id", ("text", "lang", "source")),
     "line_pearson_matrix": pearson(LINE),
     "line_iv": iv_all(LINE),
     "part_value_counts": counts(PART),
