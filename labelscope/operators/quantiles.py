@@ -1,6 +1,14 @@
 """Exact order statistics without sorting or collecting the data.
 
-Values are counted on a logarithmic grid whose cells order like the values.
+For a few quantiles a KLL sketch of each feature gives an interval around each
+of them, wider than the sketch's error. One more scan counts exactly: inside an
+interval value by value, or in equal parts where it holds many rows, and outside
+in bulk. Should a wanted rank lie outside, which exact counts tell, it is looked
+for there by the passes described next, so the sketch decides how much work
+there is and never what the result is.
+
+For many ranks, such as cut points, values are counted on a logarithmic grid whose
+cells order like the values.
 Running counts show which cells hold the wanted ranks; each of those is cut
 from its least to its greatest value into equal parts, which are counted in
 turn, a fixed number of times, and what is left is counted value by value.
@@ -30,6 +38,18 @@ PASSES = 2
 # The cells in question are broadcast between passes, one row per wanted rank;
 # more features than fit are taken in slices.
 MAX_TARGETS = 1_000_000
+# Size of the sketches, and half the width of the intervals taken from them: half
+# as much again as the rank error that they keep to in 99 cases of 100, but for
+# the features with few values, which are one interval.
+SKETCH = 1000
+MARGIN = 0.007
+WHOLE = 10_000
+# Intervals that hold about so many rows at most are counted value by value, the
+# others in so many parts.
+BY_VALUE = 3_000
+INTERVAL_PARTS = 1024
+# More quantiles than this are found on the grid.
+MOST_INTERVALS = 24
 
 
 def holding_ranks(probabilities: Sequence[float]) -> Column:
@@ -47,68 +67,136 @@ def every_nth(parts: int) -> Column:
 
 
 def order_statistics(
-    values: DataFrame, wanted: Column, features: int, per_feature: int
+    values: DataFrame,
+    wanted: Column,
+    features: int,
+    per_feature: int,
+    probabilities: Sequence[float] = (),
 ) -> DataFrame:
     """``(fid, value, count, below, n)`` for each distinct value at a wanted rank.
 
     ``values`` is a ``(fid, value)`` relation of ``features`` features; nulls
     are skipped. ``count`` is the frequency of the value, ``below`` the number
     of smaller values, ``n`` the number of values of the feature. At most
-    ``per_feature`` ranks of a feature are wanted. What a pass finds is stored,
-    so each pass scans the values once.
+    ``per_feature`` ranks of a feature are wanted; those of a few quantiles lie
+    near the ``probabilities``. What a pass finds is stored, so each pass scans
+    the values once.
     """
     step = max(1, MAX_TARGETS // max(1, per_feature))
     if features <= step:
-        return _order_statistics(values, wanted)
+        return _order_statistics(values, wanted, probabilities)
     slices = [
-        _order_statistics(values.where(F.col("fid").between(at, at + step - 1)), wanted)
+        _order_statistics(
+            values.where(F.col("fid").between(at, at + step - 1)), wanted, probabilities
+        )
         for at in range(0, features, step)
     ]
     return reduce(DataFrame.unionAll, slices)
 
 
-def _order_statistics(values: DataFrame, wanted: Column) -> DataFrame:
+def _order_statistics(
+    values: DataFrame, wanted: Column, probabilities: Sequence[float] = ()
+) -> DataFrame:
     rows = values.select("fid", "value").where(F.col("value").isNotNull())
-    rows = rows.withColumn("at0", magnitude_cell(F.col("value"), FIRST_GRID))
+    path = ["fid"]
+    if probabilities:
+        rows, at = _interval_cells(rows, probabilities)
+    else:
+        rows = rows.withColumn("at0", magnitude_cell(F.col("value"), FIRST_GRID))
+        at = ["at0"]
     counted = (
-        _counted(rows, ["fid"], F.col("at0"), "at0")
+        _counted(rows, path, at)
         .withColumn("n", F.sum("count").over(Window.partitionBy("fid")))
         .withColumn("below", F.lit(0).cast("bigint"))
     )
-    path = ["fid"]
-    found = _keep_wanted(counted, path, "at0", wanted)
+    found = _keep_wanted(counted, path, at, wanted)
     for level in range(PASSES + 1):
-        path.append(f"at{level}")
+        path += at
         found = materialize(found, "cells")
         # cells of a single value, such as those of counts, need no more passes
         if found.where("low < high").isEmpty():
             break
         rows = rows.join(F.broadcast(found.drop("count")), path)
-        name = f"at{level + 1}"
-        at = F.col("value")
+        at = [f"at{level + 2}"]
+        place = F.col("value")
         if level < PASSES:
             low, high = F.col("low"), F.col("high")
             part = F.floor((F.col("value") - low) / (high - low) * PARTS)
-            at = F.when(low < high, F.least(part, F.lit(PARTS - 1))).otherwise(0).cast("int")
-        rows = rows.withColumn(name, at)
+            place = F.when(low < high, F.least(part, F.lit(PARTS - 1))).otherwise(0).cast("int")
+        rows = rows.withColumn(at[0], place)
         kept = [F.max("below").alias("below"), F.max("n").alias("n")]
-        counted = _counted(rows, path, F.col(name), name, *kept)
-        found = _keep_wanted(counted, path, name, wanted)
+        counted = _counted(rows, path, at, *kept)
+        found = _keep_wanted(counted, path, at, wanted)
         rows = rows.drop("low", "high", "below", "n")
     return found.select("fid", F.col("low").alias("value"), "count", "below", "n")
 
 
+def _interval_cells(
+    rows: DataFrame, probabilities: Sequence[float]
+) -> tuple[DataFrame, list[str]]:
+    """The rows with two more columns that order like their values, and these columns' names.
+
+    ``at0`` counts the interval bounds that a value has passed, so it names a
+    stretch between two of them; ``at1`` is the value itself or its part of the
+    stretch inside an interval, and 0 outside of all.
+    """
+    probabilities = sorted(set(map(float, probabilities)))
+    sides = {
+        "lows": [max(0.0, p - MARGIN) for p in probabilities],
+        "highs": [min(1.0, p + MARGIN) for p in probabilities],
+    }
+    sketched = rows.groupBy("fid").agg(
+        F.kll_sketch_agg_double("value", F.lit(SKETCH)).alias("sketch"),
+        F.count("*").alias("n"),
+        F.min("value").alias("least"),
+        F.max("value").alias("most"),
+    )
+    k = len(probabilities)
+    bounds = [
+        F.kll_sketch_get_quantile_double("sketch", F.lit(ranks)).alias(side)
+        for side, ranks in sides.items()
+    ]
+    # one row per feature, read in every pass
+    found = sketched.select("fid", "n", "least", "most", *bounds)
+    whole = F.col("n") <= WHOLE
+    by_value = whole | (F.col("n") * (2 * MARGIN) <= BY_VALUE)
+    found = found.select(
+        "fid",
+        by_value.alias("by_value"),
+        F.when(whole, F.array_repeat("least", k)).otherwise(F.col("lows")).alias("lows"),
+        F.when(whole, F.array_repeat("most", k)).otherwise(F.col("highs")).alias("highs"),
+    )
+    found = materialize(found, "intervals")
+    placed = rows.join(F.broadcast(found), "fid")
+    passed = [
+        F.expr(" + ".join(f"if(value {test} {side}[{i}], 1, 0)" for i in range(k)))
+        for side, test in (("lows", ">="), ("highs", ">"))
+    ]
+    placed = placed.withColumn("a", passed[0]).withColumn("b", passed[1])
+    low = F.greatest(F.get("lows", F.col("a") - 1), F.get("highs", F.col("b") - 1))
+    high = F.least(F.get("lows", F.col("a")), F.get("highs", F.col("b")))
+    part = F.floor((F.col("value") - low) / (high - low) * INTERVAL_PARTS)
+    part = F.least(part, F.lit(INTERVAL_PARTS - 1))
+    inside = F.col("a") > F.col("b")
+    at = (
+        F.when(inside & F.col("by_value"), F.col("value"))
+        .when(inside & (low < high), part.cast("double"))
+        .otherwise(0.0)
+    )
+    return placed.select("fid", "value", (F.col("a") + F.col("b")).alias("at0"), at.alias("at1")), ["at0", "at1"]
+
+
 def _counted(
-    rows: DataFrame, path: list[str], at: Column, name: str, *more: Column
+    rows: DataFrame, path: list[str], at: list[str], *more: Column
 ) -> DataFrame:
     """Rows, least and greatest value of each part."""
-    return rows.groupBy(*path, at.alias(name)).agg(
+    return rows.groupBy(*path, *at).agg(
         F.count("*").alias("count"), F.min("value").alias("low"), F.max("value").alias("high"), *more
     )
 
 
-def _keep_wanted(counted: DataFrame, group: list[str], at: str, wanted: Column) -> DataFrame:
-    order = Window.partitionBy(*group).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+def _keep_wanted(counted: DataFrame, group: list[str], at: list[str], wanted: Column) -> DataFrame:
+    order = Window.partitionBy(*group).orderBy(*at).rowsBetween(Window.unboundedPreceding, 0)
     placed = counted.withColumn(
         "below", F.col("below") + F.sum("count").over(order) - F.col("count")
     )
@@ -120,7 +208,9 @@ def _found(
 ) -> DataFrame:
     """``(fid, n, found)``: at most two found values per probability, in a list."""
     ranks = 2 * len(probabilities)
-    stats = order_statistics(values, holding_ranks(probabilities), features, ranks)
+    wanted = holding_ranks(probabilities)
+    near = probabilities if len(probabilities) <= MOST_INTERVALS else ()
+    stats = order_statistics(values, wanted, features, ranks, near)
     return stats.groupBy("fid").agg(
         F.max("n").alias("n"), F.collect_list(F.struct("value", "below", "count")).alias("found")
     )

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.columns import quoted, uniform_hash
+from labelscope.operators.longform import SLICE
 
 # Rows are counted in this many cells of their hash before any is ordered.
 CELLS = 1 << 16
+# Steps of a hash for each time that it doubles.
+STEPS_PER_DOUBLE = 16
 
 
 def bernoulli_sample(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
@@ -108,6 +111,34 @@ def cap_rows_per_group(
     return sure.select(*columns).unionAll(edge.select(*columns))
 
 
+def hash_step(u: Column) -> Column:
+    """The step of a uniform hash on a scale that is finer towards 0, ascending with it."""
+    return F.ceil(F.log2(F.greatest(u, F.lit(2.0**-62))) * STEPS_PER_DOUBLE).cast("int")
+
+
+def last_steps(rows: DataFrame, step: str, conditions: Sequence[str], n: int) -> list[int]:
+    """For each condition the step up to which at least n rows satisfy it, or the last one.
+
+    ``step`` is a column of :func:`hash_step`. The rows are counted by step for
+    all conditions at once, without being repeated; what is collected is one row
+    per step, whatever the size of the table.
+    """
+    found = []
+    for at in range(0, len(conditions), SLICE):
+        part = conditions[at : at + SLICE]
+        counts = [F.count_if(F.expr(c)).alias(f"n{i}") for i, c in enumerate(part)]
+        counted = sorted(rows.groupBy(F.col(step).alias("step")).agg(*counts).collect())
+        for i in range(len(part)):
+            total, last = 0, counted[-1][0] if counted else 0
+            for row in counted:
+                total += row[i + 1]
+                if total >= n:
+                    last = row[0]
+                    break
+            found.append(last)
+    return found
+
+
 def _free(df: DataFrame, name: str) -> str:
     taken = {c.lower() for c in df.columns}
     while name in taken:

@@ -132,11 +132,59 @@ def test_timestamps_of_a_day_are_no_single_group(spark, monkeypatch):
         F.lit(0).alias("fid"),
         (F.lit(1.7e12) + F.pmod(F.col("id") * 7_919, F.lit(86_400_000))).cast("double").alias("value"),
     )
-    assert quantiles(day, [0.01, 0.5, 0.99], 1).count() == 1
+    probabilities = [0.01, 0.5, 0.99]
+    assert quantiles(day, probabilities, 1).count() == 1
+    # the first pass is that of the sketch
+    assert len(sizes) >= 2
+    assert max(sizes) <= 10_000
+    # nor on the grid, where many ranks are looked for
+    sizes.clear()
+    order_statistics(day, quantile_module.holding_ranks(probabilities), 1, 6).count()
     assert len(sizes) >= 3
     assert max(sizes) <= 10_000
 
 
+@pytest.mark.parametrize(("margin", "by_value", "parts"), [(0.0, 0, 4), (1e-4, 50, 4), (0.007, 0, 1024), (0.3, 0, 16)])
+def test_no_sketch_is_too_poor(spark, monkeypatch, margin, by_value, parts):
+    """Intervals that miss the wanted ranks, overlap, or are cut coarsely."""
+    monkeypatch.setattr(quantile_module, "MARGIN", margin)
+    monkeypatch.setattr(quantile_module, "WHOLE", 0)
+    monkeypatch.setattr(quantile_module, "BY_VALUE", by_value)
+    monkeypatch.setattr(quantile_module, "INTERVAL_PARTS", parts)
+    monkeypatch.setattr(quantile_module, "SKETCH", 8)
+    data = draw(11)
+    data["infinite"] = np.where(np.arange(3000) % 5 == 0, np.inf, data["normal"])
+    data["infinite"][::7] = -np.inf
+    names = list(data)
+    rows = [tuple(float(data[c][i]) for c in names) for i in range(3000)]
+    long = numeric_long(spark.createDataFrame(rows, names).repartition(5), names)
+    probabilities = [0.0, 0.013, 0.25, 0.26, 0.5, 0.9, 0.999, 1.0]
+    for row in quantiles(long, probabilities, len(names)).collect():
+        values = np.sort(data[names[row.fid]])
+        for i, p in enumerate(probabilities):
+            at = p * 2999
+            low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+            # infinite neighbours have no value between them
+            if np.isfinite(low) and np.isfinite(high):
+                expected = low + (high - low) * (at - np.floor(at))
+                assert math.isclose(row[f"q{i}"], expected, rel_tol=1e-12, abs_tol=1e-12), names[row.fid]
+
+
+def test_two_scans_for_a_small_table(spark, monkeypatch):
+    """One for the sketches and one that counts: nothing is left to look for."""
+    stored = []
+    keep = quantile_module.materialize
+
+    def watched(df, name):
+        stored.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(quantile_module, "materialize", watched)
+    df = spark.range(100_000).select(F.rand(3).alias("x"), F.randn(4).alias("y"))
+    found = quantiles(numeric_long(df, ["x", "y"]), PROBS, 2).collect()
+    assert len(found) == 2 and stored == ["intervals", "cells"]
+
+
 def test_known_quantiles_stand_in_for_a_search(spark, monkeypatch):
     data = draw(5)
     names = list(data)
