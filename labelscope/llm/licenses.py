@@ -1,4 +1,4 @@
-"""License notices in documents: rare words and shingles pick candidates, alignment decides."""
+"""License notices in documents: winnowed fingerprints pick candidates, alignment decides."""
 
 from __future__ import annotations
 
@@ -18,15 +18,27 @@ from pyspark.sql import functions as F
 
 from labelscope.llm.text import as_bytes, runs, span_hashes, window_hashes, word_spans
 
-#: Words in a print of a template of ``LONG`` words or more. Any run of SHINGLE
-#: words that a text shares with such a template is noticed; shorter templates
-#: are noticed by single words.
+#: Words in a fingerprint of a template of ``LONG`` words or more, at most; shorter
+#: templates are noticed by single words.
 SHINGLE = 3
 LONG = 16
+#: Prints of which one is chosen, at most.
+MOST_WINDOW = 16
 #: Longer templates are refused: an alignment counts in 16 bits.
 MOST_WORDS = 30_000
 #: Share of a template's words that must be found in order.
 LEAST_COVERAGE = 0.8
+#: Share of a match that a better one must cover to take its place.
+SAME_SPAN = 0.8
+
+#: Words that a short notice must have where its template has them,
+#: beside the numbers of versions; and those that make another license of one when
+#: they are put in.
+NAMES = """
+mit isc bsd apache mozilla mpl eclipse epl gnu gpl lgpl agpl cc cc0 commons attribution unlicense
+zlib wtfpl ofl openssl
+""".split()
+MODIFIERS = "lesser affero nc sa nd noncommercial sharealike noderivatives noderivs".split()
 
 #: Short notices by which public licenses are applied, and the
 #: beginnings (``-grant``, ``-header``) of some texts that are often cut short.
@@ -54,6 +66,28 @@ NOTICES = {
     "International License.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related "
     "or neighboring rights to this work.",
+    "ISC": "Released under the ISC License.",
+    "BSD": "Released under the BSD License.",
+    "Apache-2.0-line": "Released under the Apache License 2.0.",
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "EPL-2.0": "Licensed under the Eclipse Public License, Version 2.0.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC-BY-4.0-line": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 "
+    "International License.",
+    "CC-BY-NC-4.0-notice": "This work is licensed under a Creative Commons "
+    "Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-SA-4.0": "This work is licensed under a Creative Commons "
+    "Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0": "This work is licensed under a Creative Commons "
+    "Attribution-NonCommercial-NoDerivatives 4.0 International License.",
 }
 
 
@@ -77,13 +111,42 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 @dataclass(frozen=True)
 class NoticeIndex:
-    """The templates' words, how often each is there, and for each print length:
-    print -> (template, place)."""
+    """The templates' words, how often each is there, which of them tell, and for
+    each print length and window: print -> (template, place)."""
 
     names: tuple[str, ...]
     words: tuple[np.ndarray, ...]
     bags: tuple[tuple[np.ndarray, np.ndarray], ...]
-    tables: tuple[tuple[int, np.ndarray, tuple[tuple[tuple[int, int], ...], ...]], ...]
+    telling: tuple[np.ndarray, ...]
+    tables: tuple[tuple[int, int, np.ndarray, tuple[tuple[tuple[int, int], ...], ...]], ...]
+
+
+@lru_cache(maxsize=1)
+def _telling() -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the telling words, and of the modifiers among them, ascending."""
+    # versions have one or two digits a part, and 0 is often left out
+    words = [*NAMES, *MODIFIERS, *map(str, range(1, 100))]
+    return tuple(np.sort(_words(pa.array([" ".join(x)]))[4]) for x in (words, MODIFIERS))
+
+
+def _among(words: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, words), len(known) - 1)] == words
+
+
+def winnowed(prints: np.ndarray, window: int) -> np.ndarray:
+    """Places of the least print, the last of equal ones, of every ``window`` in a row.
+
+    A run of so many prints that occurs elsewhere too has the same one chosen.
+    """
+    n = len(prints) - window + 1
+    if n <= 0:
+        return np.array([len(prints) - 1 - int(prints[::-1].argmin())] if len(prints) else [], np.int64)
+    least, place = prints[:n].copy(), np.arange(n)
+    for i in range(1, window):
+        lower = prints[i : i + n] <= least
+        least[lower] = prints[i : i + n][lower]
+        place[lower] = np.flatnonzero(lower) + i
+    return np.unique(place)
 
 
 def needed(n: int, least: float) -> int:
@@ -94,41 +157,48 @@ def needed(n: int, least: float) -> int:
 def index_of(templates: Mapping[str, str], least: float = LEAST_COVERAGE) -> NoticeIndex:
     """The inverted index; a template without words, or beyond ``MOST_WORDS``, is refused.
 
-    A match lacks at most ``spare`` of a template's words, so it has at least
-    one of any ``spare + 1`` of them. A template of fewer than ``LONG`` words
-    is indexed by that many single words, the rarest: those in the fewest
-    templates, then the longest. Of a longer one all windows are indexed, of
-    ``SHINGLE`` words or of as many as must stand together when ``spare`` words
-    are missing or replaced.
+    A match lacks at most ``spare`` of a template's words, so a run of
+    ``need / (spare + 1)`` of them stands together where none are inserted. Prints
+    of k words, winnowed over w prints, find every common run of k + w - 1 words:
+    k is ``SHINGLE``, and w takes the rest of that run. Such runs are too short to
+    be telling in a template of fewer than ``LONG`` words: it is indexed by
+    ``spare + 1`` single words, of which a match has one at least, the rarest:
+    those in the fewest templates, then the longest.
     """
     names = tuple(sorted(templates))
     found = [_words(pa.array([templates[name]])) for name in names]
     words = [f[4] for f in found]
     in_templates = Counter(w for own in words for w in set(own.tolist()))
-    places: dict[int, dict[int, list]] = defaultdict(lambda: defaultdict(list))
+    places: dict[tuple, dict[int, list]] = defaultdict(lambda: defaultdict(list))
     for t, (_, starts, ends, _, own) in enumerate(found):
         if not 0 < len(own) <= MOST_WORDS:
             raise ValueError(f"{names[t]} has {len(own)} words, of 1 to {MOST_WORDS}")
         need = needed(len(own), least)
         spare = len(own) - need
         if len(own) < LONG:
-            size, order = 1, sorted(
+            size, window, order = 1, 1, sorted(
                 range(len(own)),
                 key=lambda i: (in_templates[int(own[i])], int(starts[i] - ends[i]), i),
             )
-            chosen = order[: spare + 1]
+            windows, chosen = window_hashes(own, size), order[: spare + 1]
         else:
-            size = min(SHINGLE, math.ceil(need / (spare + 1)))
-            chosen = range(len(own) - size + 1)
-        windows = window_hashes(own, size)
+            run = math.ceil(need / (spare + 1))
+            size = min(SHINGLE, run)
+            window = min(run - size, MOST_WINDOW - 1) + 1
+            windows = window_hashes(own, size)
+            chosen = winnowed(windows, window).tolist()
         for at in chosen:
-            places[size][int(windows[at])].append((t, at))
+            places[size, window][int(windows[at])].append((t, at))
     tables = []
-    for size, own in sorted(places.items()):
+    for (size, window), own in sorted(places.items()):
         prints = np.array(sorted(own), np.uint64)
-        tables.append((size, prints, tuple(tuple(own[int(p)]) for p in prints)))
+        tables.append((size, window, prints, tuple(tuple(own[int(p)]) for p in prints)))
     bags = tuple(np.unique(own, return_counts=True) for own in words)
-    return NoticeIndex(names, tuple(words), bags, tuple(tables))
+    # in a long text the names stand in many places, and any of them may be edited
+    telling = tuple(
+        np.flatnonzero(_among(own, _telling()[0])) if len(own) < LONG else np.zeros(0, np.int64) for own in words
+    )
+    return NoticeIndex(names, tuple(words), bags, telling, tuple(tables))
 
 
 def align(template: np.ndarray, words: np.ndarray, diagonal: int, band: int) -> list[tuple[int, int]]:
@@ -179,10 +249,13 @@ def _spans(
     low: int,
     high: int,
     need: int,
+    telling: np.ndarray,
 ) -> list[tuple[int, int, int]]:
     """(matched, first word, last word) of the matches on diagonals low to high.
 
-    Left and right of a match the rest is searched again.
+    Left and right of a match the rest is searched again. A match must have all
+    the ``telling`` places of the template, and no modifier that the template
+    doesn't have.
     """
     middle, band = (low + high) // 2, (high - low + 1) // 2
     spans = []
@@ -200,11 +273,38 @@ def _spans(
         back = align(template[::-1], words[first : last + 1][::-1], turned, band)
         if len(back) == len(pairs):
             first = last - back[-1][1]
-        spans.append((len(pairs), first, last))
+            pairs = [(len(template) - 1 - i, j) for i, j in back]
+        if _told(template, telling, pairs, words[first : last + 1]):
+            spans.append((len(pairs), first, last))
         parts += [(a, first), (last + 1, b)]
     return spans
 
 
+def _told(
+    template: np.ndarray, telling: np.ndarray, pairs: list[tuple[int, int]], span: np.ndarray
+) -> bool:
+    """Whether all telling places are matched, and the span has no modifier of another license."""
+    matched = np.zeros(len(template), bool)
+    matched[[i for i, _ in pairs]] = True
+    put_in = span[_among(span, _telling()[1])]
+    return bool(matched[telling].all()) and bool(np.isin(put_in, template).all())
+
+
+def _better(matches: list[tuple[int, int, int, int]], sizes: list[int]) -> list[tuple[int, int, int, int]]:
+    """The matches that none of a higher coverage has most of the span of."""
+    shares = [m[1] / sizes[m[0]] for m in matches]
+    kept = []
+    for m, share in zip(matches, shares, strict=True):
+        least = SAME_SPAN * (m[3] - m[2] + 1)
+        beaten = any(
+            other > share and min(m[3], x[3]) - max(m[2], x[2]) + 1 >= least
+            for x, other in zip(matches, shares, strict=True)
+        )
+        if not beaten:
+            kept.append(m)
+    return kept
+
+
 def _matches(
     words: np.ndarray, hits: list[tuple[int, int, int]], index: NoticeIndex, least: float
 ) -> list[tuple[int, int, int, int]]:
@@ -212,7 +312,8 @@ def _matches(
 
     Hits of a template whose diagonals are close are a chain. A chain that
     spreads over more than twice the template is taken in overlapping bands.
-    Candidates that overlap one with more matches are dropped.
+    Candidates that overlap one of their template with more matches are dropped,
+    and those whose span a template with a higher coverage has.
     """
     diagonals = defaultdict(set)
     for t, at, place in hits:
@@ -234,7 +335,7 @@ def _matches(
                 # one band holds all diagonals up to a template's length from its first
                 end = bisect_right(own, own[begin] + 2 * len(template), begin, i)
                 low, high = own[begin] - band, own[end - 1] + band
-                spans.update(_spans(template, bag, words, low, high, need))
+                spans.update(_spans(template, bag, words, low, high, need, index.telling[t]))
                 begin = i if end == i else bisect_right(own, own[begin] + len(template), begin, i)
         taken: list[tuple[int, int]] = []
         for matched, low, high in sorted(spans, key=lambda s: (-s[0], s[2] - s[1], s[1])):
@@ -243,7 +344,7 @@ def _matches(
             if (at == 0 or taken[at - 1][1] < low) and (at == len(taken) or taken[at][0] > high):
                 taken.insert(at, (low, high))
                 found.append((t, matched, low, high))
-    return sorted(found, key=lambda m: (m[2], m[3], m[0]))
+    return sorted(_better(found, [len(w) for w in index.words]), key=lambda m: (m[2], m[3], m[0]))
 
 
 def _scanner(index: NoticeIndex, least: float):
@@ -254,12 +355,13 @@ def _scanner(index: NoticeIndex, least: float):
                 part = column.slice(low, high - low)
                 data, starts, ends, firsts, words = _words(part)
                 hits = defaultdict(list)
-                for size, prints, entries in index.tables:
+                for size, window, prints, entries in index.tables:
                     windows = window_hashes(words, size)
-                    place = np.searchsorted(prints, windows)
+                    at = winnowed(windows, window)
+                    place = np.searchsorted(prints, windows[at])
                     place = np.minimum(place, len(prints) - 1)
-                    at = np.flatnonzero(prints[place] == windows)
-                    place = place[at]
+                    known = prints[place] == windows[at]
+                    at, place = at[known], place[known]
                     owner = np.searchsorted(firsts, at, "right") - 1
                     inside = at + size <= firsts[owner + 1]
                     for doc, i, p in zip(owner[inside], at[inside], place[inside], strict=True):
@@ -309,11 +411,14 @@ def license_spans(
     ``coverage`` is the share of the template's words that the text has in
     order within a band around the diagonal; the span (in characters, the end
     excluded) goes from the first of them to the last. Words are compared
-    without punctuation and the case of A-Z. The index of the templates is
+    without punctuation and the case of A-Z. The words that tell licenses apart
+    (``NAMES``, ``MODIFIERS`` and version numbers) must all be there in a match of
+    a short template, and no match has a modifier that its template hasn't. Of matches of about the same
+    span only those of the highest coverage stay. The index of the templates is
     small and goes to every task; documents are scanned where they are read.
 
     A text may match several templates and one several times; matches of one
-    template don't overlap. Null and empty texts, and texts without a notice,
+    template don't overlap. An empty table gives an empty result. Null and empty texts, and texts without a notice,
     give no row. Repeated rows give repeated results, a null id a null id.
     Whole texts of any length are scanned; other columns may have any name.
     """
