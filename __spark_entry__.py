@@ -15,6 +15,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
 
 from labelscope.operators import (  # noqa: E402
+    bootstrap,
     correlation,
     describe,
     distribution,
@@ -24,6 +25,7 @@ from labelscope.operators import (  # noqa: E402
     information,
     missing,
     sampling,
+    states,
     trend,
 )
 from labelscope.plans.retention import retention_report  # noqa: E402
@@ -37,7 +39,7 @@ from labelscope.sources import (  # noqa: E402
     write_csv,
 )
 from verification import inputs as given  # noqa: E402
-from verification import relations  # noqa: E402
+from verification import relations, runs  # noqa: E402
 from verification.oracle import ORACLES, SCATTER  # noqa: E402
 
 # The training-data operators and their pipeline are optional.
@@ -145,6 +147,10 @@ def _halves(table: str, key: str, features: list[str]) -> Query:
     return run
 
 
+def _grown(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    return lambda spark, folder: rounded(run(*runs.two_runs(spark, folder)))
+
+
 def _found_scatter(df: DataFrame) -> DataFrame:
     """Points of the pairs that are found to be strong, the label's left out."""
     found = _high_pairs(df, 0.0).select("feat1", "feat2").collect()
@@ -196,6 +202,7 @@ def queries() -> dict[str, Query]:
         given.line_table,
         given.vector_table,
     )
+    event_rows = lambda spark, folder: read_table(spark, f"{folder}/events.parquet")
     doc_roles, event_roles = given.DOCUMENT_ROLES, given.EVENT_ROLES
     line_roles, vector_roles = given.LINE_ROLES, given.VECTOR_ROLES
     return {
@@ -293,6 +300,18 @@ def queries() -> dict[str, Query]:
             vector,
             lambda df: relations.written(relations.given_importance(df, vector_roles), False),
         ),
+        # states of a table that grows, merged from two runs
+        "incremental_monthly_stats": _grown(lambda f, m: states.monthly_from_states(m)),
+        "incremental_missing_stats": _grown(lambda f, m: states.missing_from_states(f)),
+        "incremental_numeric_describe": _grown(lambda f, m: states.numeric_from_states(f)),
+        "incremental_distinct_estimates": _grown(lambda f, m: states.distinct_from_states(f)),
+        "incremental_distinct_within": runs.distinct_within,
+        "event_value_bootstrap": _on(
+            event_rows, lambda df: bootstrap.bootstrap_means(df, "value", "event_type", ["event_id"])
+        ),
+        "event_value_bootstrap_brackets": _on(
+            event_rows, lambda df: relations.mean_brackets(df, "value", "event_type", ["event_id"])
+        ),
         # the same operators on other tables
         "document_missing_stats": _on(doc, lambda df: missing.missing_stats(df, doc_roles)),
         "document_iv": _on(doc, lambda df: information.information_values(df, doc_roles)),

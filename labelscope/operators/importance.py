@@ -17,11 +17,15 @@ from labelscope.operators.longform import numeric_long
 from labelscope.operators.quantiles import Known
 from labelscope.roles import Roles
 from labelscope.sources.scratch import materialize, temporary_tables
+from labelscope.together import together
 
 # Forest settings.
 SEEDS = 5
 TREES = 50
 DEPTH = 10
+# Fits that run side by side; each keeps its own copy of the fitted rows in memory
+# or on disk.
+FITS_AT_ONCE = 5
 # How codes are looked up, see the module of the encoding.
 BROADCAST_CODES = encoding.BROADCAST_CODES
 BROADCAST_BYTES = encoding.BROADCAST_BYTES
@@ -85,7 +89,8 @@ def rf_importance_by_seed(
     ``fit_rows`` bounds the rows that the forests are fitted on: about so many
     are drawn by a hash of the row, the same share of each class. Codes,
     medians and class weights always come from the whole table. Without it the
-    forests are fitted on all rows.
+    forests are fitted on all rows. The seeds share one stored table and are
+    fitted side by side, a few at a time.
     """
     spark = df.sparkSession
     with temporary_tables(spark):
@@ -99,8 +104,9 @@ def rf_importance_by_seed(
         inputs = [f"x{i}" for i in range(len(features))]
         table = materialize(prepared.toDF("_label", "_weight", *inputs), "model")
         assembled = VectorAssembler(inputCols=inputs, outputCol="_x").transform(table)
-        rows = []
-        for seed in range(seeds):
+        assembled = assembled.select("_x", "_label", "_weight")
+
+        def importances(seed: int) -> list[float]:
             forest = RandomForestClassifier(
                 featuresCol="_x",
                 labelCol="_label",
@@ -110,8 +116,10 @@ def rf_importance_by_seed(
                 cacheNodeIds=True,
                 seed=seed,
             )
-            model = forest.fit(assembled.select("_x", "_label", "_weight"))
-            rows += [(seed, f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
+            return [float(v) for v in forest.fit(assembled).featureImportances.toArray()]
+
+        fitted = together(spark, importances, range(seeds), FITS_AT_ONCE)
+        rows = [(s, f, v) for s, own in enumerate(fitted) for f, v in zip(features, own, strict=True)]
     return spark.createDataFrame(rows, "seed int, feature string, importance double")
 
 

@@ -47,7 +47,7 @@ from labelscope.operators.trend import (
 )
 from labelscope.plans.retention import retention_report
 from labelscope.roles import Roles
-from labelscope.sources.reports import read_report, write_report
+from labelscope.sources.reports import publish, read_report, write_report
 from labelscope.sources.scratch import temporary_tables
 
 Write = Callable[[str, DataFrame], DataFrame]
@@ -157,3 +157,16 @@ def full_report(df: DataFrame, roles: Roles, out: str, keys: Sequence[str], **fo
         correlation_report(df, roles, out, keys, known)
         values = importance_report(df, roles, out, known, **forest)
         _writer(out)("retention", retention_report(missing, values))
+
+
+def published_full_report(
+    df: DataFrame, roles: Roles, out: str, keys: Sequence[str], **forest: int
+) -> str:
+    """:func:`full_report` as a run that readers see as a whole or not at all.
+
+    ``sources.published_report`` reads a report of the last complete run.
+    Returns the folder of this run.
+    """
+    return publish(
+        df.sparkSession, out, lambda run: full_report(df, roles, run, keys, **forest)
+    )

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelscope.functions.columns import quoted
 from labelscope.operators.sampling import hash_sample
 
 
@@ -38,25 +41,77 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
 
     A null is a mark, ``\\u0001``, that text can't be mistaken for unless it is
     that one character; text of any kind, line breaks and quotes included,
-    stays as it is, and timestamps keep their microseconds.
+    stays as it is, and timestamps keep their microseconds. A note beside the
+    files, written last, tells whether any text has a line break, which is
+    counted while the rows are written; without one files are read in splits.
     """
-    df.write.mode(mode).options(**_FORMAT, nullValue=NULL_MARK).csv(path)
+    texts = [f.name for f in df.schema.fields if _may_break(f.dataType)]
+    broken = [F.col(quoted(c)).cast("string").rlike("[\\r\\n]") for c in texts]
+    seen = Observation()
+    any_broken = F.coalesce(F.bool_or(reduce(Column.__or__, map(_known, broken), F.lit(False))), F.lit(False))
+    watched = df.observe(seen, any_broken.alias("breaks"))
+    watched.write.mode(mode).options(**_FORMAT, nullValue=NULL_MARK).csv(path)
+    note = f"{path}/{_NO_BREAKS}"
+    if seen.get["breaks"]:
+        _remove(df.sparkSession, note)
+    elif mode != "append":
+        _touch(df.sparkSession, note)
     return path
 
 
+#: The note of a folder of CSV files in which every row is one line. Spark doesn't
+#: read files whose names begin like this.
+_NO_BREAKS = "_one_line_a_row"
+
+
+def _known(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False))
+
+
+def _may_break(kind: T.DataType) -> bool:
+    return not isinstance(
+        kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    )
+
+
+def _path(spark: SparkSession, name: str):
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def _touch(spark: SparkSession, name: str) -> None:
+    path, system = _path(spark, name)
+    system.create(path, True).close()
+
+
+def _remove(spark: SparkSession, name: str) -> None:
+    path, system = _path(spark, name)
+    system.delete(path, False)
+
+
+def _exists(spark: SparkSession, name: str) -> bool:
+    path, system = _path(spark, name)
+    return system.exists(path)
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str | None = None,
     null_mark: str = "",
+    line_breaks: bool | None = None,
 ) -> DataFrame:
     """CSV with a header; pass a schema to spare the inference pass.
 
-    Fields may hold quoted line breaks, so one file is read by one task. An
-    empty field is null, unless ``null_mark`` says what else is, as for files
+    Fields may hold quoted line breaks, and then one file is read by one task.
+    Files are split among tasks if ``line_breaks`` is false, or if it isn't given
+    and the note of :func:`write_csv` says that there are none. An empty field is null, unless ``null_mark`` says what else is, as for files
     of :func:`write_csv`.
     """
-    options = {**_FORMAT, "multiLine": True, "nullValue": null_mark}
+    if line_breaks is None:
+        line_breaks = not _exists(spark, f"{path}/{_NO_BREAKS}")
+    options = {**_FORMAT, "multiLine": line_breaks, "nullValue": null_mark}
     if schema is None:
         # other files have timestamps of other forms
         del options["timestampFormat"]

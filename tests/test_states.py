@@ -1,0 +1,138 @@
+"""States that are merged, and a table that grows by files."""
+
+import math
+from pathlib import Path
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from labelscope.operators import describe, missing, states, trend
+from labelscope.plans.incremental import read_states, update_states
+from labelscope.roles import Roles
+
+ROLES = Roles(label="y", date="d", booked="b", ignore=("id",))
+
+
+def _rows(spark, start, n):
+    rng = np.random.default_rng(start)
+    pdf = pd.DataFrame({"id": range(start, start + n), "y": rng.integers(0, 2, n).astype(float)})
+    pdf["b"] = rng.integers(0, 2, n)
+    pdf["x"] = 1e9 + rng.normal(0, 1, n)
+    pdf["kind"] = rng.choice(["a", "b", "c"], n)
+    pdf["many"] = [f"v{i}" for i in rng.integers(0, 5000, n)]
+    df = spark.createDataFrame(pdf)
+    day = F.date_add(F.lit("2020-01-15").cast("date"), (F.col("id") % 200).cast("int"))
+    return df.select(
+        "id",
+        F.when(F.col("id") % 7 != 0, F.col("y")).alias("y"),
+        "b",
+        F.when(F.col("id") % 50 != 0, day).alias("d"),
+        F.when(F.col("id") % 3 != 0, F.col("x")).alias("x"),
+        F.lit(None).cast("double").alias("empty"),
+        F.when(F.col("id") % 5 != 0, F.col("kind")).alias("kind"),
+        "many",
+    )
+
+
+def _close(found, wanted):
+    assert found.keys() == wanted.keys()
+    for key, row in wanted.items():
+        for a, b in zip(found[key], row, strict=True):
+            same = a == b or (a is not None and b is not None and math.isclose(a, b, rel_tol=1e-7))
+            assert same, (key, found[key], row)
+
+
+def _table(df, *columns):
+    return {r[0]: tuple(r)[1:] for r in df.select(*columns).collect()}
+
+
+def test_parts_merge_into_the_whole(spark):
+    parts = [_rows(spark, 0, 700), _rows(spark, 700, 1), _rows(spark, 701, 900)]
+    whole = parts[0].union(parts[1]).union(parts[2])
+    features = [states.feature_states(p, ROLES) for p in parts]
+    features = features[0].union(features[1]).union(features[2])
+    months = [states.month_states(p, ROLES) for p in parts]
+    months = months[0].union(months[1]).union(months[2])
+    for found, wanted in (
+        (states.missing_from_states(features), missing.missing_stats(whole, ROLES)),
+        (states.numeric_from_states(features), describe.numeric_describe(whole, ROLES)),
+        (states.monthly_from_states(months), trend.monthly_stats(whole, ROLES)),
+    ):
+        assert found.columns == wanted.columns
+        _close(_table(found, *found.columns), _table(wanted, *wanted.columns))
+    # the spread about a large mean keeps its digits
+    std = {r.feature: r.std for r in states.numeric_from_states(features).collect()}["x"]
+    assert 0.9 < std < 1.1
+
+
+def test_distinct_estimates_are_near(spark):
+    parts = [_rows(spark, 0, 4000), _rows(spark, 2000, 4000)]
+    whole = parts[0].union(parts[1])
+    features = states.feature_states(parts[0], ROLES).union(states.feature_states(parts[1], ROLES))
+    found = {r.feature: r for r in states.distinct_from_states(features).collect()}
+    for name in ROLES.features(whole):
+        exact = whole.select(name).where(F.col(name).isNotNull()).distinct().count()
+        assert abs(found[name].distinct_estimate - exact) <= 0.05 * exact + 1
+        assert found[name]["count"] == whole.where(F.col(name).isNotNull()).count()
+    assert set(found) == set(ROLES.features(whole))
+
+
+def test_only_new_files_are_read(spark, tmp_path):
+    table, path = str(tmp_path / "table"), str(tmp_path / "states")
+    first, second = _rows(spark, 0, 600), _rows(spark, 600, 500)
+    first.repartition(3).write.partitionBy("kind").parquet(table)
+    assert update_states(spark, table, ROLES, path) is not None
+    assert update_states(spark, table, ROLES, path) is None
+    # what has been read can't be read again
+    for file in Path(table).rglob("*.parquet"):
+        file.write_bytes(b"not a table")
+    for file in Path(table).rglob("*.crc"):
+        file.unlink()
+    second.write.mode("append").partitionBy("kind").parquet(table)
+    assert update_states(spark, table, ROLES, path) is not None
+    features, months = read_states(spark, path)
+    whole = first.union(second)
+    wanted = missing.missing_stats(whole, ROLES)
+    _close(
+        _table(states.missing_from_states(features), *wanted.columns), _table(wanted, *wanted.columns)
+    )
+    wanted = trend.monthly_stats(whole, ROLES)
+    _close(_table(states.monthly_from_states(months), *wanted.columns), _table(wanted, *wanted.columns))
+
+
+def test_failed_and_foreign_runs_change_nothing(spark, tmp_path, monkeypatch):
+    table, path = str(tmp_path / "table"), str(tmp_path / "states")
+    with pytest.raises(ValueError, match="no states"):
+        read_states(spark, path)
+    _rows(spark, 0, 100).write.parquet(table)
+    update_states(spark, table, ROLES, path)
+    _rows(spark, 100, 100).write.mode("append").parquet(table)
+    from labelscope.plans import incremental
+
+    def broken(rows, roles):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        # the feature states of the second batch are written, its months are not
+        m.setattr(incremental, "month_states", broken)
+        with pytest.raises(RuntimeError, match="lost"):
+            update_states(spark, table, ROLES, path)
+    assert read_states(spark, path)[1].agg(F.sum("total_apps")).first()[0] == 100
+    update_states(spark, table, ROLES, path)
+    assert read_states(spark, path)[1].agg(F.sum("total_apps")).first()[0] == 200
+    with pytest.raises(ValueError, match="other roles"):
+        update_states(spark, table, Roles(label="y", date="d", booked="b"), path)
+    next(Path(table).glob("*.parquet")).unlink()
+    with pytest.raises(ValueError, match="are gone"):
+        update_states(spark, table, ROLES, path)
+
+
+def test_empty_table_and_no_date(spark):
+    rows = _rows(spark, 0, 50)
+    none = states.feature_states(rows.limit(0), ROLES)
+    assert none.count() == 0 and states.missing_from_states(none).count() == 0
+    undated = Roles(label="y", ignore=("id", "d", "b"))
+    found = states.monthly_from_states(states.month_states(rows, undated)).collect()
+    assert [(r.month_start, r.total_apps, r.total_booked) for r in found] == [(None, 50, None)]

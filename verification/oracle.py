@@ -613,6 +613,13 @@ ORACLES: dict[str, str] = {
     "numeric_summary": described(APP, f"{MOMENTS}, {QUANTILES}", ("label", "booked")),
     "categorical_describe": categorical(APP),
     "monthly_stats": monthly(APP, "applicationdate"),
+    "incremental_monthly_stats": monthly(APP, "applicationdate"),
+    "incremental_missing_stats": missing(APP),
+    "incremental_numeric_describe": described(APP, MOMENTS, ("label", "booked")),
+    "incremental_distinct_within": f"""SELECT unnest({[*APP.numeric, *APP.text]}) AS feature,
+      true AS within""",
+    "event_value_bootstrap_brackets": """SELECT event_type, CAST(count(value) AS BIGINT) AS count,
+      true AS holds, true AS near, true AS same FROM events GROUP BY event_type""",
     "age_bin_rates": age_bins(),
     "age_bin_rates_from_zero": age_bins(lowest=True),
     "age_bin_wilson": age_bins(WILSON),

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelscope.operators import describe, distribution, importance, information, trend
+from labelscope.operators import bootstrap, describe, distribution, importance, information, trend
 from labelscope.operators.longform import feature_name, numeric_long
 from labelscope.operators.sampling import bernoulli_sample
 from labelscope.roles import Roles
@@ -76,6 +76,23 @@ def bootstrap_brackets(df: DataFrame, roles: Roles) -> DataFrame:
     return rows.select("relat_age_bin", holds.alias("holds"), near.alias("near"))
 
 
+def mean_brackets(df: DataFrame, value: str, group: str, keys: list[str]) -> DataFrame:
+    """Whether each bootstrap interval of a mean holds it and is near the normal interval."""
+    found = bootstrap.bootstrap_means(df, value, group, keys)
+    closed = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("own")).agg(
+        F.avg(value).alias("m"),
+        (1.959963984540054 * F.stddev_samp(value) / F.sqrt(F.count(value))).alias("half"),
+    )
+    rows = found.join(closed, F.col(group).eqNullSafe(F.col("own")))
+    holds = (F.col("mean_low") <= F.col("mean")) & (F.col("mean") <= F.col("mean_high"))
+    slack = 0.35 * 2 * F.col("half") + 1e-9
+    near = (F.abs(F.col("mean_low") - (F.col("m") - F.col("half"))) <= slack) & (
+        F.abs(F.col("mean_high") - (F.col("m") + F.col("half"))) <= slack
+    )
+    same = F.abs(F.col("mean") - F.col("m")) <= 1e-9 * F.greatest(F.lit(1.0), F.abs("m"))
+    return rows.select(group, "count", holds.alias("holds"), near.alias("near"), same.alias("same"))
+
+
 def curve_error(df: DataFrame, roles: Roles, most: float = 1e-3) -> DataFrame:
     """Whether each density curve is near the plain kernel sum over all its rows."""
     curve = distribution.kde_curve(df, roles)
