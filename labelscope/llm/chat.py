@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property, lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,74 +63,106 @@ class Template:
         return self.unescape(role), self.unescape(rest.removesuffix(self.end))
 
 
+Tokens = list[np.ndarray]
+
+
 @lru_cache(maxsize=4)
-def _codec(path: str | None) -> tuple[Callable[[str], list[int]], Callable[[list[int]], str]]:
-    """Text to tokens and back; code points if there is no tokenizer."""
+def _codec(
+    path: str | None,
+) -> tuple[Callable[[list[str]], Tokens], Callable[[Tokens], list[str]]]:
+    """Texts to tokens and back, many at a time; code points if there is no tokenizer."""
     if path is None:
-        return lambda t: [ord(c) for c in t], lambda ids: "".join(map(chr, ids))
+        return (
+            lambda texts: [np.frombuffer(t.encode("utf-32-le"), np.int32) for t in texts],
+            lambda tokens: [t.astype("<i4").tobytes().decode("utf-32-le") for t in tokens],
+        )
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return (
-        lambda t: tokenizer.encode(t, add_special_tokens=False).ids,
-        lambda ids: tokenizer.decode(ids, skip_special_tokens=False),
-    )
+
+    def encode(texts: list[str]) -> Tokens:
+        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.int32) for e in found]
+
+    def decode(tokens: Tokens) -> list[str]:
+        return tokenizer.decode_batch([t.tolist() for t in tokens], skip_special_tokens=False)
+
+    return encode, decode
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each conversation the digest of every prefix of its turns, as one text.
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Turns in order, each with its place and the name of the prefix that ends with it.
 
-    A prefix is named by the digest of the name before it, the role and the
-    text; equal names mean equal first turns.
+    A name is the digest of the name before it, the role and the text, so equal
+    names mean equal first turns. The last turn of a conversation has its path,
+    the names of all its prefixes.
     """
+    names: list[str] = []
+    name = b""
+    waiting: dict | None = None
     for batch in batches:
-        paths, leaves = [], []
-        for turns in batch.column("turns").to_pylist():
-            name, path = b"", []
-            for turn in turns:
-                role, text = turn["role"].encode(), turn["text"].encode()
-                size = len(role).to_bytes(8, "big")
-                name = hashlib.blake2b(name + size + role + text, digest_size=16).digest()
-                path.append(name.hex())
-            paths.append("".join(path))
-            leaves.append(name.hex())
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("conv"),
-                pa.array(leaves, pa.string()),
-                pa.array(paths, pa.string()),
-            ],
-            names=["conv", "leaf", "path"],
-        )
+        out = []
+        for row in batch.to_pylist():
+            if waiting is not None:
+                if row["conv"] != waiting["conv"]:
+                    waiting["path"] = "".join(names)
+                    names, name = [], b""
+                out.append(waiting)
+            role, text = row["role"].encode(), row["text"].encode()
+            size = len(role).to_bytes(8, "big")
+            name = hashlib.blake2b(name + size + role + text, digest_size=16).digest()
+            waiting = {
+                "conv": row["conv"],
+                "place": len(names),
+                "name": name.hex(),
+                "role": row["role"],
+                "text": row["text"],
+                "path": None,
+            }
+            names.append(waiting["name"])
+        if out:
+            yield _turn_batch(out, batch.schema.field("conv").type)
+    if waiting is not None:
+        waiting["path"] = "".join(names)
+        yield _turn_batch([waiting], batch.schema.field("conv").type)
+
+
+def _turn_batch(rows: list[dict], id_type: pa.DataType) -> pa.RecordBatch:
+    types = (id_type, pa.int64(), *[pa.string()] * 4)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[c] for r in rows], t) for c, t in zip(rows[0], types, strict=True)],
+        names=list(rows[0]),
+    )
 
 
 class _Layout:
     """One sequence under construction: nodes depth first, each emitted once."""
 
-    def __init__(
-        self, template: Template, encode: Callable[[str], list[int]], room: int
-    ) -> None:
-        self.template, self.encode, self.room = template, encode, room
+    def __init__(self, trained_roles: tuple[str, ...], room: int) -> None:
+        self.trained_roles, self.room = trained_roles, room
+        self.conversation: int | None = None
         self.clear()
 
     def clear(self) -> None:
         self.names: list[str] = []  # of the prefixes on the current path
         self.where: list[int] = []  # their nodes
-        self.tokens: list[int] = []
-        self.positions: list[int] = []
-        self.starts, self.ends, self.parents = [], [], []
+        self.kept: list[tuple[str, Tokens]] = []  # and what they say
+        self.size = 0
+        self.tokens: Tokens = []
+        self.positions: Tokens = []
+        self.starts, self.ends, self.parents, self.depths = [], [], [], []
         self.trained: list[list[int] | None] = []
         self.sees: list[list[list[int]]] = []
         self.leaves: list[dict] = []
 
-    def _emit(self, role: str, text: str) -> None:
-        head, body, tail = (self.encode(p) for p in self.template.parts(role, text))
+    def _emit(self, name: str, role: str, parts: Tokens) -> None:
         parent = self.where[-1] if self.where else -1
-        depth = self.positions[self.ends[parent] - 1] + 1 if parent >= 0 else 0
-        start = len(self.tokens)
-        self.tokens += head + body + tail
-        n = len(self.tokens) - start
-        self.positions += range(depth, depth + n)
+        depth = self.depths[parent] if parent >= 0 else 0
+        start, n = self.size, sum(map(len, parts))
+        self.tokens += parts
+        self.positions.append(np.arange(depth, depth + n, dtype=np.int32))
+        self.size += n
         sees = [list(x) for x in self.sees[parent]] if parent >= 0 else []
         if parent >= 0:
             # the parent itself; what touches becomes one interval
@@ -137,43 +171,62 @@ class _Layout:
                 sees[-1][1] = high
             else:
                 sees.append([low, high])
+        self.names.append(name)
         self.where.append(len(self.starts))
+        self.kept.append((role, parts))
         self.starts.append(start)
         self.ends.append(start + n)
+        self.depths.append(depth + n)
         self.parents.append(parent)
         self.sees.append(sees)
-        low = start + len(head)
-        loss = role in self.template.trained_roles
-        self.trained.append([low, low + len(body)] if loss else None)
+        low = start + len(parts[0])
+        self.trained.append([low, low + len(parts[1])] if role in self.trained_roles else None)
 
-    def add(self, leaf: str, names: list[str], turns: list[dict]) -> dict | None:
-        """The next conversation in the order of paths; a sequence that it closes."""
+    def add(self, rank: int, leaf: str, place: int, name: str, role: str, parts: Tokens) -> pa.RecordBatch | None:
+        """The next turn of the conversations in their order; a sequence that is full.
+
+        A sequence is closed at the first turn that a conversation doesn't share
+        with the one before. The next one then begins with the turns that are
+        shared, which are its ancestors.
+        """
         done = None
-        if len(self.tokens) >= self.room:
-            done = self.row()
-            self.clear()
-        common = 0
-        while common < min(len(names), len(self.where)) and names[common] == self.names[common]:
-            common += 1
-        self.names = names
-        del self.where[common:]
-        for turn in turns[common:]:
-            self._emit(turn["role"], turn["text"])
-        self.leaves.append({"leaf": leaf, "node": self.where[-1]})
+        if rank != self.conversation:
+            self.conversation = rank
+            self.shared, self.leaf = 0, leaf
+        if self.shared == place:
+            if place < len(self.names) and self.names[place] == name:
+                self.shared += 1
+                if name == leaf:
+                    self.leaves.append({"leaf": leaf, "node": self.where[place]})
+                return None
+            # here the conversation leaves the path of the one before
+            self.shared = -1
+            del self.names[place:], self.where[place:], self.kept[place:]
+            if self.size >= self.room and self.leaves:
+                done = self.row()
+                again = list(zip(self.names, self.kept, strict=True))
+                self.clear()
+                for own, (said_by, said) in again:
+                    self._emit(own, said_by, said)
+        self._emit(name, role, parts)
+        if name == leaf:
+            self.leaves.append({"leaf": leaf, "node": self.where[-1]})
         return done
 
-    def row(self) -> dict:
-        return {
-            "token_ids": self.tokens,
-            "position_ids": self.positions,
-            "nodes": [
-                {"start": s, "end": e, "parent": p, "loss": t, "sees": v}
-                for s, e, p, t, v in zip(
-                    self.starts, self.ends, self.parents, self.trained, self.sees, strict=True
-                )
-            ],
-            "leaves": self.leaves,
-        }
+    def row(self) -> pa.RecordBatch:
+        nodes = [
+            {"start": s, "end": e, "parent": p, "loss": t, "sees": v}
+            for s, e, p, t, v in zip(
+                self.starts, self.ends, self.parents, self.trained, self.sees, strict=True
+            )
+        ]
+        lists = []
+        for parts in (self.tokens, self.positions):
+            values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+            lists.append(pa.ListArray.from_arrays(np.array([0, len(values)], np.int32), pa.array(values)))
+        types = [f.type for f in _SEQUENCE][2:]
+        more = [pa.array([x], t) for x, t in zip((nodes, self.leaves), types, strict=True)]
+        return pa.RecordBatch.from_arrays([*lists, *more], schema=_SEQUENCE)
 
 
 _SEQUENCE = pa.schema(
@@ -206,15 +259,22 @@ _SEQUENCE_SQL = (
 
 def _emitter(template: Template, path: str | None, room: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        layout = _Layout(template, _codec(path)[0], room)
+        layout = _Layout(template.trained_roles, room)
+        encode = _codec(path)[0]
         for batch in batches:
-            for row in batch.to_pylist():
-                names = [row["path"][i : i + 32] for i in range(0, len(row["path"]), 32)]
-                done = layout.add(row["leaf"], names, row["turns"])
+            rows = batch.to_pylist()
+            said = [template.parts(r["role"], r["text"]) for r in rows]
+            distinct = list(dict.fromkeys(p for parts in said for p in parts))
+            tokens = dict(zip(distinct, encode(distinct), strict=True))
+            for row, parts in zip(rows, said, strict=True):
+                turn = [tokens[p] for p in parts]
+                done = layout.add(
+                    row["rank"], row["leaf"], row["place"], row["name"], row["role"], turn
+                )
                 if done:
-                    yield pa.RecordBatch.from_pylist([done], _SEQUENCE)
+                    yield done
         if layout.leaves:
-            yield pa.RecordBatch.from_pylist([layout.row()], _SEQUENCE)
+            yield layout.row()
 
     return emit
 
@@ -254,8 +314,12 @@ def formatted(
     and a token of a node sees the intervals ``sees`` of its ancestors and its
     own node up to itself. ``loss`` is the interval that is trained on.
 
+    Turns stay rows throughout, sorted by conversation and place, and stream
+    through the tasks; of a conversation only the names of its prefixes and the
+    sequence that holds it are kept in memory.
+
     Turns are ordered by turn, then role and text, nulls first. A null role or
-    text is empty; a null id is a conversation too. Repeated rows are repeated
+    text is empty; a null id is a conversation too, however many rows have it. Repeated rows are repeated
     turns. The tokenizer file must be one that gives texts back exactly, such as
     a byte-level one; without it the tokens are code points. Other columns may
     have any name. An empty table gives no sequence.
@@ -265,26 +329,32 @@ def formatted(
     def filled(name: str) -> Column:
         return F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
 
-    turn = F.struct(
+    rows = conversations.select(
+        F.col(f"`{id_col}`").alias("conv"),
         F.col(f"`{turn_col}`").alias("turn"),
         filled(role_col).alias("role"),
         filled(text_col).alias("text"),
     )
-    rows = conversations.select(F.col(f"`{id_col}`").alias("conv"), turn.alias("t"))
-    whole = rows.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    whole = materialize(whole, "conversations")
+    by_turn = rows.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
     id_type = rows.schema["conv"].dataType.simpleString()
-    chains = materialize(
-        whole.mapInArrow(_chains, f"conv {id_type}, leaf string, path string"), "chat-chains"
+    schema = f"conv {id_type}, place bigint, name string, role string, text string, path string"
+    turns = by_turn.select("conv", "role", "text").mapInArrow(_named, schema)
+    turns = materialize(turns, "chat-turns")
+    ends = turns.where("path is not null").select("conv", F.col("name").alias("leaf"), "path")
+    first = ends.groupBy("leaf").agg(F.min(F.struct("conv", "path")).alias("best"))
+    ranked = (
+        first.select("leaf", "best.conv", "best.path")
+        .repartitionByRange("path")
+        .sortWithinPartitions("path")
+        .select("leaf", "conv", F.monotonically_increasing_id().alias("rank"))
     )
-    first = chains.groupBy("leaf").agg(F.min(F.struct("conv", "path")).alias("best"))
-    first = first.select("leaf", "best.conv", "best.path")
-    same = first["conv"].eqNullSafe(whole["conv"])
-    chosen = first.join(whole, same).select("leaf", "path", "turns")
-    in_order = chosen.repartitionByRange("path").sortWithinPartitions("path")
+    ranked = materialize(ranked, "chat-ranks")
+    same = turns["conv"].eqNullSafe(ranked["conv"])
+    chosen = turns.join(ranked, same).select("rank", "leaf", "place", "name", "role", "text")
+    in_order = chosen.repartitionByRange("rank").sortWithinPartitions("rank", "place")
     sequences = in_order.mapInArrow(_emitter(template, tokenizer, sequence_tokens), _SEQUENCE_SQL)
     return FormattedChats(
-        materialize(sequences, "chat-sequences"), chains.select("conv", "leaf")
+        materialize(sequences, "chat-sequences"), ends.select("conv", "leaf")
     )
 
 
@@ -292,40 +362,35 @@ def _reader(template: Template, path: str | None):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = _codec(path)[1]
         for batch in batches:
-            for row in batch.to_pylist():
-                tokens, nodes = row["token_ids"], row["nodes"]
-                number = {n["start"]: i for i, n in enumerate(nodes)}
-                known: dict[int, tuple[str, str, int]] = {}
-
-                def turn(i: int) -> tuple[str, str, int]:
-                    """What node i says, what of it is trained on, and its formatted length."""
-                    if i not in known:
-                        node = nodes[i]
-                        text = decode(tokens[node["start"] : node["end"]])
-                        role, content = template.read(text)
-                        a, b = node["loss"] or (0, 0)
-                        loss = template.unescape(decode(tokens[a:b])) if b > a else ""
-                        known[i] = f"{role}\n{content}\n", loss, len(text)
-                    return known[i]
-
+            for i in range(batch.num_rows):
+                tokens = np.asarray(batch.column("token_ids")[i].values)
+                nodes = batch.column("nodes")[i].as_py()
+                number = {n["start"]: k for k, n in enumerate(nodes)}
+                texts = decode([tokens[n["start"] : n["end"]] for n in nodes])
+                trained = decode([tokens[slice(*(n["loss"] or (0, 0)))] for n in nodes])
+                # what each node says, what of it is trained on, and its formatted length
+                turns = [
+                    ("{}\n{}\n".format(*template.read(text)), template.unescape(loss), len(text))
+                    for text, loss in zip(texts, trained, strict=True)
+                ]
                 out = []
-                for leaf in row["leaves"]:
+                for leaf in batch.column("leaves")[i].as_py():
                     own = nodes[leaf["node"]]
                     path_nodes = []
                     for low, high in [*own["sees"], [own["start"], own["end"]]]:
                         while low < high:
                             path_nodes.append(number[low])
                             low = nodes[number[low]]["end"]
-                    said = [turn(i) for i in path_nodes]
+                    said = [turns[k] for k in path_nodes]
                     whole = "".join(x[0] for x in said)
-                    trained = "".join(x[1] for x in said)
+                    loss = "".join(x[1] for x in said)
                     out.append(
                         {
                             "leaf": leaf["leaf"],
                             "n_turns": len(said),
                             "turns_sha256": hashlib.sha256(whole.encode()).hexdigest(),
-                            "loss_chars": len(trained),
-                            "loss_sha256": hashlib.sha256(trained.encode()).hexdigest(),
+                            "loss_chars": len(loss),
+                            "loss_sha256": hashlib.sha256(loss.encode()).hexdigest(),
                             "formatted_chars": sum(x[2] for x in said),
                         }
                     )

@@ -120,3 +120,36 @@ def test_odd_rows(spark):
     chats = chat.formatted(df)
     assert _found(chat.read_back(chats)) == _expected(rows)
     assert chat.read_back(chat.formatted(df.limit(0))).collect() == []
+
+
+def test_a_null_id_on_a_third_of_the_turns(spark):
+    """One conversation of 33,000 turns: no array of it is built, and it comes back."""
+    draw = random.Random(4)
+    rows = [
+        (None if i % 3 == 0 else i // 30, i, ["user", "assistant"][i % 2], f"text {draw.random()}")
+        for i in range(100_000)
+    ]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    chats = chat.formatted(df)
+    plan = chats.members._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    found = _found(chat.read_back(chats))
+    assert found == _expected(rows)
+    assert found[None][0] == 33_334
+
+
+def test_a_full_sequence_begins_anew_with_its_ancestors(spark):
+    """Conversations that share long first turns, in sequences of a few tokens."""
+    shared = [("system", "s" * 50), ("user", "u" * 50), ("assistant", "a" * 50)]
+    rows = []
+    for conv in range(40):
+        own = [*shared[: conv % 4], ("user", f"own {conv % 13}"), ("assistant", "end")]
+        rows += [(conv, i, r, t) for i, (r, t) in enumerate(own)]
+        # some conversations are the beginning of others
+        rows += [(100 + conv, i, r, t) for i, (r, t) in enumerate(own[:-1])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for room in (1, 200, 10_000):
+        chats = chat.formatted(df, sequence_tokens=room)
+        assert _found(chat.read_back(chats)) == _expected(rows)
+        if room == 1:
+            assert chats.sequences.count() >= 20
