@@ -152,10 +152,9 @@ def _grown(run: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
 
 
 def _found_scatter(df: DataFrame) -> DataFrame:
-    """Points of the pairs that are found to be strong, the label's left out."""
+    """Points of all pairs that are found to be strong, the label's left out."""
     found = _high_pairs(df, 0.0).select("feat1", "feat2").collect()
-    pairs = [p for p in map(tuple, found) if "total_accts" in p]
-    return correlation.scatter_pairs(df, APP, pairs, KEY, cap=500, portable=True)
+    return correlation.scatter_pairs(df, APP, sorted(map(tuple, found)), KEY, cap=500, portable=True)
 
 
 def _high_pairs(df: DataFrame, threshold: float = correlation.THRESHOLD) -> DataFrame:
@@ -325,7 +324,9 @@ def queries() -> dict[str, Query]:
         "event_category_describe": _on(
             event, lambda df: describe.categorical_describe(df, event_roles)
         ),
-        "event_value_counts": _on(event, lambda df: distribution.value_counts(df, ["props"])),
+        "event_value_counts": _on(
+            event_rows, lambda df: distribution.value_counts(df, ["event_type", "props"])
+        ),
         "line_numeric_summary": _on(
             line, lambda df: describe.numeric_summary(df, line_roles), above=2e-8
         ),

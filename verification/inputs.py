@@ -10,11 +10,10 @@ from labelscope.plans.applications import applications
 from labelscope.roles import Roles
 from labelscope.sources import materialize, read_table
 
-DOCUMENT_ROLES = Roles(label="quality", ignore=("doc_id", "toxic"))
+DOCUMENT_ROLES = Roles(label="quality", ignore=("doc_id",))
 EVENT_ROLES = Roles(label="bought", date="ts", booked="booked", ignore=("event_id", "user_id"))
 LINE_ROLES = Roles(label="returned", date="l_shipdate")
 VECTOR_ROLES = Roles(label="upper_half", ignore=("vec_id",))
-VECTOR_WIDTH = 64
 
 _stored: dict[tuple[str, str], DataFrame] = {}
 
@@ -30,7 +29,7 @@ def application_table(spark: SparkSession, folder: str) -> DataFrame:
 def document_table(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, f"{folder}/documents.parquet")
     labels = read_table(spark, f"{folder}/labels.parquet")
-    return documents.select("doc_id", "lang", "source", "n_chars").join(labels, "doc_id", "left")
+    return documents.join(labels, "doc_id", "left")
 
 
 def event_table(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,9 +61,10 @@ def line_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def vector_table(spark: SparkSession, folder: str) -> DataFrame:
-    """One numeric column per vector dimension: a wide table."""
+    """One numeric column per vector dimension, as many as the longest vector has."""
     vectors = read_table(spark, f"{folder}/embeddings.parquet")
-    dims = [F.get("embedding", F.lit(i)).alias(f"d{i}") for i in range(VECTOR_WIDTH)]
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
+    dims = [F.get("embedding", F.lit(i)).alias(f"d{i}") for i in range(width)]
     return vectors.select("vec_id", (F.col("label") >= 5).cast("int").alias("upper_half"), *dims)
 
 

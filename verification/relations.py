@@ -124,8 +124,8 @@ def curve_error(df: DataFrame, roles: Roles, most: float = 1e-3) -> DataFrame:
 
 
 def importance_sums(df: DataFrame, roles: Roles) -> DataFrame:
-    """Per seed the number of features and the sum of their importances."""
-    by_seed = importance.rf_importance_by_seed(df, roles, seeds=2, trees=5, depth=4, fit_rows=5_000)
+    """Per seed the number of features and the sum of their importances, as registered."""
+    by_seed = importance.rf_importance_by_seed(df, roles)
     return by_seed.groupBy("seed").agg(
         F.count("*").alias("features"), F.sum("importance").alias("total")
     )
