@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelscope.sources import materialize
+from labelscope.llm.tables import stored
 
 #: Tokens after which a sequence is closed; the next one repeats the open ancestors.
 SEQUENCE_TOKENS = 65_536
@@ -339,7 +339,7 @@ def formatted(
     id_type = rows.schema["conv"].dataType.simpleString()
     schema = f"conv {id_type}, place bigint, name string, role string, text string, path string"
     turns = by_turn.select("conv", "role", "text").mapInArrow(_named, schema)
-    turns = materialize(turns, "chat-turns")
+    turns = stored(turns, "chat-turns")
     ends = turns.where("path is not null").select("conv", F.col("name").alias("leaf"), "path")
     first = ends.groupBy("leaf").agg(F.min(F.struct("conv", "path")).alias("best"))
     ranked = (
@@ -348,13 +348,13 @@ def formatted(
         .sortWithinPartitions("path")
         .select("leaf", "conv", F.monotonically_increasing_id().alias("rank"))
     )
-    ranked = materialize(ranked, "chat-ranks")
+    ranked = stored(ranked, "chat-ranks")
     same = turns["conv"].eqNullSafe(ranked["conv"])
     chosen = turns.join(ranked, same).select("rank", "leaf", "place", "name", "role", "text")
     in_order = chosen.repartitionByRange("rank").sortWithinPartitions("rank", "place")
     sequences = in_order.mapInArrow(_emitter(template, tokenizer, sequence_tokens), _SEQUENCE_SQL)
     return FormattedChats(
-        materialize(sequences, "chat-sequences"), ends.select("conv", "leaf")
+        stored(sequences, "chat-sequences"), ends.select("conv", "leaf")
     )
 
 

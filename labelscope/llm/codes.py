@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.llm.encoding import encoded
-from labelscope.sources import materialize, shared_folder
+from labelscope.llm.tables import stored
+from labelscope.sources import shared_folder
 
 MAGIC = b"DACIDS01"
 CHUNK_BITS = 8
@@ -224,7 +225,7 @@ def write_codes(
     place = F.xxhash64("text")
     in_order = rows.repartitionByRange("id", place).sortWithinPartitions("id", place, "text")
     schema = "part bigint, number bigint, file string, n_docs bigint, n_ids bigint"
-    files = materialize(
+    files = stored(
         in_order.mapInArrow(_writer(path, end_id, folder, file_ids), schema), "code-files"
     )
     before = Window.orderBy("part", "number")  # one row per file

@@ -10,10 +10,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from labelscope.llm.text import as_bytes, runs
+from labelscope.llm.text import as_bytes, runs, span_hashes
 
-#: Bytes of pieces whose encodings are remembered in one Python worker.
-REMEMBERED_BYTES = 5_000_000
+#: Memory of the pieces and encodings that one Python worker remembers.
+REMEMBERED_BYTES = 64_000_000
 
 _PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTER = np.zeros(256, bool)
@@ -54,47 +54,91 @@ def piece_starts(
 
 
 class Pieces:
-    """Remembers the encoding of pieces and puts whole texts together from them."""
+    """Remembers the encoding of pieces and puts whole texts together from them.
+
+    Pieces are kept as arrays: their bytes and ids one after the other, and their
+    hashes in order, by which a whole run of pieces is looked up at once. A piece
+    counts as known only if its bytes are the same too.
+    """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]) -> None:
         self.encode = encode
-        self.known: dict[bytes, int] = {}
+        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.data, self.data_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self.held = 0
+
+    def held(self) -> int:
+        """Bytes of memory that the known pieces take."""
+        n = len(self.order)
+        return int(self.data_ends[-1]) + 4 * int(self.ends[-1]) + 32 * n
 
     def _forget_half(self) -> None:
         """Forget the pieces that have been known for longest."""
         first = (len(self.ends) - 1) // 2
-        self.known = {p: i - first for p, i in self.known.items() if i >= first}
-        low = self.ends[first]
-        self.ids = self.ids[low : self.ends[-1]].copy()
-        self.ends = self.ends[first:] - low
-        self.held = sum(map(len, self.known))
-
-    def numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """The numbers under which the pieces are remembered, encoding new ones first."""
-        if self.held > REMEMBERED_BYTES:
+        stays = self.order >= first
+        self.hashes, self.order = self.hashes[stays], self.order[stays] - first
+        for pool, ends in (("data", "data_ends"), ("ids", "ends")):
+            edges = getattr(self, ends)
+            setattr(self, pool, getattr(self, pool)[edges[first] : edges[-1]].copy())
+            setattr(self, ends, edges[first:] - edges[first])
+
+    def _known(self, data: np.ndarray, bounds: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """The number of each piece, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        number = self.order[at]
+        sizes = np.diff(bounds)
+        a, b = self.data_ends[number], self.data_ends[number + 1]
+        same = (self.hashes[at] == hashes) & (b - a == sizes)
+        hit = np.flatnonzero(same)
+        own = data[_ranges(bounds[hit], bounds[hit + 1])]
+        other = self.data[_ranges(a[hit], b[hit])]
+        # a hash that lies decides nothing
+        wrong = np.flatnonzero(own != other)
+        if len(wrong):
+            same[hit[np.searchsorted(np.cumsum(sizes[hit]), wrong, "right")]] = False
+        return np.where(same, number, -1)
+
+    def numbers(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The numbers of different pieces that follow each other, encoding new ones first."""
+        if self.held() > REMEMBERED_BYTES:
             self._forget_half()
-        known = self.known
-        fresh = [p for p in pieces if p not in known]
-        if fresh:
-            found = self.encode(fresh)
+        hashes = span_hashes(data, bounds[:-1], bounds[1:])
+        number = self._known(data, bounds, hashes)
+        fresh = np.flatnonzero(number < 0)
+        if len(fresh):
+            low, high = bounds[fresh], bounds[fresh + 1]
+            found = self.encode([data[a:b].tobytes() for a, b in zip(low, high, strict=True)])
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            n = len(self.ends) - 1
-            known.update(zip(fresh, range(n, n + len(fresh)), strict=True))
-            self.held += sum(map(len, fresh))
             flat = np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum()))
+            n = len(self.ends) - 1
+            number[fresh] = np.arange(n, n + len(fresh))
+            self.data = _grown(self.data, self.data_ends[-1], data[_ranges(low, high)])
             self.ids = _grown(self.ids, self.ends[-1], flat)
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))
+            self.data_ends = np.append(self.data_ends, self.data_ends[-1] + np.cumsum(high - low))
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(lengths))
+            by_hash = fresh[np.argsort(hashes[fresh], kind="stable")]
+            at = np.searchsorted(self.hashes, hashes[by_hash])
+            self.hashes = np.insert(self.hashes, at, hashes[by_hash])
+            self.order = np.insert(self.order, at, number[by_hash])
+        return number
 
     def of(self, starts: np.ndarray, ends: np.ndarray, data: np.ndarray) -> tuple:
         """For each span of the bytes where its ids begin and end in the third result."""
         found = spans(data, starts, ends).dictionary_encode()
-        number = self.numbers(found.dictionary.to_pylist())[np.asarray(found.indices)]
+        number = self.numbers(*binary_parts(found.dictionary))[np.asarray(found.indices)]
         return self.ends[number], self.ends[number + 1], self.ids
 
 
+def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large binary values in a row, and where each begins."""
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return whole[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
 def _grown(pool: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     """The pool with ``more`` after what is used; a larger copy only when it is full."""
     if used + len(more) > len(pool):

@@ -11,8 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelscope.llm.tables import stored
+
 from labelscope.llm.text import as_bytes, mix, runs, span_hashes, word_spans
-from labelscope.sources import materialize
 
 #: Hashed words share so many weights.
 WORD_BITS = 15
@@ -332,7 +333,7 @@ def labelled_features(
     found = rows.mapInArrow(_encoder(metadata), schema)
     one = found.groupBy("id").agg(F.min(F.struct("which", "values", "label")).alias("row"))
     shard = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(SHARDS)).cast("int").alias("shard")
-    return materialize(one.select(shard, "id", "row.*"), "labelled-features")
+    return stored(one.select(shard, "id", "row.*"), "labelled-features")
 
 
 def fit(

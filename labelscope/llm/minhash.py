@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.components import components
-from labelscope.llm.tables import maybe_among, one_row_each, unused
+from labelscope.llm.tables import maybe_among, one_row_each, stored, unused
 from labelscope.llm.text import mix, runs, shingle_sets
-from labelscope.sources import materialize
 
 #: Registers of a document: 2 ** P buckets.
 P = 7
@@ -265,7 +264,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
     texts = near.join(wanted, "row_key").select("node", "text")
     sets = texts.mapInArrow(_setter(shingle), "node binary, shingles array<bigint>")
     # rows that repeat an id and its text give the same set again
-    return materialize(sets, "shingle-sets").dropDuplicates(["node"])
+    return stored(sets, "shingle-sets").dropDuplicates(["node"])
 
 
 def _verified(
@@ -283,13 +282,13 @@ def _verified(
     likely = joined.where(
         plausible(matches, F.col("n_shingles_a"), F.col("n_shingles_b"), percent)
     )
-    likely = materialize(likely.select("a", "b", "row_key_a", "row_key_b"), "likely-pairs")
+    likely = stored(likely.select("a", "b", "row_key_a", "row_key_b"), "likely-pairs")
     wanted = (
         likely.select(F.col("a").alias("node"), F.col("row_key_a").alias("row_key"))
         .union(likely.select("b", "row_key_b"))
         .distinct()
     )
-    wanted = materialize(wanted, "wanted-texts")
+    wanted = stored(wanted, "wanted-texts")
     sets = _shingle_sets(docs, wanted, shingle)
     both = likely.join(
         sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")), "a"
@@ -297,7 +296,7 @@ def _verified(
     common = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - common
     linked = both.where(100 * common >= percent * union).select("a", "b")
-    return materialize(linked, "linked-pairs")
+    return stored(linked, "linked-pairs")
 
 
 def _open_members(rows: DataFrame, least: int) -> DataFrame:
@@ -371,19 +370,19 @@ def _late_links(
     comp = F.coalesce(F.col("comp"), F.col("node")).alias("comp")
     slim = ["key", "node", "n_shingles"]
     rows = found.join(classes.select("node", "n_shingles"), "node").join(comps, "node", "left")
-    rows = materialize(rows.select(*slim, comp), "band-components")
+    rows = stored(rows.select(*slim, comp), "band-components")
     # in a band of two one is the hub: they have been compared
-    open_rows = materialize(_open_members(rows, 3), "open-members")
+    open_rows = stored(_open_members(rows, 3), "open-members")
     wide = open_rows.join(classes.select("node", "registers"), "node")
     marked = _dealt(wide, ["registers"]).mapInArrow(_blocks(percent, False), "key bigint, node binary")
-    marked = materialize(marked.distinct(), "marked-members")
+    marked = stored(marked.distinct(), "marked-members")
     left = marked.join(rows, ["key", "node"])
     keys = classes.select("node", "row_key").join(marked.select("node").distinct(), "node")
-    sets = _shingle_sets(docs, materialize(keys, "wanted-texts"), shingle)
-    left = materialize(_open_members(left.select(*slim, "comp"), 2), "marked-in-open-bands")
+    sets = _shingle_sets(docs, stored(keys, "wanted-texts"), shingle)
+    left = stored(_open_members(left.select(*slim, "comp"), 2), "marked-in-open-bands")
     left = left.join(classes.select("node", "registers"), "node").join(sets, "node")
     links = _dealt(left, ["registers", "shingles"])
-    return materialize(links.mapInArrow(_blocks(percent, True), "a binary, b binary"), "late-links")
+    return stored(links.mapInArrow(_blocks(percent, True), "a binary, b binary"), "late-links")
 
 
 def near_duplicates(
@@ -449,9 +448,9 @@ def drop_near_duplicates(
         # of rows that repeat an id and its text one may be kept and the others not
         texts = marked.where("in_company").groupBy("row_key", "id")
         texts = texts.agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-        gone = materialize(texts.where("not kept or n > 1"), "near-copies")
+        gone = stored(texts.where("not kept or n > 1"), "near-copies")
     else:
-        gone = materialize(marked.where("not kept").select("row_key", "id", "kept").distinct(), "near-copies")
+        gone = stored(marked.where("not kept").select("row_key", "id", "kept").distinct(), "near-copies")
     hashed = docs.withColumn(names["own_key"], F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
     near = maybe_among(hashed, names["own_key"], gone.select("row_key"), names["near"])
     may = near.where(F.col(names["near"]))
@@ -479,8 +478,8 @@ def _marked(
     schema = f"id {id_type}, row_key bigint, n_shingles bigint, node binary, registers binary"
     sketches = rows.select("id", "row_key", "text")
     sketches = sketches.mapInArrow(_sketcher(shingle), schema)
-    sketches = materialize(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
-    classes = materialize(
+    sketches = stored(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
+    classes = stored(
         sketches.where("node is not null")
         .groupBy("node")
         .agg(
@@ -499,7 +498,7 @@ def _marked(
     keys = F.expr(f"explode(transform(sequence(0, {BANDS - 1}), b -> {key}))")
     bands = classes.select("node", keys.alias("key"))
     shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    found = materialize(bands.join(shared, "key"), "band-members")
+    found = stored(bands.join(shared, "key"), "band-members")
     degree = found.groupBy("node").agg(F.sum("n").alias("degree"))
     members = found.join(degree, "node")
     hubs = members.groupBy("key").agg(F.max(F.struct("degree", "node"))["node"].alias("hub"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelscope.llm.encoding import encoded
-from labelscope.sources import materialize
+from labelscope.llm.tables import stored
 
 #: Lengths are counted in this many classes per window.
 CLASSES = 256
@@ -222,7 +222,7 @@ def packed(
         f"piece bigint, id {id_type}, start bigint, length bigint, ids_crc32 bigint, "
         "doc_tokens bigint, ids binary"
     )
-    pieces = materialize(rows.mapInArrow(_piecer(path, end_id, window), schema), "pieces")
+    pieces = stored(rows.mapInArrow(_piecer(path, end_id, window), schema), "pieces")
     about = ["id", "start", "length", "ids_crc32", "doc_tokens"]
     whole = pieces.where(F.col("length") == window).select(
         *about, F.col("piece").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")
@@ -250,7 +250,7 @@ def packed(
             slots, "class int, first bigint, after bigint, base bigint, slot int"
         )
     )
-    ranked = materialize(_ranked(rest), "ranked-pieces")
+    ranked = stored(_ranked(rest), "ranked-pieces")
     place = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("after"))
     placed = ranked.join(table, "class", "left").where(
         F.coalesce(place, F.lit(False))
@@ -279,7 +279,7 @@ def packed(
             F.lit(_LANES) + F.col("lane") * _LANE_ROOM + F.floor(F.col("at") / window),
         )
     )
-    laid = materialize(laid.select("piece", *about, "sequence_id", "offset", "head"), "lanes")
+    laid = stored(laid.select("piece", *about, "sequence_id", "offset", "head"), "lanes")
     uncut = laid.where("head = length").select(*about, "sequence_id", "offset")
     cut = laid.where("head < length")
     sums = cut.select("piece", "head").join(

@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelscope.llm.tables import stored
+
 from labelscope.llm.text import as_bytes, mix, runs, span_hashes, window_hashes, word_spans
-from labelscope.sources import materialize
 
 #: The characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -126,7 +127,7 @@ def host_rates(measured: DataFrame, rules: dict[str, str] = HOST_RULES) -> DataF
     without a host are in no host.
     """
     counted = [F.sum(_fails(c)).alias(f"failed_{r}") for r, c in rules.items()]
-    hosts = materialize(
+    hosts = stored(
         measured.where("host is not null")
         .groupBy("host")
         .agg(F.count("*").alias("n_docs"), *counted),
@@ -195,10 +196,10 @@ def judged(
     )
     id_type = rows.schema["id"].dataType.simpleString()
     schema = ", ".join([f"id {id_type}", "host string", *[f"{m} bigint" for m in MEASURES]])
-    measured = materialize(rows.mapInArrow(_measure, schema), "measures")
+    measured = stored(rows.mapInArrow(_measure, schema), "measures")
     rates = host_rates(measured, rules)
     worst = F.greatest(*[F.col(f"rate_{r}") for r in rules], F.lit(0.0))
-    verdicts = materialize(rates.select("host", (worst <= limit).alias("host_kept")), "host-verdicts")
+    verdicts = stored(rates.select("host", (worst <= limit).alias("host_kept")), "host-verdicts")
     if verdicts.count() <= BROADCAST_HOSTS:
         verdicts = F.broadcast(verdicts)
     failed = F.expr(" or ".join(f"({c})" for c in BASE_RULES.values()))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.llm.text import WORD
-from labelscope.sources import read_table
+from labelscope.sources import materialize, read_table
 
 #: The letters that are folded, and no others.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,6 +19,29 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 BITMAP = 32_768
 FILTER_BITS = 1 << 27
 
+#: Rows of texts that go to a Python worker at a time while a table is stored.
+BATCH_ROWS = 500
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """:func:`materialize`, with few rows at a time sent to Python functions.
+
+    Rows with texts are large, and a batch is held by the executor and by the
+    worker. The session's setting is put back when the table is written; a
+    smaller one is left as it is.
+    """
+    conf = df.sparkSession.conf
+    rows = conf.get(_BATCH)
+    if 0 < int(rows) <= BATCH_ROWS:
+        return materialize(df, name)
+    conf.set(_BATCH, BATCH_ROWS)
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(_BATCH, rows)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, f"{folder}/documents.parquet")
 

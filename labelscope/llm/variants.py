@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.llm.encoding import spans
+from labelscope.llm.tables import stored
 from labelscope.llm.text import as_bytes, mask_spans, mix, powers, runs
-from labelscope.sources import materialize
 
 #: One occurrence in so many loses a code point.
 DELETED = 199
@@ -233,7 +233,7 @@ def trie_neighbours(vocabulary: DataFrame) -> DataFrame:
     walked before the frontier is stored; at the others states are shuffled to
     their node.
     """
-    level_of = materialize(edges(vocabulary).repartition("depth", "node"), "trie")
+    level_of = stored(edges(vocabulary).repartition("depth", "node"), "trie")
     sizes = {r["depth"]: r["n"] for r in level_of.groupBy("depth").agg(F.count("*").alias("n")).collect()}
     pairs = vocabulary.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
     if sizes:
@@ -254,10 +254,10 @@ def trie_neighbours(vocabulary: DataFrame) -> DataFrame:
                 continue
             chained = 0
             # every union adds partitions, most of them small
-            stored = materialize(frontier.coalesce(tasks), "frontier")
-            done = stored.where("near_n is not null")
+            walked = stored(frontier.coalesce(tasks), "frontier")
+            done = walked.where("near_n is not null")
             pairs = pairs.union(done.select("word", "n", F.col("node").alias("near"), "near_n"))
-            frontier = stored.where("near_n is null")
+            frontier = walked.where("near_n is null")
     return _both_ways(pairs)
 
 
@@ -301,7 +301,7 @@ def long_neighbours(vocabulary: DataFrame, trie_chars: int = TRIE_CHARS) -> Data
     schema = "key binary, size bigint, place bigint, hash bigint, first boolean"
     long = vocabulary.where(F.length("word") >= trie_chars)
     hashes = long.select("word").mapInArrow(_left_out, schema)
-    hashes = materialize(hashes, "left-out")
+    hashes = stored(hashes, "left-out")
     a, b = (hashes.select(*[F.col(c).alias(f"{c}_{x}") for c in hashes.columns]) for x in "ab")
     both = (F.col("hash_a") == F.col("hash_b")) & (F.greatest("size_a", "size_b") > trie_chars)
     replaced = a.where("place_a >= 0").join(
@@ -313,7 +313,7 @@ def long_neighbours(vocabulary: DataFrame, trie_chars: int = TRIE_CHARS) -> Data
     found = replaced.where("key_a < key_b").select("key_a", "key_b", place, F.lit(False).alias("lacks"))
     found = found.union(lacks.select("key_a", "key_b", place, F.lit(True)))
     keyed = long.mapInArrow(_keyed, "key binary, word string, n bigint")
-    keyed = materialize(keyed, "long-words")
+    keyed = stored(keyed, "long-words")
     x, y = (keyed.select(*[F.col(c).alias(f"{c}_{x}") for c in keyed.columns]) for x in "xy")
 
     def without(word: str) -> Column:
@@ -356,7 +356,7 @@ def roots(forms: DataFrame) -> DataFrame:
     A form is more frequent than its word, so there is no circle. Every round
     takes the root of the root, which halves what is left of each chain.
     """
-    found = materialize(forms.select("word", F.col("form").alias("root")), "roots")
+    found = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         beyond = found.select(F.col("word").alias("root"), F.col("root").alias("next"))
         step = found.join(beyond, "root", "left").select(
@@ -364,7 +364,7 @@ def roots(forms: DataFrame) -> DataFrame:
             F.coalesce("next", "root").alias("root"),
             F.col("next").isNotNull().alias("moved"),
         )
-        step = materialize(step, "roots")
+        step = stored(step, "roots")
         found = step.select("word", "root")
         if step.where("moved").isEmpty():
             return found
@@ -396,7 +396,7 @@ def variants(
     """
     if ratio < 2:
         raise ValueError("a form must be more frequent than its word")
-    vocabulary = materialize(words(docs, id_col, text_col, deleted, least_chars, least_count), "words")
+    vocabulary = stored(words(docs, id_col, text_col, deleted, least_chars, least_count), "words")
     near = trie_neighbours(vocabulary.where(F.length("word") <= trie_chars))
     if not vocabulary.where(F.length("word") > trie_chars).isEmpty():
         near = near.union(long_neighbours(vocabulary, trie_chars))
@@ -412,7 +412,7 @@ def variants(
         F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"),
         F.when(form, -F.col("best.less")).alias("form_n"),
     )
-    formed = materialize(formed, "forms")
+    formed = stored(formed, "forms")
     last = roots(formed.where("form is not null"))
     return formed.join(last, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"

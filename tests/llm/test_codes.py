@@ -109,8 +109,14 @@ def test_null_ids_on_a_third_of_the_rows_are_dealt_to_several_tasks(spark, tmp_p
     assert sorted(map(str, again.collect())) == sorted(map(str, found))
 
 
+def _pieces(texts):
+    """Distinct texts as bytes in a row and bounds."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    return data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
 def test_the_oldest_pieces_are_forgotten(monkeypatch):
-    monkeypatch.setattr(encoding, "REMEMBERED_BYTES", 200)
+    monkeypatch.setattr(encoding, "REMEMBERED_BYTES", 3000)
     calls = []
 
     def encode(pieces):
@@ -120,12 +126,25 @@ def test_the_oldest_pieces_are_forgotten(monkeypatch):
     memory = encoding.Pieces(encode)
     draw = random.Random(2)
     for _ in range(300):
-        pieces = list(dict.fromkeys(draw.randbytes(draw.randrange(1, 9)) for _ in range(20)))
-        numbers = memory.numbers(pieces)
+        pieces = list({draw.randbytes(draw.randrange(0, 4)) for _ in range(20)})
+        numbers = memory.numbers(*_pieces(pieces))
         for p, i in zip(pieces, numbers, strict=True):
             assert memory.ids[memory.ends[i] : memory.ends[i + 1]].tolist() == list(p)
+        assert memory.held() < 6000
+    assert len(calls) > 1000
     calls.clear()
-    last = pieces[-1]
-    memory.numbers([b"new" * 100])
-    memory.numbers([last])
-    assert last not in calls
+    memory.numbers(*_pieces([b"new" * 1000]))
+    memory.numbers(*_pieces(pieces[-1:]))
+    assert calls == [b"new" * 1000]
+
+
+def test_equal_hashes_are_no_equal_pieces(monkeypatch):
+    """All pieces of a length have one hash: each still gets its own ids."""
+    monkeypatch.setattr(encoding, "span_hashes", lambda data, a, b: (b - a).astype(np.uint64))
+    memory = encoding.Pieces(lambda pieces: [list(p) for p in pieces])
+    draw = random.Random(3)
+    for _ in range(50):
+        pieces = list({draw.randbytes(draw.randrange(0, 3)) for _ in range(9)})
+        numbers = memory.numbers(*_pieces(pieces))
+        for p, i in zip(pieces, numbers, strict=True):
+            assert memory.ids[memory.ends[i] : memory.ends[i + 1]].tolist() == list(p)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from labelscope.llm import minhash
+from labelscope.llm.queries import queries
 from labelscope.sources import materialize
 from tests.llm.brute import FOLD, WORD, near_components
 from tests.llm.test_packing import _check
@@ -140,3 +141,16 @@ def test_one_copy_stays_where_ids_repeat_or_are_null(spark):
         assert [x[1] for x in left if x[0] == "a0"] == [5]
     marked = minhash.near_duplicates(docs, one_row=True).where("kept").collect()
     assert sorted((r.doc_id for r in marked), key=str) == [5, 8, None, None]
+
+
+def test_the_session_keeps_its_settings(spark):
+    """Nothing that a stage or a query sets is left behind."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(n) for n in names]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, FOLDER), "stage")
+    for name, query in queries().items():
+        if name not in ("op3_languages", "op11_quality_scores"):
+            query(spark, "/root/testdata/sf0.001").limit(1).collect()
+    assert [spark.conf.get(n) for n in names] == before
