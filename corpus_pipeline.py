@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from labelscope.llm import exact, language, minhash, mixing, packing
 from labelscope.llm.queries import tokenizer
 from labelscope.llm.tables import documents
-from labelscope.sources import materialize
+from labelscope.sources import materialize, temporary_tables
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -53,8 +53,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each written to the shared folder and read again."""
+    """All stages in turn, each written to the shared folder and read again.
+
+    What a stage has stored on its way is removed when its rows are written.
+    """
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with temporary_tables(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name, temporary=False)
     return docs

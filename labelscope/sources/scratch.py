@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -33,17 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, temporary: bool = True) -> DataFrame:
     """Write a table to the shared folder once and read it back.
 
     Later passes scan only the columns they use, and a lost executor costs a
-    re-read rather than a re-run of everything upstream.
+    re-read rather than a re-run of everything upstream. A table that isn't
+    ``temporary`` outlives :func:`temporary_tables`.
     """
     spark = df.sparkSession
     run = spark.sparkContext.applicationId
     path = f"{shared_folder(spark)}/labelscope/{run}/{name}-{uuid.uuid4().hex[:12]}"
     paths = _temporary.get()
-    if paths is not None:
+    if paths is not None and temporary:
         paths.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -62,7 +63,12 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
     finally:
         paths = _temporary.get() or []
         _temporary.reset(token)
-        context = spark.sparkContext
-        for name in paths:
-            path = context._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, paths)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove stored tables that nothing reads any more."""
+    context = spark.sparkContext
+    for name in paths:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
