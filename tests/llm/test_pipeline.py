@@ -1,6 +1,7 @@
 """Each stage of the pipeline against plain Python, on what its predecessor kept."""
 
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from labelscope.llm import minhash
 from labelscope.llm.queries import queries
-from labelscope.sources import materialize
+from labelscope.sources import materialize, shared_folder
 from tests.llm.brute import FOLD, WORD, near_components
 from tests.llm.test_packing import _check
 
@@ -150,7 +151,15 @@ def test_the_session_keeps_its_settings(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         docs = materialize(stage(spark, docs, FOLDER), "stage")
-    for name, query in queries().items():
-        if name not in ("op3_languages", "op11_quality_scores"):
-            query(spark, "/root/testdata/sf0.001").limit(1).collect()
+    for name in ("op5_pack_windows", "op6_host_quality", "op7_token_codes", "op9_chat_tree"):
+        queries()[name](spark, "/root/testdata/sf0.001").limit(1).collect()
     assert [spark.conf.get(n) for n in names] == before
+
+
+def test_only_the_rows_of_the_stages_stay_stored(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:")) / "labelscope" / spark.sparkContext.applicationId
+    before = {p.name for p in folder.iterdir()} if folder.exists() else set()
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    new = sorted(p.name for p in folder.iterdir() if p.name not in before)
+    assert sorted(n.rsplit("-", 1)[0] for n in new) == sorted(n for n, _ in corpus_pipeline.STAGES)
+    assert found.count() > 0 and "sequence_id" in found.columns
