@@ -6,14 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from labelscope.functions.columns import quoted, text_sql
 from labelscope.operators.information import MISSING
 from labelscope.operators.longform import text_long
-from labelscope.sources.scratch import materialize
+from labelscope.sources.scratch import exists, materialize
 
 # Fixed value: the code of a value that was not there when codes were fitted.
 UNSEEN = -1.0
@@ -98,12 +97,7 @@ def save_codes(table: CodeTable, path: str) -> int:
 
 def _notes(spark: SparkSession, path: str) -> list:
     reader = spark.read.schema("version int, folder string, features array<string>")
-    try:
-        return reader.parquet(f"{path}/versions").collect()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return []
+    return reader.parquet(f"{path}/versions").collect() if exists(spark, f"{path}/versions") else []
 
 
 def code_versions(spark: SparkSession, path: str) -> list[int]:

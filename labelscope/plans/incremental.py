@@ -5,13 +5,12 @@ from __future__ import annotations
 import json
 from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from labelscope.operators.states import feature_states, month_states
 from labelscope.roles import Roles
-from labelscope.sources.scratch import temporary_tables
+from labelscope.sources.scratch import exists, temporary_tables
 
 _NOTE = "batch string, files array<string>, schema string, roles string"
 
@@ -52,12 +51,9 @@ def update_states(spark: SparkSession, table: str, roles: Roles, path: str) -> s
 
 
 def _notes(spark: SparkSession, path: str) -> list:
-    try:
-        return spark.read.schema(_NOTE).parquet(f"{path}/batches").collect()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, f"{path}/batches"):
         return []
+    return spark.read.schema(_NOTE).parquet(f"{path}/batches").collect()
 
 
 def read_states(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from uuid import uuid4
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from labelscope.sources.scratch import exists
 from labelscope.sources.tables import NULL_MARK, read_csv, write_csv
 
 
@@ -55,12 +55,9 @@ def publish(spark: SparkSession, path: str, write: Callable[[str], object]) -> s
 
 def published_runs(spark: SparkSession, path: str) -> list[str]:
     """The folders of the complete runs, the last one last."""
-    try:
-        notes = spark.read.schema(_NOTE).parquet(f"{path}/finished").collect()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not exists(spark, f"{path}/finished"):
         return []
+    notes = spark.read.schema(_NOTE).parquet(f"{path}/finished").collect()
     return [f"{path}/{n.run}" for n in sorted(notes, key=lambda n: (n.finished, n.run))]
 
 

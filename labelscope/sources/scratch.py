@@ -66,9 +66,26 @@ def temporary_tables(spark: SparkSession) -> Iterator[None]:
         remove(spark, paths)
 
 
-def remove(spark: SparkSession, paths: Iterable[str]) -> None:
-    """Remove stored tables that nothing reads any more."""
+def _placed(spark: SparkSession, name: str):
     context = spark.sparkContext
-    for name in paths:
-        path = context._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    path = context._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    """Whether there is a file or folder of that name."""
+    path, system = _placed(spark, name)
+    return system.exists(path)
+
+
+def touch(spark: SparkSession, name: str) -> None:
+    """An empty file."""
+    path, system = _placed(spark, name)
+    system.create(path, True).close()
+
+
+def remove(spark: SparkSession, names: Iterable[str]) -> None:
+    """Remove files, or stored tables that nothing reads any more."""
+    for name in names:
+        path, system = _placed(spark, name)
+        system.delete(path, True)

@@ -6,13 +6,13 @@ import hashlib
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelscope.functions.columns import quoted
 from labelscope.operators.sampling import hash_sample
+from labelscope.sources.scratch import exists, remove, touch
 
 
 def read_table(spark: SparkSession, name_or_path: str) -> DataFrame:
@@ -53,9 +53,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     watched.write.mode(mode).options(**_FORMAT, nullValue=NULL_MARK).csv(path)
     note = f"{path}/{_NO_BREAKS}"
     if seen.get["breaks"]:
-        _remove(df.sparkSession, note)
+        remove(df.sparkSession, [note])
     elif mode != "append":
-        _touch(df.sparkSession, note)
+        touch(df.sparkSession, note)
     return path
 
 
@@ -74,27 +74,6 @@ def _may_break(kind: T.DataType) -> bool:
     )
 
 
-def _path(spark: SparkSession, name: str):
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(name)
-    return path, path.getFileSystem(context._jsc.hadoopConfiguration())
-
-
-def _touch(spark: SparkSession, name: str) -> None:
-    path, system = _path(spark, name)
-    system.create(path, True).close()
-
-
-def _remove(spark: SparkSession, name: str) -> None:
-    path, system = _path(spark, name)
-    system.delete(path, False)
-
-
-def _exists(spark: SparkSession, name: str) -> bool:
-    path, system = _path(spark, name)
-    return system.exists(path)
-
-
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -110,7 +89,7 @@ def read_csv(
     of :func:`write_csv`.
     """
     if line_breaks is None:
-        line_breaks = not _exists(spark, f"{path}/{_NO_BREAKS}")
+        line_breaks = not exists(spark, f"{path}/{_NO_BREAKS}")
     options = {**_FORMAT, "multiLine": line_breaks, "nullValue": null_mark}
     if schema is None:
         # other files have timestamps of other forms
@@ -147,9 +126,4 @@ def ensure_sample(
 
 
 def _finished(spark: SparkSession, note: str) -> bool:
-    try:
-        return not spark.read.schema("id bigint").parquet(note).isEmpty()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
+    return exists(spark, note) and not spark.read.schema("id bigint").parquet(note).isEmpty()
