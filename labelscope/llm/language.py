@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from labelscope.llm.tables import unused
-from labelscope.llm.text import runs
+from labelscope.llm.text import runs, tidy
 
 #: Trigrams are counted in this many buckets.
 BUCKET_BITS = 14
@@ -127,7 +127,7 @@ def fitted(
             names=["lang", "bucket", "n"],
         )
 
-    counted = sample.mapInArrow(count, "lang bigint, bucket bigint, n bigint")
+    counted = sample.mapInArrow(tidy(count), "lang bigint, bucket bigint, n bigint")
     counts = np.full((1 << BUCKET_BITS, len(languages)), PRIOR)
     total = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     found = total.select(F.col("lang").cast("smallint"), F.col("bucket").cast("int"), "n").toArrow()
@@ -271,7 +271,7 @@ def with_languages(
                 old = [c.slice(low, high - low) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*old, *new], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(predict, schema), *names
+    return docs.mapInArrow(tidy(predict), schema), *names
 
 
 def held_out(id_col: str = "doc_id") -> Column:

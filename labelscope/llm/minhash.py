@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from labelscope.llm.components import components
 from labelscope.llm.tables import maybe_among, one_row_each, stored, unused
-from labelscope.llm.text import mix, runs, shingle_sets
+from labelscope.llm.text import mix, runs, shingle_sets, tidy
 
 #: Registers of a document: 2 ** P buckets.
 P = 7
@@ -262,7 +262,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
     # texts that nobody wants are left out in the scan and not shuffled
     near = maybe_among(docs, "row_key", wanted.select("row_key"), "wanted").where("wanted")
     texts = near.join(wanted, "row_key").select("node", "text")
-    sets = texts.mapInArrow(_setter(shingle), "node binary, shingles array<bigint>")
+    sets = texts.mapInArrow(tidy(_setter(shingle)), "node binary, shingles array<bigint>")
     # rows that repeat an id and its text give the same set again
     return stored(sets, "shingle-sets").dropDuplicates(["node"])
 
@@ -374,7 +374,7 @@ def _late_links(
     # in a band of two one is the hub: they have been compared
     open_rows = stored(_open_members(rows, 3), "open-members")
     wide = open_rows.join(classes.select("node", "registers"), "node")
-    marked = _dealt(wide, ["registers"]).mapInArrow(_blocks(percent, False), "key bigint, node binary")
+    marked = _dealt(wide, ["registers"]).mapInArrow(tidy(_blocks(percent, False)), "key bigint, node binary")
     marked = stored(marked.distinct(), "marked-members")
     left = marked.join(rows, ["key", "node"])
     keys = classes.select("node", "row_key").join(marked.select("node").distinct(), "node")
@@ -382,7 +382,7 @@ def _late_links(
     left = stored(_open_members(left.select(*slim, "comp"), 2), "marked-in-open-bands")
     left = left.join(classes.select("node", "registers"), "node").join(sets, "node")
     links = _dealt(left, ["registers", "shingles"])
-    return stored(links.mapInArrow(_blocks(percent, True), "a binary, b binary"), "late-links")
+    return stored(links.mapInArrow(tidy(_blocks(percent, True)), "a binary, b binary"), "late-links")
 
 
 def near_duplicates(
@@ -477,7 +477,7 @@ def _marked(
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, row_key bigint, n_shingles bigint, node binary, registers binary"
     sketches = rows.select("id", "row_key", "text")
-    sketches = sketches.mapInArrow(_sketcher(shingle), schema)
+    sketches = sketches.mapInArrow(tidy(_sketcher(shingle)), schema)
     sketches = stored(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
     classes = stored(
         sketches.where("node is not null")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from labelscope.llm.encoding import encoded
 from labelscope.llm.tables import stored
+from labelscope.llm.text import tidy
 
 #: Lengths are counted in this many classes per window.
 CLASSES = 256
@@ -222,7 +223,7 @@ def packed(
         f"piece bigint, id {id_type}, start bigint, length bigint, ids_crc32 bigint, "
         "doc_tokens bigint, ids binary"
     )
-    pieces = stored(rows.mapInArrow(_piecer(path, end_id, window), schema), "pieces")
+    pieces = stored(rows.mapInArrow(tidy(_piecer(path, end_id, window)), schema), "pieces")
     about = ["id", "start", "length", "ids_crc32", "doc_tokens"]
     whole = pieces.where(F.col("length") == window).select(
         *about, F.col("piece").alias("sequence_id"), F.lit(0).cast("bigint").alias("offset")

@@ -6,7 +6,8 @@ of rows of bounded size, so memory follows ``RUN_BYTES`` and the longest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,23 @@ def span_hashes(
     return out
 
 
+def tidy(function: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow function that gives the memory it has used back to the system.
+
+    Python workers outlive their tasks, and what they keep unused counts against
+    the executor.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def runs(column: pa.Array, limit: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose texts stay within the limit; a longer text stands alone."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)
