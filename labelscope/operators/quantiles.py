@@ -183,7 +183,9 @@ def _interval_cells(
         .when(inside & (low < high), part.cast("double"))
         .otherwise(0.0)
     )
-    return placed.select("fid", "value", (F.col("a") + F.col("b")).alias("at0"), at.alias("at1")), ["at0", "at1"]
+    # never null, which a join would check by computing all of it again
+    at = F.coalesce(at, F.lit(0.0)).alias("at1")
+    return placed.select("fid", "value", (F.col("a") + F.col("b")).alias("at0"), at), ["at0", "at1"]
 
 
 def _counted(
