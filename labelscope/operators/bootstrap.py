@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelscope.functions.columns import as_double, quoted
 
+# The Arrow functions travel with their code, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 REPLICATES = 500
 # Rows times replicates that are weighted at a time.
 CELLS = 2_000_000

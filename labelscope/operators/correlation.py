@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,9 @@ from labelscope.operators.sampling import cap_rows_per_group, hash_step, last_st
 from labelscope.roles import Roles
 from labelscope.sources.scratch import materialize
 
+# The Arrow functions travel with their code, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: pairs above this strength are reported.
 THRESHOLD = 0.7
 # Cut points form a tree: FAN children per node, as deep as ranges of RANGE_ROWS need.

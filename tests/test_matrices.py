@@ -1,5 +1,9 @@
 """Plans of the matrices and of scatter points, and their awkward cases."""
 
+import os
+import subprocess
+import sys
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -128,3 +132,26 @@ def test_last_steps(spark):
         least = min(100, held.count())
         n = held.where(F.col("step") <= step).count() if step is not None else 0
         assert least <= n <= 1.2 * least + 5
+
+
+def test_arrow_functions_need_no_package_on_the_workers(tmp_path):
+    """What is sent to a worker loads where this package can't be imported."""
+    from pyspark import cloudpickle
+
+    from labelscope.operators import bootstrap
+
+    sent = [
+        correlation._products(3, 4, {0: (np.arange(2.0), np.arange(2.0))}),
+        correlation._merge(3),
+        bootstrap._collapser(5),
+        bootstrap._merge,
+        bootstrap._finisher(0.9),
+    ]
+    file = tmp_path / "functions"
+    file.write_bytes(cloudpickle.dumps(sent))
+    code = "import pickle, sys; print(len(pickle.load(open(sys.argv[1], 'rb'))), 'labelscope' in sys.modules)"
+    run = subprocess.run(
+        [sys.executable, "-c", code, str(file)], cwd=tmp_path, capture_output=True, text=True,
+        env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, check=False,
+    )
+    assert run.stdout.split() == ["5", "False"], run.stderr
