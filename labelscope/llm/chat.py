@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelscope.llm.encoding import encoded
 from labelscope.llm.tables import stored
 
 #: Tokens after which a sequence is closed; the next one repeats the open ancestors.
@@ -82,8 +83,11 @@ def _codec(
     tokenizer = Tokenizer.from_file(path)
 
     def encode(texts: list[str]) -> Tokens:
-        found = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.int32) for e in found]
+        # through the pieces that other texts have had encoded before
+        found: Tokens = []
+        for _, _, ids, total in encoded(pa.array(texts, pa.string()), path):
+            found += np.split(ids.astype(np.int32), total[1:-1])
+        return found
 
     def decode(tokens: Tokens) -> list[str]:
         return tokenizer.decode_batch([t.tolist() for t in tokens], skip_special_tokens=False)
