@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from labelscope.llm.tables import stored
 
-from labelscope.llm.text import as_bytes, mix, runs, span_hashes, word_spans
+from labelscope.llm.text import as_bytes, mix, runs, span_hashes, tidy, word_spans
 
 #: Hashed words share so many weights.
 WORD_BITS = 15
@@ -330,7 +330,7 @@ def labelled_features(
     rows = docs.join(F.broadcast(known), "id").select("id", "label", "text", *metadata)
     id_type = rows.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, label double, which binary, values binary"
-    found = rows.mapInArrow(_encoder(metadata), schema)
+    found = rows.mapInArrow(tidy(_encoder(metadata)), schema)
     one = found.groupBy("id").agg(F.min(F.struct("which", "values", "label")).alias("row"))
     shard = F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(SHARDS)).cast("int").alias("shard")
     return stored(one.select(shard, "id", "row.*"), "labelled-features")
@@ -445,7 +445,9 @@ def scored(
     machine = fit(rows, known.where(~hidden), names, fit_rows)
     small = Machine(machine.base, machine.weights.astype(np.float32), machine.vectors.astype(np.float32))
     id_type = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(_scorer(small, names), f"id {id_type}, score double")
+    found = rows.mapInArrow(tidy(_scorer(small, names)), f"id {id_type}, score double")
+    # small rows, stored so that texts go to Python a few at a time
+    found = stored(found, "quality-scores")
     return found.select(
         F.col("id").alias(id_col),
         hidden.alias("held_out"),
