@@ -19,6 +19,8 @@ from labelscope.llm.tables import stored
 
 #: Tokens after which a sequence is closed; the next one repeats the open ancestors.
 SEQUENCE_TOKENS = 65_536
+#: Sequences that are read, and sent to a Python worker, at a time.
+SEQUENCES_AT_ONCE = 8
 
 
 @dataclass(frozen=True)
@@ -424,12 +426,14 @@ def read_back(
     """One row per conversation, from the sequences alone.
 
     The turns of a leaf are those that it sees, in order; the loss text is what
-    the loss intervals on its path hold, unescaped.
+    the loss intervals on its path hold, unescaped. A sequence is a large row,
+    so a task holds few of them at a time, however many a file has.
     """
     schema = (
         "leaf string, n_turns bigint, turns_sha256 string, loss_chars bigint, "
         "loss_sha256 string, formatted_chars bigint"
     )
     leaves = chats.sequences.mapInArrow(_reader(template or Template(), tokenizer), schema)
+    leaves = stored(leaves, "chat-leaves", SEQUENCES_AT_ONCE)
     joined = chats.members.join(leaves, "leaf").drop("leaf")
     return joined.withColumnRenamed("conv", id_col)

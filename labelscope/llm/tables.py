@@ -22,24 +22,29 @@ FILTER_BITS = 1 << 27
 #: Rows of texts that go to a Python worker at a time while a table is stored.
 BATCH_ROWS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of a Parquet file that are read at a time.
+_READ = "spark.sql.parquet.columnarReaderBatchSize"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, rows: int = BATCH_ROWS) -> DataFrame:
     """:func:`materialize`, with few rows at a time sent to Python functions.
 
     Rows with texts are large, and a batch is held by the executor and by the
-    worker. The session's setting is put back when the table is written; a
-    smaller one is left as it is.
+    worker. With fewer than ``BATCH_ROWS`` rows no more are read from Parquet at
+    once either. The session's settings are put back when the table is written;
+    smaller ones are left as they are.
     """
     conf = df.sparkSession.conf
-    rows = conf.get(_BATCH)
-    if 0 < int(rows) <= BATCH_ROWS:
-        return materialize(df, name)
-    conf.set(_BATCH, BATCH_ROWS)
+    limited = [_BATCH] if rows >= BATCH_ROWS else [_BATCH, _READ]
+    before = {s: conf.get(s) for s in limited}
+    before = {s: was for s, was in before.items() if not 0 < int(was) <= rows}
+    for setting in before:
+        conf.set(setting, rows)
     try:
         return materialize(df, name)
     finally:
-        conf.set(_BATCH, rows)
+        for setting, was in before.items():
+            conf.set(setting, was)
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,31 @@ def test_a_full_sequence_begins_anew_with_its_ancestors(spark):
         assert _found(chat.read_back(chats)) == _expected(rows)
         if room == 1:
             assert chats.sequences.count() >= 20
+
+
+def test_few_sequences_are_read_at_a_time(spark, monkeypatch):
+    """A file with many sequences reaches a worker in small batches."""
+
+    def sizes(template, path):
+        def read(batches):
+            for batch in batches:
+                leaves = [x["leaf"] for row in batch.column("leaves").to_pylist() for x in row]
+                n = len(leaves)
+                columns = [leaves, [batch.num_rows] * n, [""] * n, [0] * n, [""] * n, [0] * n]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, chat._READ.types, strict=True)],
+                    schema=chat._READ,
+                )
+
+        return read
+
+    monkeypatch.setattr(chat, "_reader", sizes)
+    rows = [(i, 0, "user", f"text {i}") for i in range(100)]
+    chats = chat.formatted(spark.createDataFrame(rows, SCHEMA), sequence_tokens=1)
+    one_file = chats.sequences.coalesce(1)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    found = chat.read_back(chat.FormattedChats(one_file, chats.members)).collect()
+    assert len(found) == 100
+    assert max(r.n_turns for r in found) <= 8
+    assert spark.conf.get(setting) == before
