@@ -6,16 +6,25 @@ Each states what must hold of the result, so a violation shows as a row.
 from __future__ import annotations
 
 import math
+import sys
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelscope.functions.columns import double_sql
 from labelscope.operators import bootstrap, describe, distribution, importance, information, trend
 from labelscope.operators.longform import feature_name, numeric_long
 from labelscope.operators.sampling import bernoulli_sample
 from labelscope.roles import Roles
-from labelscope.sources import read_report, shared_folder, write_report
+from labelscope.sources import materialize, read_report, shared_folder, write_report
+
+# The Arrow functions travel with their code, so workers need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def sample_size(df: DataFrame, keys: list[str], fraction: float = 0.05) -> DataFrame:
@@ -29,35 +38,41 @@ def sample_size(df: DataFrame, keys: list[str], fraction: float = 0.05) -> DataF
 
 
 def sketch_ranks(df: DataFrame, roles: Roles, accuracy: int = 10_000) -> DataFrame:
-    """``(feature, percentile, within)``: whether each sketched percentile has its rank."""
+    """``(feature, percentile, within)``: whether each sketched percentile has its rank.
+
+    A percentile has to be a value of its feature. The smaller and the equal values
+    are counted inside the tasks, so no feature has to be ordered.
+    """
     features = describe.summarised(df, roles)[0]
     found = describe.numeric_percentiles(df, roles, features, "approx", accuracy)
-    pairs = [
-        F.struct(F.lit(n).alias("percentile"), F.lit(p).alias("p"), F.col(n).alias("at"))
+    names = F.array(*[F.lit(f) for f in features]).cast("array<string>")
+    fid = (F.array_position(names, F.col("feature")) - 1).cast("int").alias("fid")
+    wanted = found.select(fid, "feature", *describe.PERCENTILES)
+    rows = numeric_long(df, features).where("value is not null").join(F.broadcast(wanted), "fid")
+    value = F.col("value")
+    counted = rows.groupBy("feature").agg(
+        F.count("*").alias("total"),
+        *[F.max(n).alias(n) for n in describe.PERCENTILES],
+        *[F.count_if(value < F.col(n)).alias(f"below_{n}") for n in describe.PERCENTILES],
+        *[F.count_if(value <= F.col(n)).alias(f"upto_{n}") for n in describe.PERCENTILES],
+    )
+    each = [
+        F.struct(
+            F.lit(n).alias("percentile"),
+            (F.lit(p) * F.col("total")).alias("rank"),
+            F.col(n).alias("at"),
+            F.col(f"below_{n}").alias("below"),
+            F.col(f"upto_{n}").alias("upto"),
+        )
         for n, p in describe.PERCENTILES.items()
     ]
-    wanted = found.select("feature", F.inline(F.array(*pairs)))
-    values = numeric_long(df, features).where("value is not null")
-    counted = values.groupBy(feature_name(features).alias("feature"), "value").agg(
-        F.count("*").alias("n")
-    )
-    order = Window.partitionBy("feature").orderBy("value")
-    upto = F.sum("n").over(order)
-    total = F.sum("n").over(Window.partitionBy("feature"))
-    placed = counted.select(
-        "feature",
-        F.col("value").alias("at"),
-        (upto - F.col("n")).alias("below"),
-        upto.alias("upto"),
-        total.alias("total"),
-    )
+    below, upto, rank = F.col("below"), F.col("upto"), F.col("rank")
     slack = F.ceil(F.col("total") / accuracy) + 1
-    rank = F.col("p") * F.col("total")
-    within = (F.col("below") <= rank + slack) & (F.col("upto") >= rank - slack)
+    within = (below < upto) & (below <= rank + slack) & (upto >= rank - slack)
     return (
-        wanted.join(placed, ["feature", "at"], "left")
+        counted.select("feature", "total", F.inline(F.array(*each)))
         .where("at is not null")
-        .select("feature", "percentile", F.coalesce(within, F.lit(False)).alias("within"))
+        .select("feature", "percentile", within.alias("within"))
     )
 
 
@@ -93,31 +108,76 @@ def mean_brackets(df: DataFrame, value: str, group: str, keys: list[str]) -> Dat
     return rows.select(group, "count", holds.alias("holds"), near.alias("near"), same.alias("same"))
 
 
+#: Values whose kernels are added up at a time.
+_KERNELS = 256
+
+
+def _kernel_sums(curves: dict[tuple[int, int], tuple[float, float, float, np.ndarray]]):
+    """The kernel sum of a task's rows at every point of the curves.
+
+    A batch has the label and then the features. ``curves`` gives, by feature and
+    label, the bounds of the values, the bandwidth and the points.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {key: np.zeros(len(points)) for key, (*_, points) in curves.items()}
+        for batch in batches:
+            label, *columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            for (fid, y), (lower, upper, h, points) in curves.items():
+                values = columns[fid]
+                values = values[(label == y) & (values >= lower) & (values <= upper)]
+                for at in range(0, len(values), _KERNELS):
+                    z = points[:, None] - values[None, at : at + _KERNELS]
+                    z /= h
+                    z *= z
+                    z *= -0.5
+                    sums[fid, y] += np.exp(z, out=z).sum(axis=1)
+        for (fid, y), total in sums.items():
+            n = len(total)
+            columns = [np.full(n, fid, np.int32), np.full(n, y, np.int32), np.arange(n, dtype=np.int32), total]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["fid", "label", "point", "mass"])
+
+    return run
+
+
 def curve_error(df: DataFrame, roles: Roles, most: float = 1e-3) -> DataFrame:
-    """Whether each density curve is near the plain kernel sum over all its rows."""
-    curve = distribution.kde_curve(df, roles)
+    """Whether each density curve is near the plain kernel sum over all its rows.
+
+    Every row adds its kernel at every point, inside the tasks; the curves are sent
+    to them.
+    """
     features = roles.numeric(df)
-    long = numeric_long(df, features, roles.target().alias("label"))
+    label = roles.target().alias("label")
+    curve = materialize(distribution.kde_curve(df, roles), "kde-curve")
     bounds = distribution.clip_bounds(df, roles)
-    rows = (
-        long.select(feature_name(features).alias("feature"), "label", "value")
+    spread = (
+        numeric_long(df, features, label)
+        .select(feature_name(features).alias("feature"), "label", "value")
         .join(F.broadcast(bounds), "feature")
         .where(F.col("value").between(F.col("lower"), F.col("upper")))
+        .groupBy("feature", "label", "lower", "upper")
+        .agg(F.count("*").alias("n"), F.stddev_samp("value").alias("deviation"))
+        .withColumn("h", F.col("deviation") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))
     )
-    spread = rows.groupBy("feature", "label").agg(
-        F.count("*").alias("n"), F.stddev_samp("value").alias("deviation")
+    points = curve.groupBy("feature", "label").agg(
+        F.sort_array(F.collect_list(F.struct("point", "x"))).alias("points")
+    )
+    wanted = materialize(spread.join(F.broadcast(points), ["feature", "label"]), "kde-points")
+    # one row per feature and label
+    curves = {
+        (features.index(r.feature), r.label): (r.lower, r.upper, r.h, np.array([p.x for p in r.points]))
+        for r in wanted.collect()
+    }
+    cells = [F.expr(double_sql(df, c)).alias(f"v{i}") for i, c in enumerate(features)]
+    sums = df.select(label, *cells).mapInArrow(
+        _kernel_sums(curves), "fid int, label int, point int, mass double"
     )
-    h = F.col("deviation") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    z = (F.col("x") - F.col("value")) / F.col("h")
     plain = (
-        rows.join(F.broadcast(spread.withColumn("h", h)), ["feature", "label"])
-        .join(F.broadcast(curve), ["feature", "label"])
-        .groupBy("feature", "label", "point")
-        .agg(
-            (F.sum(F.exp(-0.5 * z * z)) / F.max(F.col("n") * F.col("h"))).alias("mass"),
-            F.max("density").alias("density"),
-        )
-        .withColumn("mass", F.col("mass") / math.sqrt(2 * math.pi))
+        sums.groupBy(feature_name(features).alias("feature"), "label", "point")
+        .agg(F.sum("mass").alias("mass"))
+        .join(F.broadcast(wanted.select("feature", "label", "n", "h")), ["feature", "label"])
+        .withColumn("mass", F.col("mass") / (F.col("n") * F.col("h")) / math.sqrt(2 * math.pi))
+        .join(F.broadcast(curve.drop("x")), ["feature", "label", "point"])
     )
     error = F.max(F.abs(F.col("density") - F.col("mass"))) / F.max("mass")
     return plain.groupBy("feature", "label").agg((error <= most).alias("near"))
