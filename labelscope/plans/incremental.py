@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,11 @@ from labelscope.operators.states import feature_states, month_states
 from labelscope.roles import Roles
 from labelscope.sources.scratch import exists, temporary_tables
 
+# States that a task keeps in memory at a time, some 5 KB each. With more of them
+# (by default with more than 128) Spark sorts all rows by month and feature instead.
+STATES_IN_MEMORY = 10_000
+_IN_MEMORY = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+
 _NOTE = "batch string, files array<string>, schema string, roles string"
 
 
@@ -42,14 +49,26 @@ def update_states(spark: SparkSession, table: str, roles: Roles, path: str) -> s
         return None
     batch = uuid4().hex
     rows = spark.read.schema(listed.schema).option("basePath", table).parquet(*new)
-    with temporary_tables(spark):
-        feature_states(rows, roles).coalesce(1).write.parquet(f"{path}/features/{batch}")
-        month_states(rows, roles).coalesce(1).write.parquet(f"{path}/months/{batch}")
+    with temporary_tables(spark), _states_in_memory(spark):
+        # merged by many tasks, and written by one
+        feature_states(rows, roles).repartition(1).write.parquet(f"{path}/features/{batch}")
+        month_states(rows, roles).repartition(1).write.parquet(f"{path}/months/{batch}")
     note = [(batch, new, json.dumps(listed.schema.jsonValue()), repr(roles))]
     spark.createDataFrame(note, _NOTE).coalesce(1).write.mode("append").parquet(f"{path}/batches")
     return batch
 
 
+@contextmanager
+def _states_in_memory(spark: SparkSession) -> Iterator[None]:
+    """The session's setting is put back at the end; a greater one is left as it is."""
+    before = spark.conf.get(_IN_MEMORY)
+    spark.conf.set(_IN_MEMORY, max(int(before), STATES_IN_MEMORY))
+    try:
+        yield
+    finally:
+        spark.conf.set(_IN_MEMORY, before)
+
+
 def _notes(spark: SparkSession, path: str) -> list:
     if not exists(spark, f"{path}/batches"):
         return []

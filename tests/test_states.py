@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelscope.operators import describe, missing, states, trend
+from labelscope.plans import incremental
 from labelscope.plans.incremental import read_states, update_states
 from labelscope.roles import Roles
 
@@ -136,3 +137,24 @@ def test_empty_table_and_no_date(spark):
     undated = Roles(label="y", ignore=("id", "d", "b"))
     found = states.monthly_from_states(states.month_states(rows, undated)).collect()
     assert [(r.month_start, r.total_apps, r.total_booked) for r in found] == [(None, 50, None)]
+
+
+def test_states_of_many_months_stay_in_memory(spark, tmp_path, monkeypatch):
+    """Rows are not sorted by month and feature for more than 128 of them."""
+    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before, seen = spark.conf.get(setting), []
+    make = incremental.feature_states
+
+    def watched(df, roles):
+        seen.append(int(spark.conf.get(setting)))
+        return make(df, roles)
+
+    monkeypatch.setattr(incremental, "feature_states", watched)
+    month = F.add_months(F.lit("2000-01-01").cast("date"), (F.col("id") % 300).cast("int"))
+    rows = _rows(spark, 0, 900).withColumn("d", month)
+    rows.write.parquet(f"{tmp_path}/rows")
+    update_states(spark, f"{tmp_path}/rows", ROLES, f"{tmp_path}/states")
+    assert seen and seen[0] >= 10_000 and spark.conf.get(setting) == before
+    found = states.numeric_from_states(read_states(spark, f"{tmp_path}/states")[0])
+    columns = ("feature", "count", "mean", "std", "min", "max")
+    _close(_table(found, *columns), _table(describe.numeric_describe(rows, ROLES), *columns))
