@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from labelscope.operators import describe, distribution
 from labelscope.roles import Roles
-from verification import relations
+from verification import inputs, relations
 
 ROLES = Roles(label="y", ignore=("id",))
 
@@ -72,3 +72,18 @@ def test_a_percentile_that_is_no_value_or_far_off_is_told(table, monkeypatch, of
     )
     found = relations.sketch_ranks(table, ROLES).collect()
     assert {(r.feature, r.percentile) for r in found if not r.within} == {("few", "p50")}
+
+
+def test_the_application_table_is_derived_from_small_parts(spark, monkeypatch):
+    setting = "spark.sql.files.maxPartitionBytes"
+    before, seen = spark.conf.get(setting), []
+    monkeypatch.setattr(inputs, "_stored", {})
+    monkeypatch.setattr(inputs, "materialize", lambda df, name: seen.append(spark.conf.get(setting)) or df)
+    inputs.application_table(spark, "/root/testdata/sf0.001")
+    assert seen == [str(32 << 20)] and spark.conf.get(setting) == before
+    assert [inputs._smaller(s) for s in ("134217728b", "16m", "1g", "1024")] == [
+        str(32 << 20),
+        "16m",
+        str(32 << 20),
+        "1024",
+    ]

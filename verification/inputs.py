@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,11 @@ EVENT_ROLES = Roles(label="bought", date="ts", booked="booked", ignore=("event_i
 LINE_ROLES = Roles(label="returned", date="l_shipdate")
 VECTOR_ROLES = Roles(label="upper_half", ignore=("vec_id",))
 
+# Bytes of a file that a task reads while the application table is derived. A task
+# holds a state for every order in its part of the line items, some 15 times its size.
+SPLIT_BYTES = 32 << 20
+_SPLIT = "spark.sql.files.maxPartitionBytes"
+
 _stored: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -22,10 +29,23 @@ def application_table(spark: SparkSession, folder: str) -> DataFrame:
     """The application table, derived and stored once per session and folder."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _stored:
-        _stored[key] = materialize(applications(spark, folder), "applications")
+        before = spark.conf.get(_SPLIT)
+        spark.conf.set(_SPLIT, _smaller(before))
+        try:
+            _stored[key] = materialize(applications(spark, folder), "applications")
+        finally:
+            spark.conf.set(_SPLIT, before)
     return _stored[key]
 
 
+def _smaller(size: str) -> str:
+    """A size in Spark's notation, or ``SPLIT_BYTES`` if that is less."""
+    found = re.fullmatch(r"(\d+)\s*([kmgtp]?)b?", size.strip().lower())
+    units = {"": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}
+    own = int(found[1]) << units[found[2]] if found else 0
+    return size if 0 < own <= SPLIT_BYTES else str(SPLIT_BYTES)
+
+
 def document_table(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, f"{folder}/documents.parquet")
     labels = read_table(spark, f"{folder}/labels.parquet")
