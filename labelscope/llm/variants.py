@@ -238,7 +238,8 @@ def trie_neighbours(vocabulary: DataFrame) -> DataFrame:
     pairs = vocabulary.select("word", "n", F.col("word").alias("near"), F.col("n").alias("near_n")).limit(0)
     if sizes:
         tasks = max(1, math.ceil(vocabulary.count() / WORDS_PER_TASK))
-        starts = vocabulary.select("word", "n").repartition(tasks, "word")
+        # dealt out once; a shuffle in the plan of every level takes memory of the driver
+        starts = stored(vocabulary.select("word", "n").repartition(tasks, "word"), "starts")
         deepest = max(sizes)
         frontier = None
         chained = 0

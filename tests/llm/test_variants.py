@@ -129,3 +129,21 @@ def test_odd_rows(spark):
     assert _found(variants.variants(df)) == wanted
     assert variants.variants(df.limit(0)).collect() == []
     assert variants.variants(df.where("text is null")).collect() == []
+
+
+def test_words_are_dealt_out_once_for_all_levels(spark, monkeypatch):
+    """A frontier's plan has no shuffle of the words themselves."""
+    plans = []
+    keep = variants.stored
+
+    def watched(df, name):
+        if name == "frontier":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(variants, "stored", watched)
+    words = spark.createDataFrame([("planet", 9), ("planets", 6), ("plane", 7)], "word string, n bigint")
+    found = {(r.word, r.near) for r in variants.trie_neighbours(words).collect()}
+    pairs = {("planet", "planets"), ("planet", "plane")}
+    assert found == pairs | {(b, a) for a, b in pairs}
+    assert plans and not any("hashpartitioning(word" in p for p in plans)
