@@ -23,9 +23,11 @@ from labelscope.together import together
 SEEDS = 5
 TREES = 50
 DEPTH = 10
-# Fits that run side by side; each keeps its own copy of the fitted rows in memory
-# or on disk.
+# Fits that run side by side, and the rows that these hold at most: each keeps its
+# own copy of the fitted rows and of their nodes at three levels, about 1 KB a row,
+# and reads it once per level.
 FITS_AT_ONCE = 5
+HELD_ROWS = 5_000_000
 # How codes are looked up, see the module of the encoding.
 BROADCAST_CODES = encoding.BROADCAST_CODES
 BROADCAST_BYTES = encoding.BROADCAST_BYTES
@@ -90,7 +92,9 @@ def rf_importance_by_seed(
     are drawn by a hash of the row, the same share of each class. Codes,
     medians and class weights always come from the whole table. Without it the
     forests are fitted on all rows. The seeds share one stored table and are
-    fitted side by side, a few at a time.
+    fitted side by side as long as their copies of its rows are small, and else one
+    after the other, so that a copy stays in memory for all levels. That changes no
+    forest.
     """
     spark = df.sparkSession
     with temporary_tables(spark):
@@ -114,11 +118,13 @@ def rf_importance_by_seed(
                 numTrees=trees,
                 maxDepth=depth,
                 cacheNodeIds=True,
+                checkpointInterval=-1,
                 seed=seed,
             )
             return [float(v) for v in forest.fit(assembled).featureImportances.toArray()]
 
-        fitted = together(spark, importances, range(seeds), FITS_AT_ONCE)
+        at_once = max(1, min(FITS_AT_ONCE, HELD_ROWS // max(1, table.count())))
+        fitted = together(spark, importances, range(seeds), at_once)
         rows = [(s, f, v) for s, own in enumerate(fitted) for f, v in zip(features, own, strict=True)]
     return spark.createDataFrame(rows, "seed int, feature string, importance double")
 

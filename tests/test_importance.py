@@ -120,3 +120,20 @@ def test_forests_on_stated_rows_and_dotted_names(spark, table):
     by_name = {r.feature: r.importance for r in found.collect()}
     assert set(by_name) == {"a.strong", "weak", "kind"}
     assert max(by_name, key=by_name.get) == "a.strong"
+
+
+def test_large_tables_are_fitted_one_seed_after_the_other(spark, table, monkeypatch):
+    """Copies of the fitted rows that don't fit beside each other are not held at once."""
+    seen = []
+
+    def watched(spark, run, items, at_once):
+        seen.append(at_once)
+        return [[0.5, 0.25, 0.25] for _ in items]
+
+    monkeypatch.setattr(importance, "together", watched)
+    rf_importance_by_seed(table, ROLES)
+    monkeypatch.setattr(importance, "HELD_ROWS", 3500)
+    rf_importance_by_seed(table, ROLES)
+    monkeypatch.setattr(importance, "HELD_ROWS", 100)
+    rf_importance_by_seed(table, ROLES)
+    assert seen == [5, 2, 1]
