@@ -17,18 +17,19 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelscope.sources.scratch import materialize
 
-# Executors get the functions of this module with the tasks.
+# The Arrow functions travel with their code, so workers need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed value: bins of a feature, as in Spark ML.
@@ -46,6 +47,12 @@ COUNT_BYTES = 64 << 20
 COUNTED_ROWS = 1 << 26
 # Tasks that add counts up.
 MERGES = 64
+# Blocks or trees' counts, each about half a megabyte, that are read and sent to Python at a time.
+LARGE_ROWS = 64
+_BATCHES = (
+    "spark.sql.execution.arrow.maxRecordsPerBatch",
+    "spark.sql.parquet.columnarReaderBatchSize",
+)
 
 _ROOM = 2 * BINS
 _POINT = "fid int, part int, at int, points binary"
@@ -377,7 +384,22 @@ def _best_splits(
     parts = [blocks.mapInArrow(_counts(n, group), "tree int, counts binary") for group in groups]
     met = reduce(DataFrame.unionAll, parts).repartitionById(min(MERGES, len(open_trees)), "tree")
     found = met.mapInArrow(_splits(tried, cuts, weights), "tree int, splits binary")
-    return {r.tree: np.frombuffer(r.splits).reshape(-1, 7) for r in found.collect()}
+    with few_rows_at_once(blocks.sparkSession):
+        return {r.tree: np.frombuffer(r.splits).reshape(-1, 7) for r in found.collect()}
+
+
+@contextmanager
+def few_rows_at_once(spark: SparkSession) -> Iterator[None]:
+    """At most ``LARGE_ROWS`` rows in a batch; the session's settings are put back at the end."""
+    before = {s: spark.conf.get(s) for s in _BATCHES}
+    before = {s: was for s, was in before.items() if not 0 < int(was) <= LARGE_ROWS}
+    for setting in before:
+        spark.conf.set(setting, LARGE_ROWS)
+    try:
+        yield
+    finally:
+        for setting, was in before.items():
+            spark.conf.set(setting, was)
 
 
 def _splits(tried: dict[int, np.ndarray], cuts: np.ndarray, weights: np.ndarray):

@@ -273,3 +273,17 @@ def test_labels_are_checked_and_one_class_has_no_importance(spark):
     other = spark.createDataFrame([(None, 0.5, 1.0, 1.0)], schema)
     with pytest.raises(ValueError, match="labels must be 0 or 1"):
         forest_importances(materialize(other, "other"), ["x0", "x1"], [0], 2, 2)
+
+
+def test_few_large_rows_are_held_at_once(spark):
+    rows, read = forest._BATCHES
+    before = {s: spark.conf.get(s) for s in forest._BATCHES}
+    spark.conf.set(rows, 16)
+    try:
+        with pytest.raises(RuntimeError), forest.few_rows_at_once(spark):
+            # a smaller one is left as it is
+            assert (spark.conf.get(rows), spark.conf.get(read)) == ("16", "64")
+            raise RuntimeError
+        assert (spark.conf.get(rows), spark.conf.get(read)) == ("16", before[read])
+    finally:
+        spark.conf.set(rows, before[rows])
